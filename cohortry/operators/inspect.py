@@ -78,10 +78,12 @@ def inspect_columns(df: DataFrame, whole_words: bool = False) -> DataFrame:
 
 
 def candidate_groups(inspected: DataFrame) -> DataFrame:
-    """Category -> its columns in table order; one row per column of the table at most."""
-    pairs = inspected.select(F.explode("categories").alias("category"), "position", "column")
-    listed = pairs.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("position", "column"))).alias("c"))
-    return listed.select("category", F.transform("c", lambda x: x["column"]).alias("columns"))
+    """Category -> its columns in table order and their NULL cells; the input has one row per column of a table."""
+    pairs = inspected.select(F.explode("categories").alias("category"), "position", "column", "null_count")
+    listed = pairs.groupBy("category").agg(
+        F.array_sort(F.collect_list(F.struct("position", "column"))).alias("c"), F.sum("null_count").alias("null_count")
+    )
+    return listed.select("category", F.transform("c", lambda x: x["column"]).alias("columns"), "null_count")
 
 
 def private_columns(df: DataFrame) -> list[str]:

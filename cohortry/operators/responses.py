@@ -89,13 +89,12 @@ def request_payload(context: Column, variants: Sequence[tuple[str, str]], run: R
 
 
 def hashed_answer(
-    payload: Column,
+    digest: Column,
     stances: Sequence[str] = vocab.STANCES,
     concerns: Sequence[str] = vocab.CONCERNS,
     conditions: Sequence[str] = vocab.CONDITIONS,
 ) -> Column:
-    """Structured answer read from the bytes of the payload's SHA-256."""
-    digest = F.sha2(payload, 256)
+    """Structured answer read from the bytes of a hex digest."""
     byte = lambda i: digest_byte(digest, i)
     stance = choose(stances, byte(0))
     return F.struct(
@@ -115,32 +114,28 @@ def answer_text(structured: Column) -> Column:
     )
 
 
-def score_responses(
-    cells: DataFrame,
-    context: Column,
-    variants: Sequence[tuple[str, str]],
-    run: Run,
-    failures: DataFrame | None = None,
-) -> DataFrame:
-    """Fill planned cells with hashed answers; agents listed in ``failures(agent_id)`` give error rows instead."""
-    filled = cells.withColumn("structured_response", hashed_answer(request_payload(context, variants, run)))
-    filled = filled.withColumn("response_text", answer_text(F.col("structured_response")))
-    return mark_failures(filled, failures)
-
-
-def mark_failures(responses: DataFrame, failures: DataFrame | None, error_type: str = vocab.GENERATION_ERROR) -> DataFrame:
-    """Set status and error type, and empty the payload of agents in the failure list."""
-    if failures is None:
-        return responses.withColumn("status", F.lit("success")).withColumn("error_type", F.lit(None).cast("string"))
-    listed = failures.select("agent_id").distinct().withColumn("_failed", F.lit(True))
-    joined = skew_join(responses, listed, ["agent_id"], "left", salt_by=["response_id"])
-    ok = F.col("_failed").isNull()
+def mark_failing(contexts: DataFrame, failures: DataFrame) -> DataFrame:
+    """Adds ``failing`` to the contexts: whether the agent is in the failure list ``(persona_id)``.
+
+    Contexts hold one row per agent, so marking them before the questions are expanded keeps the join narrow and free
+    of hot keys.
+    """
+    listed = failures.select("persona_id").distinct().withColumn("failing", F.lit(True))
+    return contexts.join(listed, "persona_id", "left").withColumn("failing", F.coalesce("failing", F.lit(False)))
+
+
+def score_responses(cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run) -> DataFrame:
+    """Fill planned cells with hashed answers; cells marked as ``failing`` become error rows instead."""
+    ok = ~F.col("failing") if "failing" in cells.columns else F.lit(True)
+    digest = F.when(ok, F.sha2(request_payload(context, variants, run), 256))
+    filled = cells.withColumn("_digest", digest).withColumn(
+        "structured_response", F.when(F.col("_digest").isNotNull(), hashed_answer(F.col("_digest")))
+    )
     return (
-        joined.withColumn("structured_response", F.when(ok, F.col("structured_response")))
-        .withColumn("response_text", F.when(ok, F.col("response_text")))
+        filled.withColumn("response_text", answer_text(F.col("structured_response")))
         .withColumn("status", F.when(ok, "success").otherwise("error"))
-        .withColumn("error_type", F.when(~ok, error_type))
-        .drop("_failed")
+        .withColumn("error_type", F.when(~ok, vocab.GENERATION_ERROR))
+        .drop("_digest", "failing")
     )
 
 
