@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import sample_key
@@ -59,7 +59,9 @@ def draw_sample(
     ids = filter_cohort(df, cohort).select(entity).where(F.col(entity).isNotNull()).distinct()
     keyed = ids.withColumn("sample_key", sample_key(F.col(entity), sampling.seed))
     if sampling.sample_size <= small_sample:
-        keyed = keyed.orderBy("sample_key", entity).limit(sampling.sample_size)
+        first = keyed.orderBy("sample_key", entity).limit(sampling.sample_size)
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample_key", entity))
+        return first.withColumn("sample_rank", rank.cast("bigint"))
     return rank_by_hash(keyed, "sample_key", entity).where(F.col("sample_rank") <= sampling.sample_size)
 
 

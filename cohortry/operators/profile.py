@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry import vocab
 from cohortry.functions.json_fields import json_integer, numeric_text
 from cohortry.functions.measures import share
-from cohortry.operators.quantiles import histogram_summary, value_histogram
+from cohortry.operators.quantiles import histogram_quantiles, sliced_quantiles
 from cohortry.operators.skew import top_per_group
 
 TEXT_QUANTILES = (0.5, 0.95)
@@ -72,8 +72,7 @@ def _selectability(counts: DataFrame, limit: int, ordered: Sequence[str]) -> Dat
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: count, minimum, maximum, mean and exact median of the non-null values."""
     long = long_values(df, {c: F.col(c).cast("double") for c in columns})
-    summary = histogram_summary(value_histogram(long), [0.5])
-    return summary.select("column", "n", "minimum", "maximum", "mean", F.col("q0").alias("median"))
+    return sliced_quantiles(long, [0.5]).withColumnRenamed("q0", "median")
 
 
 def decade_histogram(df: DataFrame, column: str, width: int = 10) -> DataFrame:
@@ -128,10 +127,22 @@ def json_parse_diagnostics(df: DataFrame, columns: Sequence[str], key: str = "t_
     )
 
 
-def text_length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per text column: minimum, mean, median, interpolated 95th percentile and maximum length in code points."""
-    lengths = long_values(df, {c: F.length(F.col(c).cast("string")).cast("bigint") for c in columns})
-    summary = histogram_summary(value_histogram(lengths), TEXT_QUANTILES)
+def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, digest, length, count)`` per distinct text, from one scan.
+
+    Texts are compared by SHA-256, so whole texts are hashed where they are read and only digests and lengths are
+    shuffled. NULL is counted as one entry.
+    """
+    cells = {c: F.struct(F.sha2(F.col(c).cast("string"), 256).alias("digest"),
+                         F.length(F.col(c).cast("string")).cast("bigint").alias("length")) for c in columns}
+    long = long_values(df, cells).select("column", "value.digest", "value.length")
+    return long.groupBy("column", "digest", "length").agg(F.count("*").alias("count"))
+
+
+def _lengths(counts: DataFrame) -> DataFrame:
+    filled = counts.where(F.col("length").isNotNull())
+    hist = filled.groupBy("column", F.col("length").alias("value")).agg(F.sum("count").alias("n"))
+    summary = histogram_quantiles(hist, TEXT_QUANTILES)
     return summary.select(
         "column",
         F.col("minimum").alias("min_length"),
@@ -142,16 +153,9 @@ def text_length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def text_duplicate_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per text column: distinct texts, share of duplicate rows, share of the commonest text.
-
-    Texts are compared by SHA-256, so whole texts are hashed in the scan and only digests are shuffled. NULL is not a
-    distinct text but may be the commonest value.
-    """
-    digests = long_values(df, {c: F.sha2(F.col(c).cast("string"), 256) for c in columns})
-    counts = digests.groupBy("column", "value").agg(F.count("*").alias("count"))
+def _duplicates(counts: DataFrame) -> DataFrame:
     stats = counts.groupBy("column").agg(
-        F.count("value").alias("distinct_count"), F.max("count").alias("_top"), F.sum("count").alias("_rows")
+        F.count("digest").alias("distinct_count"), F.max("count").alias("_top"), F.sum("count").alias("_rows")
     )
     return stats.select(
         "column",
@@ -161,6 +165,26 @@ def text_duplicate_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def text_length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per text column: minimum, mean, median, interpolated 95th percentile and maximum length in code points."""
+    lengths = long_values(df, {c: F.length(F.col(c).cast("string")).cast("bigint") for c in columns})
+    return _lengths(lengths.groupBy("column", F.col("value").alias("length")).agg(F.count("*").alias("count")))
+
+
+def text_duplicate_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per text column: distinct texts, share of duplicate rows, share of the commonest text.
+
+    NULL is not a distinct text but may be the commonest value.
+    """
+    return _duplicates(text_counts(df, columns))
+
+
+def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Length and duplicate profile of the text columns from one scan."""
+    counts = text_counts(df, columns)
+    return _lengths(counts).join(_duplicates(counts), "column", "right")
+
+
 def profile_tidy(
     df: DataFrame,
     categoricals: Sequence[str],
@@ -184,16 +208,23 @@ def profile_tidy(
         parts.append(_tidy(top, "categorical", F.col("value"), F.col("count"), F.col("ratio"), F.lit("frequency")))
     if traits:
         profile = parseability_profile(df, traits)
-        parts.append(_tidy(profile, "big_five", F.lit("distinct_count"), F.col("distinct_count"), None, F.lit(None)))
-        parts.append(_tidy(profile, "big_five", F.lit("parseable_ratio"), None, F.col("parseable_ratio"), F.lit(None)))
-        shown = profile.select("column", F.explode("examples").alias("value"))
-        parts.append(_tidy(shown, "big_five", F.col("value"), None, None, F.lit("example")))
+        cell = lambda value, count, ratio, metric: F.struct(
+            value.cast("string").alias("value"), F.lit(count).cast("double").alias("count"),
+            F.lit(ratio).cast("double").alias("ratio"), F.lit(metric).cast("string").alias("metric"),
+        )
+        fixed = F.array(
+            cell(F.lit("distinct_count"), F.col("distinct_count"), None, None),
+            cell(F.lit("parseable_ratio"), None, F.col("parseable_ratio"), None),
+        )
+        shown = F.transform("examples", lambda v: cell(v, None, None, "example"))
+        rows = profile.select("column", F.inline(F.concat(fixed, shown)))
+        parts.append(_tidy(rows, "big_five", F.col("value"), F.col("count"), F.col("ratio"), F.col("metric")))
     if narratives:
-        for table in (text_length_profile(df, narratives), text_duplicate_profile(df, narratives)):
-            metrics = [c for c in table.columns if c != "column"]
-            doubles = table.select("column", *[F.col(m).cast("double").alias(m) for m in metrics])
-            long = doubles.unpivot("column", metrics, "metric", "v")
-            parts.append(_tidy(long, "narrative", F.col("metric"), F.col("v"), None, F.col("metric")))
+        profile = text_profile(df, narratives)
+        metrics = [c for c in profile.columns if c != "column"]
+        doubles = profile.select("column", *[F.col(m).cast("double").alias(m) for m in metrics])
+        long = doubles.unpivot("column", metrics, "metric", "v")
+        parts.append(_tidy(long, "narrative", F.col("metric"), F.col("v"), None, F.col("metric")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

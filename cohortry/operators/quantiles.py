@@ -1,66 +1,100 @@
-"""Exact summaries of numeric columns from a distributed value histogram."""
+"""Exact quantiles without holding a column's values in one task.
+
+Both functions return one row per profiled column: ``n, minimum, maximum, mean`` and ``q<i>`` per probability, with
+linear interpolation between neighbouring ranks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_histogram(long: DataFrame) -> DataFrame:
-    """``(column, value, n)`` from long rows ``(column, value)``; NULL values are left out."""
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+def _rank_columns(total: Column, probabilities: Sequence[float]) -> dict[str, Column]:
+    """0-based lower and upper rank and the weight between them, per probability."""
+    out = {}
+    for i, p in enumerate(probabilities):
+        at = (total - 1) * F.lit(float(p))
+        out |= {f"lo{i}": F.floor(at), f"hi{i}": F.ceil(at), f"w{i}": at - F.floor(at)}
+    return out
+
 
+def _pick(placed: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Values at the wanted ranks from rows ``(column, value, n, end, lo*, hi*, w*)``; ``end`` counts rows up to a value."""
+    def at(rank: str) -> Column:
+        inside = (F.col(rank) < F.col("end")) & (F.col(rank) >= F.col("end") - F.col("n"))
+        return F.max(F.when(inside, F.col("value").cast("double")))
 
-def histogram_summary(hist: DataFrame, probabilities: Sequence[float], slices: int = 64) -> DataFrame:
-    """Per column: ``n, distinct, minimum, maximum, mean`` and one exact interpolated ``q<i>`` per probability.
+    quantiles = []
+    for i in range(len(probabilities)):
+        low, high = at(f"lo{i}"), at(f"hi{i}")
+        quantiles.append((low + (high - low) * F.max(f"w{i}")).alias(f"q{i}"))
+    return placed.groupBy("column").agg(*quantiles)
 
-    Spark's exact percentile holds every distinct value of a group in one task. Here the distinct values are cut into
-    ``slices`` of about equal size at approximate quantiles; the slice totals locate the wanted ranks, and only the
-    slices that contain one are sorted. The cut points only balance the work and never affect the answer.
 
-    One row per profiled column is broadcast, so its size is the number of columns.
+def histogram_quantiles(hist: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Summary of small-domain values such as text lengths from ``(column, value, n)``.
+
+    The running count sorts the distinct values of one column in one task, so their number must be modest; the sort
+    spills.
     """
-    probs = list(probabilities)
-    cuts = [i / slices for i in range(1, slices)]
+    per_column = Window.partitionBy("column")
+    upto = per_column.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hist.withColumn("end", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(per_column))
+    placed = placed.withColumns(_rank_columns(F.col("total"), probabilities))
+    picked = _pick(placed, probabilities)
     stats = hist.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.count("*").alias("distinct"),
+        F.sum("n").alias("n"),
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile_approx("value", cuts, 10_000).alias("cuts"),
+        (F.sum(F.col("value") * F.col("n")).cast("double") / F.sum("n")).alias("mean"),
     )
-    for i, p in enumerate(probs):
-        stats = stats.withColumn(f"at{i}", (F.col("total") - 1) * F.lit(float(p)))
-    ends = [(f"{side}{i}", fn(F.col(f"at{i}")).cast("bigint")) for i in range(len(probs)) for side, fn in
-            (("lo", F.floor), ("hi", F.ceil))]
-    places = stats.select("column", "cuts", *[e.alias(n) for n, e in ends])
-    placed = hist.join(F.broadcast(places), "column").withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    ).drop("cuts")
-
-    names = [n for n, _ in ends]
-    before = Window.partitionBy("column").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("column", "slice", *names).agg(F.sum("n").alias("in_slice"))
-    totals = totals.withColumn("before", F.coalesce(F.sum("in_slice").over(before), F.lit(0)))
-    hit = F.lit(False)
-    for n in names:
-        hit = hit | ((F.col(n) >= F.col("before")) & (F.col(n) < F.col("before") + F.col("in_slice")))
-    wanted = totals.where(hit).select("column", "slice", "before")
+    # one row per profiled column
+    return stats.join(F.broadcast(picked), "column")
 
-    upto = Window.partitionBy("column", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    located = placed.join(F.broadcast(wanted), ["column", "slice"]).withColumn(
-        "end", F.sum("n").over(upto) + F.col("before")
+
+def sliced_quantiles(
+    long: DataFrame, probabilities: Sequence[float], margin: float = 0.002, accuracy: int = 10_000
+) -> DataFrame:
+    """Summary of numeric values with many distinct values from long rows ``(column, value)``.
+
+    A quantile sketch gives two cut points around each wanted quantile. Counting rows per slice between the cuts locates
+    the wanted ranks exactly, and only the slices that hold one are sorted: a few thousandths of the rows. The sketch
+    only decides where the slices end; a poor cut makes a slice longer and never changes the answer. Three narrow scans
+    with small shuffles replace a shuffle of every value.
+    """
+    probs = list(probabilities)
+    filled = long.where(F.col("value").isNotNull())
+    cuts = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)})
+    stats = filled.groupBy("column").agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("minimum"),
+        F.max("value").alias("maximum"),
+        F.avg("value").alias("mean"),
+        F.percentile_approx("value", cuts, accuracy).alias("cuts"),
     )
-    inside = [(n, (F.col(n) < F.col("end")) & (F.col(n) >= F.col("end") - F.col("n"))) for n in names]
-    found = located.groupBy("column").agg(*[F.max(F.when(c, F.col("value"))).alias(n) for n, c in inside])
-    result = stats.drop("cuts").join(F.broadcast(found), "column")
-    quantiles = [
-        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"at{i}") - F.floor(f"at{i}"))).alias(f"q{i}")
-        for i in range(len(probs))
-    ]
-    return result.select(
-        "column", F.col("total").alias("n"), "distinct", "minimum", "maximum", "mean", *quantiles
+    above = [(F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(cuts))]
+    # one row per profiled column
+    sliced = filled.join(F.broadcast(stats.select("column", "cuts")), "column").select(
+        "column", "value", sum(above[1:], above[0]).alias("slice")
     )
+
+    ranks = _rank_columns(F.col("total"), probs)
+    per_column = Window.partitionBy("column")
+    earlier = per_column.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("column", "slice").agg(F.count("*").alias("in_slice"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
+    totals = totals.withColumn("total", F.sum("in_slice").over(per_column)).withColumns(ranks)
+    hit = F.lit(False)
+    for name in (n for n in ranks if not n.startswith("w")):
+        hit = hit | ((F.col(name) >= F.col("before")) & (F.col(name) < F.col("before") + F.col("in_slice")))
+    wanted = totals.where(hit).drop("in_slice", "total")
+
+    # at most two slices per probability and column
+    kept = sliced.join(F.broadcast(wanted), ["column", "slice"])
+    values = kept.groupBy("column", "slice", "value", "before", *ranks).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("column", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    picked = _pick(values.withColumn("end", F.sum("n").over(upto) + F.col("before")), probs)
+    return stats.drop("cuts").join(F.broadcast(picked), "column")
