@@ -6,14 +6,13 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.sources import schemas
 from cohortry.spec import CohortRequest, TableSpec
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(schemas.CORRUPT, T.StringType())])
+def _with_corrupt(schema: str) -> str:
+    return f"{schema}, {schemas.CORRUPT} string"
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
