@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry import vocab
-from cohortry.functions.hashing import piped
 from cohortry.operators.context import LEVELS, missing_level_columns
+from cohortry.operators.skew import skew_join
 from cohortry.spec import TableSpec
 
 
@@ -90,7 +90,11 @@ def check_repeat_link(questions: DataFrame, set_column: str = "question_set_id")
     targets = questions.select(
         set_column, F.col("question_id").alias("repeat_of_question_id"), F.col("question_type").alias("_target_type")
     ).distinct()
-    linked = questions.join(targets, [set_column, "repeat_of_question_id"], "left")
+    # only rows with a link are joined; an original that very many questions repeat is salted
+    has_link = F.col("repeat_of_question_id").isNotNull()
+    keys = [set_column, "repeat_of_question_id"]
+    linked = skew_join(questions.where(has_link), targets, keys, "left", salt_by=["question_id"])
+    linked = linked.unionByName(questions.where(~has_link), allowMissingColumns=True)
     is_repeat, link = F.col("question_type") == "SAME_QUESTION_REPEAT", F.col("repeat_of_question_id")
     detail = (
         F.when(is_repeat & link.isNull(), "link required")
@@ -109,7 +113,7 @@ def check_pair_distinct(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame
 def check_orphans(child: DataFrame, key: str, link: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose parent does not exist."""
     known = parent.select(F.col(parent_key).alias(link)).distinct()
-    lost = child.where(F.col(link).isNotNull()).join(known, link, "left_anti")
+    lost = skew_join(child.where(F.col(link).isNotNull()), known, [link], "left_anti", salt_by=[key])
     return violations(lost, "orphan", key, F.lit(True), F.col(link))
 
 
@@ -136,8 +140,3 @@ def missing_columns(df: DataFrame, spec: TableSpec) -> DataFrame:
     rows = [(level, c) for level in LEVELS for c in missing_level_columns(spec, level, df.columns)]
     rows += [("trait", c) for c in spec.trait_columns if c not in df.columns]
     return df.sparkSession.createDataFrame(rows, "level string, column string")
-
-
-def natural_key(columns: Sequence[str]) -> Column:
-    """Columns of a natural key as one text."""
-    return piped(*[F.col(c) for c in columns])

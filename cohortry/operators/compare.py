@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from cohortry import vocab
 from cohortry.functions.hashing import digest_id
-from cohortry.functions.measures import hits_per_100, jaccard, mentions, share
-from cohortry.operators.skew import skew_join, top_per_group
+from cohortry.functions.measures import hits_per_100, jaccard, mentions, share, token_set
+from cohortry.operators.skew import dimension_join, skew_join, top_per_group
 from cohortry.spec import Recipe
 
-PAIR_COLUMNS = ("response_id", "question_id", "question_type", "stance", "stance_score", "response_text", "concerns",
-                "acceptance_conditions")
+PAIR_COLUMNS = ("response_id", "question_id", "question_type", "stance", "stance_score", "response_text", "reasoning_summary",
+                "concerns", "acceptance_conditions")
 METRIC_VERSION = "v1"
+HUMAN_FIELDS = ("stance_consistency", "contradiction", "justified_change", "reviewer_confidence")
 
 
 def flatten_responses(responses: DataFrame) -> DataFrame:
@@ -41,7 +42,9 @@ def repeat_pairs(responses: DataFrame, links: DataFrame | None = None) -> DataFr
     """
     repeats = responses.where(F.col("question_type") == "SAME_QUESTION_REPEAT")
     if links is not None:
-        repeats = repeats.drop("repeat_of_question_id").join(links, "question_id")
+        repeats = dimension_join(
+            repeats.drop("repeat_of_question_id"), links, ["question_id"], "inner", salt_by=["response_id"]
+        )
     originals = responses.where(F.col("question_type") == "ORIGINAL").withColumn("root_question_id", F.col("question_id"))
     repeats = repeats.withColumn("root_question_id", F.col("repeat_of_question_id"))
     keys = ["run_id", "agent_id", "root_question_id"]
@@ -76,6 +79,9 @@ def evaluate_pairs(pairs: DataFrame) -> DataFrame:
     for name, source in (("concern_overlap", "concerns"), ("acceptance_condition_overlap", "acceptance_conditions")):
         if f"{source}_a" in pairs.columns:
             out = out.withColumn(name, jaccard(F.col(f"{source}_a"), F.col(f"{source}_b")))
+    if "reasoning_summary_a" in pairs.columns:
+        words = [token_set(F.col(f"reasoning_summary_{side}")) for side in "ab"]
+        out = out.withColumn("reason_overlap", jaccard(*words))
     return out.withColumn("comparison_id", digest_id("comparison_", 12, F.col("response_id_a"), F.col("response_id_b")))
 
 
@@ -165,7 +171,7 @@ def metric_summary(long: DataFrame, group_by: Sequence[str]) -> DataFrame:
 
 
 def run_recipe(evaluated: DataFrame, recipe: Recipe) -> DataFrame:
-    """A recipe's metrics per group as long rows; all metrics come from one aggregation."""
+    """A recipe's metrics per group as long rows over evaluated pairs; all metrics come from one aggregation."""
     kept = evaluated
     if recipe.filters:
         terms = [F.col(c).isin(list(v)) for c, v in recipe.filters.items()]
@@ -182,9 +188,39 @@ def run_recipe(evaluated: DataFrame, recipe: Recipe) -> DataFrame:
     )
 
 
-def follow_up_candidates(evaluated: DataFrame, parent: str = "response_id_a") -> DataFrame:
-    """One candidate per parent response: flips first, then other review cases, then the larger score change."""
-    flagged = evaluated.where(F.col("needs_human_review"))
+def run_condition_recipe(
+    responses: DataFrame, recipe: Recipe, condition: str, on: Sequence[str] = ("agent_id", "question_id")
+) -> DataFrame:
+    """A recipe over raw responses: every other condition is paired with ``compare_against`` and evaluated."""
+    return run_recipe(evaluate_pairs(condition_pairs(responses, condition, recipe.compare_against, on)), recipe)
+
+
+def comparison_records(evaluated: DataFrame, project_id: str, created_at: Column) -> DataFrame:
+    """Evaluated pairs as stored comparison records, not yet reviewed."""
+    automatic = F.struct("stance_match", "stance_score_delta", "contradiction_candidate", "needs_human_review")
+    empty = [F.lit(None).cast("string").alias(c) for c in HUMAN_FIELDS]
+    return evaluated.select(
+        "comparison_id",
+        F.lit(project_id).alias("project_id"),
+        "run_id",
+        F.col("agent_id").cast("string").alias("agent_id"),
+        F.col("response_id_a").alias("response_a_id"),
+        F.col("response_id_b").alias("response_b_id"),
+        "question_relation",
+        automatic.alias("automatic_evaluation"),
+        F.struct(F.lit("not_reviewed").alias("review_status"), *empty).alias("human_evaluation"),
+        created_at.alias("created_at"),
+    )
+
+
+def follow_up_candidates(
+    evaluated: DataFrame, parent: str = "response_id_a", flag: Column | None = None
+) -> DataFrame:
+    """One candidate per parent response: flips first, then other review cases, then the larger score change.
+
+    ``flag`` chooses the rows, by default those that need human review.
+    """
+    flagged = evaluated.where(F.col("needs_human_review") if flag is None else flag)
     order = [
         F.col("contradiction_candidate").cast("int").desc(),
         F.abs("stance_score_delta").desc_nulls_last(),

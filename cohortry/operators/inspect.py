@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import operator
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,6 +146,25 @@ def _stable_text(field: T.StructField) -> Column:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of each file under a path; files go to tasks whole, so each must stay below Spark's 2 GB cell."""
+    """SHA-256 and size of each file under a path.
+
+    Spark lists the files without reading them; each task then streams its files in blocks, so file size is no matter.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = files.select("path", F.col("length").alias("size_bytes"))
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(sha256=[_file_digest(p) for p in frame["path"]])
+
+    return listed.mapInPandas(digests, "path string, size_bytes bigint, sha256 string")
+
+
+def _file_digest(uri: str) -> str:
+    # Spark writes local paths as file:/x, the URI parser wants file:///x
+    filesystem, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    digest = hashlib.sha256()
+    with filesystem.open_input_stream(name) as source:
+        while block := source.read(1024 * 1024):
+            digest.update(block)
+    return digest.hexdigest()

@@ -61,7 +61,12 @@ def ordinal_index(column: Column, order: Sequence[str]) -> Column:
 
 
 def ordinal_observed(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    """Members of an ordered vocabulary that occur in the table, in vocabulary order, with row counts."""
+    """Members of an ordered vocabulary that occur in the table, in vocabulary order, with row counts.
+
+    A table without the column gives no rows.
+    """
+    if column not in df.columns:
+        return df.sparkSession.createDataFrame([], "position int, value string, count bigint")
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
     placed = counts.withColumn("position", ordinal_index(F.col("value"), order).cast("int"))
     return placed.where(F.col("position").isNotNull()).select("position", "value", "count").orderBy("position")

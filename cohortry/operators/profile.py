@@ -69,6 +69,13 @@ def _selectability(counts: DataFrame, limit: int, ordered: Sequence[str]) -> Dat
     return distinct.withColumn("selectable", fits).withColumn("note", note)
 
 
+def selection_fields(profile: DataFrame) -> DataFrame:
+    """Columns a filter can list directly and columns that need normalising, one row each; input is the profile."""
+    use = F.when(F.col("selectable"), "direct_select").otherwise("needs_normalising")
+    listed = profile.groupBy(use.alias("use")).agg(F.array_sort(F.collect_list("column")).alias("columns"))
+    return listed.select("use", "columns")
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: count, minimum, maximum, mean and exact median of the non-null values."""
     long = long_values(df, {c: F.col(c).cast("double") for c in columns})

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortry import vocab
 from cohortry.functions.hashing import banded_score, choose, choose_two, digest_byte, digest_id
-from cohortry.operators.skew import skew_join
+from cohortry.operators.skew import dimension_join, skew_join
 from cohortry.spec import Question, Run
 
 RESPONSE_KEY = ("run_id", "agent_id", "question_id", "repeat_index")
@@ -45,7 +45,7 @@ def expand_questions(contexts: DataFrame, questions: Sequence[Question]) -> Data
     if not questions:
         raise ValueError("a question set needs at least one question")
     if len(questions) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions; use expand_design")
+        raise ValueError(f"more than {MAX_QUESTIONS} questions; store them as an array column and use condition_matrix")
     entries = [
         F.struct(
             F.lit(q.question_id).alias("question_id"),
@@ -90,6 +90,7 @@ def request_payload(context: Column, variants: Sequence[tuple[str, str]], run: R
 
 def hashed_answer(
     digest: Column,
+    reason: Column,
     stances: Sequence[str] = vocab.STANCES,
     concerns: Sequence[str] = vocab.CONCERNS,
     conditions: Sequence[str] = vocab.CONDITIONS,
@@ -100,7 +101,7 @@ def hashed_answer(
     return F.struct(
         stance.alias("stance"),
         banded_score(stance, byte(1)).cast("int").alias("stance_score"),
-        F.lit("hashed answer").alias("reasoning_summary"),
+        reason.alias("reasoning_summary"),
         choose_two(concerns, byte(2), byte(3)).alias("concerns"),
         choose_two(conditions, byte(4), byte(5)).alias("acceptance_conditions"),
     )
@@ -124,12 +125,18 @@ def mark_failing(contexts: DataFrame, failures: DataFrame) -> DataFrame:
     return contexts.join(listed, "persona_id", "left").withColumn("failing", F.coalesce("failing", F.lit(False)))
 
 
-def score_responses(cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run) -> DataFrame:
-    """Fill planned cells with hashed answers; cells marked as ``failing`` become error rows instead."""
+def score_responses(
+    cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run, reason: Column | None = None
+) -> DataFrame:
+    """Fill planned cells with hashed answers; cells marked as ``failing`` become error rows instead.
+
+    ``reason`` is the reasoning summary, by default the question type.
+    """
+    reason = F.col("question_type") if reason is None else reason
     ok = ~F.col("failing") if "failing" in cells.columns else F.lit(True)
     digest = F.when(ok, F.sha2(request_payload(context, variants, run), 256))
     filled = cells.withColumn("_digest", digest).withColumn(
-        "structured_response", F.when(F.col("_digest").isNotNull(), hashed_answer(F.col("_digest")))
+        "structured_response", F.when(F.col("_digest").isNotNull(), hashed_answer(F.col("_digest"), reason))
     )
     return (
         filled.withColumn("response_text", answer_text(F.col("structured_response")))
@@ -143,7 +150,8 @@ def generate_responses(cells: DataFrame, generator: Callable[[dict], tuple[str,
     """Fill planned cells with a user's function, batch by batch.
 
     ``generator`` gets one cell as a dict and returns ``(response_text, structured_response dict)``. A raised exception
-    turns that row into an error row named after the exception; the run goes on.
+    turns that row into an error row named after the exception; the run goes on. A lost task runs its cells again, so
+    write the result of a generator that is costly or not repeatable before using it twice.
     """
     added = [
         T.StructField("response_text", T.StringType()),
@@ -205,11 +213,11 @@ def trace_responses(
 ) -> DataFrame:
     """Each response with its run, scenario, question and agent context.
 
-    Runs, scenarios and questions are record tables that Spark broadcasts when they are small; the context table may be
-    large and agents may be hot, so that join salts heavy agents.
+    Runs, scenarios and questions are small record tables whose size is checked; the context table may be large and
+    agents may be hot, so that join salts heavy agents.
     """
-    traced = (
-        responses.join(runs, "run_id", "left").join(scenarios, "scenario_id", "left").join(questions, "question_id", "left")
-    )
+    traced = responses
+    for records, key in ((runs, "run_id"), (scenarios, "scenario_id"), (questions, "question_id")):
+        traced = dimension_join(traced, records, [key], salt_by=["response_id"])
     agents = contexts.withColumnRenamed("persona_id", "agent_id")
     return skew_join(traced, agents, ["agent_id"], "left", salt_by=["response_id"])

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import sample_key
+from cohortry.operators.compare import HUMAN_FIELDS
 from cohortry.operators.skew import sequence_within_key, top_per_group
 
-RATING_FIELDS = ("stance_consistency", "contradiction", "justified_change", "reviewer_confidence")
-
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, seed: int, per_stratum: int) -> DataFrame:
     """The first ``per_stratum`` rows of each stratum along a seeded hash order."""
@@ -39,7 +38,7 @@ def review_packet(evaluated: DataFrame, seed: int, per_stratum: int, salt: str)
     shown = [c for c in ("run_id", "comparison_id", "stratum", "stratum_rank", "response_text_a", "response_text_b",
                          "stance_match", "stance_score_delta", "contradiction_candidate", "needs_human_review")
              if c in drawn.columns]
-    empty = [F.lit(None).cast("string").alias(f"human_{c}") for c in RATING_FIELDS]
+    empty = [F.lit(None).cast("string").alias(f"human_{c}") for c in HUMAN_FIELDS]
     return drawn.select(
         anonymous.alias("anonymized_agent_id"), *shown, F.lit("not_reviewed").alias("review_status"), *empty
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cohortry.functions.measures import cosine
 from cohortry.operators.skew import skew_join, top_per_group
 
+MAX_BROADCAST_GROUPS = 2_000
+
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vector per group.
@@ -27,8 +29,16 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, name: str = "semantic_simi
 
 
 def centroid_similarity(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
-    """Cosine of every row's vector to its group's mean; a group with very many rows is salted."""
-    joined = skew_join(df.select(key, group, vector), centroids(df, group, vector), [group], "inner", salt_by=[key])
+    """Cosine of every row's vector to its group's mean.
+
+    Groups are counted first: a few thousand mean vectors are broadcast, so the vectors of the table stay in place; with
+    more groups the join is salted.
+    """
+    rows, means = df.select(key, group, vector), centroids(df, group, vector)
+    if df.select(group).distinct().limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(means), group)
+    else:
+        joined = skew_join(rows, means, [group], "inner", salt_by=[key])
     return pair_similarity(joined, vector, "centroid", "similarity").select(key, group, "similarity")
 
 

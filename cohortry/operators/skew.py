@@ -62,6 +62,25 @@ def skew_join(
     return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
+def dimension_join(
+    fact: DataFrame,
+    dimension: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    *,
+    salt_by: Sequence[str],
+    max_rows: int = 50_000,
+) -> DataFrame:
+    """Join with a table that is usually small.
+
+    Its rows are counted first, up to the bound. Within the bound it is broadcast, so the fact is not shuffled and hot
+    keys do not matter; beyond it the salted join is used.
+    """
+    if dimension.limit(max_rows + 1).count() <= max_rows:
+        return fact.join(F.broadcast(dimension), list(on), how)
+    return skew_join(fact, dimension, on, how, salt_by=salt_by)
+
+
 def sequence_within_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "sequence"
 ) -> DataFrame:

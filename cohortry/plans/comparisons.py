@@ -69,13 +69,14 @@ def set_overlap(spark, d) -> DataFrame:
 
 
 @query("pair_overlaps", f"""WITH {PAIRS_SQL}
-    SELECT comparison_id, round(concern_overlap, 6) AS concern_overlap, round(acceptance_condition_overlap, 6) AS acceptance_condition_overlap
+    SELECT comparison_id, round(concern_overlap, 6) AS concern_overlap, round(acceptance_condition_overlap, 6) AS acceptance_condition_overlap,
+      round(reason_overlap, 6) AS reason_overlap
     FROM evaluated""")
 def pair_overlaps(spark, d) -> DataFrame:
     evaluated = compare.evaluate_pairs(compare.repeat_pairs(panel(spark, d)))
     return _round(
-        evaluated.select("comparison_id", "concern_overlap", "acceptance_condition_overlap"),
-        "concern_overlap", "acceptance_condition_overlap",
+        evaluated.select("comparison_id", "concern_overlap", "acceptance_condition_overlap", "reason_overlap"),
+        "concern_overlap", "acceptance_condition_overlap", "reason_overlap",
     )
 
 
@@ -315,6 +316,17 @@ def recipe_summary(spark, d) -> DataFrame:
     return _round(compare.run_recipe(panel_pairs(spark, d), RECIPE), "value")
 
 
+CONDITION_RECIPE = Recipe("recipe_pressure_v1", ("condition", "question_id"), ("stance_match", "stance_score_delta", "contradiction_candidate"))
+
+
+@query("condition_recipe", f"WITH {_BOTH_SQL} " + " UNION ALL ".join(
+    f"SELECT 'recipe_pressure_v1' AS recipe_id, condition, question_id, '{m}' AS metric_name, count({m}) AS n, "
+    f"round(avg({m}::INTEGER), 6) AS value FROM condition_pairs GROUP BY condition, question_id"
+    for m in CONDITION_RECIPE.metrics))
+def condition_recipe(spark, d) -> DataFrame:
+    return _round(compare.run_condition_recipe(both_runs(spark, d), CONDITION_RECIPE, "condition"), "value")
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 

@@ -34,6 +34,14 @@ def categorical_profile(spark, d) -> DataFrame:
     return profile.categorical_profile(table(spark, d, "part"), (*PART_COLUMNS, "p_partkey"), ordered=("p_type",))
 
 
+@query("selection_fields", f"""WITH {_counts_sql('part', (*PART_COLUMNS, 'p_partkey'))}
+    SELECT CASE WHEN selectable THEN 'direct_select' ELSE 'needs_normalising' END AS use, string_agg("column", ',' ORDER BY "column") AS columns
+    FROM (SELECT "column", count(value) <= 100 AS selectable FROM counts GROUP BY "column") GROUP BY selectable""")
+def selection_fields(spark, d) -> DataFrame:
+    listed = profile.selection_fields(profile.categorical_profile(table(spark, d, "part"), (*PART_COLUMNS, "p_partkey")))
+    return listed.withColumn("columns", F.array_join("columns", ","))
+
+
 @query("value_frequencies", f"""WITH {DOCUMENTS_SQL}, {_counts_sql('docs', ('lang', 'source', 'quality_note', 'n_chars'))}
     SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC NULLS LAST)::INTEGER AS rank, value, count,
       round(count::DOUBLE / sum(count) OVER (PARTITION BY "column"), 6) AS ratio

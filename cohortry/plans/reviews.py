@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.hashing import digest_byte
 from cohortry.operators import agreement, compare, review
 from cohortry.plans.registry import query
-from cohortry.plans.tables import CLICKS_SQL, PAIRS_SQL, PANEL_SQL, byte_sql, clicks, panel, r6, table
+from cohortry.plans.tables import CLICKS_SQL, PAIRS_SQL, PANEL_SQL, RUN, byte_sql, clicks, panel, r6, table
 from cohortry.sources.writers import tidy_export
 
 
@@ -225,3 +225,18 @@ def responses_long(spark, d) -> DataFrame:
     )
     return tidy_export(rows, {"design_id": "design_market", "persona_context_level": "P2"})
 
+
+@query("comparisons_long", f"""WITH {PAIRS_SQL}
+    SELECT 'design_market' AS design_id, comparison_id, 'project_panel' AS project_id, run_id, agent_id::VARCHAR AS agent_id,
+      response_id_a AS response_a_id, response_id_b AS response_b_id, 'SAME_QUESTION_REPEAT' AS question_relation,
+      stance_match, stance_score_delta, contradiction_candidate, needs_human_review, 'not_reviewed' AS review_status, 'v1' AS export_schema_version
+    FROM evaluated""")
+def comparisons_long(spark, d) -> DataFrame:
+    evaluated = compare.evaluate_pairs(compare.repeat_pairs(panel(spark, d)))
+    records = compare.comparison_records(evaluated, RUN.project_id, F.lit("2026-07-20 12:00:00").cast("timestamp"))
+    flat = records.select(
+        *[c for c in records.columns if c not in ("automatic_evaluation", "human_evaluation", "created_at")],
+        "automatic_evaluation.*", "human_evaluation.review_status",
+    )
+    return tidy_export(flat, {"design_id": "design_market"})
+

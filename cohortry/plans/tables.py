@@ -115,7 +115,8 @@ def failing_agents(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_nested(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
     """The answered panel with nested payload and error rows."""
-    return responses.score_responses(panel_cells(spark, d, run), panel_context(), VARIANTS, run)
+    reason = F.concat_ws(" ", "r_name", "c_mktsegment", "question_type")
+    return responses.score_responses(panel_cells(spark, d, run), panel_context(), VARIANTS, run, reason)
 
 
 def panel(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
@@ -179,6 +180,7 @@ def answers_sql(run: Run = RUN, cells: str = "cells", name: str = "panel") -> st
     CASE WHEN c_acctbal >= 0 THEN {score_sql('stance0', 'b1')} END AS stance_score,
     CASE WHEN c_acctbal >= 0 THEN concerns0 END AS concerns,
     CASE WHEN c_acctbal >= 0 THEN conditions0 END AS acceptance_conditions,
+    CASE WHEN c_acctbal >= 0 THEN r_name || ' ' || c_mktsegment || ' ' || question_type END AS reasoning_summary,
     CASE WHEN c_acctbal >= 0 THEN stance0 || ': ' || array_to_string(concerns0, ', ') || ' / ' || array_to_string(conditions0, ', ') END AS response_text,
     CASE WHEN c_acctbal >= 0 THEN 'success' ELSE 'error' END AS status,
     CASE WHEN c_acctbal < 0 THEN '{vocab.GENERATION_ERROR}' END AS error_type
@@ -194,6 +196,7 @@ pairs AS (
          a.stance AS stance_a, b.stance AS stance_b, a.stance_score AS stance_score_a, b.stance_score AS stance_score_b,
          a.response_text AS response_text_a, b.response_text AS response_text_b,
          a.concerns AS concerns_a, b.concerns AS concerns_b,
+         a.reasoning_summary AS reasoning_summary_a, b.reasoning_summary AS reasoning_summary_b,
          a.acceptance_conditions AS acceptance_conditions_a, b.acceptance_conditions AS acceptance_conditions_b,
          b.question_type AS question_type_b
   FROM panel a JOIN panel b
@@ -206,11 +209,15 @@ measured AS (
            / nullif(len(list_distinct(list_concat(concerns_a, concerns_b))), 0) AS concern_overlap,
          len(list_intersect(acceptance_conditions_a, acceptance_conditions_b))::DOUBLE
            / nullif(len(list_distinct(list_concat(acceptance_conditions_a, acceptance_conditions_b))), 0) AS acceptance_condition_overlap,
+         len(list_intersect(string_split(lower(reasoning_summary_a), ' '), string_split(lower(reasoning_summary_b), ' ')))::DOUBLE
+           / nullif(len(list_distinct(list_concat(string_split(lower(reasoning_summary_a), ' '), string_split(lower(reasoning_summary_b), ' ')))), 0)
+           AS reason_overlap0,
          'comparison_' || substr(sha256(response_id_a || '|' || response_id_b), 1, 12) AS comparison_id
   FROM pairs),
 evaluated AS (
   SELECT * REPLACE (CASE WHEN stance_a IS NULL OR stance_b IS NULL THEN NULL ELSE concern_overlap END AS concern_overlap,
                     CASE WHEN stance_a IS NULL OR stance_b IS NULL THEN NULL ELSE acceptance_condition_overlap END AS acceptance_condition_overlap),
+         CASE WHEN stance_a IS NULL OR stance_b IS NULL THEN NULL ELSE reason_overlap0 END AS reason_overlap,
          NOT stance_match OR contradiction_candidate AS needs_human_review
   FROM measured)"""
 

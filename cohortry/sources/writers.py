@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry import vocab
-from cohortry.operators.checks import check_scope
 
 EXPORT_SCHEMA_VERSION = "v1"
 
@@ -35,13 +34,16 @@ def write_profile_csv(tidy: DataFrame, path: str) -> None:
     tidy.write.mode("overwrite").option("header", "true").partitionBy("section").csv(path)
 
 
-def _require_scope(df: DataFrame, key: str, project_id: str, run_id: str) -> None:
+def _in_scope(df: DataFrame, key: str, project_id: str, run_id: str) -> DataFrame:
+    """The rows themselves; writing fails on the first row of another project or run, without a second pass."""
+    out = df
     for column, value in (("project_id", project_id), ("run_id", run_id)):
         if not re.match(vocab.ID_PATTERNS[column], value):
             raise ValueError(f"invalid {column} for storage path: {value}")
-    stray = check_scope(df, key, {"project_id": project_id, "run_id": run_id}).first()
-    if stray is not None:
-        raise ValueError(f"{stray['detail']} of {stray['key']} does not match storage destination")
+        problem = F.concat(F.lit(f"{column} of "), F.col(key), F.lit(" does not match storage destination"))
+        same = F.col(column).eqNullSafe(F.lit(value))
+        out = out.withColumn(column, F.when(same, F.col(column)).otherwise(F.raise_error(problem).cast("string")))
+    return out
 
 
 def _write_scoped(df: DataFrame, path: str, file_format: str) -> None:
@@ -55,9 +57,8 @@ def write_responses(
     responses: DataFrame, root: str, project_id: str, run_id: str, file_format: str = "json"
 ) -> str:
     """Responses of one run under ``root/responses``; refuses rows of another project or run, replaces only this run."""
-    _require_scope(responses, "response_id", project_id, run_id)
     path = f"{root}/responses"
-    _write_scoped(responses, path, file_format)
+    _write_scoped(_in_scope(responses, "response_id", project_id, run_id), path, file_format)
     return path
 
 
@@ -65,9 +66,8 @@ def write_comparisons(
     comparisons: DataFrame, root: str, project_id: str, run_id: str, file_format: str = "json"
 ) -> str:
     """Comparisons of one run under ``root/comparisons`` with the same scope check."""
-    _require_scope(comparisons, "comparison_id", project_id, run_id)
     path = f"{root}/comparisons"
-    _write_scoped(comparisons, path, file_format)
+    _write_scoped(_in_scope(comparisons, "comparison_id", project_id, run_id), path, file_format)
     return path
 
 

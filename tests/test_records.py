@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cohortry.operators import checks, cohort, inspect
@@ -59,7 +60,7 @@ def test_unreadable_lines_are_kept(spark, tmp_path):
 
 
 def test_scope_is_enforced(stored, tmp_path):
-    with pytest.raises(ValueError, match="run_id of response_.* does not match"):
+    with pytest.raises(PySparkException, match="run_id of response_.* does not match"):
         writers.write_responses(stored, str(tmp_path), "project_stage2", "run_other")
     with pytest.raises(ValueError, match="invalid project_id"):
         writers.write_responses(stored, str(tmp_path), "../up", "run_20260720_001")
