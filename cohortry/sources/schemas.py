@@ -31,6 +31,10 @@ RESPONSE = (
     f"structured_response {STRUCTURED_RESPONSE}, generation_config {GENERATION_CONFIG}, status string, "
     "error_type string, created_at timestamp"
 )
+RESPONSE_COLUMNS = (
+    "project_id", "cohort_id", "agent_id", "scenario_id", "question_id", "run_id", "response_id", "repeat_index",
+    "question_type", "response_text", "structured_response", "generation_config", "status", "error_type", "created_at",
+)
 COMPARISON = (
     "comparison_id string, project_id string, run_id string, agent_id string, response_a_id string, "
     "response_b_id string, question_relation string, "
