@@ -31,9 +31,22 @@ def digest_byte(hex_digest: Column, index: int) -> Column:
     return F.conv(F.substring(hex_digest, 2 * index + 1, 2), 16, 10).cast("int")
 
 
+def digest_number(hex_digest: Column, size: int) -> Column:
+    """The first ``size`` bytes (at most 7) of a hex digest as one bigint."""
+    return F.conv(F.substring(hex_digest, 1, 2 * size), 16, 10).cast("bigint")
+
+
+def number_byte(number: Column, index: int, size: int) -> Column:
+    """Byte ``index`` of a ``digest_number`` of that size; cheaper than reading each byte from the digest."""
+    return F.shiftright(number, 8 * (size - 1 - index)).bitwiseAND(F.lit(255)).cast("int")
+
+
 def choose(options: Sequence[str], number: Column) -> Column:
-    """Option at ``number`` modulo the number of options."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (number % len(options) + 1).cast("int"))
+    """Option at ``number`` modulo the number of options; NULL for a NULL number.
+
+    ``get`` rather than ``element_at``: under ANSI mode the latter treats a NULL index as never NULL.
+    """
+    return F.get(F.array(*[F.lit(o) for o in options]), (number % len(options)).cast("int"))
 
 
 def choose_two(options: Sequence[str], first: Column, second: Column) -> Column:

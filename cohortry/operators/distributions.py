@@ -62,7 +62,7 @@ def distribution_shift(df: DataFrame, group: Sequence[str], category: str, condi
 
 def signature(stance: Column, concerns: Column, conditions: Column) -> Column:
     """Answer signature: stance with the sorted distinct concerns and conditions."""
-    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    listed = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
     return F.concat_ws("|", stance, listed(concerns), listed(conditions))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry import vocab
-from cohortry.functions.hashing import banded_score, choose, choose_two, digest_byte, digest_id
+from cohortry.functions.hashing import banded_score, choose, choose_two, digest_id, digest_number, number_byte
 from cohortry.operators.skew import dimension_join, skew_join
 from cohortry.spec import Question, Run
 
@@ -88,30 +88,10 @@ def request_payload(context: Column, variants: Sequence[tuple[str, str]], run: R
     return F.concat_ws("||", *parts)
 
 
-def hashed_answer(
-    digest: Column,
-    reason: Column,
-    stances: Sequence[str] = vocab.STANCES,
-    concerns: Sequence[str] = vocab.CONCERNS,
-    conditions: Sequence[str] = vocab.CONDITIONS,
-) -> Column:
-    """Structured answer read from the bytes of a hex digest."""
-    byte = lambda i: digest_byte(digest, i)
-    stance = choose(stances, byte(0))
-    return F.struct(
-        stance.alias("stance"),
-        banded_score(stance, byte(1)).cast("int").alias("stance_score"),
-        reason.alias("reasoning_summary"),
-        choose_two(concerns, byte(2), byte(3)).alias("concerns"),
-        choose_two(conditions, byte(4), byte(5)).alias("acceptance_conditions"),
-    )
-
-
-def answer_text(structured: Column) -> Column:
-    """Plain rendering of a structured answer."""
+def answer_text(stance: Column, concerns: Column, conditions: Column) -> Column:
+    """Plain rendering of an answer."""
     return F.concat(
-        structured["stance"], F.lit(": "), F.array_join(structured["concerns"], ", "),
-        F.lit(" / "), F.array_join(structured["acceptance_conditions"], ", "),
+        stance, F.lit(": "), F.array_join(concerns, ", "), F.lit(" / "), F.array_join(conditions, ", ")
     )
 
 
@@ -125,25 +105,51 @@ def mark_failing(contexts: DataFrame, failures: DataFrame) -> DataFrame:
     return contexts.join(listed, "persona_id", "left").withColumn("failing", F.coalesce("failing", F.lit(False)))
 
 
-def score_responses(
-    cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run, reason: Column | None = None
+def score_flat(
+    cells: DataFrame,
+    context: Column,
+    variants: Sequence[tuple[str, str]],
+    run: Run,
+    reason: Column | None = None,
+    stances: Sequence[str] = vocab.STANCES,
+    concerns: Sequence[str] = vocab.CONCERNS,
+    conditions: Sequence[str] = vocab.CONDITIONS,
 ) -> DataFrame:
-    """Fill planned cells with hashed answers; cells marked as ``failing`` become error rows instead.
+    """Fill planned cells with answers read from the bytes of the payload's SHA-256, as flat columns.
 
-    ``reason`` is the reasoning summary, by default the question type.
+    Cells marked as ``failing`` become error rows. ``reason`` is the reasoning summary, by default the question type.
+    The steps are separate columns, so each is computed once and the generated code stays small enough to be compiled.
     """
-    reason = F.col("question_type") if reason is None else reason
     ok = ~F.col("failing") if "failing" in cells.columns else F.lit(True)
-    digest = F.when(ok, F.sha2(request_payload(context, variants, run), 256))
-    filled = cells.withColumn("_digest", digest).withColumn(
-        "structured_response", F.when(F.col("_digest").isNotNull(), hashed_answer(F.col("_digest"), reason))
-    )
-    return (
-        filled.withColumn("response_text", answer_text(F.col("structured_response")))
-        .withColumn("status", F.when(ok, "success").otherwise("error"))
-        .withColumn("error_type", F.when(~ok, vocab.GENERATION_ERROR))
-        .drop("_digest", "failing")
-    )
+    payload = request_payload(context, variants, run)
+    hashed = cells.withColumn("_bits", F.when(ok, digest_number(F.sha2(payload, 256), 6)))
+    byte = lambda i: number_byte(F.col("_bits"), i, 6)
+    answered = F.col("_bits").isNotNull()
+    filled = hashed.withColumns({
+        "stance": choose(stances, byte(0)),
+        "concerns": F.when(answered, choose_two(concerns, byte(2), byte(3))),
+        "acceptance_conditions": F.when(answered, choose_two(conditions, byte(4), byte(5))),
+    })
+    return filled.withColumns({
+        "stance_score": banded_score(F.col("stance"), byte(1)).cast("int"),
+        "reasoning_summary": F.when(answered, F.col("question_type") if reason is None else reason),
+        "response_text": answer_text(F.col("stance"), F.col("concerns"), F.col("acceptance_conditions")),
+        "status": F.when(ok, "success").otherwise("error"),
+        "error_type": F.when(~ok, vocab.GENERATION_ERROR),
+    }).drop("_bits", "failing")
+
+
+def nest_responses(flat: DataFrame) -> DataFrame:
+    """Answer columns as the stored ``structured_response`` struct; rows without an answer get NULL."""
+    names = STRUCTURED.fieldNames()
+    return flat.withColumn("structured_response", F.when(F.col("stance").isNotNull(), F.struct(*names))).drop(*names)
+
+
+def score_responses(
+    cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run, reason: Column | None = None
+) -> DataFrame:
+    """Hashed answers of ``score_flat`` in their stored, nested form."""
+    return nest_responses(score_flat(cells, context, variants, run, reason))
 
 
 def generate_responses(cells: DataFrame, generator: Callable[[dict], tuple[str, dict]]) -> DataFrame:

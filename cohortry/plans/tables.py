@@ -115,13 +115,13 @@ def failing_agents(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_nested(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
     """The answered panel with nested payload and error rows."""
-    reason = F.concat_ws(" ", "r_name", "c_mktsegment", "question_type")
-    return responses.score_responses(panel_cells(spark, d, run), panel_context(), VARIANTS, run, reason)
+    return responses.nest_responses(panel(spark, d, run))
 
 
 def panel(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
-    """The answered panel, flat."""
-    return compare.flatten_responses(panel_nested(spark, d, run))
+    """The answered panel with flat answer columns and error rows."""
+    reason = F.concat_ws(" ", "r_name", "c_mktsegment", "question_type")
+    return responses.score_flat(panel_cells(spark, d, run), panel_context(), VARIANTS, run, reason)
 
 
 def byte_sql(digest: str, index: int) -> str:
