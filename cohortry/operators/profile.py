@@ -78,8 +78,8 @@ def selection_fields(profile: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: count, minimum, maximum, mean and exact median of the non-null values."""
-    long = long_values(df, {c: F.col(c).cast("double") for c in columns})
-    return sliced_quantiles(long, [0.5]).withColumnRenamed("q0", "median")
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return sliced_quantiles(doubles, columns, [0.5]).withColumnRenamed("q0", "median")
 
 
 def decade_histogram(df: DataFrame, column: str, width: int = 10) -> DataFrame:

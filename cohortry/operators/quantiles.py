@@ -6,6 +6,7 @@ linear interpolation between neighbouring ranks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,45 +57,68 @@ def histogram_quantiles(hist: DataFrame, probabilities: Sequence[float]) -> Data
 
 
 def sliced_quantiles(
-    long: DataFrame, probabilities: Sequence[float], margin: float = 0.002, accuracy: int = 10_000
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000, margin: float | None = None
 ) -> DataFrame:
-    """Summary of numeric values with many distinct values from long rows ``(column, value)``.
+    """Summary of numeric columns with many distinct values.
 
     A quantile sketch gives two cut points around each wanted quantile. Counting rows per slice between the cuts locates
-    the wanted ranks exactly, and only the slices that hold one are sorted: a few thousandths of the rows. The sketch
+    the wanted ranks exactly, and only the slices that hold one are sorted: about ``4 / accuracy`` of the rows. The sketch
     only decides where the slices end; a poor cut makes a slice longer and never changes the answer. Three narrow scans
-    with small shuffles replace a shuffle of every value.
+    replace a shuffle of every value. The first two run here and give the driver a few numbers per column; the third is
+    lazy.
     """
-    probs = list(probabilities)
-    filled = long.where(F.col("value").isNotNull())
-    cuts = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)})
-    stats = filled.groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-        F.avg("value").alias("mean"),
-        F.percentile_approx("value", cuts, accuracy).alias("cuts"),
+    probs, columns = list(probabilities), list(columns)
+    margin = 2.0 / accuracy if margin is None else margin
+    marks = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)})
+    stats = df.agg(*[
+        F.struct(
+            F.count(c).alias("n"), F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean"),
+            F.percentile_approx(c, marks, accuracy).alias("cuts"),
+        ).alias(c)
+        for c in columns
+    ]).first()
+    filled = [c for c in columns if stats[c]["n"]]
+    cuts = {c: sorted(set(stats[c]["cuts"])) for c in filled}
+    counts = [F.count_if(F.col(c) > cut).alias(f"{j}_{i}") for j, c in enumerate(filled) for i, cut in enumerate(cuts[c])]
+    above = df.agg(*counts).first() if filled else None
+
+    rows, kept = [], []
+    for j, c in enumerate(filled):
+        n = stats[c]["n"]
+        # rows up to the lower end of each slice, then all of them
+        before = [0, *[n - above[f"{j}_{i}"] for i in range(len(cuts[c]))], n]
+        ends = [None, *cuts[c], None]
+        ranks = [(math.floor((n - 1) * p), math.ceil((n - 1) * p), (n - 1) * p) for p in probs]
+        wanted = [i for i in range(len(before) - 1) if any(before[i] <= r < before[i + 1] for pair in ranks for r in pair[:2])]
+        rows.append((c, n, *[float(stats[c][k]) for k in ("minimum", "maximum", "mean")],
+                     [(lo, hi, at - lo) for lo, hi, at in ranks]))
+        for i in wanted:
+            inside = F.col(c).isNotNull()
+            if ends[i] is not None:
+                inside = inside & (F.col(c) > ends[i])
+            if ends[i + 1] is not None:
+                inside = inside & (F.col(c) <= ends[i + 1])
+            cell = F.struct(F.lit(c).alias("column"), F.lit(before[i]).cast("bigint").alias("before"), F.col(c).alias("value"))
+            kept.append(F.when(inside, cell))
+    schema = (
+        "column string, n bigint, minimum double, maximum double, mean double, "
+        "ranks array<struct<lo:bigint,hi:bigint,w:double>>"
     )
-    above = [(F.col("value") > F.col("cuts")[i]).cast("int") for i in range(len(cuts))]
+    summary = df.sparkSession.createDataFrame(rows, schema)
+    if not filled:
+        return summary.select("column", "n", "minimum", "maximum", "mean", *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
+
+    values = df.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("column", "before", "value").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("column", "before").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("end", F.sum("n").over(upto) + F.col("before"))
     # one row per profiled column
-    sliced = filled.join(F.broadcast(stats.select("column", "cuts")), "column").select(
-        "column", "value", sum(above[1:], above[0]).alias("slice")
+    ranked = F.broadcast(summary.select("column", F.posexplode("ranks").alias("q", "r"))).select("column", "q", "r.*")
+    inside = lambda rank: (F.col(rank) < F.col("end")) & (F.col(rank) >= F.col("end") - F.col("n"))
+    picked = placed.join(ranked, "column").where(inside("lo") | inside("hi")).groupBy("column", "q").agg(
+        F.max(F.when(inside("lo"), F.col("value"))).alias("low"),
+        F.max(F.when(inside("hi"), F.col("value"))).alias("high"),
+        F.max("w").alias("w"),
     )
-
-    ranks = _rank_columns(F.col("total"), probs)
-    per_column = Window.partitionBy("column")
-    earlier = per_column.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy("column", "slice").agg(F.count("*").alias("in_slice"))
-    totals = totals.withColumn("before", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
-    totals = totals.withColumn("total", F.sum("in_slice").over(per_column)).withColumns(ranks)
-    hit = F.lit(False)
-    for name in (n for n in ranks if not n.startswith("w")):
-        hit = hit | ((F.col(name) >= F.col("before")) & (F.col(name) < F.col("before") + F.col("in_slice")))
-    wanted = totals.where(hit).drop("in_slice", "total")
-
-    # at most two slices per probability and column
-    kept = sliced.join(F.broadcast(wanted), ["column", "slice"])
-    values = kept.groupBy("column", "slice", "value", "before", *ranks).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("column", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    picked = _pick(values.withColumn("end", F.sum("n").over(upto) + F.col("before")), probs)
-    return stats.drop("cuts").join(F.broadcast(picked), "column")
+    quantile = F.col("low") + (F.col("high") - F.col("low")) * F.col("w")
+    wide = picked.groupBy("column").agg(*[F.max(F.when(F.col("q") == i, quantile)).alias(f"q{i}") for i in range(len(probs))])
+    return summary.drop("ranks").join(wide, "column")
