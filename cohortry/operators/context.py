@@ -64,11 +64,16 @@ def build_context(
 
 
 def require_complete(df: DataFrame, spec: TableSpec, sample: DataFrame, shown: int = 20) -> None:
-    """Raise when sampled ids are absent from the source; names the first few."""
+    """Raise when sampled ids are absent from the source or occur more than once; names the first few."""
     lost = missing_ids(sample.select(spec.id_column), df, spec.id_column).orderBy(spec.id_column).limit(shown)
     ids = [str(r[0]) for r in lost.collect()]
     if ids:
         raise ValueError(f"Missing sampled personas: {', '.join(ids)}")
+    seen = df.select(spec.id_column).join(sample.select(spec.id_column), spec.id_column, "left_semi")
+    repeated = seen.groupBy(spec.id_column).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    ids = [str(r[0]) for r in repeated.orderBy(spec.id_column).limit(shown).collect()]
+    if ids:
+        raise ValueError(f"Sampled personas occur more than once: {', '.join(ids)}")
 
 
 def narratives_long(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:

@@ -137,10 +137,10 @@ def json_parse_diagnostics(df: DataFrame, columns: Sequence[str], key: str = "t_
 def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, digest, length, count)`` per distinct text, from one scan.
 
-    Texts are compared by SHA-256, so whole texts are hashed where they are read and only digests and lengths are
-    shuffled. NULL is counted as one entry.
+    Texts are compared by SHA-256, so whole texts are hashed where they are read and only 32-byte digests and lengths
+    are shuffled. NULL is counted as one entry.
     """
-    cells = {c: F.struct(F.sha2(F.col(c).cast("string"), 256).alias("digest"),
+    cells = {c: F.struct(F.unhex(F.sha2(F.col(c).cast("string"), 256)).alias("digest"),
                          F.length(F.col(c).cast("string")).cast("bigint").alias("length")) for c in columns}
     long = long_values(df, cells).select("column", "value.digest", "value.length")
     return long.groupBy("column", "digest", "length").agg(F.count("*").alias("count"))

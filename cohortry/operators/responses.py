@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cohortry import vocab
 from cohortry.functions.hashing import banded_score, choose, choose_two, digest_id, digest_number, number_byte
 from cohortry.operators.skew import dimension_join, skew_join
-from cohortry.spec import Question, Run
+from cohortry.spec import Question, Run, require_questions, require_variants
 
 RESPONSE_KEY = ("run_id", "agent_id", "question_id", "repeat_index")
 MAX_QUESTIONS = 10_000
@@ -42,8 +42,7 @@ def expand_questions(contexts: DataFrame, questions: Sequence[Question]) -> Data
 
     The question set is a parameter, so it travels as one literal array that is exploded in place: no join, no shuffle.
     """
-    if not questions:
-        raise ValueError("a question set needs at least one question")
+    require_questions(questions)
     if len(questions) > MAX_QUESTIONS:
         raise ValueError(f"more than {MAX_QUESTIONS} questions; store them as an array column and use condition_matrix")
     entries = [
@@ -79,6 +78,7 @@ def plan_responses(contexts: DataFrame, questions: Sequence[Question], run: Run)
 
 def request_payload(context: Column, variants: Sequence[tuple[str, str]], run: Run) -> Column:
     """Text that a deterministic response depends on; ``context`` is the context struct."""
+    require_variants(variants)
     scenario = "|".join(f"{label}:{text}" for label, text in variants)
     parts = [
         F.col("agent_id").cast("string"), F.col("question_id"), F.col("question_text"), F.lit(run.scenario_id),

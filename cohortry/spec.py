@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import operator
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -210,6 +211,32 @@ class Question:
     repeat_of_question_id: str | None = None
 
 
+def require_questions(questions: Sequence[Question]) -> None:
+    """Raise unless ids are unique and every repeat, and only a repeat, names an original of the set."""
+    types = {q.question_id: q.question_type for q in questions}
+    if not questions:
+        raise ValueError("a question set needs at least one question")
+    if len(types) != len(questions):
+        raise ValueError("duplicate question_id values are not allowed")
+    for q in questions:
+        is_repeat, link = q.question_type == "SAME_QUESTION_REPEAT", q.repeat_of_question_id
+        if is_repeat != (link is not None):
+            raise ValueError(f"{q.question_id}: a repeat, and only a repeat, names the question it repeats")
+        if link is not None and types.get(link) != "ORIGINAL":
+            raise ValueError(f"{q.question_id}: {link} is not an original question of the set")
+        if not q.question_text:
+            raise ValueError(f"{q.question_id}: the text must not be empty")
+
+
+def require_variants(variants: Sequence[tuple[str, str]]) -> None:
+    """Raise unless variants have unique known labels and texts."""
+    labels = [label for label, _ in variants]
+    if not variants or len(set(labels)) != len(labels) or not set(labels) <= set(vocab.VARIANT_LABELS):
+        raise ValueError("scenario variants need unique labels out of " + ", ".join(vocab.VARIANT_LABELS))
+    if not all(text for _, text in variants):
+        raise ValueError("scenario variants need a text")
+
+
 @dataclass(frozen=True)
 class Run:
     """The settings shared by every response of one run."""
@@ -225,6 +252,15 @@ class Run:
     temperature: float = 0.3
     prompt_version: str = "prompt_v1"
 
+    def __post_init__(self) -> None:
+        for name in ("project_id", "run_id", "cohort_id", "scenario_id", "question_set_id"):
+            if not re.search(vocab.ID_PATTERNS[name], getattr(self, name)):
+                raise ValueError(f"invalid {name}: {getattr(self, name)}")
+        if not 0.0 <= self.temperature <= 2.0:
+            raise ValueError("temperature must lie between 0 and 2")
+        if not self.model or not self.prompt_version:
+            raise ValueError("model and prompt_version must not be empty")
+
 
 @dataclass(frozen=True)
 class Recipe:

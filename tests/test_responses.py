@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry import vocab
 from cohortry.operators import cohort, context, responses
 from cohortry.operators.compare import flatten_responses
-from cohortry.spec import CohortFilter, Question, Run, SamplingSpec, persona_spec
+from cohortry.spec import CohortFilter, Question, Run, SamplingSpec, persona_spec, require_questions, require_variants
 
 SPEC = persona_spec()
 QUESTIONS = (
@@ -49,6 +49,8 @@ def test_missing_columns_and_ids(people, spark):
     with pytest.raises(ValueError, match="Missing sampled personas: gone"):
         context.require_complete(people, SPEC, sample)
     context.require_complete(people, SPEC, sample.where("uuid = 'p1'"))
+    with pytest.raises(ValueError, match="more than once: p1"):
+        context.require_complete(people.union(people), SPEC, sample.where("uuid = 'p1'"))
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +78,32 @@ def test_follow_ups_are_refused(people):
         bad.collect()
 
 
+@pytest.mark.parametrize(
+    ("questions", "message"),
+    [
+        ([], "at least one"),
+        ([Question("q", "?"), Question("q", "?")], "duplicate question_id"),
+        ([Question("q", "?", "SAME_QUESTION_REPEAT")], "names the question it repeats"),
+        ([Question("q", "?", "ORIGINAL", "q")], "names the question it repeats"),
+        ([Question("q", "?", "SAME_QUESTION_REPEAT", "z")], "z is not an original"),
+        ([Question("q", "")], "must not be empty"),
+    ],
+)
+def test_question_sets_are_checked(questions, message):
+    with pytest.raises(ValueError, match=message):
+        require_questions(questions)
+
+
+def test_runs_and_variants_are_checked():
+    with pytest.raises(ValueError, match="invalid run_id"):
+        Run("project_p", "wrong", "cohort_c", "scenario_s", "question_set_m", 1)
+    with pytest.raises(ValueError, match="temperature"):
+        Run("project_p", "run_1", "cohort_c", "scenario_s", "question_set_m", 1, temperature=2.5)
+    for variants in ([], [("A", "x"), ("A", "y")], [("D", "x")], [("A", "")]):
+        with pytest.raises(ValueError, match="variants need"):
+            require_variants(variants)
+
+
 def test_hashed_answers_match_plain_python(cells, people):
     filled = responses.score_responses(cells, context_struct(), VARIANTS, RUN)
     rows = {(r["agent_id"], r["repeat_index"]): r for r in filled.collect()}
