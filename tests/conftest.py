@@ -10,7 +10,7 @@ from cohortry.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", shuffle_partitions=3)
     yield session
     session.stop()
 
