@@ -113,11 +113,11 @@ def manifest(
     entity = F.col(cohort.spec.id_column).cast("string")
     listed = F.array_sort(F.collect_list(F.struct("sample_rank", entity.alias("id"))))
     ids = F.transform(listed, lambda x: x["id"]) if sampling.sample_size <= SMALL_SAMPLE else F.lit(None).cast("array<string>")
-    drawn = sample.agg(F.count("*").alias("sampled"), ids.alias("persona_ids"))
+    drawn = sample.agg(F.struct(F.count("*").alias("sampled"), ids.alias("persona_ids")))
     canonical = cohort.canonical_json()
-    # three one-row tables side by side
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    row = one(counts).join(one(drawn), "_one").join(one(source_fingerprint.select("fingerprint")), "_one")
+    row = counts.withColumn("_drawn", drawn.scalar()).withColumn(
+        "fingerprint", source_fingerprint.select("fingerprint").scalar()
+    )
     identity = F.concat_ws("|", "fingerprint", F.lit(canonical), F.lit(sampling.canonical_json()))
     return row.select(
         F.concat(F.lit("cohort_"), F.substring(F.sha2(identity, 256), 1, 16)).alias("cohort_id"),
@@ -131,8 +131,8 @@ def manifest(
         F.lit(sampling.sample_size).cast("bigint").alias("sample_size"),
         F.lit(sampling.seed).cast("bigint").alias("seed"),
         F.lit(sampling.method).alias("method"),
-        "sampled",
-        "persona_ids",
+        "_drawn.sampled",
+        "_drawn.persona_ids",
     )
 
 

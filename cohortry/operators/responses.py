@@ -196,17 +196,17 @@ def repeat_count(questions: DataFrame, set_column: str = "question_set_id") -> D
 
 
 def run_summary(cells: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per run: planned and stored rows, successes, errors and distinct error types."""
-    planned = cells.groupBy("run_id").agg(F.count("*").alias("planned"))
-    ok = F.col("status") == "success"
-    stored = responses.groupBy("run_id").agg(
-        F.count("*").alias("stored"),
-        F.count_if(ok).alias("succeeded"),
-        F.count_if(~ok).alias("failed"),
+    """Per run: planned and stored rows, successes, errors and distinct error types, from one aggregation."""
+    planned = cells.select("run_id", F.lit(1).alias("planned"), *[F.lit(None).cast("string").alias(c) for c in ("status", "error_type")])
+    stored = responses.select("run_id", F.lit(0).alias("planned"), "status", "error_type")
+    status = F.col("status")
+    return planned.unionByName(stored).groupBy("run_id").agg(
+        F.sum("planned").alias("planned"),
+        F.count("status").alias("stored"),
+        F.count_if(status == "success").alias("succeeded"),
+        F.count_if(status != "success").alias("failed"),
         F.count_distinct("error_type").alias("error_types"),
     )
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("stored", "succeeded", "failed", "error_types")]
-    return planned.join(stored, "run_id", "left").select("run_id", "planned", *zero)
 
 
 def error_counts(responses: DataFrame) -> DataFrame:

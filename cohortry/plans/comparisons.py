@@ -9,9 +9,9 @@ from cohortry.functions.measures import jaccard, token_set
 from cohortry.operators import compare, design, distributions, semantic
 from cohortry.plans.registry import query
 from cohortry.plans.tables import (
-    CLICKS_SQL, PAIRS_SQL, PANEL_SQL, PEOPLE_SQL, RUN, answers_sql, cells_sql, clicks, panel, panel_pairs, people, r6, table,
+    BOTH_RUNS_SQL, CLICKS_SQL, PAIRS_SQL, PANEL_SQL, both_runs, clicks, panel, panel_pairs, people, r6, table,
 )
-from cohortry.spec import Recipe, Run
+from cohortry.spec import Recipe
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,12 +80,7 @@ def pair_overlaps(spark, d) -> DataFrame:
     )
 
 
-# a second run of the same panel whose questions are asked under social pressure
-PRESSURE = Run(RUN.project_id, "run_002", RUN.cohort_id, RUN.scenario_id, RUN.question_set_id, seed=8)
-_BOTH_SQL = f"""{PANEL_SQL},
-{cells_sql(PRESSURE, "cells2")},
-{answers_sql(PRESSURE, "cells2", "panel2")},
-both_runs AS (SELECT *, 'ORIGINAL' AS condition FROM panel UNION ALL SELECT *, 'SOCIAL_PRESSURE' AS condition FROM panel2),
+_BOTH_SQL = f"""{BOTH_RUNS_SQL},
 condition_pairs AS (
   SELECT b.condition, a.agent_id, a.question_id, a.response_id AS response_id_a, b.response_id AS response_id_b, b.r_name,
     a.stance AS stance_a, b.stance AS stance_b, b.stance_score - a.stance_score AS stance_score_delta,
@@ -94,12 +89,6 @@ condition_pairs AS (
   FROM both_runs a JOIN both_runs b USING (agent_id, question_id) WHERE a.condition = 'ORIGINAL' AND b.condition <> 'ORIGINAL')"""
 
 
-def both_runs(spark, d) -> DataFrame:
-    """The panel under the original and the pressure condition."""
-    first = panel(spark, d).withColumn("condition", F.lit("ORIGINAL"))
-    return first.unionByName(panel(spark, d, PRESSURE).withColumn("condition", F.lit("SOCIAL_PRESSURE")))
-
-
 def condition_pairs(spark, d) -> DataFrame:
     """Evaluated pairs of the pressure condition against the original one."""
     return compare.evaluate_pairs(compare.condition_pairs(both_runs(spark, d), "condition", "ORIGINAL"))

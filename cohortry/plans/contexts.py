@@ -11,8 +11,8 @@ from cohortry.operators import cohort, context, design, responses
 from cohortry.plans.cohorts import SAMPLE, SAMPLE_SQL, TARGET
 from cohortry.plans.registry import query
 from cohortry.plans.tables import (
-    DOCUMENTS, DOCUMENTS_SQL, PANEL_SQL, PEOPLE, PEOPLE_SQL, QUESTIONS, RUN, byte_sql, cells_sql, choose_sql,
-    choose_two_sql, documents, panel, panel_cells, panel_nested, people, score_sql, table,
+    BOTH_RUNS_SQL, DOCUMENTS, DOCUMENTS_SQL, PANEL_SQL, PEOPLE, PEOPLE_SQL, PRESSURE, QUESTIONS, RUN, both_runs, byte_sql,
+    cells_sql, choose_sql, choose_two_sql, documents, panel, panel_cells, panel_nested, people, score_sql, table,
 )
 
 
@@ -126,13 +126,16 @@ def generated_responses(spark, d) -> DataFrame:
     )
 
 
-@query("response_trace", f"""WITH {PANEL_SQL}
-    SELECT response_id, run_id, 'P2' AS persona_context_level, 'Market reform' AS title, question_text, stance, r_name, n_name, c_mktsegment
-    FROM panel""")
+@query("response_trace", f"""WITH {BOTH_RUNS_SQL}
+    SELECT response_id, run_id, CASE run_id WHEN 'run_001' THEN 'P2' ELSE 'P1' END AS persona_context_level,
+      CASE run_id WHEN 'run_001' THEN 'Market reform' ELSE 'Reform under pressure' END AS title, question_text, stance, r_name, n_name, c_mktsegment
+    FROM both_runs""")
 def response_trace(spark, d) -> DataFrame:
-    rows = panel(spark, d).select("response_id", "run_id", "scenario_id", "agent_id", "question_id", "stance")
-    runs = spark.createDataFrame([(RUN.run_id, RUN.context_level)], "run_id string, persona_context_level string")
-    scenarios = spark.createDataFrame([(RUN.scenario_id, "Market reform")], "scenario_id string, title string")
+    rows = both_runs(spark, d).select("response_id", "run_id", "scenario_id", "agent_id", "question_id", "stance")
+    runs = spark.createDataFrame([(r.run_id, r.context_level) for r in (RUN, PRESSURE)], "run_id string, persona_context_level string")
+    scenarios = spark.createDataFrame(
+        [(RUN.scenario_id, "Market reform"), (PRESSURE.scenario_id, "Reform under pressure")], "scenario_id string, title string"
+    )
     questions = spark.createDataFrame([(q.question_id, q.question_text) for q in QUESTIONS], "question_id string, question_text string")
     contexts = context.build_context(people(spark, d), PEOPLE, "P1")
     traced = responses.trace_responses(rows, runs, scenarios, questions, contexts)

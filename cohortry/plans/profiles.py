@@ -121,10 +121,27 @@ def _length_sql(relation: str, column: str) -> str:
     )
 
 
-@query("text_length_profile", f"WITH {DOCUMENTS_SQL} " + " UNION ALL ".join(
-    _length_sql("docs", c) for c in ("text", "source", "quality_note")))
+def label_notes(spark, d) -> DataFrame:
+    """Labels with the short notes derived from them; most toxic notes are NULL."""
+    return table(spark, d, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "kept for quality").alias("quality_note"),
+        F.when(F.col("toxic") == 1, "flagged as toxic").alias("toxic_note"),
+    )
+
+
+_NOTES_SQL = """notes AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'kept for quality' END AS quality_note,
+    CASE WHEN toxic = 1 THEN 'flagged as toxic' END AS toxic_note FROM labels)"""
+
+
+@query("text_length_profile", f"WITH {_NOTES_SQL} " + " UNION ALL ".join(
+    _length_sql(t, c) for t, c in (("documents", "text"), ("documents", "source"), ("pages", "html"), ("notes", "quality_note"))))
 def text_length_profile(spark, d) -> DataFrame:
-    result = profile.text_length_profile(documents(spark, d), ("text", "source", "quality_note"))
+    # each table is profiled where its texts lie, so no text is moved for a join
+    result = (
+        profile.text_length_profile(table(spark, d, "documents"), ("text", "source"))
+        .unionByName(profile.text_length_profile(table(spark, d, "pages"), ("html",)))
+        .unionByName(profile.text_length_profile(label_notes(spark, d), ("quality_note",)))
+    )
     return _round(result, "mean_length", "median_length", "p95_length")
 
 
@@ -135,15 +152,19 @@ def _duplicate_sql(relation: str, column: str) -> str:
     )
 
 
-@query("text_duplicate_profile", f"WITH {DOCUMENTS_SQL} " + " UNION ALL ".join(
-    _duplicate_sql("docs", c) for c in ("text", "toxic_note")))
+@query("text_duplicate_profile", f"WITH {_NOTES_SQL} " + " UNION ALL ".join(
+    _duplicate_sql(t, c) for t, c in (("documents", "text"), ("pages", "html"), ("notes", "toxic_note"))))
 def text_duplicate_profile(spark, d) -> DataFrame:
-    result = profile.text_duplicate_profile(documents(spark, d), ("text", "toxic_note"))
+    result = (
+        profile.text_duplicate_profile(table(spark, d, "documents"), ("text",))
+        .unionByName(profile.text_duplicate_profile(table(spark, d, "pages"), ("html",)))
+        .unionByName(profile.text_duplicate_profile(label_notes(spark, d), ("toxic_note",)))
+    )
     return _round(result, "duplicate_row_ratio", "top_exact_value_ratio")
 
 
 def _tidy_sql() -> str:
-    cats, traits, texts = ("lang", "source"), ("quality_note",), ("text",)
+    cats, traits, texts = ("lang", "source"), ("lang",), ("text",)
     parts = [
         'SELECT \'categorical\' AS section, "column", \'distinct_count\' AS value, count(value)::DOUBLE AS count, NULL::DOUBLE AS ratio, NULL AS metric '
         'FROM counts GROUP BY "column"',
@@ -152,34 +173,34 @@ def _tidy_sql() -> str:
         'row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC NULLS LAST) AS rank FROM counts) WHERE rank <= 8',
     ]
     for metric, fn in (("minimum", "min"), ("maximum", "max"), ("mean", "avg"), ("median", "median")):
-        parts.append(f"SELECT 'age', 'n_chars', '{metric}', round({fn}(n_chars)::DOUBLE, 6), NULL, '{metric}' FROM docs")
+        parts.append(f"SELECT 'age', 'n_chars', '{metric}', round({fn}(n_chars)::DOUBLE, 6), NULL, '{metric}' FROM documents")
     parts.append(
         "SELECT 'age', 'n_chars', (floor(n_chars / 10) * 10)::INTEGER || 's', count(*)::DOUBLE, "
-        "round(count(*)::DOUBLE / sum(count(*)) OVER (), 6), 'decade' FROM docs GROUP BY floor(n_chars / 10)"
+        "round(count(*)::DOUBLE / sum(count(*)) OVER (), 6), 'decade' FROM documents GROUP BY floor(n_chars / 10)"
     )
     for c in traits:
         parts += [
-            f"SELECT 'big_five', '{c}', 'distinct_count', count(DISTINCT {c})::DOUBLE, NULL, NULL FROM docs",
-            f"SELECT 'big_five', '{c}', 'parseable_ratio', NULL, 0.0, NULL FROM docs LIMIT 1",
-            f"SELECT 'big_five', '{c}', {c}, NULL, NULL, 'example' FROM (SELECT DISTINCT {c} FROM docs)",
+            f"SELECT 'big_five', '{c}', 'distinct_count', count(DISTINCT {c})::DOUBLE, NULL, NULL FROM documents",
+            f"SELECT 'big_five', '{c}', 'parseable_ratio', NULL, 0.0, NULL FROM documents LIMIT 1",
+            f"SELECT 'big_five', '{c}', {c}, NULL, NULL, 'example' FROM (SELECT DISTINCT {c} FROM documents)",
         ]
     for c in texts:
         for metric, fn in (
             ("min_length", "min({})"), ("mean_length", "avg({})"), ("median_length", "median({})"),
             ("p95_length", "quantile_cont({}, 0.95)"), ("max_length", "max({})"),
         ):
-            parts.append(f"SELECT 'narrative', '{c}', '{metric}', round({fn.format(f'length({c})')}::DOUBLE, 6), NULL, '{metric}' FROM docs")
+            parts.append(f"SELECT 'narrative', '{c}', '{metric}', round({fn.format(f'length({c})')}::DOUBLE, 6), NULL, '{metric}' FROM documents")
         for metric, expr in (
             ("distinct_count", "count(v)::DOUBLE"), ("duplicate_row_ratio", "round(1 - count(v)::DOUBLE / sum(n), 6)"),
             ("top_exact_value_ratio", "round(max(n)::DOUBLE / sum(n), 6)"),
         ):
-            parts.append(f"SELECT 'narrative', '{c}', '{metric}', {expr}, NULL, '{metric}' FROM (SELECT {c} AS v, count(*) AS n FROM docs GROUP BY {c})")
-    return f"WITH {DOCUMENTS_SQL}, {_counts_sql('docs', cats)} " + " UNION ALL ".join(f"({p})" for p in parts)
+            parts.append(f"SELECT 'narrative', '{c}', '{metric}', {expr}, NULL, '{metric}' FROM (SELECT {c} AS v, count(*) AS n FROM documents GROUP BY {c})")
+    return f"WITH {_counts_sql('documents', cats)} " + " UNION ALL ".join(f"({p})" for p in parts)
 
 
 @query("profile_tidy", _tidy_sql())
 def profile_tidy(spark, d) -> DataFrame:
     tidy = profile.profile_tidy(
-        documents(spark, d), ("lang", "source"), "n_chars", ("quality_note",), ("text",), top_n=8
+        table(spark, d, "documents"), ("lang", "source"), "n_chars", ("lang",), ("text",), top_n=8
     )
     return _round(tidy, "count", "ratio")

@@ -189,6 +189,20 @@ def answers_sql(run: Run = RUN, cells: str = "cells", name: str = "panel") -> st
 
 PANEL_SQL = f"{PEOPLE_SQL},\n{cells_sql()},\n{answers_sql()}"
 
+# a second run of the same panel whose questions are asked under social pressure
+PRESSURE = Run("project_panel", "run_002", "cohort_all", "scenario_pressure", "question_set_main", seed=8, context_level="P1")
+BOTH_RUNS_SQL = f"""{PANEL_SQL},
+{cells_sql(PRESSURE, "cells2")},
+{answers_sql(PRESSURE, "cells2", "panel2")},
+both_runs AS (SELECT *, 'ORIGINAL' AS condition FROM panel UNION ALL SELECT *, 'SOCIAL_PRESSURE' AS condition FROM panel2)"""
+
+
+def both_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The panel under the original and the pressure condition."""
+    first = panel(spark, d).withColumn("condition", F.lit("ORIGINAL"))
+    return first.unionByName(panel(spark, d, PRESSURE).withColumn("condition", F.lit("SOCIAL_PRESSURE")))
+
+
 PAIRS_SQL = f"""{PANEL_SQL},
 pairs AS (
   SELECT a.run_id, a.agent_id, a.question_id AS root_question_id, a.r_name, a.c_mktsegment,
