@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import sample_key
@@ -125,6 +125,8 @@ def manifest(
         F.col("fingerprint").alias("source_fingerprint"),
         "row_count",
         "matching_count",
+        F.create_map(*[F.lit(x) for k, v in cohort.payload().items() for x in (k, str(v))])
+        .cast("map<string,string>").alias("filters"),
         F.lit(canonical).alias("canonical_filter_json"),
         F.sha2(F.lit(canonical), 256).alias("filter_hash"),
         F.lit(cohort.summary()).alias("human_readable_filter"),
@@ -136,6 +138,14 @@ def manifest(
     )
 
 
-def filter_map(cohort: CohortFilter) -> dict[str, str]:
-    """Request fields as text, for the manifest's filter map."""
-    return {k: str(v) for k, v in cohort.payload().items()}
+def cohort_record(row: DataFrame, source_path: str, created_at: Column) -> DataFrame:
+    """A manifest row in the stored shape of a cohort record; the source is named by its content fingerprint."""
+    source = F.struct(
+        F.lit(source_path).alias("path"), F.lit(None).cast("string").alias("sha256"),
+        F.col("source_fingerprint").alias("fingerprint"), "row_count",
+    )
+    return row.select(
+        "cohort_id", "name", source.alias("source"), "filters", "canonical_filter_json", "filter_hash",
+        "human_readable_filter", "matching_count", F.struct("sample_size", "seed", "method").alias("sampling"),
+        "persona_ids", created_at.alias("created_at"),
+    )

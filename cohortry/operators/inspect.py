@@ -7,6 +7,7 @@ import hashlib
 import operator
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow.fs import FileSystem
@@ -161,8 +162,8 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_digest(uri: str) -> str:
-    # Spark writes local paths as file:/x, the URI parser wants file:///x
-    filesystem, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    # Spark writes local paths as file:/x and leaves blanks as they are; the URI parser wants file:///x, escaped
+    filesystem, name = FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/@"))
     digest = hashlib.sha256()
     with filesystem.open_input_stream(name) as source:
         while block := source.read(1024 * 1024):

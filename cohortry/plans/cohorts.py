@@ -140,7 +140,7 @@ def cohort_manifest(spark, d) -> DataFrame:
     rows = people(spark, d)
     cells = [*[F.col(c) for c in _PEOPLE_CELLS], F.col("c_acctbal").cast("decimal(18,4)")]
     row = cohort.manifest(rows, REQUEST, cohort.draw_sample(rows, TARGET, SAMPLE), inspect.dataset_fingerprint(rows, cells))
-    return row.withColumn("persona_ids", F.array_join("persona_ids", ","))
+    return row.drop("filters").withColumn("persona_ids", F.array_join("persona_ids", ","))
 
 
 @query("safe_projection", "SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey FROM customer")

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.sources import schemas
-from cohortry.spec import CohortRequest, TableSpec
+from cohortry.spec import CohortFilter, CohortRequest, TableSpec
 
 
 def _with_corrupt(schema: str) -> str:
     return f"{schema}, {schemas.CORRUPT} string"
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A Parquet table, optionally only some columns."""
+def scan(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, cohort: CohortFilter | None = None
+) -> DataFrame:
+    """Chosen columns of the rows of a Parquet table that match a filter; both reach the scan."""
     table = spark.read.parquet(path)
-    return table.select(*columns) if columns else table
+    matching = table.where(cohort.predicate()) if cohort else table
+    return matching.select(*columns) if columns else matching
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

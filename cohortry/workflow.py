@@ -33,7 +33,9 @@ def profile_table(df: DataFrame, spec: TableSpec, out: str, top_n: int = 50) ->
     writers.write_profile_csv(df.sparkSession.read.schema(tidy.schema).json(f"{out}/profile_json"), f"{out}/profile_csv")
 
 
-def save_cohort(df: DataFrame, request: CohortRequest, out: str, preview_limit: int = 20) -> str:
+def save_cohort(
+    df: DataFrame, request: CohortRequest, out: str, source_path: str = "", created_at: str | None = None, preview_limit: int = 20
+) -> str:
     """Draws and stores a cohort: sample table, ids, safe preview and manifest; refuses samples that cannot be drawn."""
     spark, spec = df.sparkSession, request.filters.spec
     cohort.require_feasible(df, request.filters, request.sampling)
@@ -42,9 +44,9 @@ def save_cohort(df: DataFrame, request: CohortRequest, out: str, preview_limit:
     sample = spark.read.parquet(f"{path}/sample")
     writers.write_sample_ids(sample, spec.id_column, f"{path}/sample_ids")
     writers.write_preview(cohort.preview(df, sample, spec.id_column, spec.preview, preview_limit), f"{path}/sample_preview")
-    writers.write_json(
-        cohort.manifest(df, request, sample, inspect.dataset_fingerprint(df)), f"{path}/manifest"
-    )
+    row = cohort.manifest(df, request, sample, inspect.dataset_fingerprint(df))
+    stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
+    writers.write_json(cohort.cohort_record(row, source_path, stamp), f"{path}/manifest")
     return path
 
 

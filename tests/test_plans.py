@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from cohortry.operators import cohort, compare, profile, responses
 from cohortry.plans.tables import PARTS, PEOPLE, table
+from cohortry.sources.readers import scan
 from cohortry.spec import CohortFilter, Question, Run, SamplingSpec
 
 DATA = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def final_plan(df):
 
 def test_filters_reach_the_scan(spark):
     wanted = CohortFilter(PARTS, minimum=10, maximum=20, values={"types": ("SMALL", "LARGE")}, search="bolt")
-    text = plan(cohort.filter_cohort(table(spark, DATA, "part"), wanted).select("p_partkey"))
+    text = plan(scan(spark, f"{DATA}/part.parquet", ["p_partkey"], wanted))
     pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
     for part in ("GreaterThanOrEqual(p_size,10)", "LessThanOrEqual(p_size,20)", "In(p_type", "StringContains(p_name,bolt)"):
         assert part in pushed

@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 
-from cohortry.operators import inspect, profile
 from cohortry import vocab
+from cohortry.operators import inspect, profile
 
 
 @pytest.fixture(scope="module")
@@ -129,5 +131,6 @@ def test_fingerprints(spark, people, tmp_path):
     assert inspect.dataset_fingerprint(people.repartition(4)).first() == first
     assert inspect.dataset_fingerprint(people.limit(5)).first() != first
     (tmp_path / "a.txt").write_bytes(b"abc")
-    row = inspect.file_fingerprints(spark, str(tmp_path)).first()
-    assert row["size_bytes"] == 3 and row["sha256"].startswith("ba7816bf")
+    (tmp_path / "b 100% 글.txt").write_bytes(b"abc" * 1_000_000)
+    rows = {r["size_bytes"]: r["sha256"] for r in inspect.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert rows == {n: hashlib.sha256(b"abc" * (n // 3)).hexdigest() for n in (3, 3_000_000)}

@@ -21,7 +21,10 @@ def csv(spark, path):
 
 def test_all_steps(spark, people, tmp_path):
     out = str(tmp_path)
-    path = workflow.save_cohort(people, REQUEST, out)
+    path = workflow.save_cohort(people, REQUEST, out, "people.parquet", NOW)
+    stored = spark.read.schema(schemas.COHORT).json(f"{path}/manifest").first()
+    assert stored["source"]["path"] == "people.parquet" and stored["source"]["row_count"] == 6 and stored["source"]["fingerprint"]
+    assert stored["filters"]["sexes"] == "['여자']" and stored["sampling"]["seed"] == 42 and stored["matching_count"] == 5
     members = [r["persona_id"] for r in workflow.load_cohort(spark, path).orderBy("sample_rank").collect()]
     assert len(members) == 4 and [r["uuid"] for r in csv(spark, f"{path}/sample_ids").collect()] == members
     assert "first_name" not in csv(spark, f"{path}/sample_preview").columns
