@@ -21,11 +21,20 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, seed: int,
 
 
 def pair_stratum(evaluated: DataFrame) -> Column:
-    """Review stratum of a pair: kept stance, flip, other change, or no answer."""
+    """Review stratum of a pair.
+
+    No answer, reversal, rare answer (when the pairs carry a boolean ``minority``), metrics in conflict (same stance but
+    no shared concern), kept stance, other change.
+    """
+    match, none = F.col("stance_match"), F.lit(False)
+    rare = F.col("minority") if "minority" in evaluated.columns else none
+    conflict = match & (F.col("concern_overlap") == 0) if "concern_overlap" in evaluated.columns else none
     return (
-        F.when(F.col("stance_match").isNull(), "no_answer")
-        .when(F.col("stance_match"), "kept")
+        F.when(match.isNull(), "no_answer")
         .when(F.col("contradiction_candidate"), "flipped")
+        .when(rare, "minority")
+        .when(conflict, "metric_conflict")
+        .when(match, "kept")
         .otherwise("shifted")
     )
 

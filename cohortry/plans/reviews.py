@@ -26,8 +26,8 @@ def stratified_sample(spark, d) -> DataFrame:
 
 
 @query("review_packet", f"""WITH {PAIRS_SQL},
-    strata AS (SELECT *, CASE WHEN stance_match IS NULL THEN 'no_answer' WHEN stance_match THEN 'kept'
-      WHEN contradiction_candidate THEN 'flipped' ELSE 'shifted' END AS stratum FROM evaluated)
+    strata AS (SELECT *, CASE WHEN stance_match IS NULL THEN 'no_answer' WHEN contradiction_candidate THEN 'flipped'
+      WHEN stance_match AND concern_overlap = 0 THEN 'metric_conflict' WHEN stance_match THEN 'kept' ELSE 'shifted' END AS stratum FROM evaluated)
     SELECT sha256(agent_id || 'packet-1') AS anonymized_agent_id, run_id, comparison_id, stratum,
       row_number() OVER (PARTITION BY stratum ORDER BY md5(comparison_id || '|5'), comparison_id)::INTEGER AS stratum_rank,
       response_text_a, response_text_b, stance_match, stance_score_delta, contradiction_candidate, needs_human_review,

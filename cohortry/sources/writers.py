@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from cohortry import vocab
 
 EXPORT_SCHEMA_VERSION = "v1"
+# metrics of the tidy profile that are not whole numbers
+FRACTION_METRICS = (
+    "mean", "median", "mean_length", "median_length", "p95_length", "duplicate_row_ratio", "top_exact_value_ratio",
+)
 
 
 def write_sample_ids(sample: DataFrame, id_column: str, path: str) -> None:
@@ -30,8 +34,11 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_profile_csv(tidy: DataFrame, path: str) -> None:
-    """The tidy profile as CSV, one directory per section."""
-    tidy.write.mode("overwrite").option("header", "true").partitionBy("section").csv(path)
+    """The tidy profile as CSV, one directory per section; counts are written as whole numbers."""
+    metric = F.coalesce(F.col("metric"), F.lit(""))
+    fraction = metric.isin(*FRACTION_METRICS) | (F.col("count") != F.floor("count"))
+    number = F.when(fraction, F.col("count").cast("string")).otherwise(F.col("count").cast("bigint").cast("string"))
+    tidy.withColumn("count", number).write.mode("overwrite").option("header", "true").partitionBy("section").csv(path)
 
 
 def _in_scope(df: DataFrame, key: str, project_id: str, run_id: str) -> DataFrame:

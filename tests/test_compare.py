@@ -105,6 +105,12 @@ def test_packet_hides_the_agent(evaluated):
     assert rows["kept"]["human_contradiction"] is None and len(rows["kept"]["anonymized_agent_id"]) == 64
 
 
+def test_strata(evaluated):
+    apart = evaluated.withColumn("concern_overlap", F.lit(0.0)).withColumn("minority", F.col("agent_id") == "p1")
+    found = dict(map(tuple, apart.select("agent_id", review.pair_stratum(apart)).collect()))
+    assert found == {"p1": "minority", "p2": "metric_conflict", "p3": "flipped", "p4": "no_answer"}
+
+
 def test_distribution_levels_and_null_segments(spark):
     df = spark.createDataFrame([("s", "a", "A"), ("s", None, "A"), ("o", None, "B"), ("o", "a", "B")],
                                "stance string, seg string, var string")

@@ -72,5 +72,6 @@ def test_inspection_and_profile(spark, people, tmp_path):
     assert len(sample) == 5 and {r["first_name"] for r in sample} == {"***MASKED***"}
     workflow.profile_table(people, SPEC, f"{tmp_path}/p", top_n=3)
     tidy = csv(spark, f"{tmp_path}/p/profile_csv")
-    assert tidy.where("section = 'categorical' AND column = 'region' AND value = '서울'").first()["count"] == "3.0"
+    assert tidy.where("section = 'categorical' AND column = 'region' AND value = '서울'").first()["count"] == "3"
+    assert tidy.where("metric = 'mean_length'").first()["count"] == "5.0"
     assert tidy.where("section = 'big_five' AND column = 'openness' AND value = 'parseable_ratio'").count() == 1
