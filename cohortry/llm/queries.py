@@ -6,7 +6,9 @@ import textwrap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortry.llm import language_id
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -50,3 +52,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op1(spark: SparkSession, directory: str) -> DataFrame:
     """Near-duplicate components of the documents: five-word shingles, Jaccard similarity of 0.8 or more."""
     return near_duplicates(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    """The language of every document by bitmask n-gram filters, learned from four fifths of the documents."""
+    docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out(5, 0)
+    model = language_id.fit(docs.where(~held))
+    return docs.withColumn("held_out", held).withColumn("guess", language_id.predicted(docs, model)).select(
+        "doc_id", "held_out", F.col("guess.language").alias("lang_pred"), F.col("guess.score").alias("score"))
