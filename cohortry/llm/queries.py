@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import language_id
+from cohortry.llm import decontaminate, language_id
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -54,6 +54,12 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document and benchmark item that it leaks, by latent semantic retrieval and exact checks."""
+    return decontaminate.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     """The language of every document by bitmask n-gram filters, learned from four fifths of the documents."""
