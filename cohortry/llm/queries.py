@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import textwrap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, language_id
+from cohortry.llm import bpe, decontaminate, language_id, secrets
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -18,6 +19,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """The content of a public tokenizer's file; ``PUBLIC_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+    with open(os.path.join(folder, name), encoding="utf-8") as file:
+        return file.read()
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with its SQL where there is one."""
 
@@ -68,3 +76,23 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     model = language_id.fit(docs.where(~held))
     return docs.withColumn("held_out", held).withColumn("guess", language_id.predicted(docs, model)).select(
         "doc_id", "held_out", F.col("guess.language").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
+@query("op9_bpe_tree_concatenation")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
+    docs = table(spark, directory, "documents")
+    return bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id"]).select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op10_secret_novelty")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    """The secrets of every document: spans of the fixed patterns and of novel strings."""
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    spans = secrets.secret_spans(docs, secrets.identifier_dictionary(docs))
+    base = F.filter("all_spans", lambda s: s["kind"] != "novel")
+    counts = [F.size(F.filter("all_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return docs.withColumn("all_spans", spans).select(
+        "doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
+        secrets.span_list(F.col("all_spans")).alias("spans"))
