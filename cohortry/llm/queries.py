@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, language_id, secrets
+from cohortry.llm import bpe, decontaminate, html_text, language_id, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -62,12 +62,35 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_page_differencing")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, directory, "pages"))
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     """Every document and benchmark item that it leaks, by latent semantic retrieval and exact checks."""
     return decontaminate.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+@query("op6_va_file_top_k", """
+    WITH vectors AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, by integer inner product."""
+    return va_search.top_k(table(spark, directory, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     """The language of every document by bitmask n-gram filters, learned from four fifths of the documents."""
@@ -92,7 +115,7 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text")
     spans = secrets.secret_spans(docs, secrets.identifier_dictionary(docs))
     base = F.filter("all_spans", lambda s: s["kind"] != "novel")
-    counts = [F.size(F.filter("all_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    counts = [F.expr(f"cast(size(filter(all_spans, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return docs.withColumn("all_spans", spans).select(
         "doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
         secrets.span_list(F.col("all_spans")).alias("spans"))
