@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,12 +20,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (a local test session) it is set to a fresh temporary folder.
+    Where the setting is absent (a local test session) it is a fresh temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
@@ -60,6 +59,17 @@ def present(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bits[h & (len(bits) - 1)].view(np.uint64) >> ((h >> 32) & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def is_present(frame: DataFrame, hashed: Column, bits: np.ndarray) -> Column:
+    """A column telling whether a 64-bit hash has its bit set."""
+    held = frame.sparkSession.sparkContext.broadcast(bits)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(present(held.value, column.to_numpy()), pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(hashed)
+
+
 def flat_lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array from concatenated values and the length of each list."""
     offsets = np.zeros(len(counts) + 1, np.int32)
