@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, html_text, language_id, secrets, va_search
+from cohortry.llm import bpe, decontaminate, html_text, kneser_ney, language_id, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -91,6 +91,16 @@ def op6(spark: SparkSession, directory: str) -> DataFrame:
     return va_search.top_k(table(spark, directory, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op7_kneser_ney_scores")
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    """The log10 probability of every document under a Kneser-Ney model of six sevenths of the documents."""
+    held = language_id.held_out(7, 2)
+    docs = table(spark, directory, "documents").select("doc_id", "text").withColumn("held_out", held)
+    model = kneser_ney.fit(docs.where(~held))
+    return kneser_ney.scores(docs, model, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     """The language of every document by bitmask n-gram filters, learned from four fifths of the documents."""
