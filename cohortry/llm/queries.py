@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, html_text, kneser_ney, language_id, secrets, va_search
+from cohortry.llm import bpe, decontaminate, html_text, kneser_ney, language_id, quality, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -62,6 +62,13 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op2_co_training_quality")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    """The quality of every document by a text view and a metadata view that taught each other."""
+    docs = table(spark, directory, "documents").select("doc_id", "text", "source", "lang")
+    return quality.scored(docs, quality.fit(docs, table(spark, directory, "labels")))
+
+
 @query("op3_page_differencing")
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     """The main text of every page."""
