@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, html_text, kneser_ney, language_id, quality, secrets, va_search
+from cohortry.llm import bpe, decontaminate, edit_counts, html_text, kneser_ney, language_id, quality, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -81,6 +81,18 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+@query("op5_edit_aware_counts")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    """Token counts of every document before and after an edit: runs of signs and long numbers become one mark."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken").encode()
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    rows = edit_counts.build(edit_counts.pattern_edits(docs, r"[#$%&*!]{2,}|[0-9]{6,}", "*"), ranks)
+    before = rows.withColumn("n_tokens", edit_counts.n_tokens())
+    after = edit_counts.update(before, ranks)
+    return after.select("doc_id", "n_tokens", F.size("edits").cast("long").alias("n_edits"),
+                        edit_counts.n_tokens().alias("n_tokens_after"), F.length("text").cast("long").alias("n_chars_after"), "recoded")
+
+
 @query("op6_va_file_top_k", """
     WITH vectors AS (
         SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
