@@ -16,7 +16,8 @@ some subclass keeps k common ones. Linked documents therefore always share a key
   the original), verified, and components formed; then members of different components are paired. Bitmaps of each set
   bound the overlap in the join condition, so few pairs are emitted. No pair that could link two components is left out.
 
-Verification intersects the whole sets.
+Verification first compares outlines of the sets, bitmaps of a length in proportion, which bound the overlap; then it
+intersects the whole sets.
 
 Defined results: NULL or empty text, or text without words, has an empty set and links with nothing. Rows that repeat a
 doc_id are one node, with the links of each of its texts. A NULL doc_id gets its set size and a NULL component. Other columns of the input are ignored.
@@ -200,8 +201,25 @@ def _signatures(p: JoinParameters, classes, shared=None):
     return run
 
 
-def _set_rows(p: JoinParameters, wanted):
-    """The whole sets of the documents whose bit is set."""
+def _outline(s: np.ndarray) -> bytes:
+    """A bitmap of two to four bits for each shingle: the set's size class decides its length."""
+    bits = 2 << max(3, (len(s) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def _overlap_bound(x: bytes, y: bytes, n: int, m: int) -> int:
+    """No two sets with these outlines and sizes have more shingles in common."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        longer = np.unpackbits(max(a, b, key=len)).reshape(-1, 2).any(axis=1)
+        a, b = (np.packbits(longer), b) if len(a) > len(b) else (a, np.packbits(longer))
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _set_rows(p: JoinParameters, wanted, outline: bool):
+    """The whole sets, or their sizes and outlines, of the documents whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -214,30 +232,50 @@ def _set_rows(p: JoinParameters, wanted):
 
         for batch, row, sets in _sets(needed(), p.size):
             ids = batch.column("doc_id").slice(row, len(sets)).cast(pa.int64())
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch([ids, flat_lists(flat, np.array([len(s) for s in sets]), pa.int64())], ["id", "members"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            if outline:
+                outlines = pa.array([_outline(s) if len(s) else b"" for s in sets], pa.binary())
+                yield pa.record_batch([ids, pa.array(sizes), outlines], ["id", "n", "outline"])
+            else:
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.record_batch([ids, flat_lists(flat, sizes, pa.int64())], ["id", "members"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, p: JoinParameters) -> DataFrame:
-    """The pairs (a, b) of set representatives that link, by intersecting their whole sets."""
-    spark = pairs.sparkSession
+def _rows_of(pairs: DataFrame, texts: DataFrame, p: JoinParameters, outline: bool) -> DataFrame:
+    """The sets or outlines of all documents in the pairs."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    wanted = spark.sparkContext.broadcast(presence_bits(ends.select(F.xxhash64("id").alias("h"))))
-    sets = (
-        texts.withColumn("h", F.xxhash64("doc_id"))
-        .mapInArrow(_set_rows(p, wanted), "id long, members array<long>")
-        .join(ends.distinct(), "id", "left_semi")
-        .distinct()
+    wanted = pairs.sparkSession.sparkContext.broadcast(presence_bits(ends.select(F.xxhash64("id").alias("h"))))
+    kind = "id long, n long, outline binary" if outline else "id long, members array<long>"
+    rows = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_set_rows(p, wanted, outline), kind)
+    return rows.join(ends.distinct(), "id", "left_semi").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, p: JoinParameters, path: str) -> DataFrame:
+    """The pairs (a, b) of set representatives that link: outlines rule out most others, whole sets are intersected."""
+    q = p.percent
+
+    def reach(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for x, y, n, m in columns:
+            yield pa.array([(100 + q) * _overlap_bound(*row) >= q * (row[2] + row[3])
+                            for row in zip(x.to_pylist(), y.to_pylist(), n.to_pylist(), m.to_pylist())], pa.bool_())
+
+    outlines = _rows_of(pairs, texts, p, True)
+    close = stored(
+        pairs.join(outlines.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("outline").alias("x")), "a")
+        .join(outlines.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("outline").alias("y")), "b")
+        .where(F.arrow_udf(reach, "boolean")("x", "y", "n", "m")).select("a", "b").distinct(),
+        path,
     )
+    sets = _rows_of(close, texts, p, False)
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+        close.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        .where(F.lit(100) * common >= F.lit(p.percent) * union)
-        .select("a", "b")
+        .where(F.lit(100) * common >= F.lit(q) * union)
+        .select("a", "b").distinct()
     )
 
 
@@ -279,7 +317,7 @@ def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, l
         .where("low <> high").select("key"),
         f"{folder}/shared",
     )
-    bits = spark.sparkContext.broadcast(presence_bits(shared, 24))
+    bits = spark.sparkContext.broadcast(presence_bits(shared, 26))
     schema = "key long, id long, n long, rare long, " + ", ".join(f"{b} long" for b in _BITMAP)
     members = stored(
         texts.mapInArrow(_signatures(p, classes, bits), schema)
@@ -295,7 +333,7 @@ def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, l
         .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(),
         f"{folder}/pairs-1",
     )
-    found = stored(_verified(first, texts, reps, p), f"{folder}/links-1")
+    found = stored(_verified(first, texts, p, f"{folder}/close-1"), f"{folder}/links-1")
     roots = components(found, f"{folder}/roots-1")
 
     labelled = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -307,7 +345,7 @@ def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, l
         .join(first, ["a", "b"], "left_anti"),
         f"{folder}/pairs-2",
     )
-    more = stored(_verified(second, texts, reps, p), f"{folder}/links-2")
+    more = stored(_verified(second, texts, p, f"{folder}/close-2"), f"{folder}/links-2")
     every = found.union(more)
     if not more.isEmpty():
         roots = components(every, f"{folder}/roots-2")
