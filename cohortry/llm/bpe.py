@@ -65,8 +65,6 @@ class PieceEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces together, as words of one text, and keep them."""
-        if len(self.kept) + len(pieces) > _KEPT_PIECES:
-            self.kept.clear()
         for low in range(0, len(pieces), 4096):
             part = pieces[low:low + 4096]
             starts = [0, *accumulate(len(piece) + 1 for piece in part)]
@@ -83,10 +81,12 @@ class PieceEncoder:
         specials = {piece for piece in every if self.special and self.special.fullmatch(piece)}
         long = {piece: self.library(piece) if len(piece) <= LEAF else self.joined(piece)
                 for piece in every if len(piece) > 64 or piece in specials}
-        self.learn([piece for piece in every if piece not in long and piece not in self.kept])
-        missing = [piece for piece in every if piece not in long and piece not in self.kept]
-        if missing:  # known before, given up when the store was cleared
-            self.learn(missing)
+        short = [piece for piece in every if piece not in long]
+        new = [piece for piece in short if piece not in self.kept]
+        if len(self.kept) + len(new) > _KEPT_PIECES:
+            self.kept.clear()
+            new = short
+        self.learn(new)
         known = {piece: long.get(piece) or self.kept[piece] for piece in every}
         out = []
         for pieces in parts:

@@ -183,7 +183,7 @@ def co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.nd
         for x, extra in zip(views, given):
             use = train | ~np.isnan(extra)
             y = np.where(train, good, extra)[use]
-            weights.append(_logistic(x[use], y, np.where(train[use], 1.0, 0.5), p.penalty * 10))
+            weights.append(_logistic(x[use], y, np.where(train[use], 1.0, 0.5), p.penalty))
         if turn == p.rounds or not len(pool):
             break
         for k, (x, w) in enumerate(zip(views, weights)):
