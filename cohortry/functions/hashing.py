@@ -31,16 +31,6 @@ def digest_byte(hex_digest: Column, index: int) -> Column:
     return F.conv(F.substring(hex_digest, 2 * index + 1, 2), 16, 10).cast("int")
 
 
-def digest_number(hex_digest: Column, size: int) -> Column:
-    """The first ``size`` bytes (at most 7) of a hex digest as one bigint."""
-    return F.conv(F.substring(hex_digest, 1, 2 * size), 16, 10).cast("bigint")
-
-
-def number_byte(number: Column, index: int, size: int) -> Column:
-    """Byte ``index`` of a ``digest_number`` of that size; cheaper than reading each byte from the digest."""
-    return F.shiftright(number, 8 * (size - 1 - index)).bitwiseAND(F.lit(255)).cast("int")
-
-
 def choose(options: Sequence[str], number: Column) -> Column:
     """Option at ``number`` modulo the number of options; NULL for a NULL number.
 
@@ -49,18 +39,8 @@ def choose(options: Sequence[str], number: Column) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), (number % len(options)).cast("int"))
 
 
-def choose_two(options: Sequence[str], first: Column, second: Column) -> Column:
-    """One or two different options as an array, in draw order."""
-    return F.array_distinct(F.array(choose(options, first), choose(options, second)))
-
-
-def banded_score(label: Column, number: Column) -> Column:
-    """Score 1..5 that agrees with the stance: support 4-5, neutral 3, oppose 1-2."""
-    low_bit = (number % 2).cast("int")
-    return F.when(label == "support", 4 + low_bit).when(label == "neutral", F.lit(3)).when(label == "oppose", 1 + low_bit)
-
-
-def row_digest(columns: Sequence[Column]) -> Column:
-    """First 60 bits of a row's md5 as a bigint; NULL cells are marked, so NULL differs from empty text."""
-    cells = [F.coalesce(c.cast("string"), F.lit("␀")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("␟", *cells)), 1, 15), 16, 10).cast("bigint")
+def row_digest(columns: Sequence[Column]) -> tuple[Column, Column]:
+    """Both halves of a row's md5 as numbers; every cell carries its length, so no cell can imitate another row."""
+    cells = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    digest = F.md5(F.concat_ws(",", *cells))
+    return tuple(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))

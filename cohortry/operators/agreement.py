@@ -130,18 +130,14 @@ def icc(ratings: DataFrame, item: str, score: str, raters: int) -> DataFrame:
     """ICC(1,1) from one-way analysis of variance over the items with exactly ``raters`` scores."""
     x = F.col(score).cast("double")
     items = ratings.where(x.isNotNull()).groupBy(item).agg(
-        F.count("*").alias("k"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")
+        F.count("*").alias("k"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance")
     ).where(F.col("k") == raters)
     k = float(raters)
-    sums = items.agg(
-        F.count("*").alias("n_items"),
-        F.sum("s").alias("s"),
-        F.sum("ss").alias("ss"),
-        F.sum(F.col("s") * F.col("s") / k).alias("between"),
-    )
+    # means and variances, not differences of large sums of squares
+    sums = items.agg(F.count("*").alias("n_items"), F.var_pop("mean").alias("between"), F.avg("variance").alias("within"))
     n = F.col("n_items").cast("double")
-    between = (F.col("between") - F.col("s") * F.col("s") / (n * k)) / F.nullif(n - 1, F.lit(0.0))
-    within = (F.col("ss") - F.col("between")) / F.nullif(n * (k - 1), F.lit(0.0))
+    between = k * F.col("between") * n / F.nullif(n - 1, F.lit(0.0))
+    within = F.col("within") * k / (k - 1)
     return sums.select(
         "n_items", between.alias("ms_between"), within.alias("ms_within"),
         ((between - within) / F.nullif(between + (k - 1) * within, F.lit(0.0))).alias("icc"),

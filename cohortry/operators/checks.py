@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortry import vocab
 from cohortry.operators.context import LEVELS, missing_level_columns
-from cohortry.operators.skew import skew_join
 from cohortry.spec import TableSpec
 
 
@@ -90,10 +89,10 @@ def check_repeat_link(questions: DataFrame, set_column: str = "question_set_id")
     targets = questions.select(
         set_column, F.col("question_id").alias("repeat_of_question_id"), F.col("question_type").alias("_target_type")
     ).distinct()
-    # only rows with a link are joined; an original that very many questions repeat is salted
+    # only rows with a link are joined
     has_link = F.col("repeat_of_question_id").isNotNull()
     keys = [set_column, "repeat_of_question_id"]
-    linked = skew_join(questions.where(has_link), targets, keys, "left", salt_by=["question_id"])
+    linked = questions.where(has_link).join(targets, keys, "left")
     linked = linked.unionByName(questions.where(~has_link), allowMissingColumns=True)
     is_repeat, link = F.col("question_type") == "SAME_QUESTION_REPEAT", F.col("repeat_of_question_id")
     detail = (
@@ -113,7 +112,7 @@ def check_pair_distinct(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame
 def check_orphans(child: DataFrame, key: str, link: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose parent does not exist."""
     known = parent.select(F.col(parent_key).alias(link)).distinct()
-    lost = skew_join(child.where(F.col(link).isNotNull()), known, [link], "left_anti", salt_by=[key])
+    lost = child.where(F.col(link).isNotNull()).join(known, [link], "left_anti")
     return violations(lost, "orphan", key, F.lit(True), F.col(link))
 
 

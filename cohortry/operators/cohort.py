@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry import vocab
 from cohortry.functions.hashing import sample_key
-from cohortry.operators.skew import rank_by_hash
+from cohortry.operators.skew import first_by_hash
 from cohortry.spec import CohortFilter, CohortRequest, SamplingSpec
 
-# Largest id list that is broadcast, ordered in one task or kept inside a manifest row.
-SMALL_SAMPLE = 50_000
-
-
 def filter_cohort(df: DataFrame, cohort: CohortFilter) -> DataFrame:
     """Rows that match the filter."""
     return df.where(cohort.predicate())
@@ -47,35 +44,24 @@ def require_feasible(df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec
         raise ValueError(status)
 
 
-def draw_sample(
-    df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec, small_sample: int = SMALL_SAMPLE
-) -> DataFrame:
+def draw_sample(df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec) -> DataFrame:
     """``(id, sample_key, sample_rank)`` of the first ``sample_size`` ids along a seeded hash order.
 
-    The order depends only on id and seed, so any partitioning gives the same sample. Small samples are a top-k; larger
-    ones are ranked bucket by bucket, so no single task holds the sample.
+    The order depends only on id and seed, so any partitioning gives the same sample. Ids are cut off and ranked by hash
+    bucket, so the work follows the sample and no single task holds it.
     """
     entity = cohort.spec.id_column
     ids = filter_cohort(df, cohort).select(entity).where(F.col(entity).isNotNull()).distinct()
     keyed = ids.withColumn("sample_key", sample_key(F.col(entity), sampling.seed))
-    if sampling.sample_size <= small_sample:
-        first = keyed.orderBy("sample_key", entity).limit(sampling.sample_size)
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample_key", entity))
-        return first.withColumn("sample_rank", rank.cast("bigint"))
-    return rank_by_hash(keyed, "sample_key", entity).where(F.col("sample_rank") <= sampling.sample_size)
+    return first_by_hash(keyed, "sample_key", entity, sampling.sample_size)
 
 
-def lookup_in_order(
-    df: DataFrame, sample: DataFrame, id_column: str, columns: Sequence[str], sample_size: int | None = None
-) -> DataFrame:
+def lookup_in_order(df: DataFrame, sample: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
     """Rows of the sampled ids with their rank; sort by ``sample_rank`` for list order.
 
-    ``sample_size`` is the known size of the sample: up to ``SMALL_SAMPLE`` ids are broadcast, so the wide table is not
-    shuffled; above it, or when unknown, Spark chooses.
+    Spark broadcasts the sample when its bytes are few, so the wide table is not shuffled for it.
     """
     wanted = sample.select(id_column, "sample_rank")
-    if sample_size is not None and sample_size <= SMALL_SAMPLE:
-        wanted = F.broadcast(wanted)
     kept = [id_column, *[c for c in columns if c != id_column]]
     return df.select(*kept).join(wanted, id_column).select("sample_rank", *columns)
 
@@ -84,8 +70,11 @@ def preview(
     df: DataFrame, sample: DataFrame, id_column: str, columns: Sequence[str], limit: int = 20
 ) -> DataFrame:
     """The first ``limit`` sampled rows in sample order, allow-listed columns only."""
+    forbidden = sorted(set(columns) & set(vocab.EXCLUDED_COLUMNS))
+    if forbidden:
+        raise ValueError(f"columns that identify a person are never exported: {', '.join(forbidden)}")
     head = sample.where(F.col("sample_rank") <= max(limit, 0))
-    return lookup_in_order(df, head, id_column, columns, limit).orderBy("sample_rank")
+    return lookup_in_order(df, head, id_column, columns).orderBy("sample_rank")
 
 
 def missing_ids(ids: DataFrame, df: DataFrame, id_column: str) -> DataFrame:
@@ -93,7 +82,7 @@ def missing_ids(ids: DataFrame, df: DataFrame, id_column: str) -> DataFrame:
     return ids.join(df.select(id_column).distinct(), id_column, "left_anti")
 
 
-def safe_projection(df: DataFrame, allowed: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
+def safe_projection(df: DataFrame, allowed: Sequence[str], excluded: Sequence[str] = vocab.EXCLUDED_COLUMNS) -> DataFrame:
     """Allow-listed columns that exist and are not excluded."""
     return df.select(*[c for c in allowed if c in df.columns and c not in set(excluded)])
 
@@ -103,19 +92,16 @@ def manifest(
 ) -> DataFrame:
     """One row describing the cohort: source, filter, sampling, counts and stable id.
 
-    ``source_fingerprint`` is the one-row result of ``inspect.dataset_fingerprint``. The ids stay in the sample table;
-    the row carries their number and, for samples up to ``SMALL_SAMPLE``, the list itself.
+    ``source_fingerprint`` is the one-row result of ``inspect.dataset_fingerprint``. The ids stay in the sample table at
+    every size; the row carries their number.
     """
     cohort, sampling = request.filters, request.sampling
     counts = df.agg(
         F.count("*").alias("row_count"), F.count_if(cohort.predicate()).alias("matching_count")
     )
-    entity = F.col(cohort.spec.id_column).cast("string")
-    listed = F.array_sort(F.collect_list(F.struct("sample_rank", entity.alias("id"))))
-    ids = F.transform(listed, lambda x: x["id"]) if sampling.sample_size <= SMALL_SAMPLE else F.lit(None).cast("array<string>")
-    drawn = sample.agg(F.struct(F.count("*").alias("sampled"), ids.alias("persona_ids")))
+    drawn = sample.agg(F.count("*"))
     canonical = cohort.canonical_json()
-    row = counts.withColumn("_drawn", drawn.scalar()).withColumn(
+    row = counts.withColumn("sampled", drawn.scalar()).withColumn(
         "fingerprint", source_fingerprint.select("fingerprint").scalar()
     )
     identity = F.concat_ws("|", "fingerprint", F.lit(canonical), F.lit(sampling.canonical_json()))
@@ -133,13 +119,13 @@ def manifest(
         F.lit(sampling.sample_size).cast("bigint").alias("sample_size"),
         F.lit(sampling.seed).cast("bigint").alias("seed"),
         F.lit(sampling.method).alias("method"),
-        "_drawn.sampled",
-        "_drawn.persona_ids",
+        "sampled",
     )
 
 
-def cohort_record(row: DataFrame, source_path: str, created_at: Column) -> DataFrame:
-    """A manifest row in the stored shape of a cohort record; the source is named by its content fingerprint."""
+def cohort_record(row: DataFrame, source_path: str, sample_path: str, created_at: Column) -> DataFrame:
+    """A manifest row in the stored shape of a cohort record; the source is named by its content fingerprint, the ids are
+    in the table at ``sample_path``."""
     source = F.struct(
         F.lit(source_path).alias("path"), F.lit(None).cast("string").alias("sha256"),
         F.col("source_fingerprint").alias("fingerprint"), "row_count",
@@ -147,5 +133,5 @@ def cohort_record(row: DataFrame, source_path: str, created_at: Column) -> DataF
     return row.select(
         "cohort_id", "name", source.alias("source"), "filters", "canonical_filter_json", "filter_hash",
         "human_readable_filter", "matching_count", F.struct("sample_size", "seed", "method").alias("sampling"),
-        "persona_ids", created_at.alias("created_at"),
+        "sampled", F.lit(sample_path).alias("sample_path"), created_at.alias("created_at"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortry import vocab
 from cohortry.functions.hashing import digest_id
 from cohortry.functions.measures import hits_per_100, jaccard, mentions, share, token_set
-from cohortry.operators.skew import dimension_join, skew_join, top_per_group
+from cohortry.operators.skew import top_per_group
 from cohortry.spec import Recipe
 
 PAIR_COLUMNS = ("response_id", "question_id", "question_type", "stance", "stance_score", "response_text", "reasoning_summary",
@@ -34,34 +34,33 @@ def _side(df: DataFrame, keys: Sequence[str], suffix: str, extra: Sequence[str]
     return df.select(*keys, *extra, *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
 
 
-def repeat_pairs(responses: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Each repeat response beside the original it repeats, for the same run and agent.
+def repeat_pairs(responses: DataFrame, links: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Each repeat response beside the original it repeats, for the same project, run and agent.
 
     ``links(question_id, repeat_of_question_id)`` gives the repeat link unless the responses carry it. The join key is the
-    original's natural key, so a repeat meets one original and no group is paired with itself.
+    original's natural key, so a repeat meets one original and no group is paired with itself. ``carry`` names columns of
+    the original that the pairs keep.
     """
     repeats = responses.where(F.col("question_type") == "SAME_QUESTION_REPEAT")
     if links is not None:
-        repeats = dimension_join(
-            repeats.drop("repeat_of_question_id"), links, ["question_id"], "inner", salt_by=["response_id"]
-        )
+        repeats = repeats.drop("repeat_of_question_id").join(links, "question_id")
     originals = responses.where(F.col("question_type") == "ORIGINAL").withColumn("root_question_id", F.col("question_id"))
     repeats = repeats.withColumn("root_question_id", F.col("repeat_of_question_id"))
-    keys = ["run_id", "agent_id", "root_question_id"]
-    return _side(originals, keys, "a").join(_side(repeats, keys, "b"), keys).withColumn("question_relation", F.lit("SAME_QUESTION_REPEAT"))
+    keys = [c for c in ("project_id", "run_id", "agent_id") if c in responses.columns] + ["root_question_id"]
+    return _side(originals, keys, "a", carry).join(_side(repeats, keys, "b"), keys).withColumn("question_relation", F.lit("SAME_QUESTION_REPEAT"))
 
 
 def condition_pairs(
-    responses: DataFrame, condition: str, baseline: str, on: Sequence[str] = ("agent_id", "question_id")
+    responses: DataFrame, condition: str, baseline: str, on: Sequence[str] = ("agent_id", "question_id"), carry: Sequence[str] = ()
 ) -> DataFrame:
     """Each response of another condition beside the baseline response with the same key.
 
-    The baseline must hold one response per key (``check_unique`` tells); hot keys are salted.
+    The baseline must hold one response per key (``check_unique`` tells); adaptive execution splits hot keys.
     """
     keys = list(on)
-    base = _side(responses.where(F.col(condition) == baseline), keys, "a")
+    base = _side(responses.where(F.col(condition) == baseline), keys, "a", carry)
     rest = _side(responses.where(F.col(condition) != baseline), keys, "b", [condition])
-    return skew_join(rest, base, keys, "inner", salt_by=["response_id_b"])
+    return rest.join(base, keys)
 
 
 def is_flip(a: Column, b: Column) -> Column:
@@ -82,7 +81,13 @@ def evaluate_pairs(pairs: DataFrame) -> DataFrame:
     if "reasoning_summary_a" in pairs.columns:
         words = [token_set(F.col(f"reasoning_summary_{side}")) for side in "ab"]
         out = out.withColumn("reason_overlap", jaccard(*words))
-    return out.withColumn("comparison_id", digest_id("comparison_", 12, F.col("response_id_a"), F.col("response_id_b")))
+    return out.withColumn("comparison_id", comparison_id(pairs))
+
+
+def comparison_id(pairs: DataFrame) -> Column:
+    """Stable id of a pair over its natural key as far as it is there, and both displayed response ids."""
+    key = [c for c in ("project_id", "run_id", "agent_id", "root_question_id", "question_id") if c in pairs.columns]
+    return digest_id("comparison_", 32, *[F.col(c) for c in (*key, "response_id_a", "response_id_b")])
 
 
 def consistency(evaluated: DataFrame, group_by: Sequence[str]) -> DataFrame:
@@ -214,28 +219,45 @@ def comparison_records(evaluated: DataFrame, project_id: str, created_at: Column
 
 
 def follow_up_candidates(
-    evaluated: DataFrame, parent: str = "response_id_a", flag: Column | None = None
+    evaluated: DataFrame, parent: Sequence[str] | None = None, flag: Column | None = None
 ) -> DataFrame:
     """One candidate per parent response: flips first, then other review cases, then the larger score change.
 
-    ``flag`` chooses the rows, by default those that need human review.
+    ``parent`` is the natural key of the parent side, ``flag`` chooses the rows, by default those that need human review.
     """
+    keys = ("project_id", "run_id", "agent_id", "root_question_id", "question_id")
+    parent = [c for c in keys if c in evaluated.columns] if parent is None else list(parent)
     flagged = evaluated.where(F.col("needs_human_review") if flag is None else flag)
     order = [
         F.col("contradiction_candidate").cast("int").desc(),
         F.abs("stance_score_delta").desc_nulls_last(),
         F.col("comparison_id").asc(),
     ]
-    return top_per_group(flagged, [parent], order, 1, "candidate_rank").drop("candidate_rank")
+    return top_per_group(flagged, parent, order, 1, "candidate_rank").drop("candidate_rank")
 
 
-def link_follow_ups(responses: DataFrame, follow_ups: DataFrame) -> DataFrame:
-    """Parent response beside its follow-up record; a parent with very many follow-ups is salted."""
+def link_follow_ups(responses: DataFrame, follow_ups: DataFrame, on: Sequence[str] = ("project_id", "run_id", "agent_id")) -> DataFrame:
+    """Parent response beside its follow-up record.
+
+    Displayed response ids are short, so the natural columns of ``on`` that both tables have must agree as well.
+    """
+    keys = [c for c in on if c in responses.columns and c in follow_ups.columns]
     parents = responses.select(
-        F.col("response_id").alias("parent_response_id"), F.col("stance").alias("parent_stance"),
+        *keys, F.col("response_id").alias("parent_response_id"), F.col("stance").alias("parent_stance"),
         F.col("stance_score").alias("parent_stance_score"),
     )
-    return skew_join(follow_ups, parents, ["parent_response_id"], "inner", salt_by=["follow_up_id"])
+    return follow_ups.join(parents, [*keys, "parent_response_id"])
+
+
+def follow_up_records(candidates: DataFrame, question: Column, created_at: Column) -> DataFrame:
+    """Follow-up records to be answered, one per candidate pair: the parent side, the question's text and a stable id."""
+    own = digest_id("follow_up_", 32, F.col("comparison_id"), question)
+    return candidates.select(
+        own.alias("follow_up_id"), "project_id", "run_id", F.col("response_id_a").alias("parent_response_id"),
+        F.col("agent_id").cast("string").alias("agent_id"),
+        F.concat(F.lit("question_"), F.substring(F.sha2(own, 256), 1, 32)).alias("question_id"),
+        question.alias("question_text"), F.lit(None).cast("string").alias("response_id"), created_at.alias("created_at"),
+    )
 
 
 def with_attribute_usage(df: DataFrame, text: str, attributes: Sequence[str]) -> DataFrame:

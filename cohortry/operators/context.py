@@ -47,13 +47,11 @@ def narrative_array(columns: Sequence[str]) -> Column:
     return F.filter(F.array(*entries), lambda n: n["text"].isNotNull())
 
 
-def build_context(
-    df: DataFrame, spec: TableSpec, level: str, sample: DataFrame | None = None, sample_size: int | None = None
-) -> DataFrame:
+def build_context(df: DataFrame, spec: TableSpec, level: str, sample: DataFrame | None = None) -> DataFrame:
     """Context rows of one level, keyed by ``persona_id``; with a sample, also ``sample_rank``."""
     require_level(spec, level, df.columns)
     columns = level_columns(spec, level, df.columns)
-    rows = df.select(*columns) if sample is None else lookup_in_order(df, sample, spec.id_column, columns, sample_size)
+    rows = df.select(*columns) if sample is None else lookup_in_order(df, sample, spec.id_column, columns)
     plain = required_columns(spec, level)
     out = [F.col(spec.id_column).alias("persona_id"), *[c for c in plain if c != spec.id_column]]
     if sample is not None:

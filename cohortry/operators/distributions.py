@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.measures import share
-from cohortry.operators.skew import skew_join
+from cohortry.operators.skew import null_safe_join
 
 
 def stance_distribution(df: DataFrame, stance: str, segment: str, variant: str) -> DataFrame:
@@ -35,11 +35,17 @@ def stance_distribution(df: DataFrame, stance: str, segment: str, variant: str)
 
 
 def item_frequency(df: DataFrame, group: Sequence[str], items: str) -> DataFrame:
-    """How often each item of an array column is named per group, and by which share of the group's rows."""
-    named = df.select(*group, F.explode(F.array_distinct(items)).alias("item"))
-    counts = named.groupBy(*group, "item").agg(F.count("*").alias("n"))
-    sizes = df.groupBy(*group).agg(F.count("*").alias("group_rows"))
-    return counts.join(sizes, list(group)).withColumn("share", share(F.col("n"), F.col("group_rows"))).drop("group_rows")
+    """How often each item of an array column is named per group, and by which share of the group's rows.
+
+    One aggregation: a row counts once for its group, under an item that no list holds, and once for each of its items.
+    """
+    mark = F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("item"))
+    named = F.transform(F.coalesce(F.array_distinct(F.col(items).cast("array<string>")), F.array().cast("array<string>")),
+                        lambda i: F.struct(F.lit(False).alias("whole"), i.alias("item")))
+    counts = df.select(*group, F.inline(F.concat(F.array(mark), named))).groupBy(*group, "whole", "item").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sized = counts.withColumn("group_rows", F.max(F.when(F.col("whole"), F.col("n"))).over(whole)).where(~F.col("whole"))
+    return sized.withColumn("share", share(F.col("n"), F.col("group_rows"))).select(*group, "item", "n", "share")
 
 
 def category_shares(df: DataFrame, group: Sequence[str], category: str) -> DataFrame:
@@ -50,14 +56,16 @@ def category_shares(df: DataFrame, group: Sequence[str], category: str) -> DataF
 
 
 def distribution_shift(df: DataFrame, group: Sequence[str], category: str, condition: str, base: str, other: str) -> DataFrame:
-    """Total variation distance between two conditions per group: half the summed share differences."""
-    def side(value: str, name: str) -> DataFrame:
-        kept = df.where(F.col(condition) == value)
-        return category_shares(kept, group, category).select(*group, category, F.col("share").alias(name))
+    """Total variation distance between two conditions per group: half the summed share differences.
 
-    both = side(base, "p").join(side(other, "q"), [*group, category], "full_outer")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return both.groupBy(*group).agg((F.sum(F.abs(zero("p") - zero("q"))) / 2).alias("total_variation"))
+    NULL is a category like any other; a group that lacks a condition has shares of 0 there.
+    """
+    at = lambda value: F.count_if(F.col(condition) == value)
+    counts = df.where(F.col(condition).isin(base, other)).groupBy(*group, category).agg(at(base).alias("_p"), at(other).alias("_q"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    part = lambda c: F.coalesce(share(F.col(c), F.sum(c).over(whole)), F.lit(0.0))
+    apart = counts.select(*group, F.abs(part("_p") - part("_q")).alias("_d"))
+    return apart.groupBy(*group).agg((F.sum("_d") / 2).alias("total_variation"))
 
 
 def signature(stance: Column, concerns: Column, conditions: Column) -> Column:
@@ -81,9 +89,10 @@ def minority_by_quantile(df: DataFrame, group: Sequence[str], mark: str, key: st
     """Rows whose signature count has ``percent_rank <= quantile`` among the signatures of their group.
 
     Signatures with the same count share a rank, so the ranks come from the few distinct counts of a group. The rare
-    signatures are then joined back; a signature held by very many rows is salted.
+    signatures are then joined back; NULL groups and signatures are kept like others.
     """
-    counts = df.groupBy(*group, mark).agg(F.count("*").alias("signature_count"))
+    keys = [*group, mark]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("signature_count"))
     levels = counts.groupBy(*group, "signature_count").agg(F.count("*").alias("_signatures"))
     whole = Window.partitionBy(*group)
     below = whole.orderBy("signature_count").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,5 +100,5 @@ def minority_by_quantile(df: DataFrame, group: Sequence[str], mark: str, key: st
     rank = F.coalesce(share(smaller, F.sum("_signatures").over(whole) - 1), F.lit(0.0))
     ranked = levels.withColumn("signature_rank", rank).where(F.col("signature_rank") <= quantile)
     limits = ranked.groupBy(*group).agg(F.max("signature_count").alias("_limit"))
-    rare = counts.join(limits, list(group)).where(F.col("signature_count") <= F.col("_limit")).drop("_limit")
-    return skew_join(df, rare, [*group, mark], "inner", salt_by=[key])
+    rare = null_safe_join(counts, limits, group).where(F.col("signature_count") <= F.col("_limit")).drop("_limit")
+    return null_safe_join(df, rare, keys).select(*df.columns, "signature_count")

@@ -134,9 +134,11 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[Column] | None = None)
     Pass ``columns`` to fix how cells become text, doubles above all.
     """
     cells = list(columns) if columns is not None else [_stable_text(f) for f in df.schema.fields]
-    digests = df.select(row_digest(cells).cast("decimal(38,0)").alias("d"))
-    summed = digests.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("d"), F.lit(0).cast("decimal(38,0)")).alias("s"))
-    return summed.select("n_rows", F.col("s").cast("string").alias("fingerprint"))
+    high, low = row_digest(cells)
+    digests = df.select(high.cast("decimal(38,0)").alias("h"), low.cast("decimal(38,0)").alias("l"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("decimal(38,0)")).cast("string")
+    summed = digests.agg(F.count("*").alias("n_rows"), total("h").alias("h"), total("l").alias("l"))
+    return summed.select("n_rows", F.concat_ws("-", "h", "l").alias("fingerprint"))
 
 
 def _stable_text(field: T.StructField) -> Column:

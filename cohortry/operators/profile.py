@@ -21,6 +21,13 @@ def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
+def for_columns(df: DataFrame, columns: Sequence[str], zeros: Sequence[str] = ()) -> DataFrame:
+    """One row per asked column: a result by column, with NULL, or 0 in the named counts, where it has no row."""
+    asked = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    filled = asked.join(df, "column", "left")
+    return filled.withColumns({c: F.coalesce(c, F.lit(0)).cast(df.schema[c].dataType) for c in zeros}) if zeros else filled
+
+
 def long_values(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     """Long rows ``(column, value)``, one per cell; all cells must share one type."""
     wide = df.select(*[c.alias(n) for n, c in cells.items()])
@@ -55,11 +62,8 @@ def categorical_profile(
     ordered: Sequence[str] = ("income_bracket",),
 ) -> DataFrame:
     """Per column: distinct non-null values, whether a filter can list them, and a note."""
-    return _selectability(value_counts(df, columns), limit, ordered)
-
-
-def _selectability(counts: DataFrame, limit: int, ordered: Sequence[str]) -> DataFrame:
-    distinct = counts.groupBy("column").agg(F.count("value").alias("distinct_count"))
+    distinct = value_counts(df, columns).groupBy("column").agg(F.count("value").alias("distinct_count"))
+    distinct = for_columns(distinct, columns, ["distinct_count"])
     fits = F.col("distinct_count") <= limit
     note = (
         F.when(F.col("column").isin(list(ordered)), vocab.NOTE_ORDERED)
@@ -79,7 +83,7 @@ def selection_fields(profile: DataFrame) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: count, minimum, maximum, mean and exact median of the non-null values."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return sliced_quantiles(doubles, columns, [0.5]).withColumnRenamed("q0", "median")
+    return for_columns(sliced_quantiles(doubles, columns, [0.5]), columns, ["n"]).withColumnRenamed("q0", "median")
 
 
 def decade_histogram(df: DataFrame, column: str, width: int = 10) -> DataFrame:
@@ -100,10 +104,7 @@ def parseability_profile(df: DataFrame, columns: Sequence[str], examples: int =
 
     Works on the value counts, so each distinct text is parsed once.
     """
-    return _parseability(value_counts(df, columns), examples)
-
-
-def _parseability(counts: DataFrame, examples: int) -> DataFrame:
+    counts = value_counts(df, columns)
     rows = F.col("count")
     stats = counts.groupBy("column").agg(
         F.count("value").alias("distinct_count"),
@@ -115,12 +116,12 @@ def _parseability(counts: DataFrame, examples: int) -> DataFrame:
     # at most ``examples`` values per column
     listed = top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("top"))
     ratio = F.coalesce(share(F.col("parseable"), F.col("filled")), F.lit(0.0))
-    return stats.join(listed, "column").select(
+    return for_columns(stats.join(listed, "column"), columns, ["distinct_count"]).select(
         "column",
         "distinct_count",
         ratio.alias("parseable_ratio"),
         (ratio == 1.0).alias("numeric_parseable"),
-        F.transform("top", lambda x: x["value"]).alias("examples"),
+        F.coalesce(F.transform("top", lambda x: x["value"]), F.array().cast("array<string>")).alias("examples"),
     )
 
 
@@ -128,6 +129,7 @@ def json_parse_diagnostics(df: DataFrame, columns: Sequence[str], key: str = "t_
     """Per JSON-in-string column: rows, rows whose integer field parses, failures and failure ratio (NULL if empty)."""
     long = long_values(df, {c: json_integer(F.col(c), key) for c in columns})
     counts = long.groupBy("column").agg(F.count("*").alias("row_count"), F.count("value").alias("parse_success_count"))
+    counts = for_columns(counts, columns, ["row_count", "parse_success_count"])
     failures = F.col("row_count") - F.col("parse_success_count")
     return counts.withColumn("parse_failure_count", failures).withColumn(
         "parse_failure_ratio", share(F.col("parse_failure_count"), F.col("row_count"))
@@ -175,7 +177,7 @@ def _duplicates(counts: DataFrame) -> DataFrame:
 def text_length_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per text column: minimum, mean, median, interpolated 95th percentile and maximum length in code points."""
     lengths = long_values(df, {c: F.length(F.col(c).cast("string")).cast("bigint") for c in columns})
-    return _lengths(lengths.groupBy("column", F.col("value").alias("length")).agg(F.count("*").alias("count")))
+    return for_columns(_lengths(lengths.groupBy("column", F.col("value").alias("length")).agg(F.count("*").alias("count"))), columns)
 
 
 def text_duplicate_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -183,13 +185,13 @@ def text_duplicate_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     NULL is not a distinct text but may be the commonest value.
     """
-    return _duplicates(text_counts(df, columns))
+    return for_columns(_duplicates(text_counts(df, columns)), columns, ["distinct_count"])
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Length and duplicate profile of the text columns from one scan."""
     counts = text_counts(df, columns)
-    return _lengths(counts).join(_duplicates(counts), "column", "right")
+    return for_columns(_lengths(counts).join(_duplicates(counts), "column", "right"), columns, ["distinct_count"])
 
 
 def profile_tidy(

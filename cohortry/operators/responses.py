@@ -1,21 +1,22 @@
-"""Persona x question expansion, deterministic responses, pluggable generators and run bookkeeping."""
+"""Persona x question expansion, pluggable generators and run bookkeeping."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortry import vocab
-from cohortry.functions.hashing import banded_score, choose, choose_two, digest_id, digest_number, number_byte
-from cohortry.operators.skew import dimension_join, skew_join
-from cohortry.spec import Question, Run, require_questions, require_variants
+from cohortry.functions.hashing import digest_id
+from cohortry.spec import Question, Run, require_questions
 
-RESPONSE_KEY = ("run_id", "agent_id", "question_id", "repeat_index")
-MAX_QUESTIONS = 10_000
+# the natural key of a response; a run id is unique inside its project only
+RESPONSE_KEY = ("project_id", "run_id", "agent_id", "question_id", "repeat_index")
+# the parts of the displayed response id, whose format is given; it is short, so nothing joins on it
+ID_PARTS = ("run_id", "agent_id", "question_id", "repeat_index")
 
 STRUCTURED = T.StructType(
     [
@@ -43,8 +44,6 @@ def expand_questions(contexts: DataFrame, questions: Sequence[Question]) -> Data
     The question set is a parameter, so it travels as one literal array that is exploded in place: no join, no shuffle.
     """
     require_questions(questions)
-    if len(questions) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions; store them as an array column and use condition_matrix")
     entries = [
         F.struct(
             F.lit(q.question_id).alias("question_id"),
@@ -59,8 +58,13 @@ def expand_questions(contexts: DataFrame, questions: Sequence[Question]) -> Data
 
 
 def plan_responses(contexts: DataFrame, questions: Sequence[Question], run: Run) -> DataFrame:
+    """The planned response cells of a run whose questions are given as plain objects."""
+    return plan_cells(expand_questions(contexts, questions), run)
+
+
+def plan_cells(expanded: DataFrame, run: Run) -> DataFrame:
     """The planned response cells of a run: context, question, run settings and the stable response id."""
-    cells = expand_questions(contexts, questions).withColumnRenamed("persona_id", "agent_id")
+    cells = expanded.withColumnRenamed("persona_id", "agent_id")
     settings = F.struct(
         F.lit(run.model).alias("model"),
         F.lit(run.temperature).alias("temperature"),
@@ -72,92 +76,43 @@ def plan_responses(contexts: DataFrame, questions: Sequence[Question], run: Run)
         .withColumn("scenario_id", F.lit(run.scenario_id))
         .withColumn("run_id", F.lit(run.run_id))
         .withColumn("generation_config", settings)
-        .withColumn("response_id", digest_id("response_", 12, *[F.col(c) for c in RESPONSE_KEY]))
+        .withColumn("response_id", digest_id("response_", 12, *[F.col(c) for c in ID_PARTS]))
     )
 
 
-def request_payload(context: Column, variants: Sequence[tuple[str, str]], run: Run) -> Column:
-    """Text that a deterministic response depends on; ``context`` is the context struct."""
-    require_variants(variants)
-    scenario = "|".join(f"{label}:{text}" for label, text in variants)
-    parts = [
-        F.col("agent_id").cast("string"), F.col("question_id"), F.col("question_text"), F.lit(run.scenario_id),
-        F.lit(scenario), F.lit(run.run_id), F.lit(str(run.seed)), F.col("repeat_index").cast("string"),
-        F.to_json(context, {"ignoreNullFields": "false"}),
-    ]
-    return F.concat_ws("||", *parts)
-
-
-def answer_text(stance: Column, concerns: Column, conditions: Column) -> Column:
-    """Plain rendering of an answer."""
-    return F.concat(
-        stance, F.lit(": "), F.array_join(concerns, ", "), F.lit(" / "), F.array_join(conditions, ", ")
-    )
-
-
-def mark_failing(contexts: DataFrame, failures: DataFrame) -> DataFrame:
-    """Adds ``failing`` to the contexts: whether the agent is in the failure list ``(persona_id)``.
-
-    Contexts hold one row per agent, so marking them before the questions are expanded keeps the join narrow and free
-    of hot keys.
-    """
-    listed = failures.select("persona_id").distinct().withColumn("failing", F.lit(True))
-    return contexts.join(listed, "persona_id", "left").withColumn("failing", F.coalesce("failing", F.lit(False)))
+def nest_responses(flat: DataFrame) -> DataFrame:
+    """Answer columns as the stored ``structured_response`` struct; rows without an answer get NULL."""
+    names = STRUCTURED.fieldNames()
+    return flat.withColumn("structured_response", F.when(F.col("stance").isNotNull(), F.struct(*names))).drop(*names)
 
 
-def score_flat(
-    cells: DataFrame,
-    context: Column,
-    variants: Sequence[tuple[str, str]],
-    run: Run,
-    reason: Column | None = None,
-    stances: Sequence[str] = vocab.STANCES,
-    concerns: Sequence[str] = vocab.CONCERNS,
-    conditions: Sequence[str] = vocab.CONDITIONS,
-) -> DataFrame:
-    """Fill planned cells with answers read from the bytes of the payload's SHA-256, as flat columns.
+def expand_question_table(contexts: DataFrame, questions: DataFrame, question_set_id: str) -> DataFrame:
+    """One row per context and question of a stored question set of any size.
 
-    Cells marked as ``failing`` become error rows. ``reason`` is the reasoning summary, by default the question type.
-    The steps are separate columns, so each is computed once and the generated code stays small enough to be compiled.
+    The set's questions become one array by a scalar subquery, which is exploded in place: no join, no shuffle of contexts.
     """
-    ok = ~F.col("failing") if "failing" in cells.columns else F.lit(True)
-    payload = request_payload(context, variants, run)
-    hashed = cells.withColumn("_bits", F.when(ok, digest_number(F.sha2(payload, 256), 6)))
-    byte = lambda i: number_byte(F.col("_bits"), i, 6)
-    answered = F.col("_bits").isNotNull()
-    filled = hashed.withColumns({
-        "stance": choose(stances, byte(0)),
-        "concerns": F.when(answered, choose_two(concerns, byte(2), byte(3))),
-        "acceptance_conditions": F.when(answered, choose_two(conditions, byte(4), byte(5))),
-    })
-    return filled.withColumns({
-        "stance_score": banded_score(F.col("stance"), byte(1)).cast("int"),
-        "reasoning_summary": F.when(answered, F.col("question_type") if reason is None else reason),
-        "response_text": answer_text(F.col("stance"), F.col("concerns"), F.col("acceptance_conditions")),
-        "status": F.when(ok, "success").otherwise("error"),
-        "error_type": F.when(~ok, vocab.GENERATION_ERROR),
-    }).drop("_bits", "failing")
+    mine = questions.where(F.col("question_set_id") == question_set_id)
+    entry = F.struct("question_id", "question_text", "question_type", "repeat_of_question_id")
+    entries = mine.agg(F.array_sort(F.collect_list(entry))).scalar()
+    rows = contexts.withColumn("_questions", entries).select("*", F.inline("_questions")).drop("_questions")
+    return rows.withColumn("repeat_index", repeat_index(F.col("question_type")))
 
 
-def nest_responses(flat: DataFrame) -> DataFrame:
-    """Answer columns as the stored ``structured_response`` struct; rows without an answer get NULL."""
-    names = STRUCTURED.fieldNames()
-    return flat.withColumn("structured_response", F.when(F.col("stance").isNotNull(), F.struct(*names))).drop(*names)
+class ResponseGenerationError(Exception):
+    """An answer that could not be generated; generators raise it or a subclass."""
 
 
-def score_responses(
-    cells: DataFrame, context: Column, variants: Sequence[tuple[str, str]], run: Run, reason: Column | None = None
+def generate_responses(
+    cells: DataFrame,
+    generator: Callable[[dict], tuple[str, dict]],
+    failures: tuple[type[Exception], ...] = (ResponseGenerationError,),
 ) -> DataFrame:
-    """Hashed answers of ``score_flat`` in their stored, nested form."""
-    return nest_responses(score_flat(cells, context, variants, run, reason))
-
-
-def generate_responses(cells: DataFrame, generator: Callable[[dict], tuple[str, dict]]) -> DataFrame:
     """Fill planned cells with a user's function, batch by batch.
 
-    ``generator`` gets one cell as a dict and returns ``(response_text, structured_response dict)``. A raised exception
-    turns that row into an error row named after the exception; the run goes on. A lost task runs its cells again, so
-    write the result of a generator that is costly or not repeatable before using it twice.
+    ``generator`` gets one cell as a dict (NULL is None) and returns ``(response_text, structured_response dict)``. One of
+    the ``failures`` turns that row into an error row named after the exception, and so does an answer without text or
+    structure; the run goes on. Any other exception is a fault of the program and ends the run. A lost task runs its cells
+    again, so write the result of a generator that is costly or not repeatable before using it twice.
     """
     added = [
         T.StructField("response_text", T.StringType()),
@@ -166,21 +121,29 @@ def generate_responses(cells: DataFrame, generator: Callable[[dict], tuple[str,
         T.StructField("error_type", T.StringType()),
     ]
     schema = T.StructType([*cells.schema.fields, *added])
+    kinds = [pa.field(f.name, to_arrow_type(f.dataType)) for f in added]
+
+    # by name: a class that travels to a worker by value is another object there than one that is imported
+    names = {c.__name__ for c in failures}
 
     def answer(cell: dict) -> tuple:
         try:
             text, structured = generator(cell)
-        except Exception as error:  # one bad cell must not end the run
-            return None, None, "error", type(error).__name__
+        except Exception as error:
+            if not names.intersection(c.__name__ for c in type(error).__mro__):
+                raise
+            return None, None, "error", type(error).__name__  # one bad cell must not end the run
+        if not text or not structured:
+            return None, None, "error", "EmptyResponseError"
         return text, structured, "success", None
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in added]
-        for frame in frames:
-            answers = [answer(cell) for cell in frame.to_dict("records")]
-            yield frame.assign(**{n: [a[i] for a in answers] for i, n in enumerate(names)})
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            answers = [answer(cell) for cell in batch.to_pylist()]
+            columns = [pa.array([a[i] for a in answers], field.type) for i, field in enumerate(kinds)]
+            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in kinds)])
 
-    return cells.mapInPandas(batches, schema)
+    return cells.mapInArrow(batches, schema)
 
 
 def retry_set(cells: DataFrame, responses: DataFrame) -> DataFrame:
@@ -196,11 +159,11 @@ def repeat_count(questions: DataFrame, set_column: str = "question_set_id") -> D
 
 
 def run_summary(cells: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per run: planned and stored rows, successes, errors and distinct error types, from one aggregation."""
-    planned = cells.select("run_id", F.lit(1).alias("planned"), *[F.lit(None).cast("string").alias(c) for c in ("status", "error_type")])
-    stored = responses.select("run_id", F.lit(0).alias("planned"), "status", "error_type")
+    """Per project and run: planned and stored rows, successes, errors and distinct error types, from one aggregation."""
+    planned = cells.select("project_id", "run_id", F.lit(1).alias("planned"), *[F.lit(None).cast("string").alias(c) for c in ("status", "error_type")])
+    stored = responses.select("project_id", "run_id", F.lit(0).alias("planned"), "status", "error_type")
     status = F.col("status")
-    return planned.unionByName(stored).groupBy("run_id").agg(
+    return planned.unionByName(stored).groupBy("project_id", "run_id").agg(
         F.sum("planned").alias("planned"),
         F.count("status").alias("stored"),
         F.count_if(status == "success").alias("succeeded"),
@@ -210,8 +173,8 @@ def run_summary(cells: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def error_counts(responses: DataFrame) -> DataFrame:
-    """Rows per run, status and error type."""
-    return responses.groupBy("run_id", "status", "error_type").agg(F.count("*").alias("n"))
+    """Rows per project, run, status and error type."""
+    return responses.groupBy("project_id", "run_id", "status", "error_type").agg(F.count("*").alias("n"))
 
 
 def trace_responses(
@@ -219,11 +182,13 @@ def trace_responses(
 ) -> DataFrame:
     """Each response with its run, scenario, question and agent context.
 
-    Runs, scenarios and questions are small record tables whose size is checked; the context table may be large and
-    agents may be hot, so that join salts heavy agents.
+    Runs (with their question_set_id), scenarios and questions are keyed within their project, questions within their set
+    as well. Spark broadcasts record tables of few bytes; hot keys of the other joins are split by adaptive execution.
     """
     traced = responses
-    for records, key in ((runs, "run_id"), (scenarios, "scenario_id"), (questions, "question_id")):
-        traced = dimension_join(traced, records, [key], salt_by=["response_id"])
-    agents = contexts.withColumnRenamed("persona_id", "agent_id")
-    return skew_join(traced, agents, ["agent_id"], "left", salt_by=["response_id"])
+    for records, keys in (
+        (runs, ["project_id", "run_id"]), (scenarios, ["project_id", "scenario_id"]),
+        (questions, ["project_id", "question_set_id", "question_id"]),
+    ):
+        traced = traced.join(records, keys, "left")
+    return traced.join(contexts.withColumnRenamed("persona_id", "agent_id"), ["agent_id"], "left")

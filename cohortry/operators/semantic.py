@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.measures import cosine
-from cohortry.operators.skew import skew_join, top_per_group
-
-MAX_BROADCAST_GROUPS = 2_000
+from cohortry.operators.skew import null_safe_join, top_per_group
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vector per group.
 
-    Dimensions are averaged as (group, position) cells with map-side partial sums, then put back in order; a group's
-    list has one entry per dimension, whatever its number of rows.
+    Vectors are summed whole by a partial aggregate, so each map task sends one vector per group.
     """
-    cells = df.select(group, F.posexplode(vector).alias("position", "x"))
-    means = cells.groupBy(group, "position").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    listed = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("c"))
-    return listed.select(group, F.transform("c", lambda p: p["x"]).alias("centroid"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return df.where(F.col(vector).isNotNull()).groupBy(group).agg(vector_to_array(mean).alias("centroid"))
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str, name: str = "semantic_similarity") -> DataFrame:
@@ -29,16 +26,12 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, name: str = "semantic_simi
 
 
 def centroid_similarity(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
-    """Cosine of every row's vector to its group's mean.
+    """Cosine of every row's vector to its group's mean; rows without a group are a group.
 
-    Groups are counted first: a few thousand mean vectors are broadcast, so the vectors of the table stay in place; with
-    more groups the join is salted.
+    Spark broadcasts mean vectors of few bytes, so the table's vectors stay in place; otherwise adaptive execution splits
+    large groups.
     """
-    rows, means = df.select(key, group, vector), centroids(df, group, vector)
-    if df.select(group).distinct().limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        joined = rows.join(F.broadcast(means), group)
-    else:
-        joined = skew_join(rows, means, [group], "inner", salt_by=[key])
+    joined = null_safe_join(df.select(key, group, vector), centroids(df, group, vector), [group])
     return pair_similarity(joined, vector, "centroid", "similarity").select(key, group, "similarity")
 
 

@@ -9,76 +9,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 0.001
-MIN_HEAVY_ROWS = 100_000
-
-
-def any_null(keys: Sequence[str]) -> Column:
-    """TRUE when at least one key is NULL."""
-    return functools.reduce(operator.or_, (F.col(k).isNull() for k in keys))
-
-
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, min_rows: int = MIN_HEAVY_ROWS
-) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows and at least ``min_rows`` rows.
-
-    At most ``1 / share`` keys can do so, which bounds the result to 1000 rows at the default and makes it safe to
-    broadcast. Counting is a partial aggregate, so a hot key costs one row per map task.
-    """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = (F.col("_n") >= min_rows) & (F.col("_n") >= total * share) & ~any_null(keys)
-    return counts.where(hot).select(*keys)
-
-
-def skew_join(
-    fact: DataFrame,
-    other: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    salt_by: Sequence[str],
-    salts: int = 32,
-    share: float = HEAVY_SHARE,
-    min_rows: int = MIN_HEAVY_ROWS,
-) -> DataFrame:
-    """Equi-join whose hot keys are spread over ``salts`` tasks.
-
-    Only heavy keys are salted: their rows on the fact side are split by a hash of ``salt_by`` and the matching rows of
-    the other side are repeated once per salt. NULL keys never match, so they are spread as well. ``how`` may be inner,
-    left, left_semi or left_anti.
-    """
-    on = list(on)
-    hot = F.broadcast(heavy_keys(fact, on, share, min_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts)).cast("int")
-    left = fact.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | any_null(on), spread).otherwise(0)
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = other.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
-
-
-def dimension_join(
-    fact: DataFrame,
-    dimension: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    salt_by: Sequence[str],
-    max_rows: int = 50_000,
-) -> DataFrame:
-    """Join with a table that is usually small.
-
-    Its rows are counted first, up to the bound. Within the bound it is broadcast, so the fact is not shuffled and hot
-    keys do not matter; beyond it the salted join is used.
-    """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
-        return fact.join(F.broadcast(dimension), list(on), how)
-    return skew_join(fact, dimension, on, how, salt_by=salt_by)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the keys come from the left side."""
+    named = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+    if not keys:
+        return left.crossJoin(named)
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return left.join(named, same).drop(*[f"_k_{c}" for c in keys])
 
 
 def sequence_within_key(
@@ -88,31 +25,33 @@ def sequence_within_key(
 
     ``bucket`` must never decrease along ``order`` (a truncated timestamp, say). Rows are sorted per (key, bucket) and
     the sizes of the earlier buckets are added, so a hot key is split over as many tasks as it has buckets. ``order``
-    must be unique within a key.
+    must be unique within a key. A NULL key is a key of its own; a NULL bucket comes last, as NULL does in the order.
     """
     keyed = df.withColumn("_bucket", bucket)
     cell = [*keys, "_bucket"]
     sizes = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
-    ranked = keyed.withColumn("_local", local)
-    return (
-        ranked.join(offsets, cell)
-        .withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_bucket", "_local", "_offset")
-    )
+    local = F.row_number().over(Window.partitionBy(*cell).orderBy(*[F.col(c).asc_nulls_last() for c in order])) - 1
+    placed = null_safe_join(keyed.withColumn("_local", local), offsets, cell)
+    return placed.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")).drop("_bucket", "_local", "_offset")
 
 
-def rank_by_hash(df: DataFrame, key: str, tie: str, name: str = "sample_rank", digits: int = 4) -> DataFrame:
-    """1-based global rank along a uniformly distributed hex key.
+def first_by_hash(df: DataFrame, key: str, tie: str, n: int, name: str = "sample_rank", digits: int = 4) -> DataFrame:
+    """The first ``n`` rows along a uniformly distributed hex key, with their 1-based rank.
 
-    The key's first hex digits cut the rows into 16**digits even buckets; each bucket is ranked on its own and shifted
-    by the sizes of the earlier ones. Replaces a single-task ``row_number`` over the whole table.
+    The key's first hex digits cut the rows into 16**digits even buckets. Their sizes tell the last bucket that is needed;
+    rows behind it are dropped before anything is sorted, and each bucket is ranked on its own. So the sort follows ``n``
+    and no task holds more than a bucket.
     """
-    return sequence_within_key(
-        df.withColumn("_all", F.lit(0)), ["_all"], [key, tie], F.substring(key, 1, digits), "_position"
-    ).select(*df.columns, (F.col("_position") + 1).alias(name))
+    bucketed = df.withColumn("_bucket", F.substring(key, 1, digits))
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    # at most 16**digits rows
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_offset") < n).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, tie))
+    kept = bucketed.join(offsets, "_bucket").withColumn(name, (rank + F.col("_offset")).cast("bigint"))
+    return kept.where(F.col(name) <= n).select(*df.columns, name)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:

@@ -120,27 +120,27 @@ def missing_ids(spark, d) -> DataFrame:
 
 
 _PEOPLE_CELLS = ("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
-_ROW_HASH_SQL = "('0x' || substr(md5(concat_ws('␟', {cells})), 1, 15))::BIGINT"
-_PEOPLE_HASH_SQL = _ROW_HASH_SQL.format(
-    cells=", ".join(f"{c}::VARCHAR" for c in _PEOPLE_CELLS) + ", c_acctbal::DECIMAL(18,4)::VARCHAR"
+_PEOPLE_CELLS_SQL = ", ".join(
+    f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in [*(f"{c}::VARCHAR" for c in _PEOPLE_CELLS), "c_acctbal::DECIMAL(18,4)::VARCHAR"]
 )
 
 
 @query("cohort_manifest", f"""WITH {PEOPLE_SQL}, {SAMPLE_SQL},
-    source AS (SELECT sum({_PEOPLE_HASH_SQL})::VARCHAR AS fingerprint, count(*) AS row_count,
-                      count(*) FILTER (WHERE {TARGET_SQL}) AS matching_count FROM people),
-    drawn AS (SELECT count(*) AS sampled, string_agg(c_custkey::VARCHAR, ',' ORDER BY sample_rank) AS persona_ids FROM sample)
+    hashed AS (SELECT *, md5(concat_ws(',', {_PEOPLE_CELLS_SQL})) AS digest FROM people),
+    source AS (SELECT sum(('0x' || substr(digest, 1, 16))::UBIGINT)::VARCHAR || '-' || sum(('0x' || substr(digest, 17, 16))::UBIGINT)::VARCHAR
+                        AS fingerprint, count(*) AS row_count, count(*) FILTER (WHERE {TARGET_SQL}) AS matching_count FROM hashed),
+    drawn AS (SELECT count(*) AS sampled FROM sample)
     SELECT 'cohort_' || substr(sha256(fingerprint || '|' || '{TARGET.canonical_json()}' || '|' || '{SAMPLE.canonical_json()}'), 1, 16) AS cohort_id,
       'asia_europe_builders' AS name, fingerprint AS source_fingerprint, row_count, matching_count,
       '{TARGET.canonical_json()}' AS canonical_filter_json, sha256('{TARGET.canonical_json()}') AS filter_hash,
       'c_acctbal >= 500; c_acctbal <= 8500; r_name in (ASIA, EUROPE); c_mktsegment in (BUILDING, MACHINERY)' AS human_readable_filter,
-      20::BIGINT AS sample_size, 42::BIGINT AS seed, 'deterministic_random' AS method, sampled, persona_ids
+      20::BIGINT AS sample_size, 42::BIGINT AS seed, 'deterministic_random' AS method, sampled
     FROM source, drawn""")
 def cohort_manifest(spark, d) -> DataFrame:
     rows = people(spark, d)
     cells = [*[F.col(c) for c in _PEOPLE_CELLS], F.col("c_acctbal").cast("decimal(18,4)")]
     row = cohort.manifest(rows, REQUEST, cohort.draw_sample(rows, TARGET, SAMPLE), inspect.dataset_fingerprint(rows, cells))
-    return row.drop("filters").withColumn("persona_ids", F.array_join("persona_ids", ","))
+    return row.drop("filters")
 
 
 @query("safe_projection", "SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey FROM customer")
@@ -203,7 +203,8 @@ def ordinal_observed(spark, d) -> DataFrame:
 # --- inspection ------------------------------------------------------------------------------------------------------
 
 _SPARK_TYPE_SQL = """CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint'
-  WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp' END"""
+  WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'another type' END"""
 
 
 def _profile_sql(relation: str, columns: tuple[str, ...], typed: bool) -> str:
@@ -217,13 +218,13 @@ def _profile_sql(relation: str, columns: tuple[str, ...], typed: bool) -> str:
     return " UNION ALL ".join(rows)
 
 
-_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 _DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "quality_note", "toxic_note")
 
 
 @query("table_schema_profile", _profile_sql("orders", _ORDER_COLUMNS, typed=True))
 def table_schema_profile(spark, d) -> DataFrame:
-    profile = inspect.null_profile(table(spark, d, "orders").select(*_ORDER_COLUMNS))
+    profile = inspect.null_profile(table(spark, d, "orders"))
     return profile.withColumn("null_ratio", r6(F.col("null_ratio")))
 
 
@@ -296,12 +297,15 @@ def mask_table(spark, d) -> DataFrame:
     return inspect.mask_table(table(spark, d, "events"), ["props"])
 
 
-@query("dataset_fingerprint", """
-    SELECT 'documents' AS table_name, count(*) AS n_rows,
-      sum(('0x' || substr(md5(concat_ws('␟', doc_id::VARCHAR, text, lang, source, n_chars::VARCHAR)), 1, 15))::BIGINT)::VARCHAR AS fingerprint
-    FROM documents UNION ALL
-    SELECT 'pages', count(*), sum(('0x' || substr(md5(concat_ws('␟', page_id::VARCHAR, url, html)), 1, 15))::BIGINT)::VARCHAR
-    FROM pages""")
+def _fingerprint_sql(relation: str, columns: tuple[str, ...]) -> str:
+    cells = ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    half = lambda at: f"sum(('0x' || substr(digest, {at}, 16))::UBIGINT)::VARCHAR"
+    return (f"SELECT '{relation}' AS table_name, count(*) AS n_rows, {half(1)} || '-' || {half(17)} AS fingerprint "
+            f"FROM (SELECT md5(concat_ws(',', {cells})) AS digest FROM {relation})")
+
+
+@query("dataset_fingerprint", _fingerprint_sql("documents", ("doc_id", "text", "lang", "source", "n_chars")) + " UNION ALL "
+       + _fingerprint_sql("pages", ("page_id", "url", "html")))
 def dataset_fingerprint(spark, d) -> DataFrame:
     tables = [inspect.dataset_fingerprint(table(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("documents", "pages")]
     return tables[0].unionByName(tables[1]).select("table_name", "n_rows", "fingerprint")

@@ -22,10 +22,13 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query("repeat_pairs", f"""WITH {PAIRS_SQL}
-    SELECT run_id, agent_id, root_question_id, response_id_a, response_id_b, stance_a, stance_b, response_text_a, response_text_b FROM pairs""")
+    SELECT project_id, run_id, agent_id, root_question_id, response_id_a, response_id_b, stance_a, stance_b, response_text_a, response_text_b FROM pairs""")
 def repeat_pairs(spark, d) -> DataFrame:
-    return compare.repeat_pairs(panel(spark, d)).select(
-        "run_id", "agent_id", "root_question_id", "response_id_a", "response_id_b", "stance_a", "stance_b",
+    # a second project has the same run and agents but only the originals: nothing pairs across projects
+    rows = panel(spark, d)
+    other = rows.where(F.col("question_type") == "ORIGINAL").withColumn("project_id", F.lit("project_other"))
+    return compare.repeat_pairs(rows.union(other)).select(
+        "project_id", "run_id", "agent_id", "root_question_id", "response_id_a", "response_id_b", "stance_a", "stance_b",
         "response_text_a", "response_text_b",
     )
 
@@ -91,7 +94,7 @@ condition_pairs AS (
 
 def condition_pairs(spark, d) -> DataFrame:
     """Evaluated pairs of the pressure condition against the original one."""
-    return compare.evaluate_pairs(compare.condition_pairs(both_runs(spark, d), "condition", "ORIGINAL"))
+    return compare.evaluate_pairs(compare.condition_pairs(both_runs(spark, d), "condition", "ORIGINAL", carry=("r_name",)))
 
 
 @query("condition_vs_baseline", f"""WITH {_BOTH_SQL}
@@ -110,8 +113,7 @@ def condition_vs_baseline(spark, d) -> DataFrame:
 def change_reason(spark, d) -> DataFrame:
     # the pressure condition is the changed question type of every b side
     pairs = condition_pairs(spark, d).withColumn("question_type_b", F.col("condition"))
-    regions = people(spark, d).select(F.col("c_custkey").alias("agent_id"), "r_name")
-    return compare.change_reason(pairs).join(regions, "agent_id").groupBy("r_name", "change_reason").agg(F.count("*").alias("n"))
+    return compare.change_reason(pairs).groupBy("r_name", "change_reason").agg(F.count("*").alias("n"))
 
 
 # --- texts -----------------------------------------------------------------------------------------------------------
@@ -177,21 +179,27 @@ def panel_stance_distribution(spark, d) -> DataFrame:
 
 
 @query("item_frequency", f"""WITH {PANEL_SQL},
-    sizes AS (SELECT r_name, count(*) AS m FROM panel GROUP BY r_name)
+    grouped AS (SELECT nullif(r_name, 'ASIA') AS r_name, concerns FROM panel),
+    sizes AS (SELECT r_name AS r0, count(*) AS m FROM grouped GROUP BY r_name)
     SELECT r_name, item, count(*) AS n, round(count(*)::DOUBLE / any_value(m), 6) AS share
-    FROM (SELECT r_name, unnest(concerns) AS item FROM panel) JOIN sizes USING (r_name) GROUP BY r_name, item""")
+    FROM (SELECT r_name, unnest(concerns) AS item FROM grouped) g JOIN sizes s ON g.r_name IS NOT DISTINCT FROM s.r0 GROUP BY r_name, item""")
 def item_frequency(spark, d) -> DataFrame:
-    return _round(distributions.item_frequency(panel(spark, d), ["r_name"], "concerns"), "share")
+    # one region loses its name: rows without a group are a group
+    rows = panel(spark, d).withColumn("r_name", F.nullif("r_name", F.lit("ASIA")))
+    return _round(distributions.item_frequency(rows, ["r_name"], "concerns"), "share")
 
 
 @query("distribution_shift", f"""WITH {CLICKS_SQL},
-    halves AS (SELECT *, CASE WHEN day < '2024-01-16' THEN 'first' ELSE 'second' END AS half FROM clicks),
+    halves AS (SELECT * REPLACE (nullif(event_type, 'click') AS event_type, nullif(arm, 'C') AS arm),
+      CASE WHEN day < '2024-01-16' THEN 'first' ELSE 'second' END AS half FROM clicks),
     shares AS (SELECT arm, half, event_type, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY arm, half) AS s FROM halves GROUP BY arm, half, event_type),
-    sides AS (SELECT coalesce(a.arm, b.arm) AS arm, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS q
-      FROM (FROM shares WHERE half = 'first') a FULL JOIN (FROM shares WHERE half = 'second') b ON a.arm = b.arm AND a.event_type = b.event_type)
+    sides AS (SELECT arm, event_type, coalesce(sum(s) FILTER (WHERE half = 'first'), 0) AS p, coalesce(sum(s) FILTER (WHERE half = 'second'), 0) AS q
+      FROM shares GROUP BY arm, event_type)
     SELECT arm, round(sum(abs(p - q)) / 2, 6) AS total_variation FROM sides GROUP BY arm""")
 def distribution_shift(spark, d) -> DataFrame:
-    halves = clicks(spark, d).withColumn("half", F.when(F.col("day") < "2024-01-16", "first").otherwise("second"))
+    # one category and one group are NULL
+    rows = clicks(spark, d).withColumns({"event_type": F.nullif("event_type", F.lit("click")), "arm": F.nullif("arm", F.lit("C"))})
+    halves = rows.withColumn("half", F.when(F.col("day") < "2024-01-16", "first").otherwise("second"))
     return _round(
         distributions.distribution_shift(halves, ["arm"], "event_type", "half", "first", "second"), "total_variation"
     )
@@ -200,7 +208,7 @@ def distribution_shift(spark, d) -> DataFrame:
 # --- rare answers ----------------------------------------------------------------------------------------------------
 
 _MARKED_SQL = f"""{PANEL_SQL},
-marked AS (SELECT response_id, c_mktsegment, question_id, concat_ws('|', stance, array_to_string(list_sort(concerns), ','),
+marked AS (SELECT response_id, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, substr(question_id, 1, 10) AS question_id, concat_ws('|', stance, array_to_string(list_sort(concerns), ','),
     array_to_string(list_sort(acceptance_conditions), ',')) AS signature
   FROM panel WHERE status = 'success'),
 counted AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment, question_id, signature) AS signature_count FROM marked)"""
@@ -210,7 +218,9 @@ def marked_panel(spark, d) -> DataFrame:
     """Successful panel answers with their signature."""
     ok = panel(spark, d).where(F.col("status") == "success")
     mark = distributions.signature(F.col("stance"), F.col("concerns"), F.col("acceptance_conditions"))
-    return ok.select("response_id", "c_mktsegment", "question_id", mark.alias("signature"))
+    # one segment has no name, and questions are the priorities
+    segment, topic = F.nullif("c_mktsegment", F.lit("BUILDING")), F.substring("question_id", 1, 10)
+    return ok.select("response_id", segment.alias("c_mktsegment"), topic.alias("question_id"), mark.alias("signature"))
 
 
 @query("minority_candidates", f"WITH {_MARKED_SQL} SELECT * FROM counted WHERE signature_count <= 1")
@@ -221,7 +231,8 @@ def minority_candidates(spark, d) -> DataFrame:
 @query("minority_quantile", f"""WITH {_MARKED_SQL},
     signatures AS (SELECT DISTINCT c_mktsegment, question_id, signature, signature_count FROM counted),
     ranked AS (SELECT *, percent_rank() OVER (PARTITION BY c_mktsegment, question_id ORDER BY signature_count) AS pr FROM signatures)
-    SELECT c.* FROM counted c JOIN ranked r USING (c_mktsegment, question_id, signature) WHERE r.pr <= 0.6""")
+    SELECT c.* FROM counted c JOIN ranked r ON c.c_mktsegment IS NOT DISTINCT FROM r.c_mktsegment AND c.question_id = r.question_id
+      AND c.signature = r.signature WHERE r.pr <= 0.6""")
 def minority_quantile(spark, d) -> DataFrame:
     return distributions.minority_by_quantile(
         marked_panel(spark, d), ["c_mktsegment", "question_id"], "signature", "response_id", 0.6
@@ -263,12 +274,12 @@ def _long_sql() -> str:
         for m in METRICS
     ]
     reasons = {
-        "semantic_similarity": "embedding provider", "nli_contradiction": "inference model",
-        "llm_judge_contradiction": "judge model", "llm_judge_reason_retention": "judge model",
+        "semantic_similarity": "needs vectors of the answers", "nli_contradiction": "needs an inference model",
+        "llm_judge_contradiction": "needs a judging model", "llm_judge_reason_retention": "needs a judging model",
     }
     rows += [
         f"SELECT run_id, comparison_id, r_name, coalesce(needs_human_review, true), '{m}', 'not_computed', NULL, "
-        f"'{r} is not available in the current no-API scope', 'v1' FROM evaluated" for m, r in reasons.items()
+        f"'{r}', 'v1' FROM evaluated" for m, r in reasons.items()
     ]
     return f"{PAIRS_SQL}, long AS ({' UNION ALL '.join(rows)})"
 

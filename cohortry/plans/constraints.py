@@ -9,7 +9,6 @@ from cohortry.operators import checks
 from cohortry.plans.contexts import TURNS_SQL, turn_questions
 from cohortry.plans.registry import query
 from cohortry.plans.tables import PANEL_SQL, PEOPLE_SQL, panel_nested, people, table
-from cohortry.spec import TableSpec
 
 
 @query("check_vocabulary", """
@@ -119,19 +118,3 @@ def check_variant_metadata(spark, d) -> DataFrame:
         "p_partkey", F.coalesce(F.try_element_at(kinds, F.col("p_type")), F.lit("none")).alias("kind"), metadata.alias("metadata")
     )
     return checks.check_variant_metadata(variants, "p_partkey", "kind", "metadata")
-
-
-_WIDE = TableSpec(
-    id_column="doc_id", base_context=("doc_id", "lang", "country"), extended_context=("n_chars", "quality"),
-    trait_columns=("openness",), narratives=("story",),
-)
-
-
-@query("missing_columns", """
-    WITH gaps(level, "column") AS (VALUES ('P1', 'country'), ('P2', 'country'), ('P2', 'quality'), ('P3', 'country'), ('P3', 'quality'),
-      ('P3', 'story'), ('trait', 'openness'))
-    SELECT level, "column", (SELECT count(*) FROM documents) AS n_rows FROM gaps""")
-def missing_columns(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    total = docs.agg(F.count("*")).scalar()
-    return checks.missing_columns(docs, _WIDE).withColumn("n_rows", total)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry import vocab
-from cohortry.functions.hashing import banded_score, choose, choose_two, digest_byte
+from cohortry.functions.hashing import choose, digest_byte
 from cohortry.operators import cohort, context, design, responses
 from cohortry.plans.cohorts import SAMPLE, SAMPLE_SQL, TARGET
 from cohortry.plans.registry import query
 from cohortry.plans.tables import (
-    BOTH_RUNS_SQL, DOCUMENTS, DOCUMENTS_SQL, PANEL_SQL, PEOPLE, PEOPLE_SQL, PRESSURE, QUESTIONS, RUN, both_runs, byte_sql,
-    cells_sql, choose_sql, choose_two_sql, documents, panel, panel_cells, panel_nested, people, score_sql, table,
+    BOTH_RUNS_SQL, DOCUMENTS, DOCUMENTS_SQL, PANEL_SQL, PEOPLE, PEOPLE_SQL, PRESSURE, RUN, both_runs, byte_sql,
+    cells_sql, choose_sql, documents, matrix_cells, panel, panel_cells, panel_nested, people, table,
 )
 
 
@@ -20,7 +19,7 @@ from cohortry.plans.tables import (
     SELECT sample_rank, c_custkey AS persona_id, r_name, n_name, c_mktsegment FROM sample JOIN people USING (c_custkey)""")
 def context_level1(spark, d) -> DataFrame:
     rows = people(spark, d)
-    return context.build_context(rows, PEOPLE, "P1", cohort.draw_sample(rows, TARGET, SAMPLE), SAMPLE.sample_size)
+    return context.build_context(rows, PEOPLE, "P1", cohort.draw_sample(rows, TARGET, SAMPLE))
 
 
 @query("context_level2", f"WITH {PEOPLE_SQL} SELECT c_custkey AS persona_id, r_name, n_name, c_mktsegment, c_acctbal FROM people")
@@ -52,7 +51,7 @@ def narratives_long(spark, d) -> DataFrame:
 @query("response_matrix", f"""WITH {PEOPLE_SQL}, {cells_sql()}
     SELECT run_id, agent_id, question_id, question_type, repeat_of_question_id, repeat_index, response_id FROM cells""")
 def response_matrix(spark, d) -> DataFrame:
-    return panel_cells(spark, d).select(
+    return matrix_cells(spark, d).select(
         "run_id", "agent_id", "question_id", "question_type", "repeat_of_question_id", "repeat_index", "response_id"
     )
 
@@ -61,28 +60,14 @@ def _order_byte(i: int) -> Column:
     return digest_byte(F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit("|arms")), 256), i)
 
 
-_OB = [byte_sql("sha256(o_orderkey || '|arms')", i) for i in range(6)]
+_OB = [byte_sql("sha256(o_orderkey || '|arms')", i) for i in range(2)]
 
 
 @query("hash_assignment", f"""
-    SELECT o_orderkey, {choose_sql(('A', 'B', 'C'), _OB[0])} AS arm, {_OB[1]} % 5 AS fold,
-      {choose_sql(vocab.STANCES, _OB[2])} AS stance, {score_sql(choose_sql(vocab.STANCES, _OB[2]), _OB[3])} AS score FROM orders""")
+    SELECT o_orderkey, {choose_sql(('A', 'B', 'C'), _OB[0])} AS arm, {_OB[1]} % 5 AS fold FROM orders""")
 def hash_assignment(spark, d) -> DataFrame:
-    stance = choose(vocab.STANCES, _order_byte(2))
     return table(spark, d, "orders").select(
-        "o_orderkey", choose(("A", "B", "C"), _order_byte(0)).alias("arm"), (_order_byte(1) % 5).cast("int").alias("fold"),
-        stance.alias("stance"), banded_score(stance, _order_byte(3)).cast("int").alias("score"),
-    )
-
-
-@query("hash_label_set", f"""
-    SELECT o_orderkey, array_to_string({choose_two_sql(vocab.CONCERNS, _OB[2], _OB[3])}, ',') AS concerns,
-      array_to_string({choose_two_sql(vocab.CONDITIONS, _OB[4], _OB[5])}, ',') AS conditions FROM orders""")
-def hash_label_set(spark, d) -> DataFrame:
-    return table(spark, d, "orders").select(
-        "o_orderkey",
-        F.array_join(choose_two(vocab.CONCERNS, _order_byte(2), _order_byte(3)), ",").alias("concerns"),
-        F.array_join(choose_two(vocab.CONDITIONS, _order_byte(4), _order_byte(5)), ",").alias("conditions"),
+        "o_orderkey", choose(("A", "B", "C"), _order_byte(0)).alias("arm"), (_order_byte(1) % 5).cast("int").alias("fold")
     )
 
 
@@ -95,15 +80,17 @@ def response_matrix_scored(spark, d) -> DataFrame:
     return panel(spark, d).select(*_PANEL_COLUMNS)
 
 
-@query("response_errors", f"""WITH {PANEL_SQL} SELECT run_id, status, error_type, count(*) AS n FROM panel GROUP BY ALL""")
+@query("response_errors", f"""WITH {PANEL_SQL} SELECT project_id, run_id, status, error_type, count(*) AS n FROM panel GROUP BY ALL""")
 def response_errors(spark, d) -> DataFrame:
     return responses.error_counts(panel(spark, d))
 
 
 def price_model(cell: dict) -> tuple[str, dict]:
-    """A user's generator: refuses negative balances and rates the rest by size."""
-    if cell["c_acctbal"] < 0:
+    """A user's generator: refuses negative balances and rates the rest by size; unrated people have no balance."""
+    if cell["c_acctbal"] is None or cell["c_acctbal"] < 0:
         raise ValueError("negative balance")
+    if cell["rank"] is not None and not isinstance(cell["rank"], int):
+        raise TypeError("an integer became something else")
     stance = "support" if cell["c_acctbal"] >= 5000 else "neutral" if cell["c_acctbal"] >= 1000 else "oppose"
     score = {"support": 5, "neutral": 3, "oppose": 1}[stance]
     answer = {"stance": stance, "stance_score": score, "reasoning_summary": "balance", "concerns": [], "acceptance_conditions": []}
@@ -119,8 +106,10 @@ def price_model(cell: dict) -> tuple[str, dict]:
         || ' from ' || r_name AS response_text
     FROM cells""")
 def generated_responses(spark, d) -> DataFrame:
-    cells = panel_cells(spark, d).select("response_id", "r_name", "c_acctbal")
-    filled = responses.generate_responses(cells, price_model)
+    # the rank is NULL for a part of the people
+    rank = F.when(F.col("agent_id") % 3 == 0, F.col("agent_id"))
+    cells = matrix_cells(spark, d).select("response_id", "r_name", "c_acctbal", rank.alias("rank"))
+    filled = responses.generate_responses(cells, price_model, (ValueError,))
     return filled.select(
         "response_id", "status", "error_type", "structured_response.stance", "structured_response.stance_score", "response_text"
     )
@@ -131,12 +120,13 @@ def generated_responses(spark, d) -> DataFrame:
       CASE run_id WHEN 'run_001' THEN 'Market reform' ELSE 'Reform under pressure' END AS title, question_text, stance, r_name, n_name, c_mktsegment
     FROM both_runs""")
 def response_trace(spark, d) -> DataFrame:
-    rows = both_runs(spark, d).select("response_id", "run_id", "scenario_id", "agent_id", "question_id", "stance")
-    runs = spark.createDataFrame([(r.run_id, r.context_level) for r in (RUN, PRESSURE)], "run_id string, persona_context_level string")
-    scenarios = spark.createDataFrame(
-        [(RUN.scenario_id, "Market reform"), (PRESSURE.scenario_id, "Reform under pressure")], "scenario_id string, title string"
-    )
-    questions = spark.createDataFrame([(q.question_id, q.question_text) for q in QUESTIONS], "question_id string, question_text string")
+    asked = both_runs(spark, d)
+    rows = asked.select("response_id", "project_id", "run_id", "scenario_id", "agent_id", "question_id", "stance")
+    runs = spark.createDataFrame([(r.project_id, r.run_id, r.question_set_id, r.context_level) for r in (RUN, PRESSURE)],
+                                 "project_id string, run_id string, question_set_id string, persona_context_level string")
+    scenarios = spark.createDataFrame([(RUN.project_id, RUN.scenario_id, "Market reform"), (RUN.project_id, PRESSURE.scenario_id, "Reform under pressure")],
+                                      "project_id string, scenario_id string, title string")
+    questions = asked.select("project_id", F.lit(RUN.question_set_id).alias("question_set_id"), "question_id", "question_text").distinct()
     contexts = context.build_context(people(spark, d), PEOPLE, "P1")
     traced = responses.trace_responses(rows, runs, scenarios, questions, contexts)
     return traced.select(
@@ -144,10 +134,13 @@ def response_trace(spark, d) -> DataFrame:
     )
 
 
-@query("retry_set", f"WITH {PANEL_SQL} SELECT run_id, agent_id, question_id, repeat_index, response_id FROM panel WHERE status <> 'success'")
+@query("retry_set", f"""WITH {PANEL_SQL}
+    SELECT project_id, run_id, agent_id, question_id, repeat_index, response_id FROM panel WHERE status <> 'success'
+    UNION ALL SELECT 'project_other', run_id, agent_id, question_id, repeat_index, response_id FROM panel""")
 def retry_set(spark, d) -> DataFrame:
-    cells = panel_cells(spark, d).select(*responses.RESPONSE_KEY, "response_id")
-    return responses.retry_set(cells, panel(spark, d))
+    # a second project asks the same and has no answers yet: those of the first don't count for it
+    cells = panel_cells(spark, d)
+    return responses.retry_set(cells.union(cells.withColumn("project_id", F.lit("project_other"))), panel(spark, d))
 
 
 def turn_questions(spark, d) -> DataFrame:
@@ -179,8 +172,8 @@ def repeat_count(spark, d) -> DataFrame:
 
 
 @query("run_summary", f"""WITH {PANEL_SQL}
-    SELECT run_id, count(*) AS planned, count(*) AS stored, count(*) FILTER (WHERE status = 'success') AS succeeded,
-      count(*) FILTER (WHERE status <> 'success') AS failed, count(DISTINCT error_type) AS error_types FROM panel GROUP BY run_id""")
+    SELECT project_id, run_id, count(*) AS planned, count(*) AS stored, count(*) FILTER (WHERE status = 'success') AS succeeded,
+      count(*) FILTER (WHERE status <> 'success') AS failed, count(DISTINCT error_type) AS error_types FROM panel GROUP BY project_id, run_id""")
 def run_summary(spark, d) -> DataFrame:
     return responses.run_summary(panel_cells(spark, d), panel_nested(spark, d))
 

@@ -75,20 +75,20 @@ def history_pairs(spark, d) -> DataFrame:
 
 @query("response_filter", f"""WITH {PANEL_SQL}
     SELECT response_id, r_name, question_id, stance, response_text FROM panel
-    WHERE stance IN ('support', 'oppose') AND r_name IN ('AMERICA', 'EUROPE') AND question_id IN ('question_price')
-      AND contains(response_text, '형평성')""")
+    WHERE stance IN ('support', 'oppose') AND r_name IN ('AMERICA', 'EUROPE') AND question_id IN ('question_1_0', 'question_2_0')
+      AND contains(response_text, 'R')""")
 def response_filter(spark, d) -> DataFrame:
     kept = review.filter_responses(
         panel(spark, d),
-        {"stance": ["support", "oppose"], "r_name": ["AMERICA", "EUROPE"], "question_id": ["question_price"]},
-        {"response_text": "형평성"},
+        {"stance": ["support", "oppose"], "r_name": ["AMERICA", "EUROPE"], "question_id": ["question_1_0", "question_2_0"]},
+        {"response_text": "R"},
     )
     return kept.select("response_id", "r_name", "question_id", "stance", "response_text")
 
 
 @query("follow_up_candidates", f"""WITH {PAIRS_SQL}
     SELECT comparison_id, response_id_a, response_id_b, contradiction_candidate, stance_score_delta FROM evaluated WHERE needs_human_review
-    QUALIFY row_number() OVER (PARTITION BY response_id_a
+    QUALIFY row_number() OVER (PARTITION BY project_id, run_id, agent_id, root_question_id
       ORDER BY contradiction_candidate DESC, abs(stance_score_delta) DESC NULLS LAST, comparison_id) = 1""")
 def follow_up_candidates(spark, d) -> DataFrame:
     chosen = compare.follow_up_candidates(compare.evaluate_pairs(compare.repeat_pairs(panel(spark, d))))

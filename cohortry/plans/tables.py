@@ -1,18 +1,18 @@
 """Roles that the given tables play, as DataFrames and as SQL ``WITH`` parts for the twins.
 
 people     customer with its nation and region: the entity table
-panel      every person x four questions, answered by hash: the response table
+panel      orders of two periods: the response table
 clicks     events as responses: agent = user, stance by event type, score in the JSON text
 documents  long texts with labels: narratives and raters
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry import vocab
-from cohortry.functions.hashing import choose, digest_byte
+from cohortry.functions.hashing import choose, digest_byte, digest_id
 from cohortry.functions.json_fields import json_integer
 from cohortry.operators import compare, responses
 from cohortry.spec import Question, Run, TableSpec
@@ -92,57 +92,19 @@ QUESTIONS = (
     Question("question_service_again", "Is the new service useful?", "SAME_QUESTION_REPEAT", "question_service"),
 )
 RUN = Run("project_panel", "run_001", "cohort_all", "scenario_market", "question_set_main", seed=7)
-VARIANTS = (("A", "Prices rise once."), ("B", "Prices rise in steps."))
-CONTEXT_FIELDS = ("persona_id", "r_name", "n_name", "c_mktsegment")
 
 
-def panel_cells(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
+def matrix_cells(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
     """Planned cells: every person x every question."""
-    contexts = people(spark, d).withColumnRenamed("c_custkey", "persona_id")
-    contexts = responses.mark_failing(contexts, failing_agents(spark, d))
-    return responses.plan_responses(contexts, QUESTIONS, run)
-
-
-def panel_context() -> Column:
-    """Context struct whose JSON enters the hashed payload."""
-    return F.struct(F.col("agent_id").alias("persona_id"), *CONTEXT_FIELDS[1:])
-
-
-def failing_agents(spark: SparkSession, d: str) -> DataFrame:
-    """Agents whose generation fails: people with a negative balance."""
-    return table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("persona_id"))
-
-
-def panel_nested(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
-    """The answered panel with nested payload and error rows."""
-    return responses.nest_responses(panel(spark, d, run))
-
-
-def panel(spark: SparkSession, d: str, run: Run = RUN) -> DataFrame:
-    """The answered panel with flat answer columns and error rows."""
-    reason = F.concat_ws(" ", "r_name", "c_mktsegment", "question_type")
-    return responses.score_flat(panel_cells(spark, d, run), panel_context(), VARIANTS, run, reason)
+    return responses.plan_responses(people(spark, d).withColumnRenamed("c_custkey", "persona_id"), QUESTIONS, run)
 
 
 def byte_sql(digest: str, index: int) -> str:
     return f"('0x' || substr({digest}, {2 * index + 1}, 2))::INTEGER"
 
 
-def _list_sql(values) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
 def choose_sql(values, number: str) -> str:
-    return f"{_list_sql(values)}[{number} % {len(values)} + 1]"
-
-
-def choose_two_sql(values, first: str, second: str) -> str:
-    a, b = choose_sql(values, first), choose_sql(values, second)
-    return f"CASE WHEN {a} = {b} THEN [{a}] ELSE [{a}, {b}] END"
-
-
-def score_sql(stance: str, number: str) -> str:
-    return f"CASE {stance} WHEN 'support' THEN 4 + {number} % 2 WHEN 'neutral' THEN 3 ELSE 1 + {number} % 2 END"
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{number} % {len(values)} + 1]"
 
 
 _QUESTION_ROWS = ",\n    ".join(
@@ -150,7 +112,6 @@ _QUESTION_ROWS = ",\n    ".join(
     + (f"'{q.repeat_of_question_id}'" if q.repeat_of_question_id else "NULL") + ")"
     for q in QUESTIONS
 )
-_SCENARIO = "|".join(f"{label}:{text}" for label, text in VARIANTS)
 
 
 def cells_sql(run: Run = RUN, name: str = "cells") -> str:
@@ -163,49 +124,102 @@ def cells_sql(run: Run = RUN, name: str = "cells") -> str:
     {_QUESTION_ROWS}) q(question_id, question_text, question_type, repeat_of_question_id))"""
 
 
-def answers_sql(run: Run = RUN, cells: str = "cells", name: str = "panel") -> str:
-    b = [byte_sql("h", i) for i in range(6)]
-    return f"""{name}_hashed AS (
-  SELECT *, sha256(agent_id || '||' || question_id || '||' || question_text || '||{run.scenario_id}||{_SCENARIO}||{run.run_id}||{run.seed}||'
-    || repeat_index || '||' || to_json({{'persona_id': agent_id, 'r_name': r_name, 'n_name': n_name, 'c_mktsegment': c_mktsegment}})::VARCHAR) AS h
-  FROM {cells}),
-{name}_raw AS (
-  SELECT * EXCLUDE (h), {choose_sql(vocab.STANCES, b[0])} AS stance0, {b[1]} AS b1,
-    {choose_two_sql(vocab.CONCERNS, b[2], b[3])} AS concerns0,
-    {choose_two_sql(vocab.CONDITIONS, b[4], b[5])} AS conditions0
-  FROM {name}_hashed),
-{name} AS (
-  SELECT * EXCLUDE (stance0, b1, concerns0, conditions0),
-    CASE WHEN c_acctbal >= 0 THEN stance0 END AS stance,
-    CASE WHEN c_acctbal >= 0 THEN {score_sql('stance0', 'b1')} END AS stance_score,
+# the same questions in later orders, asked under another condition
+PRESSURE = Run("project_panel", "run_002", "cohort_all", "scenario_pressure", "question_set_main", seed=8, context_level="P1")
+LATER = "1998-04-17"
+STATUS_STANCES = {"F": "support", "O": "neutral", "P": "oppose"}
+
+
+def both_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as responses: the agent is the customer, the question is the priority, and of the orders that a customer
+    places with one priority the second, fourth and so on repeat the one before.
+
+    Orders before and after a date are two runs. The order's status is the stance, its price the score, the flags and the
+    states of its lines the named items. Customers with a negative balance give no answer.
+    """
+    flags = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set("l_returnflag")).alias("concerns"), F.array_sort(F.collect_set("l_linestatus")).alias("conditions"))
+    first = F.col("o_orderdate") < F.lit(LATER).cast("timestamp_ntz")
+    placed = table(spark, d, "orders").withColumn("run_id", F.when(first, RUN.run_id).otherwise(PRESSURE.run_id))
+    of_priority = Window.partitionBy("o_custkey", "o_orderpriority", "run_id").orderBy("o_orderdate", "o_orderkey")
+    asked = placed.withColumn("turn", F.row_number().over(of_priority) - 1).withColumn("repeat_index", F.col("turn") % 2)
+    topic = F.concat(F.lit("question_"), F.substring("o_orderpriority", 1, 1), F.lit("_"), F.floor(F.col("turn") / 2).cast("string"))
+    again, ok = F.col("repeat_index") == 1, F.col("c_acctbal") >= 0
+    items = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("concerns", "conditions")}
+    status = F.col("o_orderstatus")
+    stance = F.coalesce(*[F.when(status == s, F.lit(v)) for s, v in STATUS_STANCES.items()])
+    question_type = F.when(again, "SAME_QUESTION_REPEAT").otherwise("ORIGINAL")
+    text = F.concat(status, F.lit(": "), F.array_join(items["concerns"], ", "), F.lit(" / "), F.array_join(items["conditions"], ", "))
+    rows = asked.join(people(spark, d), F.col("o_custkey") == F.col("c_custkey")).join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    named = rows.select(
+        F.lit(RUN.project_id).alias("project_id"), F.lit(RUN.cohort_id).alias("cohort_id"), "run_id",
+        F.when(F.col("run_id") == RUN.run_id, RUN.scenario_id).otherwise(PRESSURE.scenario_id).alias("scenario_id"),
+        F.when(F.col("run_id") == RUN.run_id, "ORIGINAL").otherwise("SOCIAL_PRESSURE").alias("condition"),
+        F.col("o_custkey").alias("agent_id"), "r_name", "n_name", "c_mktsegment", "c_acctbal",
+        F.when(again, F.concat(topic, F.lit("_again"))).otherwise(topic).alias("question_id"),
+        F.concat(F.lit("How did the "), "o_orderpriority", F.lit(" order go?")).alias("question_text"),
+        question_type.alias("question_type"), F.when(again, topic).alias("repeat_of_question_id"), "repeat_index",
+        F.when(ok, stance).alias("stance"),
+        F.when(ok, F.least(F.lit(5), 1 + F.floor(F.col("o_totalprice") / 100_000))).cast("int").alias("stance_score"),
+        F.when(ok, items["concerns"]).alias("concerns"), F.when(ok, items["conditions"]).alias("acceptance_conditions"),
+        F.when(ok, F.concat_ws(" ", "r_name", "c_mktsegment", question_type)).alias("reasoning_summary"),
+        F.when(ok, text).alias("response_text"), F.when(ok, "success").otherwise("error").alias("status"),
+        F.when(~ok, vocab.GENERATION_ERROR).alias("error_type"),
+    )
+    return named.withColumn("response_id", digest_id("response_", 12, *[F.col(c) for c in responses.ID_PARTS]))
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    """The first run, with flat answer columns and error rows."""
+    return both_runs(spark, d).where(F.col("run_id") == RUN.run_id)
+
+
+def panel_cells(spark: SparkSession, d: str) -> DataFrame:
+    """What was asked in the first run, answered or not."""
+    return panel(spark, d).select(*responses.RESPONSE_KEY, "response_id")
+
+
+def panel_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The first run with nested payload and error rows."""
+    return responses.nest_responses(panel(spark, d))
+
+
+_STANCE_SQL = "CASE o_orderstatus " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in STATUS_STANCES.items()) + " END"
+BOTH_RUNS_SQL = f"""{PEOPLE_SQL},
+flags AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS concerns0, list_sort(list_distinct(list(l_linestatus))) AS conditions0
+  FROM lineitem GROUP BY l_orderkey),
+placed AS (SELECT *, CASE WHEN o_orderdate < TIMESTAMP '{LATER}' THEN '{RUN.run_id}' ELSE '{PRESSURE.run_id}' END AS run_id FROM orders),
+turns AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey, o_orderpriority, run_id ORDER BY o_orderdate, o_orderkey) - 1)::INTEGER AS turn
+  FROM placed),
+asked AS (SELECT *, 'question_' || substr(o_orderpriority, 1, 1) || '_' || (turn // 2) AS topic, turn % 2 AS repeat_index FROM turns),
+worded AS (
+  SELECT '{RUN.project_id}' AS project_id, run_id, CASE run_id WHEN '{RUN.run_id}' THEN 'ORIGINAL' ELSE 'SOCIAL_PRESSURE' END AS condition,
+         o_custkey AS agent_id, r_name, n_name, c_mktsegment, c_acctbal, repeat_index, o_orderstatus, o_totalprice,
+         CASE repeat_index WHEN 1 THEN topic || '_again' ELSE topic END AS question_id,
+         'How did the ' || o_orderpriority || ' order go?' AS question_text,
+         CASE repeat_index WHEN 1 THEN 'SAME_QUESTION_REPEAT' ELSE 'ORIGINAL' END AS question_type,
+         CASE repeat_index WHEN 1 THEN topic END AS repeat_of_question_id,
+         coalesce(concerns0, []::VARCHAR[]) AS concerns0, coalesce(conditions0, []::VARCHAR[]) AS conditions0
+  FROM asked JOIN people ON o_custkey = c_custkey LEFT JOIN flags ON o_orderkey = l_orderkey),
+both_runs AS (
+  SELECT * EXCLUDE (concerns0, conditions0),
+    'response_' || substr(sha256(run_id || '|' || agent_id || '|' || question_id || '|' || repeat_index), 1, 12) AS response_id,
+    CASE WHEN c_acctbal >= 0 THEN {_STANCE_SQL} END AS stance,
+    CASE WHEN c_acctbal >= 0 THEN least(5, 1 + floor(o_totalprice / 100000))::INTEGER END AS stance_score,
     CASE WHEN c_acctbal >= 0 THEN concerns0 END AS concerns,
     CASE WHEN c_acctbal >= 0 THEN conditions0 END AS acceptance_conditions,
     CASE WHEN c_acctbal >= 0 THEN r_name || ' ' || c_mktsegment || ' ' || question_type END AS reasoning_summary,
-    CASE WHEN c_acctbal >= 0 THEN stance0 || ': ' || array_to_string(concerns0, ', ') || ' / ' || array_to_string(conditions0, ', ') END AS response_text,
+    CASE WHEN c_acctbal >= 0 THEN o_orderstatus || ': ' || coalesce(array_to_string(concerns0, ', '), '') || ' / '
+      || coalesce(array_to_string(conditions0, ', '), '') END AS response_text,
     CASE WHEN c_acctbal >= 0 THEN 'success' ELSE 'error' END AS status,
     CASE WHEN c_acctbal < 0 THEN '{vocab.GENERATION_ERROR}' END AS error_type
-  FROM {name}_raw)"""
-
-
-PANEL_SQL = f"{PEOPLE_SQL},\n{cells_sql()},\n{answers_sql()}"
-
-# a second run of the same panel whose questions are asked under social pressure
-PRESSURE = Run("project_panel", "run_002", "cohort_all", "scenario_pressure", "question_set_main", seed=8, context_level="P1")
-BOTH_RUNS_SQL = f"""{PANEL_SQL},
-{cells_sql(PRESSURE, "cells2")},
-{answers_sql(PRESSURE, "cells2", "panel2")},
-both_runs AS (SELECT *, 'ORIGINAL' AS condition FROM panel UNION ALL SELECT *, 'SOCIAL_PRESSURE' AS condition FROM panel2)"""
-
-
-def both_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The panel under the original and the pressure condition."""
-    first = panel(spark, d).withColumn("condition", F.lit("ORIGINAL"))
-    return first.unionByName(panel(spark, d, PRESSURE).withColumn("condition", F.lit("SOCIAL_PRESSURE")))
-
+  FROM worded)"""
+PANEL_SQL = f"""{BOTH_RUNS_SQL},
+panel AS (SELECT * FROM both_runs WHERE run_id = '{RUN.run_id}')"""
 
 PAIRS_SQL = f"""{PANEL_SQL},
 pairs AS (
-  SELECT a.run_id, a.agent_id, a.question_id AS root_question_id, a.r_name, a.c_mktsegment,
+  SELECT a.project_id, a.run_id, a.agent_id, a.question_id AS root_question_id, a.r_name, a.c_mktsegment,
          a.response_id AS response_id_a, b.response_id AS response_id_b,
          a.stance AS stance_a, b.stance AS stance_b, a.stance_score AS stance_score_a, b.stance_score AS stance_score_b,
          a.response_text AS response_text_a, b.response_text AS response_text_b,
@@ -226,7 +240,8 @@ measured AS (
          len(list_intersect(string_split(lower(reasoning_summary_a), ' '), string_split(lower(reasoning_summary_b), ' ')))::DOUBLE
            / nullif(len(list_distinct(list_concat(string_split(lower(reasoning_summary_a), ' '), string_split(lower(reasoning_summary_b), ' ')))), 0)
            AS reason_overlap0,
-         'comparison_' || substr(sha256(response_id_a || '|' || response_id_b), 1, 12) AS comparison_id
+         'comparison_' || substr(sha256(project_id || '|' || run_id || '|' || agent_id || '|' || root_question_id || '|'
+           || response_id_a || '|' || response_id_b), 1, 32) AS comparison_id
   FROM pairs),
 evaluated AS (
   SELECT * REPLACE (CASE WHEN stance_a IS NULL OR stance_b IS NULL THEN NULL ELSE concern_overlap END AS concern_overlap,
@@ -238,9 +253,7 @@ evaluated AS (
 
 def panel_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Evaluated repeat pairs of the panel with the agent's region and segment."""
-    evaluated = compare.evaluate_pairs(compare.repeat_pairs(panel(spark, d)))
-    profile = people(spark, d).select(F.col("c_custkey").alias("agent_id"), "r_name", "c_mktsegment")
-    return evaluated.join(profile, "agent_id")
+    return compare.evaluate_pairs(compare.repeat_pairs(panel(spark, d), carry=("r_name", "c_mktsegment")))
 
 
 # --- clicks ----------------------------------------------------------------------------------------------------------

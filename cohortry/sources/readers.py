@@ -50,10 +50,10 @@ def read_lines(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return spark.read.schema(schemas.RECORDS[kind]).json(path)
 
 
-def cohort_members(cohorts: DataFrame) -> DataFrame:
-    """``(cohort_id, sample_rank, persona_id)`` from cohort records, ranks from 1."""
-    listed = cohorts.select("cohort_id", F.posexplode("persona_ids").alias("_i", "persona_id"))
-    return listed.select("cohort_id", (F.col("_i") + 1).cast("bigint").alias("sample_rank"), "persona_id")
+def cohort_members(spark: SparkSession, cohort_path: str, id_column: str) -> DataFrame:
+    """``(sample_rank, persona_id)`` of a stored cohort: all ids of its sample table, whatever their number."""
+    sample = spark.read.parquet(f"{cohort_path}/sample")
+    return sample.select("sample_rank", F.col(id_column).cast("string").alias("persona_id"))
 
 
 def question_rows(question_sets: DataFrame) -> DataFrame:

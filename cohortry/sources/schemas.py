@@ -51,7 +51,7 @@ COHORT = (
     "cohort_id string, name string, source struct<path:string,sha256:string,fingerprint:string,row_count:bigint>, "
     "filters map<string,string>, canonical_filter_json string, filter_hash string, human_readable_filter string, "
     "matching_count bigint, sampling struct<sample_size:bigint,seed:bigint,method:string>, "
-    "persona_ids array<string>, created_at timestamp"
+    "sampled bigint, sample_path string, created_at timestamp"
 )
 
 RECORDS = {

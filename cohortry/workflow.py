@@ -11,9 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators import cohort, compare, context, distributions, inspect, profile, responses, review
+from cohortry.operators import checks, cohort, compare, context, distributions, inspect, profile, responses, review
 from cohortry.sources import readers, schemas, writers
-from cohortry.spec import CohortRequest, Question, Run, TableSpec
+from cohortry.spec import CohortRequest, Run, TableSpec
 
 
 def inspect_table(df: DataFrame, out: str, order: Sequence[str], sample_limit: int = 5) -> None:
@@ -46,50 +46,58 @@ def save_cohort(
     writers.write_preview(cohort.preview(df, sample, spec.id_column, spec.preview, preview_limit), f"{path}/sample_preview")
     row = cohort.manifest(df, request, sample, inspect.dataset_fingerprint(df))
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    writers.write_json(cohort.cohort_record(row, source_path, stamp), f"{path}/manifest")
+    writers.write_json(cohort.cohort_record(row, source_path, f"{path}/sample", stamp), f"{path}/manifest")
     return path
 
 
+def load_plan(spark: SparkSession, out: str, run: Run) -> tuple[DataFrame, DataFrame]:
+    """The stored questions and scenario variants that a run names; refuses a run whose records do not exist."""
+    def mine(kind: str, key: str) -> DataFrame:
+        rows = readers.read_lines(spark, kind, f"{out}/{kind}").where((F.col("project_id") == run.project_id) & (F.col(key) == getattr(run, key)))
+        if rows.isEmpty():
+            raise ValueError(f"no stored {kind} {getattr(run, key)} in {run.project_id}")
+        return rows
+
+    mine("project", "project_id")
+    questions = readers.question_rows(mine("question_set", "question_set_id"))
+    problems = checks.check_repeat_link(questions).union(checks.check_unique(questions, ["question_set_id", "question_id"]))
+    bad = problems.first()
+    if bad:
+        raise ValueError(f"question set {run.question_set_id}: {bad['rule']} {bad['key']} {bad['detail']}")
+    return questions, readers.variant_rows(mine("scenario", "scenario_id"))
+
+
 def run_questions(
     df: DataFrame,
     spec: TableSpec,
     cohort_path: str,
-    questions: Sequence[Question],
     run: Run,
-    variants: Sequence[tuple[str, str]],
     out: str,
     created_at: str,
-    generator: Callable[[dict], tuple[str, dict]] | None = None,
-    failures: DataFrame | None = None,
+    generator: Callable[[dict], tuple[str, dict]],
+    failures: tuple[type[Exception], ...] = (responses.ResponseGenerationError,),
 ) -> str:
-    """Asks every sampled entity every question and stores the run record and the responses.
+    """Asks every sampled entity every question of the run's stored question set; stores the run record and the responses.
 
-    Without a generator the answers are hashed; ``failures(persona_id)`` lists entities whose answer shall fail.
+    The project, scenario and question set must be stored under ``out``; ``generator`` answers a cell, see
+    ``responses.generate_responses``.
     """
     spark = df.sparkSession
+    questions, _ = load_plan(spark, out, run)
     sample = spark.read.parquet(f"{cohort_path}/sample")
     context.require_complete(df, spec, sample)
     contexts = context.build_context(df, spec, run.context_level, sample).drop("sample_rank")
-    fields = [c for c in contexts.columns if c != "persona_id"]
-    if failures is not None:
-        contexts = responses.mark_failing(contexts, failures)
-    cells = responses.plan_responses(contexts, questions, run)
-    if generator is None:
-        filled = responses.score_responses(
-            cells, F.struct(F.col("agent_id").alias("persona_id"), *fields), variants, run
-        )
-    else:
-        filled = responses.generate_responses(cells, generator)
+    cells = responses.plan_cells(responses.expand_question_table(contexts, questions, run.question_set_id), run)
+    filled = responses.generate_responses(cells, generator, failures)
     stamp = F.lit(created_at).cast("timestamp")
     stored = filled.withColumn("agent_id", F.col("agent_id").cast("string")).withColumn("created_at", stamp)
-    writers.write_records(run_record(spark, run, questions, created_at), "run", out)
+    writers.write_records(run_record(questions, run, created_at), "run", out)
     return writers.write_responses(stored.select(*schemas.RESPONSE_COLUMNS), out, run.project_id, run.run_id)
 
 
-def run_record(spark: SparkSession, run: Run, questions: Sequence[Question], created_at: str) -> DataFrame:
+def run_record(questions: DataFrame, run: Run, created_at: str) -> DataFrame:
     """The stored record of a run; two rounds when a question is repeated, else one."""
-    repeated = any(q.question_type == "SAME_QUESTION_REPEAT" for q in questions)
-    return spark.range(1).select(
+    return responses.repeat_count(questions).select(
         F.lit(run.project_id).alias("project_id"), F.lit(run.run_id).alias("run_id"), F.lit(run.cohort_id).alias("cohort_id"),
         F.lit(run.scenario_id).alias("scenario_id"), F.lit(run.question_set_id).alias("question_set_id"),
         F.lit(run.context_level).alias("persona_context_level"),
@@ -97,39 +105,44 @@ def run_record(spark: SparkSession, run: Run, questions: Sequence[Question], cre
             F.lit(run.model).alias("model"), F.lit(run.temperature).alias("temperature"),
             F.lit(run.prompt_version).alias("prompt_version"),
         ).alias("generation_config"),
-        F.lit(run.seed).cast("bigint").alias("seed"), F.lit(2 if repeated else 1).alias("repeat_count"),
+        F.lit(run.seed).cast("bigint").alias("seed"), "repeat_count",
         F.lit(created_at).cast("timestamp").alias("created_at"),
     )
 
 
 def read_run(spark: SparkSession, out: str, run: Run) -> DataFrame:
     """Flat stored responses of one run; only that run's directory is read."""
-    stored = spark.read.schema(schemas.RESPONSE).json(f"{out}/responses")
+    stored = spark.read.schema(schemas.RESPONSE).parquet(f"{out}/responses")
     mine = stored.where((F.col("project_id") == run.project_id) & (F.col("run_id") == run.run_id))
     return compare.flatten_responses(mine)
 
 
-def compare_run(spark: SparkSession, out: str, run: Run, questions: Sequence[Question], created_at: str) -> str:
-    """Pairs the repeats of a stored run with their originals and stores the comparison records."""
-    evaluated = evaluated_run(spark, out, run, questions)
+def compare_run(spark: SparkSession, out: str, run: Run, created_at: str) -> str:
+    """Pairs the repeats of a stored run with their originals; stores the evaluated pairs and the comparison records."""
+    evaluate_run(spark, out, run)
+    evaluated = evaluated_run(spark, out, run)
     records = compare.comparison_records(evaluated, run.project_id, F.lit(created_at).cast("timestamp"))
     return writers.write_comparisons(records, out, run.project_id, run.run_id)
 
 
-def evaluated_run(spark: SparkSession, out: str, run: Run, questions: Sequence[Question]) -> DataFrame:
-    """Evaluated repeat pairs of a stored run."""
-    links = spark.createDataFrame(
-        [(q.question_id, q.repeat_of_question_id) for q in questions if q.repeat_of_question_id],
-        "question_id string, repeat_of_question_id string",
-    )
-    return compare.evaluate_pairs(compare.repeat_pairs(read_run(spark, out, run), links))
+def evaluate_run(spark: SparkSession, out: str, run: Run) -> None:
+    """Stores the evaluated repeat pairs of a run once, for the comparison records and every export."""
+    links = load_plan(spark, out, run)[0].where("repeat_of_question_id IS NOT NULL").select("question_id", "repeat_of_question_id")
+    pairs = compare.evaluate_pairs(compare.repeat_pairs(read_run(spark, out, run), links))
+    pairs.write.mode("overwrite").parquet(f"{out}/evaluated/{run.project_id}/{run.run_id}")
+
+
+def evaluated_run(spark: SparkSession, out: str, run: Run) -> DataFrame:
+    """The stored evaluated pairs of a run."""
+    return spark.read.parquet(f"{out}/evaluated/{run.project_id}/{run.run_id}")
 
 
 def export_run(
-    spark: SparkSession, out: str, run: Run, questions: Sequence[Question], design_id: str, packet_size: int = 25, seed: int = 0
+    spark: SparkSession, out: str, run: Run, design_id: str, packet_size: int = 25, seed: int = 0, conditions: DataFrame | None = None
 ) -> None:
-    """Writes the tidy tables of a stored run: responses, comparisons, metrics, rare answers and the review packet."""
-    rows, evaluated = read_run(spark, out, run), evaluated_run(spark, out, run, questions)
+    """Writes the tidy tables of a compared run: responses, comparisons, metrics, rare answers, the review packet and, if
+    given, the design's condition matrix."""
+    rows, evaluated = read_run(spark, out, run), evaluated_run(spark, out, run)
     provenance = {
         "design_id": design_id, "project_id": run.project_id, "run_id": run.run_id, "cohort_id": run.cohort_id,
         "scenario_id": run.scenario_id, "persona_context_level": run.context_level, "model_condition_id": run.model,
@@ -144,14 +157,16 @@ def export_run(
         "comparisons_long": evaluated,
         "metric_results_long": long,
         "metric_summary_by_condition": compare.metric_summary(long, ["run_id"]),
-        "minority_candidates": distributions.minority_candidates(marked, ["question_id"], "signature", "response_id"),
+        "minority_candidates": distributions.minority_candidates(marked, ["question_id"], "signature", "agent_id"),
         "human_eval_sample": review.review_packet(evaluated, seed, packet_size, design_id),
     }
+    if conditions is not None:
+        tables["condition_matrix"] = conditions
     for name, table in tables.items():
         writers.write_export(table, f"{out}/exports", name, provenance)
 
 
-def load_cohort(spark: SparkSession, cohort_path: str) -> DataFrame:
-    """``(cohort_id, sample_rank, persona_id)`` of a stored cohort whose manifest lists its ids."""
-    return readers.cohort_members(readers.read_lines(spark, "cohort", f"{cohort_path}/manifest"))
-
+def load_cohort(spark: SparkSession, cohort_path: str, id_column: str) -> DataFrame:
+    """``(cohort_id, sample_rank, persona_id)`` of a stored cohort, from its sample table."""
+    manifest = readers.read_lines(spark, "cohort", f"{cohort_path}/manifest").select("cohort_id").scalar()
+    return readers.cohort_members(spark, cohort_path, id_column).select(manifest.alias("cohort_id"), "sample_rank", "persona_id")

@@ -16,16 +16,16 @@ def count(df, **parts):
 @pytest.mark.parametrize(
     ("parts", "expected"),
     [
-        ({}, 6),
-        ({"minimum": 60, "maximum": 79}, 3),
-        ({"values": {"sexes": ("여자", "남자")}}, 6),
-        ({"values": {"sexes": ("여자",), "regions": ("서울",)}}, 2),
-        ({"values": {"regions": ("서울",), "districts": ("강남구",)}}, 2),
+        ({}, 8),
+        ({"minimum": 45, "maximum": 67}, 4),
+        ({"values": {"sexes": ("여자", "남자")}}, 8),
+        ({"values": {"sexes": ("남자",), "regions": ("대전",)}}, 2),
+        ({"values": {"regions": ("대전",), "districts": ("서구", "중구")}}, 3),
         ({"values": {"income_brackets": ("해당없음",)}}, 2),
-        ({"traits": {"openness": TraitFilter(score_min=55, labels=("높음",))}}, 3),
-        ({"traits": {"openness": TraitFilter(score_min=1)}}, 5),
-        ({"values": {"occupations": ("자영업자",)}}, 3),
-        ({"search": "영업"}, 3),
+        ({"traits": {"openness": TraitFilter(score_min=60, labels=("높음",))}}, 2),
+        ({"traits": {"openness": TraitFilter(score_min=1)}}, 7),
+        ({"values": {"occupations": ("요리사",)}}, 3),
+        ({"search": "리사"}, 3),
         ({"search": "%"}, 0),
     ],
 )
@@ -49,51 +49,55 @@ def test_unknown_values_are_refused():
 
 
 def ids(df, size=3, seed=42, **kwargs):
-    wanted = CohortFilter(SPEC, values={"sexes": ("여자",)})
+    wanted = CohortFilter(SPEC, values={"sexes": ("남자",)})
     rows = cohort.draw_sample(df, wanted, SamplingSpec(size, seed), **kwargs).orderBy("sample_rank").collect()
     assert [r["sample_rank"] for r in rows] == list(range(1, len(rows) + 1))
     return [r["uuid"] for r in rows]
 
 
 def test_sample_is_the_md5_order(people):
-    women = ["p1", "p3", "p4", "p5", "p6"]
-    expected = sorted(women, key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
+    men = ["n01", "n03", "n04", "n06", "n07"]
+    expected = sorted(men, key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
     assert ids(people) == expected[:3]
     assert ids(people.repartition(7)) == expected[:3]
     assert ids(people.union(people)) == expected[:3]
     assert ids(people, seed=43) != expected[:3]
 
 
-def test_large_samples_give_the_same_order(spark):
+@pytest.mark.parametrize("size", [1, 700, 5000])
+def test_samples_of_any_size_are_a_prefix_of_one_order(spark, size):
     entities = spark.range(5000).withColumnRenamed("id", "uuid")
-    plain = CohortFilter(TableSpec(id_column="uuid"))
-    small = cohort.draw_sample(entities, plain, SamplingSpec(700, 9))
-    large = cohort.draw_sample(entities, plain, SamplingSpec(700, 9), small_sample=0)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    drawn = cohort.draw_sample(entities, CohortFilter(TableSpec(id_column="uuid")), SamplingSpec(size, 9)).collect()
+    expected = sorted(range(5000), key=lambda i: hashlib.md5(f"{i}|9".encode()).hexdigest())[:size]
+    assert [r["uuid"] for r in sorted(drawn, key=lambda r: r["sample_rank"])] == expected
+    assert sorted(r["sample_rank"] for r in drawn) == list(range(1, size + 1))
 
 
 def test_guards(people):
     with pytest.raises(ValueError, match="larger than matching count"):
-        cohort.require_feasible(people, CohortFilter(SPEC, values={"regions": ("부산",)}), SamplingSpec(2, 1))
+        cohort.require_feasible(people, CohortFilter(SPEC, values={"regions": ("광주",)}), SamplingSpec(3, 1))
     with pytest.raises(ValueError, match="matching count is zero"):
         cohort.require_feasible(people, CohortFilter(SPEC, values={"regions": ("제주",)}), SamplingSpec(1, 1))
     # duplicates do not count as further entities
     with pytest.raises(ValueError, match="larger than matching count"):
-        cohort.require_feasible(people.union(people), CohortFilter(SPEC), SamplingSpec(7, 1))
+        cohort.require_feasible(people.union(people), CohortFilter(SPEC), SamplingSpec(9, 1))
 
 
 def test_preview_is_safe_and_ordered(people):
-    wanted = CohortFilter(SPEC, values={"sexes": ("여자",)})
+    wanted = CohortFilter(SPEC, values={"sexes": ("남자",)})
     sample = cohort.draw_sample(people, wanted, SamplingSpec(3, 42))
     shown = cohort.preview(people, sample, "uuid", SPEC.preview, limit=2)
     assert [r["uuid"] for r in shown.collect()] == ids(people)[:2]
     assert not {"first_name", "street_name", "persona"} & set(shown.columns)
     assert cohort.preview(people, sample, "uuid", SPEC.preview, limit=-1).count() == 0
+    with pytest.raises(ValueError, match="never exported: street_name"):
+        cohort.preview(people, sample, "uuid", ("uuid", "street_name"))
+    assert cohort.safe_projection(people, ("uuid", "first_name", "age")).columns == ["uuid", "age"]
 
 
 def test_manifest_is_stable(people):
     request = CohortRequest.from_dict(
-        {"name": "n", "filters": {"age_min": 60, "age_max": 79, "sexes": ["여자"]},
+        {"name": "n", "filters": {"age_min": 60, "age_max": 79, "sexes": ["남자"]},
          "sampling": {"sample_size": 2, "seed": 42, "method": "deterministic_random"}}, SPEC)
     fingerprint = inspect.dataset_fingerprint(people)
     def row(df):
@@ -102,24 +106,24 @@ def test_manifest_is_stable(people):
 
     first, second = row(people), row(people.repartition(3))
     assert first == second
-    assert first["matching_count"] == 3 and first["row_count"] == 6 and len(first["persona_ids"]) == 2
+    assert first["matching_count"] == 3 and first["row_count"] == 8 and first["sampled"] == 2
     canonical = json.loads(first["canonical_filter_json"])
-    assert canonical["age_min"] == 60 and canonical["sexes"] == ["여자"] and canonical["regions"] == []
+    assert canonical["age_min"] == 60 and canonical["sexes"] == ["남자"] and canonical["regions"] == []
     assert "occupation_search" not in canonical and canonical["big_five_filters"] == {}
     text = f"{fingerprint.first()['fingerprint']}|{first['canonical_filter_json']}|" + '{"sample_size":2,"seed":42,"method":"deterministic_random"}'
     assert first["cohort_id"] == "cohort_" + hashlib.sha256(text.encode()).hexdigest()[:16]
-    assert first["human_readable_filter"] == "age >= 60; age <= 79; sex in (여자)"
+    assert first["human_readable_filter"] == "age >= 60; age <= 79; sex in (남자)"
     assert CohortFilter(SPEC).summary() == "all synthetic personas"
 
 
 def test_options(people):
-    assert [r[0] for r in options.option_values(people, "region").collect()] == ["경기", "부산", "서울"]
-    assert [tuple(r) for r in options.option_value_counts(people, "region").collect()] == [("서울", 3), ("경기", 2), ("부산", 1)]
-    assert [r[0] for r in options.dependent_options(people, "region", "district", ("서울",)).collect()] == ["강남구", "마포구"]
-    assert [r[0] for r in options.option_search(people, "occupation", "영업").collect()] == ["자영업자"]
+    assert [r[0] for r in options.option_values(people, "region").collect()] == ["광주", "대전", "울산"]
+    assert [tuple(r) for r in options.option_value_counts(people, "region").collect()] == [("대전", 4), ("광주", 2), ("울산", 2)]
+    assert [r[0] for r in options.dependent_options(people, "region", "district", ("대전",)).collect()] == ["서구", "유성구", "중구"]
+    assert [r[0] for r in options.option_search(people, "occupation", "리사").collect()] == ["요리사"]
     with pytest.raises(ValueError, match="not present in selected regions"):
-        options.require_children(people, "region", "district", ("서울",), ("수원시",))
-    options.require_children(people, "region", "district", ("서울",), ("마포구",))
+        options.require_children(people, "region", "district", ("대전",), ("북구",))
+    options.require_children(people, "region", "district", ("대전",), ("중구",))
     with pytest.raises(ValueError, match="Unsupported option column"):
         options.option_values(people, "first_name", SPEC.list_fields.values())
 
@@ -128,8 +132,8 @@ def test_ordered_vocabulary(people, spark):
     order = SPEC.vocabularies["income_bracket"]
     assert (order.index("해당없음"), order.index("1000만원이상")) == (0, 10)
     found = [tuple(r) for r in options.ordinal_observed(people, "income_bracket", order).collect()]
-    assert [f[1] for f in found] == ["해당없음", "85~150만원", "150~250만원", "250~350만원", "350~450만원"]
-    assert [f[0] for f in found] == [0, 2, 3, 4, 5]
+    assert [f[1] for f in found] == ["해당없음", "85~150만원", "150~250만원", "250~350만원", "350~450만원", "450~550만원"]
+    assert [f[0] for f in found] == [0, 2, 3, 4, 5, 6]
 
 
 def test_null_options_stay_null(spark):

@@ -19,7 +19,7 @@ def answers(spark):
             rows.append(("run_1", agent, (q, r)[i], ("ORIGINAL", "SAME_QUESTION_REPEAT")[i], (None, q)[i], f"response_{n}{i}",
                          stance, score, concerns, ["x"] if stance else None, f"text {n}{i}"))
         return rows
-    rows = pair("p1", 1, ("oppose", 2, ["비용 부담", "준비 부족"]), ("neutral", 3, ["비용 부담"]))
+    rows = pair("p1", 1, ("oppose", 2, ["price", "time"]), ("neutral", 3, ["price"]))
     rows += pair("p2", 2, ("support", 5, ["a"]), ("support", 4, ["a"]))
     rows += pair("p3", 3, ("support", 4, []), ("oppose", 1, []))
     rows += pair("p4", 4, ("support", 4, ["a"]), (None, None, None))
@@ -47,6 +47,19 @@ def test_links_from_a_question_table(answers, spark):
     assert pairs.count() == 4
 
 
+def test_projects_do_not_mix(answers):
+    first = answers.where("question_type = 'ORIGINAL'").withColumn("project_id", F.lit("project_a"))
+    second = answers.where("question_type <> 'ORIGINAL'").withColumn("project_id", F.lit("project_b"))
+    assert compare.repeat_pairs(first.union(second)).count() == 0
+
+
+def test_follow_up_records(evaluated):
+    chosen = compare.follow_up_candidates(evaluated.withColumn("project_id", F.lit("project_a")))
+    rows = compare.follow_up_records(chosen, F.lit("Why did you change?"), F.lit("2026-07-20 12:00:00").cast("timestamp")).collect()
+    assert {r["parent_response_id"] for r in rows} == {"response_10", "response_30"} and len({r["follow_up_id"] for r in rows}) == 2
+    assert all(r["response_id"] is None and r["question_id"].startswith("question_") for r in rows)
+
+
 def test_consistency_and_changes(evaluated, answers):
     row = compare.consistency(evaluated, ["run_id"]).first()
     assert (row["n_pairs"], row["n_match"], row["n_contradiction"], row["n_review"]) == (3, 1, 1, 2)
@@ -69,7 +82,7 @@ def test_metric_rows(evaluated):
     assert rows[ids["p1"], "stance_match"]["value"] == 0.0 and rows[ids["p1"], "stance_match"]["status"] == "computed"
     assert rows[ids["p4"], "stance_match"]["status"] == "error" and rows[ids["p4"], "stance_match"]["value"] is None
     unknown = rows[ids["p1"], "semantic_similarity"]
-    assert unknown["status"] == "not_computed" and unknown["value"] is None and "embedding" in unknown["details"]
+    assert unknown["status"] == "not_computed" and unknown["value"] is None and "vectors" in unknown["details"]
     summary = {r["metric_name"]: r for r in compare.metric_summary(long, []).collect()}
     assert summary["stance_match"]["n_rows"] == 4 and summary["stance_match"]["n_computed"] == 3
 
@@ -132,6 +145,10 @@ def test_shift_and_items(spark):
     items = spark.createDataFrame([("g", ["a", "b", "a"]), ("g", ["a"]), ("g", None)], "g string, items array<string>")
     found = {r["item"]: (r["n"], r["share"]) for r in distributions.item_frequency(items, ["g"], "items").collect()}
     assert found["a"] == (2, pytest.approx(2 / 3)) and found["b"] == (1, pytest.approx(1 / 3))
+    gaps = spark.createDataFrame([(None, ["a"]), (None, []), ("g", [None])], "g string, items array<string>")
+    assert {tuple(r) for r in distributions.item_frequency(gaps, ["g"], "items").collect()} == {(None, "a", 1, 0.5), ("g", None, 1, 1.0)}
+    same = spark.createDataFrame([(c, g, s) for c in "xy" for g in ("g", None) for s in ("s", None)], "c string, g string, stance string")
+    assert {r["g"]: r["total_variation"] for r in distributions.distribution_shift(same, ["g"], "stance", "c", "x", "y").collect()} == {"g": 0.0, None: 0.0}
 
 
 def test_text_measures(spark):

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
-from cohortry.operators import cohort, compare, profile, responses
+from cohortry.plans.catalog import QUERIES
+from cohortry.operators import checks, cohort, compare, distributions, profile, responses
 from cohortry.plans.tables import PARTS, PEOPLE, table
 from cohortry.sources.readers import scan
 from cohortry.spec import CohortFilter, Question, Run, SamplingSpec
@@ -37,9 +37,24 @@ def test_filters_reach_the_scan(spark):
     assert "p_retailprice" not in text and "p_brand" not in text
 
 
-def test_a_sample_is_a_top_k(spark):
+def test_a_sample_sorts_only_the_buckets_it_needs(spark):
     text = plan(cohort.draw_sample(table(spark, DATA, "customer"), CohortFilter(PEOPLE, minimum=0), SamplingSpec(20, 1)))
-    assert "TakeOrderedAndProject" in text and "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in text
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in text
+    # the join with the needed buckets lies below the ranking
+    assert text.index("row_number()") < text.index("Join")
+
+
+def test_joins_need_no_count_of_the_fact(spark):
+    fact = table(spark, DATA, "lineitem")
+    text = plan(checks.check_orphans(fact, "l_linenumber", "l_orderkey", table(spark, DATA, "orders"), "o_orderkey"))
+    assert text.count("lineitem") <= 1 and text.count("FileScan") == 2
+
+
+def test_shifts_and_items_scan_once(spark):
+    clicks = table(spark, DATA, "events").withColumn("items", F.split("props", "k"))
+    for df in (distributions.distribution_shift(clicks, ["user_id"], "event_type", "event_type", "view", "click"),
+               distributions.item_frequency(clicks, ["user_id"], "items")):
+        assert plan(df).count("FileScan") == 1 and "Join" not in plan(df)
 
 
 def test_categorical_profiles_scan_once(spark):
@@ -73,7 +88,7 @@ def test_pairs_join_on_keys(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_everything(spark, name):
-    text = plan(contract.queries()[name](spark, DATA))
+    text = plan(QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

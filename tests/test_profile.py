@@ -51,7 +51,7 @@ def test_traits_and_texts(small):
 
 def test_parse_diagnostics(people):
     row = profile.json_parse_diagnostics(people, ["openness"]).first()
-    assert (row["row_count"], row["parse_success_count"], row["parse_failure_count"]) == (6, 5, 1)
+    assert (row["row_count"], row["parse_success_count"], row["parse_failure_count"]) == (8, 7, 1)
 
 
 def test_number_texts(spark):
@@ -76,11 +76,23 @@ def test_tidy(small):
 
 def test_empty_table(small):
     empty = small.where("false")
-    assert profile.json_parse_diagnostics(empty, ["openness"]).count() == 0
-    assert profile.text_length_profile(empty, ["persona"]).count() == 0
+    assert tuple(profile.json_parse_diagnostics(empty, ["openness"]).first()) == ("openness", 0, 0, 0, None)
+    assert tuple(profile.text_length_profile(empty, ["persona"]).first()) == ("persona", None, None, None, None, None)
+    assert tuple(profile.categorical_profile(empty, ["sex"]).first()) == ("sex", 0, True, vocab.NOTE_SELECTABLE)
+    assert tuple(profile.parseability_profile(empty, ["openness"]).first()) == ("openness", 0, 0.0, False, [])
+    assert tuple(profile.text_duplicate_profile(empty, ["persona"]).first()) == ("persona", 0, None, None)
+    assert tuple(profile.numeric_profile(empty, ["age"]).first()) == ("age", 0, None, None, None, None)
     assert inspect.null_profile(empty).first()["null_ratio"] == 0.0
 
 
+def test_columns_without_values_keep_their_row(small):
+    gaps = small.selectExpr("*", "cast(null as double) AS height", "cast(null as string) AS note")
+    rows = {r["column"]: r for r in profile.numeric_profile(gaps, ["age", "height"]).collect()}
+    assert rows["age"]["n"] == 4 and rows["height"]["n"] == 0 and rows["height"]["median"] is None
+    lengths = {r["column"]: r["max_length"] for r in profile.text_length_profile(gaps, ["persona", "note"]).collect()}
+    assert lengths == {"persona": 16, "note": None}
+
+
 @pytest.fixture(scope="module")
 def inspected(spark):
     rows = [

@@ -12,12 +12,12 @@ NOW = "2026-07-20T12:00:00Z"
 CONFIG = {"model": "mock-model", "temperature": 0.3, "prompt_version": "prompt_v1"}
 
 
-def response(number, stance, score, question, kind, run="run_20260720_001", **changes):
+def response(number, stance, score, question, kind, run="run_7a", **changes):
     row = {
-        "project_id": "project_stage2", "cohort_id": "cohort_stage2_a", "agent_id": "persona_uuid_001",
-        "scenario_id": "scenario_healthcare_v1", "question_id": question, "run_id": run, "response_id": f"response_{number}",
+        "project_id": "project_trial", "cohort_id": "cohort_trial", "agent_id": "n01",
+        "scenario_id": "scenario_tax", "question_id": question, "run_id": run, "response_id": f"response_{number}",
         "repeat_index": 0 if kind == "ORIGINAL" else 1, "question_type": kind, "response_text": "글",
-        "structured_response": {"stance": stance, "stance_score": score, "reasoning_summary": "r", "concerns": ["비용 부담"],
+        "structured_response": {"stance": stance, "stance_score": score, "reasoning_summary": "r", "concerns": ["price"],
                                 "acceptance_conditions": []},
         "generation_config": CONFIG, "status": "success", "error_type": None, "created_at": NOW,
     }
@@ -42,13 +42,13 @@ def test_responses_round_trip(spark, stored, tmp_path):
     assert [r[schemas.CORRUPT] for r in stored.collect()] == [None] * 3
     clean = stored.drop(schemas.CORRUPT)
     for kind in ("json", "parquet"):
-        path = writers.write_responses(clean, str(tmp_path / kind), "project_stage2", "run_20260720_001", kind)
+        path = writers.write_responses(clean, str(tmp_path / kind), "project_trial", "run_7a", kind)
         source = spark.read.schema(schemas.RESPONSE).format(kind).load(path)
         back = source.select(*clean.columns)
         assert sorted(map(str, back.collect())) == sorted(map(str, clean.collect()))
     # rewriting one run keeps the others
     other = clean.withColumn("run_id", F.lit("run_b"))
-    writers.write_responses(other, str(tmp_path / "json"), "project_stage2", "run_b")
+    writers.write_responses(other, str(tmp_path / "json"), "project_trial", "run_b", "json")
     assert spark.read.json(str(tmp_path / "json" / "responses")).count() == 6
 
 
@@ -61,14 +61,14 @@ def test_unreadable_lines_are_kept(spark, tmp_path):
 
 def test_scope_is_enforced(stored, tmp_path):
     with pytest.raises(PySparkException, match="run_id of response_.* does not match"):
-        writers.write_responses(stored, str(tmp_path), "project_stage2", "run_other")
+        writers.write_responses(stored, str(tmp_path), "project_trial", "run_other")
     with pytest.raises(ValueError, match="invalid project_id"):
-        writers.write_responses(stored, str(tmp_path), "../up", "run_20260720_001")
+        writers.write_responses(stored, str(tmp_path), "../up", "run_7a")
 
 
 def test_comparisons_array(spark, tmp_path):
     row = {
-        "comparison_id": "comparison_001", "project_id": "project_stage2", "run_id": "run_1", "agent_id": "a", "response_a_id": "response_1",
+        "comparison_id": "comparison_001", "project_id": "project_trial", "run_id": "run_1", "agent_id": "a", "response_a_id": "response_1",
         "response_b_id": "response_2", "question_relation": "SAME_QUESTION_REPEAT",
         "automatic_evaluation": {"stance_match": False, "stance_score_delta": 1, "contradiction_candidate": False, "needs_human_review": True},
         "human_evaluation": {"review_status": "not_reviewed"}, "created_at": NOW,
@@ -78,8 +78,23 @@ def test_comparisons_array(spark, tmp_path):
     assert table.count() == 2 and table.first()["automatic_evaluation"]["stance_score_delta"] == 1
     bad = checks.check_pair_distinct(table, "comparison_id", "response_a_id", "response_b_id").collect()
     assert [r["key"] for r in bad] == ["comparison_002"]
-    path = writers.write_comparisons(table, str(tmp_path), "project_stage2", "run_1")
-    assert spark.read.schema(schemas.COMPARISON).json(path).count() == 2
+    with pytest.raises(PySparkException, match="compared with itself"):
+        writers.write_comparisons(table, str(tmp_path), "project_trial", "run_1")
+    path = writers.write_comparisons(table.where("comparison_id = 'comparison_001'"), str(tmp_path), "project_trial", "run_1")
+    assert spark.read.schema(schemas.COMPARISON).parquet(path).count() == 1
+
+
+@pytest.mark.parametrize(("change", "message"), [
+    ("named_struct('status', 'error')", "error without error_type"), ("named_struct('status', 'lost')", "unknown status"),
+    ("named_struct('response_text', cast(null as string))", "success without payload"), ("named_struct('error_type', 'X')", "success with error_type"),
+    ("named_struct('question_type', 'OTHER')", "unknown question type"), ("named_struct('response_id', 'r 1')", "invalid response_id"),
+])
+def test_bad_responses_are_refused(stored, tmp_path, change, message):
+    clean = stored.drop(schemas.CORRUPT)
+    fields = clean.selectExpr(f"{change} AS c").schema["c"].dataType.fieldNames()
+    bad = clean.withColumns({f: F.expr(f"{change}.{f}") for f in fields})
+    with pytest.raises(PySparkException, match=message):
+        writers.write_responses(bad, str(tmp_path), "project_trial", "run_7a")
 
 
 def test_dimension_records(spark, tmp_path):
@@ -97,11 +112,16 @@ def test_dimension_records(spark, tmp_path):
     assert checks.check_repeat_link(rows).count() == 0 and checks.check_unique(rows, ["question_set_id", "question_id"]).count() == 0
     path = writers.write_records(scenarios, "scenario", str(tmp_path / "out"))
     assert readers.read_lines(spark, "scenario", path).first()["title"] == "t"
+    # a second record of the project leaves the first one where it is
+    writers.write_records(scenarios.withColumn("scenario_id", F.lit("scenario_two")), "scenario", str(tmp_path / "out"))
+    assert sorted(r["scenario_id"] for r in readers.read_lines(spark, "scenario", path).collect()) == ["scenario_s", "scenario_two"]
+    with pytest.raises(PySparkException, match="invalid scenario_id"):
+        writers.write_records(scenarios.withColumn("scenario_id", F.lit("no")), "scenario", str(tmp_path / "out"))
 
 
 def test_cohort_files(spark, people, tmp_path):
     spec = persona_spec()
-    wanted, sampling = CohortFilter(spec, values={"sexes": ("여자",)}), SamplingSpec(3, 42)
+    wanted, sampling = CohortFilter(spec, values={"sexes": ("남자",)}), SamplingSpec(3, 42)
     sample = cohort.draw_sample(people, wanted, sampling)
     writers.write_sample_ids(sample, "uuid", str(tmp_path / "ids"))
     ids = [r["uuid"] for r in spark.read.option("header", True).csv(str(tmp_path / "ids")).collect()]
@@ -109,9 +129,14 @@ def test_cohort_files(spark, people, tmp_path):
     writers.write_preview(cohort.preview(people, sample, "uuid", spec.preview), str(tmp_path / "preview"))
     assert spark.read.option("header", True).csv(str(tmp_path / "preview")).columns == list(spec.preview)
     manifest = cohort.manifest(people, CohortRequest("n", wanted, sampling), sample, inspect.dataset_fingerprint(people))
-    writers.write_json(manifest, str(tmp_path / "manifest"))
-    members = readers.cohort_members(readers.read_lines(spark, "cohort", str(tmp_path / "manifest")))
-    assert [r["persona_id"] for r in members.orderBy("sample_rank").collect()] == ids
+    assert manifest.first()["sampled"] == 3
+
+
+def test_members_of_a_large_cohort(spark, tmp_path):
+    entities = spark.range(70_000).withColumnRenamed("id", "uuid")
+    cohort.draw_sample(entities, CohortFilter(TableSpec(id_column="uuid")), SamplingSpec(60_000, 3)).write.parquet(str(tmp_path / "sample"))
+    members = readers.cohort_members(spark, str(tmp_path), "uuid")
+    assert members.count() == 60_000 and members.select("persona_id").distinct().count() == 60_000
 
 
 def test_request_file(spark, tmp_path):
@@ -123,7 +148,11 @@ def test_request_file(spark, tmp_path):
 
 
 def test_exports(spark, stored, tmp_path):
-    path = writers.write_export(stored.drop(schemas.CORRUPT), str(tmp_path), "responses_long", {"design_id": "d1", "run_id": "ignored"})
+    path = writers.write_export(stored.drop(schemas.CORRUPT), str(tmp_path), "responses_long", {"design_id": "d1", "run_id": "run_7a"})
+    other = writers.write_export(stored.drop(schemas.CORRUPT), str(tmp_path), "responses_long", {"design_id": "d1", "run_id": "run_8"})
+    assert path != other and spark.read.option("header", True).csv(other).count() == 3
+    with pytest.raises(ValueError, match="never exported: postcode"):
+        writers.write_export(stored.withColumn("postcode", F.lit("1")), str(tmp_path), "x", {})
     rows = spark.read.option("header", True).csv(path)
     assert rows.columns[0] == "design_id" and rows.columns[-1] == "export_schema_version" and rows.columns.count("run_id") == 1
     assert json.loads(rows.where("response_id = 'response_001'").first()["generation_config"])["model"] == "mock-model"

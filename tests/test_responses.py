@@ -1,22 +1,20 @@
 import hashlib
-import json
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cohortry import vocab
 from cohortry.operators import cohort, context, responses
 from cohortry.operators.compare import flatten_responses
+from cohortry.operators.responses import ResponseGenerationError
 from cohortry.spec import CohortFilter, Question, Run, SamplingSpec, persona_spec, require_questions, require_variants
 
 SPEC = persona_spec()
 QUESTIONS = (
-    Question("question_main_original_v1", "첫 질문"),
-    Question("question_main_repeat_v1", "같은 질문", "SAME_QUESTION_REPEAT", "question_main_original_v1"),
+    Question("question_first", "Do you agree?"),
+    Question("question_again", "Do you agree?", "SAME_QUESTION_REPEAT", "question_first"),
 )
-RUN = Run("project_stage2", "run_20260720_001", "cohort_stage2_a", "scenario_healthcare_v1", "question_set_main_v1", 7)
-VARIANTS = (("A", "Policy A."), ("B", "Policy B."))
+RUN = Run("project_trial", "run_7a", "cohort_trial", "scenario_tax", "question_set_m", 7)
 
 
 def test_levels_are_nested(people):
@@ -27,16 +25,16 @@ def test_levels_are_nested(people):
 
 def test_contexts_follow_sample_order(people):
     sample = cohort.draw_sample(people, CohortFilter(SPEC), SamplingSpec(4, 42))
-    rows = context.build_context(people, SPEC, "P1", sample, 4).orderBy("sample_rank").collect()
+    rows = context.build_context(people, SPEC, "P1", sample).orderBy("sample_rank").collect()
     assert [r["persona_id"] for r in rows] == [r["uuid"] for r in sample.orderBy("sample_rank").collect()]
 
 
 def test_narratives_keep_order_and_skip_nulls(people):
-    told = people.withColumn("detailed_persona", F.when(F.col("uuid") != "p2", "long story"))
+    told = people.withColumn("detailed_persona", F.when(F.col("uuid") != "n02", "long story"))
     rows = {r["persona_id"]: r["narratives"] for r in context.build_context(told, SPEC, "P3").collect()}
-    assert [tuple(n) for n in rows["p1"]] == [("persona", "story"), ("detailed_persona", "long story")]
-    assert [tuple(n) for n in rows["p2"]] == [("persona", "story")]
-    long = context.narratives_long(told, "uuid", ("persona", "detailed_persona")).where("persona_id = 'p1'").orderBy("position")
+    assert [tuple(n) for n in rows["n01"]] == [("persona", "a tale"), ("detailed_persona", "long story")]
+    assert [tuple(n) for n in rows["n02"]] == [("persona", "a tale")]
+    long = context.narratives_long(told, "uuid", ("persona", "detailed_persona")).where("persona_id = 'n01'").orderBy("position")
     assert [(r["position"], r["field_name"]) for r in long.collect()] == [(0, "persona"), (1, "detailed_persona")]
 
 
@@ -45,29 +43,34 @@ def test_missing_columns_and_ids(people, spark):
         context.build_context(people.drop("bachelors_field"), SPEC, "P1")
     with pytest.raises(ValueError, match="missing required P3 columns: professional_persona"):
         context.build_context(people.drop("persona"), SPEC, "P3")
-    sample = spark.createDataFrame([("p1", 1), ("gone", 2)], "uuid string, sample_rank bigint")
+    sample = spark.createDataFrame([("n01", 1), ("gone", 2)], "uuid string, sample_rank bigint")
     with pytest.raises(ValueError, match="Missing sampled personas: gone"):
         context.require_complete(people, SPEC, sample)
-    context.require_complete(people, SPEC, sample.where("uuid = 'p1'"))
-    with pytest.raises(ValueError, match="more than once: p1"):
-        context.require_complete(people.union(people), SPEC, sample.where("uuid = 'p1'"))
+    context.require_complete(people, SPEC, sample.where("uuid = 'n01'"))
+    with pytest.raises(ValueError, match="more than once: n01"):
+        context.require_complete(people.union(people), SPEC, sample.where("uuid = 'n01'"))
 
 
 @pytest.fixture(scope="module")
 def cells(people, spark):
-    contexts = context.build_context(people.where("uuid IN ('p1', 'p2')"), SPEC, "P1")
-    failing = spark.createDataFrame([("p2",)], "persona_id string")
-    return responses.plan_responses(responses.mark_failing(contexts, failing), QUESTIONS, RUN)
+    contexts = context.build_context(people.where("uuid IN ('n01', 'n02')"), SPEC, "P1")
+    return responses.plan_responses(contexts, QUESTIONS, RUN)
 
 
-def context_struct():
-    return F.struct(F.col("agent_id").alias("persona_id"), *SPEC.base_context[1:])
+def refusing(agent):
+    """A generator that fails for one agent; an inner function, so that it travels to the workers by value."""
+    def generator(cell):
+        if cell["agent_id"] == agent:
+            raise ResponseGenerationError("no answer")
+        return "fine", {"stance": "support", "stance_score": 5, "reasoning_summary": "r", "concerns": ["a"], "acceptance_conditions": []}
+
+    return generator
 
 
 def test_expansion(cells):
     rows = cells.orderBy("agent_id", "repeat_index").collect()
     assert [r["repeat_index"] for r in rows] == [0, 1, 0, 1]
-    text = f"{RUN.run_id}|p1|question_main_original_v1|0"
+    text = f"{RUN.run_id}|n01|question_first|0"
     assert rows[0]["response_id"] == "response_" + hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
@@ -104,50 +107,55 @@ def test_runs_and_variants_are_checked():
             require_variants(variants)
 
 
-def test_hashed_answers_match_plain_python(cells, people):
-    filled = responses.score_responses(cells, context_struct(), VARIANTS, RUN)
-    rows = {(r["agent_id"], r["repeat_index"]): r for r in filled.collect()}
-    assert sorted(r["status"] for r in rows.values()) == ["error", "error", "success", "success"]
-    assert rows["p2", 0]["error_type"] == "ResponseGenerationError" and rows["p2", 0]["structured_response"] is None
-    p1 = people.where("uuid = 'p1'").first()
-    profile = {"persona_id": "p1"} | {c: p1[c] for c in SPEC.base_context[1:]}
-    for index, question in enumerate(QUESTIONS):
-        payload = "||".join((
-            "p1", question.question_id, question.question_text, RUN.scenario_id, "A:Policy A.|B:Policy B.", RUN.run_id,
-            "7", str(index), json.dumps(profile, ensure_ascii=False, separators=(",", ":")),
-        ))
-        b = hashlib.sha256(payload.encode()).digest()
-        answer = rows["p1", index]["structured_response"]
-        stance = vocab.STANCES[b[0] % 3]
-        assert answer["stance"] == stance
-        assert answer["stance_score"] == {"support": 4 + b[1] % 2, "neutral": 3, "oppose": 1 + b[1] % 2}[stance]
-        concerns = [vocab.CONCERNS[b[2] % 5], vocab.CONCERNS[b[3] % 5]]
-        assert answer["concerns"] == list(dict.fromkeys(concerns))
-
-
-def test_answers_do_not_depend_on_partitioning(cells):
-    once = responses.score_responses(cells, context_struct(), VARIANTS, RUN).select("response_id", "response_text")
-    again = responses.score_responses(cells.repartition(5), context_struct(), VARIANTS, RUN).select("response_id", "response_text")
-    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
-
-
 def test_generator_errors_become_rows(cells):
-    def generator(cell):
-        if cell["agent_id"] == "p2":
-            raise KeyError("no answer")
-        return "fine", {"stance": "support", "stance_score": 5, "reasoning_summary": "r", "concerns": ["a"], "acceptance_conditions": []}
-
-    filled = responses.generate_responses(cells, generator)
+    filled = responses.generate_responses(cells, refusing("n02"))
     rows = flatten_responses(filled).orderBy("agent_id", "repeat_index").collect()
     assert [(r["status"], r["error_type"], r["stance"]) for r in rows] == [
-        ("success", None, "support"), ("success", None, "support"), ("error", "KeyError", None), ("error", "KeyError", None)]
+        ("success", None, "support"), ("success", None, "support"), ("error", "ResponseGenerationError", None), ("error", "ResponseGenerationError", None)]
     assert rows[0]["concerns"] == ["a"] and rows[0]["response_text"] == "fine"
 
 
+def test_faults_of_the_program_end_the_run(cells):
+    def broken(cell):
+        return cell["no such column"]
+
+    with pytest.raises(PySparkException, match="no such column"):
+        responses.generate_responses(cells, broken).collect()
+    named = responses.generate_responses(cells, broken, (KeyError,)).collect()
+    assert {(r["status"], r["error_type"]) for r in named} == {("error", "KeyError")}
+
+
+@pytest.mark.parametrize("empty", [(None, None), ("", {"stance": "support"}), ("text", None), ("text", {})])
+def test_an_empty_answer_is_an_error(cells, empty):
+    rows = responses.generate_responses(cells, lambda cell: empty).collect()
+    assert {(r["status"], r["error_type"], r["response_text"]) for r in rows} == {("error", "EmptyResponseError", None)}
+
+
+def test_generators_see_nulls_and_whole_numbers(spark):
+    cells = spark.createDataFrame([(1, 5), (2, None)], "agent_id long, level int")
+
+    def show(cell):
+        return repr(cell["level"]), {"stance": "neutral", "stance_score": 3, "reasoning_summary": None, "concerns": [], "acceptance_conditions": []}
+
+    rows = responses.generate_responses(cells, show).collect()
+    assert {r["agent_id"]: r["response_text"] for r in rows} == {1: "5", 2: "None"}
+
+
+def test_a_stored_question_set_of_any_size(spark, people):
+    contexts = context.build_context(people, SPEC, "P1")
+    table = spark.range(12_000).selectExpr("'question_set_m' AS question_set_id", "concat('question_', id) AS question_id", "'?' AS question_text",
+                                           "'ORIGINAL' AS question_type", "cast(null as string) AS repeat_of_question_id")
+    other = table.withColumn("question_set_id", F.lit("question_set_o"))
+    rows = responses.expand_question_table(contexts, table.union(other), "question_set_m")
+    assert rows.count() == 8 * 12_000 and rows.select("persona_id", "question_id").distinct().count() == 8 * 12_000
+
+
 def test_retry_and_summary(cells):
-    filled = responses.score_responses(cells, context_struct(), VARIANTS, RUN)
-    assert {r["agent_id"] for r in responses.retry_set(cells, filled).collect()} == {"p2"}
-    part = filled.where("NOT (agent_id = 'p1' AND repeat_index = 1)")
+    filled = responses.generate_responses(cells, refusing("n02"))
+    assert {r["agent_id"] for r in responses.retry_set(cells, filled).collect()} == {"n02"}
+    elsewhere = filled.withColumn("project_id", F.lit("project_other"))
+    assert responses.retry_set(cells, elsewhere).count() == 4
+    part = filled.where("NOT (agent_id = 'n01' AND repeat_index = 1)")
     assert responses.retry_set(cells, part).count() == 3
     row = responses.run_summary(cells, part).first()
     assert (row["planned"], row["stored"], row["succeeded"], row["failed"], row["error_types"]) == (4, 3, 1, 2, 1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators import distributions, quantiles
-from cohortry.operators.skew import heavy_keys, sequence_within_key, skew_join, top_per_group
+from cohortry.operators.skew import null_safe_join, sequence_within_key, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -20,43 +20,23 @@ def fact(spark):
     return spark.createDataFrame(rows, "id long, k int, t long").repartition(6)
 
 
-@pytest.fixture(scope="module")
-def dim(spark):
-    return spark.createDataFrame([(k, f"v{k}") for k in range(0, 150)], "k int, v string")
-
-
-def test_heavy_keys(fact):
-    assert [r["k"] for r in heavy_keys(fact, ["k"], share=0.05, min_rows=1).collect()] == [0]
-    assert heavy_keys(fact, ["k"]).count() == 0
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("share", [0.05, 0.0001])
-def test_skew_join_equals_join(fact, dim, how, share):
-    salted = skew_join(fact, dim, ["k"], how, salt_by=["id"], salts=5, share=share, min_rows=1)
-    plain = fact.join(dim, ["k"], how)
-    key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, salted.select(*plain.columns).collect())) == sorted(map(key, plain.collect()))
-
-
-def test_skew_join_splits_the_hot_key(spark, fact, dim):
-    # the hot key's rows end up under several salts
-    hot = heavy_keys(fact, ["k"], 0.05, 1)
-    assert hot.count() == 1
-    salts = fact.where("k = 0").select(F.pmod(F.xxhash64("id"), F.lit(5))).distinct().count()
-    assert salts == 5
-
-
 def test_sequence_within_key(fact):
-    keyed = fact.where("k IS NOT NULL")
-    found = sequence_within_key(keyed, ["k"], ["t", "id"], F.floor(F.col("t") / 7), "pos").collect()
+    # rows without a key are a key, rows without a time come last
+    timed = fact.withColumn("t", F.when(F.col("id") % 11 != 0, F.col("t")))
+    found = sequence_within_key(timed, ["k"], ["t", "id"], F.floor(F.col("t") / 7), "pos").collect()
+    assert len(found) == 3000
     expected = {}
-    for r in sorted(keyed.collect(), key=lambda r: (r["k"], r["t"], r["id"])):
+    for r in sorted(timed.collect(), key=lambda r: (r["k"] is None, r["k"] or 0, r["t"] is None, r["t"] or 0, r["id"])):
         expected.setdefault(r["k"], []).append(r["id"])
     positions = {(r["k"], r["pos"]): r["id"] for r in found}
     assert positions == {(k, i): v for k, ids in expected.items() for i, v in enumerate(ids)}
 
 
+def test_null_safe_join(spark, fact):
+    sizes = fact.groupBy("k").count()
+    assert {r["k"]: r["count"] for r in null_safe_join(fact, sizes, ["k"]).collect()} == {r["k"]: r["count"] for r in sizes.collect()}
+
+
 def test_top_per_group(fact):
     rows = top_per_group(fact, ["k"], [F.col("id").desc()], 2, "r").where("k = 0").orderBy("r").collect()
     best = sorted((r["id"] for r in fact.where("k = 0").collect()), reverse=True)[:2]
@@ -91,7 +71,7 @@ def test_sliced_quantiles_are_exact(spark, shape):
 
 def test_minority_matches_brute_force(spark):
     rng = random.Random(8)
-    rows = [(i, rng.choice("ab"), "common" if rng.random() < 0.4 else f"s{int(rng.paretovariate(0.6)) % 60}") for i in range(800)]
+    rows = [(i, rng.choice(["a", "b", None]), "common" if rng.random() < 0.4 else f"s{int(rng.paretovariate(0.6)) % 60}") for i in range(800)]
     df = spark.createDataFrame(rows, "id int, g string, mark string").repartition(5)
     counts = {}
     for _, g, m in rows:
