@@ -2,8 +2,8 @@
 
 The text view sees what is written: hashed words and shares of character classes. The metadata view sees how the document
 is filed and laid out: source, language, size, lines, repeated lines. Each view has its own logistic regression. Over some
-rounds each view scores a pool of unlabelled documents and hands the ones that it is surest about, with their guessed
-labels, to the other view's training set. Both are then calibrated on labelled documents that were kept apart, and a last
+rounds each view scores a pool of unlabelled documents and hands the ones that it is surest about (by its calibration),
+with their guessed labels, to the other view's training set. Both are then calibrated on labelled documents that were kept apart, and a last
 regression on the two calibrated logits combines them. All documents are scored in one scan with weights of fixed size.
 
 Only fitting uses samples, bounded by ``labelled`` and ``pool``: the rows whose ids have the smallest hashes. Their
@@ -157,17 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, parameters: CoTraining | None = None
     mine = ids.join(known, "doc_id").withColumn("place", place).orderBy("place").limit(p.labelled)
     pool = ids.join(known, "doc_id", "left_anti").withColumn("good", F.lit(None).cast("double")).withColumn("place", place).orderBy("place").limit(p.pool)
     good, text, meta, places = _sample_features(rows, mine.union(pool))
-    return co_train(good, text, meta, places, p)
+    return co_train(good, text, meta, places, p, _WORDS)
 
 
-def co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.ndarray, p: CoTraining) -> Classifier:
-    """Exchange pseudo-labels between the views and calibrate them; NaN marks the pool."""
+def co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.ndarray, p: CoTraining, words: int = 0) -> Classifier:
+    """Exchange pseudo-labels between the views and calibrate them; NaN marks the pool.
+
+    The first ``words`` columns of the text view, many and sparse, together weigh as much as the shapes.
+    """
     labelled = ~np.isnan(good)
     if len(np.unique(good[labelled])) < 2:
         share = float(good[labelled].mean()) if labelled.any() else 0.5
         none = np.zeros(0)
         return Classifier(none, none, none, none, none, none, share)
     scales = _scale(text), _scale(meta)
+    if words:
+        scales[0][1, :words] *= np.sqrt(words / _SHAPES)
     views = [(x - s[0]) / s[1] for x, s in zip((text, meta), scales)]
     apart = labelled & (places % 1000 < 1000 * p.calibration)
     if min((good[apart] == c).sum() for c in (0, 1)) < 5 or min((good[labelled & ~apart] == c).sum() for c in (0, 1)) < 5:
@@ -187,7 +192,9 @@ def co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.nd
         if turn == p.rounds or not len(pool):
             break
         for k, (x, w) in enumerate(zip(views, weights)):
-            chance = 1 / (1 + np.exp(-_logit(x[pool], w)))
+            # how sure a view is counts by the labelled documents that were kept apart
+            fit = _logistic(_logit(x[apart], w)[:, None], good[apart], np.ones(apart.sum()), 1e-2)
+            chance = 1 / (1 + np.exp(-np.clip(_logit(x[pool], w) * fit[0] + fit[1], -30, 30)))
             free = np.isnan(given[1 - k][pool])
             n = max(1, int(p.handed * len(pool)))
             for label, sure in ((1.0, chance), (0.0, 1 - chance)):
