@@ -77,7 +77,9 @@ def flat_lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def column_sums(frame: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int) -> np.ndarray:
+def column_sums(
+    frame: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, kind: type = np.float64
+) -> np.ndarray:
     """The sum of vectors of one fixed size that ``partial`` makes from the batches of each task.
 
     Vectors travel in blocks and are added on two levels, so that no group holds a block of every task.
@@ -89,17 +91,18 @@ def column_sums(frame: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]],
         for vector in partial(batches):
             total = vector if total is None else total + vector
         if total is not None:
-            parts = [np.ascontiguousarray(total[i:i + block], np.float64).tobytes() for i in range(0, size, block)]
+            parts = [np.ascontiguousarray(total[i:i + block], kind).tobytes() for i in range(0, size, block)]
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "vector"])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in rows.column("vector"))
+        total = sum(np.frombuffer(v.as_buffer(), kind) for v in rows.column("vector"))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "vector": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, vector binary"
     made = frame.mapInArrow(split, schema).withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(32)))
     got = made.groupBy("block", "lot").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).toArrow()
-    out = np.zeros(size)
-    for k, vector in zip(got["block"].to_pylist(), got["vector"].to_pylist()):
-        out[k * block:(k + 1) * block] = np.frombuffer(vector, np.float64)
+    out = np.zeros(size, kind)
+    for k, vector in zip(got["block"], got["vector"]):
+        at = k.as_py() * block
+        out[at:at + block] = np.frombuffer(vector.as_buffer(), kind)
     return out

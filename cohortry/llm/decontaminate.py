@@ -146,6 +146,18 @@ def _products(p: LeakParameters, weights, basis, small: bool):
     return run
 
 
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, by way of their small Gram matrix, twice for precision;
+    directions without weight are left out."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(z.T @ z)
+        strong = values > 1e-9 * max(values.max(), 1e-30)
+        if not strong.any():  # no passages
+            return np.zeros((len(z), 1), np.float32)
+        z = z @ (vectors[:, strong] / np.sqrt(values[strong])).astype(np.float32)
+    return z
+
+
 def randomised_basis(items: DataFrame, weights: np.ndarray, p: LeakParameters) -> np.ndarray:
     """The leading right singular vectors (terms x rank) of the passage matrix: a random start, one power step, and an
     eigenproblem of the small matrix. Tasks hold their passages; only sums of fixed size leave them."""
@@ -153,8 +165,7 @@ def randomised_basis(items: DataFrame, weights: np.ndarray, p: LeakParameters) -
     held = context.broadcast(weights)
     q = np.random.default_rng(20).standard_normal((len(weights), p.rank + p.extra)).astype(np.float32)
     for _ in range(2):
-        z = column_sums(items, _products(p, held, context.broadcast(q), False), q.size).reshape(q.shape)
-        q = np.linalg.qr(z)[0].astype(np.float32)
+        q = _orthonormal(column_sums(items, _products(p, held, context.broadcast(q), False), q.size, np.float32).reshape(q.shape))
     gram = column_sums(items, _products(p, held, context.broadcast(q), True), q.shape[1] ** 2).reshape(q.shape[1], -1)
     values, vectors = np.linalg.eigh(gram)
     strong = np.argsort(values)[::-1][:p.rank]
@@ -254,13 +265,13 @@ def _leaks_of(words, first, weights, basis, inside, items, latent, owner, p: Lea
     best: dict[tuple[int, int], list[tuple[float, int]]] = {}
     for low in range(0, len(windows), 4096):
         part, spot = windows[low:low + 4096], place[low:low + 4096]
-        second = np.where(joined[part], np.minimum(spot + 1, len(needed) - 1), -1)
+        second = np.minimum(spot + joined[part], len(needed) - 1)
         a, b = np.searchsorted(at_block, [spot[0], spot[-1] + 2])
         sums = np.zeros((spot[-1] + 2 - spot[0] + 1, basis.shape[1]), np.float32)
         if b > a:
             heads = np.flatnonzero(np.append(True, at_block[a + 1:b] != at_block[a:b - 1]))
             sums[at_block[a:b][heads] - spot[0]] = np.add.reduceat(basis[term[at[a:b]]] * weights[term[at[a:b], None]], heads, axis=0)
-        vectors = sums[spot - spot[0]] + np.where(second[:, None] >= 0, sums[second - spot[0]], np.float32(0))
+        vectors = sums[spot - spot[0]] + np.where(joined[part, None], sums[second - spot[0]], np.float32(0))
         length = np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
         close = (vectors / np.maximum(length, 1e-12)) @ latent.T
         for w, c in zip(*np.nonzero(close >= p.cosine)):
