@@ -57,7 +57,8 @@ class LeakParameters:
 
 @dataclass(frozen=True)
 class LatentIndex:
-    """Term weights, the latent basis, which terms occur in the benchmark, and the item blocks (ids and word hashes)."""
+    """Term weights, the latent basis (its rows are the terms that occur in the benchmark, in order), which terms these are,
+    and the item blocks (ids and word hashes)."""
 
     weights: np.ndarray
     basis: np.ndarray
@@ -124,7 +125,7 @@ def _times(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, basis: np.nd
     return np.add.reduceat(basis[terms] * values[:, None], np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), axis=0)
 
 
-def _products(p: LeakParameters, weights, basis, small: bool):
+def _products(p: LeakParameters, weights, place, basis, small: bool):
     """Per task, A'(A Q) of its passages A, or (A Q)'(A Q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -132,6 +133,7 @@ def _products(p: LeakParameters, weights, basis, small: bool):
         out = np.zeros((q.shape[1], q.shape[1]) if small else q.shape)
         for _, _, lists in _word_lists(batches):
             rows, terms, values = _matrix(lists, weights.value, p)
+            terms = place.value[terms]
             y = _times(rows, terms, values, q)
             if small:
                 out += y.T @ y
@@ -158,15 +160,16 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def randomised_basis(items: DataFrame, weights: np.ndarray, p: LeakParameters) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the passage matrix: a random start, one power step, and an
-    eigenproblem of the small matrix. Tasks hold their passages; only sums of fixed size leave them."""
+def randomised_basis(items: DataFrame, weights: np.ndarray, inside: np.ndarray, p: LeakParameters) -> np.ndarray:
+    """The leading right singular vectors (terms of the benchmark x rank) of the passage matrix: a random start, one power
+    step, and an eigenproblem of the small matrix. Tasks hold their passages; only sums of bounded size leave them."""
     context = items.sparkSession.sparkContext
-    held = context.broadcast(weights)
-    q = np.random.default_rng(20).standard_normal((len(weights), p.rank + p.extra)).astype(np.float32)
+    place = np.where(inside, np.cumsum(inside) - 1, 0).astype(np.int64)
+    held, places = context.broadcast(weights), context.broadcast(place)
+    q = np.random.default_rng(20).standard_normal((max(1, int(inside.sum())), p.rank + p.extra)).astype(np.float32)
     for _ in range(2):
-        q = _orthonormal(column_sums(items, _products(p, held, context.broadcast(q), False), q.size, np.float32).reshape(q.shape))
-    gram = column_sums(items, _products(p, held, context.broadcast(q), True), q.shape[1] ** 2).reshape(q.shape[1], -1)
+        q = _orthonormal(column_sums(items, _products(p, held, places, context.broadcast(q), False), q.size, np.float32).reshape(q.shape))
+    gram = column_sums(items, _products(p, held, places, context.broadcast(q), True), q.shape[1] ** 2).reshape(q.shape[1], -1)
     values, vectors = np.linalg.eigh(gram)
     strong = np.argsort(values)[::-1][:p.rank]
     return (q @ vectors[:, strong]).astype(np.float32)
@@ -180,8 +183,6 @@ def build_index(docs: DataFrame, benchmark: DataFrame, parameters: LeakParameter
     weights = np.log((counts[terms] + 1) / (counts[:terms] + 1)).clip(0).astype(np.float32) + np.float32(0.01)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("text IS NOT NULL").distinct()
-    basis = randomised_basis(items, weights, p)
-
     inside = np.zeros(terms, bool)
     blocks = []
     n_blocks = -(-items.count() // p.block_items)
@@ -195,7 +196,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, parameters: LeakParameter
         for _, words in block:
             inside[(words & np.uint64(terms - 1)).astype(np.int64)] = True
         blocks.append(block)
-    return LatentIndex(weights, basis, inside, blocks, p)
+    return LatentIndex(weights, randomised_basis(items, weights, inside, p), inside, blocks, p)
 
 
 def common_words(item: np.ndarray, region: np.ndarray) -> int:
@@ -212,41 +213,112 @@ def common_words(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - left.bit_count()
 
 
+@dataclass(frozen=True)
+class Searched:
+    """A block of items as workers search for it.
+
+    ``place`` gives the row of an inside term in ``basis``, whose rows are weighted, and -1 for other terms. ``vocabulary``
+    holds the items' words; ``keys`` (item, word) and ``masks``, the positions of the word in the item as bits, are sorted
+    for lookups. Items of more than 64 words have no masks.
+    """
+
+    weights: np.ndarray
+    place: np.ndarray
+    basis: np.ndarray
+    items: list[tuple[int | None, np.ndarray]]
+    latent: np.ndarray
+    owner: np.ndarray
+    vocabulary: np.ndarray
+    keys: np.ndarray
+    masks: np.ndarray
+
+    @classmethod
+    def of(cls, index: LatentIndex, items: list[tuple[int | None, np.ndarray]]) -> Searched:
+        p, terms = index.parameters, np.flatnonzero(index.inside)
+        rows, columns, values = _matrix([words for _, words in items], index.weights, p)
+        place = np.full(len(index.weights), -1, np.int32)
+        place[terms] = np.arange(len(terms))
+        latent = _times(rows, place[columns], values, index.basis).astype(np.float32)
+        latent /= np.maximum(np.sqrt((latent ** 2).sum(axis=1, keepdims=True)), 1e-12)
+        every = [words for _, words in items]
+        vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        masks: dict[int, int] = {}
+        for i, words in enumerate(every):
+            if len(words) <= 64:
+                for k, w in enumerate(np.searchsorted(vocabulary, words).tolist()):
+                    masks[i * len(vocabulary) + w] = masks.get(i * len(vocabulary) + w, 0) | 1 << k
+        keys = np.array(sorted(masks), np.int64)
+        owner = np.array([i for i, words in enumerate(every) for _ in passages(words, p)], np.int64)
+        return cls(index.weights, place, index.basis[:len(terms)] * index.weights[terms, None], items, latent, owner, vocabulary,
+                   keys, np.array([masks[k] for k in keys.tolist()], np.uint64))
+
+    def word_numbers(self, words: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The place of each word in the vocabulary, -1 if it is in no item; ``inside`` tells which can be."""
+        out = np.full(len(words), -1, np.int64)
+        some = np.flatnonzero(inside)
+        at = np.minimum(np.searchsorted(self.vocabulary, words[some]), len(self.vocabulary) - 1)
+        out[some] = np.where(self.vocabulary[at] == words[some], at, -1)
+        return out
+
+    def common_lengths(self, words: np.ndarray, numbers: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """``common_words`` of many items and regions at once: one step a word of the region, over all of them."""
+        sizes = np.array([len(w) for _, w in self.items], np.int64)[item]
+        out = np.zeros(len(item), np.int64)
+        for k in np.flatnonzero(sizes > 64).tolist():
+            out[k] = common_words(self.items[item[k]][1], words[low[k]:high[k]])
+        short = np.flatnonzero(sizes <= 64)
+        for at in range(0, len(short), 4096):
+            some = short[at:at + 4096]
+            where = low[some, None] + np.arange((high[some] - low[some]).max())
+            number = np.where(where < high[some, None], numbers[np.minimum(where, len(words) - 1)], -1)
+            row, column = np.nonzero(number >= 0)
+            key = item[some][row] * len(self.vocabulary) + number[row, column]
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            mask = np.zeros(number.shape, np.uint64)
+            mask[row, column] = np.where(self.keys[spot] == key, self.masks[spot], np.uint64(0))
+            full = (np.uint64(2) << (sizes[some] - 1).astype(np.uint64)) - np.uint64(1)
+            left = full.copy()
+            for j in range(mask.shape[1]):
+                hit = left & mask[:, j]
+                left = ((left + hit) | (left - hit)) & full
+            out[some] = sizes[some] - np.bitwise_count(left)
+        return out
+
+
 def leaks(index: LatentIndex, block: int, docs: DataFrame, text: str = "text") -> Column:
     """The items of one block that each text leaks, as an array column."""
     p = index.parameters
-    items = index.blocks[block]
-    rows, terms, values = _matrix([words for _, words in items], index.weights, p)
-    latent = _times(rows, terms, values, index.basis).astype(np.float32)
-    latent /= np.maximum(np.sqrt((latent ** 2).sum(axis=1, keepdims=True)), 1e-12)
-    owner = np.array([i for i, (_, words) in enumerate(items) for _ in passages(words, p)], np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((index.weights, index.basis, index.inside, items, latent, owner))
+    held = docs.sparkSession.sparkContext.broadcast(astuple_shallow(Searched.of(index, index.blocks[block])))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights, basis, inside, items, latent, owner = held.value
-        hasher = WordHasher()
+        searched, hasher = Searched(*held.value), WordHasher()
         for column in columns:
             out: list[list] = [[] for _ in range(len(column))]
             for row, data, offsets in text_buffers(column):
                 words, first = hasher.words(data, offsets)
-                for text_no, found in _leaks_of(words, first, weights, basis, inside, items, latent, owner, p):
+                for text_no, found in _leaks_of(words, first, searched, p):
                     out[row + text_no] = found
             yield pa.array(out, _LEAKS)
 
     return F.arrow_udf(run, LEAKS)(F.col(text).cast("string"))
 
 
-def _leaks_of(words, first, weights, basis, inside, items, latent, owner, p: LeakParameters) -> Iterator[tuple[int, list]]:
+def astuple_shallow(value) -> tuple:
+    """The fields of a dataclass; a broadcast value must not need its class to be importable."""
+    return tuple(getattr(value, name) for name in value.__dataclass_fields__)
+
+
+def _leaks_of(words: np.ndarray, first: np.ndarray, m: Searched, p: LeakParameters) -> Iterator[tuple[int, list]]:
     """The leaks of each text of a buffer."""
-    if not len(words) or not len(latent):
+    if not len(words) or not len(m.latent):
         return
-    term = (words & np.uint64(len(weights) - 1)).astype(np.int64)
-    square = weights[term] ** 2
+    term = (words & np.uint64(len(m.weights) - 1)).astype(np.int64)
+    square, place_of = m.weights[term] ** 2, m.place[term]
     per_text = -(-np.diff(first) // p.block)
     text = np.repeat(np.arange(len(per_text)), per_text)
     starts = first[text] + p.block * (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
     whole = np.add.reduceat(square, starts)
-    within = np.add.reduceat(np.where(inside[term], square, 0), starts)
+    within = np.add.reduceat(np.where(place_of >= 0, square, 0), starts)
     joined = np.append(text[1:] == text[:-1], False)
     follows = np.flatnonzero(joined) + 1
     whole[follows - 1] += whole[follows].copy()
@@ -259,40 +331,44 @@ def _leaks_of(words, first, weights, basis, inside, items, latent, owner, p: Lea
     sizes = ends[needed] - starts[needed]
     at = np.repeat(starts[needed] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     at_block = np.repeat(np.arange(len(needed)), sizes)
-    useful = inside[term[at]]
-    at, at_block = at[useful], at_block[useful]
+    row = place_of[at]
+    row, at_block = row[row >= 0], at_block[row >= 0]
     place = np.searchsorted(needed, windows)
-    best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(windows), 4096):
         part, spot = windows[low:low + 4096], place[low:low + 4096]
         second = np.minimum(spot + joined[part], len(needed) - 1)
         a, b = np.searchsorted(at_block, [spot[0], spot[-1] + 2])
-        sums = np.zeros((spot[-1] + 2 - spot[0] + 1, basis.shape[1]), np.float32)
+        sums = np.zeros((spot[-1] + 2 - spot[0] + 1, m.basis.shape[1]), np.float32)
         if b > a:
             heads = np.flatnonzero(np.append(True, at_block[a + 1:b] != at_block[a:b - 1]))
-            sums[at_block[a:b][heads] - spot[0]] = np.add.reduceat(basis[term[at[a:b]]] * weights[term[at[a:b], None]], heads, axis=0)
+            sums[at_block[a:b][heads] - spot[0]] = np.add.reduceat(m.basis[row[a:b]], heads, axis=0)
         vectors = sums[spot - spot[0]] + np.where(joined[part, None], sums[second - spot[0]], np.float32(0))
         length = np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
-        close = (vectors / np.maximum(length, 1e-12)) @ latent.T
-        for w, c in zip(*np.nonzero(close >= p.cosine)):
-            best.setdefault((int(text[part[w]]), int(owner[c])), []).append((-float(close[w, c]), int(part[w])))
+        close = (vectors / np.maximum(length, 1e-12)) @ m.latent.T
+        w, c = np.nonzero(close >= p.cosine)
+        near.append((part[w], m.owner[c], close[w, c]))
+    window, item, close = (np.concatenate(x) for x in zip(*near))
+    order = np.lexsort((-close, item, window))  # of an item's passages the closest
+    window, item, close = window[order], item[order], close[order]
+    one = np.append(True, (window[1:] != window[:-1]) | (item[1:] != item[:-1]))[:len(window)]
+    window, item, close = window[one], item[one], close[one]
+    sizes = np.array([len(x) for _, x in m.items], np.int64)[item]
+    low = np.maximum(first[text[window]], starts[window] - sizes)
+    high = np.minimum(first[text[window] + 1], starts[window] + 2 * p.block + sizes)
+    got = m.common_lengths(words, m.word_numbers(words, place_of >= 0), item, low, high)
+    best: dict[tuple[int, int], tuple] = {}
+    for k in np.flatnonzero(got >= p.possible * sizes).tolist():
+        tail = m.items[item[k]][1][-p.answer:]
+        answer = common_words(tail, words[low[k]:high[k]])
+        if got[k] >= p.sure * sizes[k] or answer >= p.answered * len(tail):
+            key = int(text[window[k]]), int(item[k])
+            best[key] = max(best.get(key, ()), (int(got[k]), float(close[k]), answer))
     found: dict[int, list] = {}
-    for (t, i), candidates in sorted(best.items()):
-        item_id, item = items[i]
-        chosen = None
-        for close, w in sorted(set(candidates)):
-            region = words[max(first[t], starts[w] - len(item)):min(first[t + 1], starts[w] + 2 * p.block + len(item))]
-            got = common_words(item, region)
-            if got >= p.possible * len(item) and (chosen is None or got > chosen[1]):
-                tail = item[-p.answer:]
-                answer = common_words(tail, region)
-                if got >= p.sure * len(item) or answer >= p.answered * len(tail):
-                    chosen = (-close, got, answer)
-                    if got == len(item):
-                        break
-        if chosen:
-            found.setdefault(t, []).append({"item_id": item_id, "cosine": round(chosen[0], 4), "lcs_words": chosen[1],
-                                            "item_words": len(item), "answer_words": chosen[2]})
+    for (t, i), (common, cosine, answer) in sorted(best.items()):
+        item_id, item_words = m.items[i]
+        found.setdefault(t, []).append({"item_id": item_id, "cosine": round(cosine, 4), "lcs_words": common,
+                                        "item_words": len(item_words), "answer_words": answer})
     yield from found.items()
 
 
