@@ -60,10 +60,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fold[0x80:] = np.arange(0x80, 0x100)
     lengths = np.diff(offsets)
     letters = np.insert(fold[data], offsets[:-1], 0)
-    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     keep = letters != 0
     keep[1:] |= letters[:-1] != 0
-    letters, owner = np.append(letters[keep], 0).astype(np.uint64), np.append(owner[keep], 0)
+    letters, owner = np.append(letters[keep], np.uint8(0)), np.append(owner[keep], np.int32(0))
     codes, texts = [], []
     inner = letters != 0
     for size in _SIZES:
@@ -75,10 +75,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             whole &= inner[k:n + k]
         code = np.full(n, size << 40, np.uint64)
         for k in range(size):
-            code |= letters[k:n + k] << np.uint64(8 * k)
+            code |= letters[k:n + k].astype(np.uint64) << np.uint64(8 * k)
         codes.append(code[whole])
         texts.append(owner[1:n + 1][whole])
-    return (np.concatenate(codes), np.concatenate(texts)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(codes), np.concatenate(texts)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         languages = np.array(batch.column("lang").to_pylist(), object)
-        for row, data, offsets in text_buffers(batch.column("text"), 1 << 22):
+        for row, data, offsets in text_buffers(batch.column("text")):
             code, text = ngrams(data, offsets)
             names = languages[row:row + len(offsets) - 1]
             for name in set(names):
@@ -110,10 +110,10 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 codes, counts = held.setdefault(name, ([], []))
                 codes.append(chosen[first])
                 counts.append(np.diff(np.append(first, len(chosen))))
-                if sum(map(len, codes)) > 1 << 21:
+                if sum(map(len, codes)) > 1 << 20:
                     merged = _counted(codes, counts)
                     held[name] = ([merged[0]], [merged[1]])
-                    if len(merged[0]) > 1 << 20:
+                    if len(merged[0]) > 1 << 19:
                         yield rows(name)
                         del held[name]
     for name in held:
@@ -193,7 +193,7 @@ def predicted(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Col
         for column in columns:
             best, score = np.full(len(column), len(names) - 1), np.zeros(len(column))
             if known.languages:
-                for row, data, offsets in text_buffers(column, 1 << 22):
+                for row, data, offsets in text_buffers(column):
                     part = explained(data, offsets, known)
                     at = part.argmax(axis=1)
                     best[row:row + len(at)], score[row:row + len(at)] = at, part[np.arange(len(at)), at]

@@ -28,7 +28,7 @@ def odd_factor(k: int) -> np.uint64:
     return np.uint64((_GOLDEN * (2 * k + 3) | 1) % _WORD)
 
 
-def text_buffers(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_buffers(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Split a string column into slices of about ``limit`` bytes (a longer text is a slice of its own).
 
     Yields the first row of the slice, its bytes and the offsets of its texts in them. NULL counts as empty.
