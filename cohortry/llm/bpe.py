@@ -29,7 +29,7 @@ from tokenizers import Tokenizer, models
 
 ENCODED = "n_tokens long, ids string, decoded string"
 LEAF = 4096
-_KEPT_PIECES = 400_000
+_KEPT_PIECES = 300_000
 
 
 class PieceEncoder:
@@ -46,13 +46,20 @@ class PieceEncoder:
         specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.pieces = re.compile(r"[^\t-\r ]+")
-        self.kept: dict[str, tuple[str, str, int]] = {}
+        self.kept: dict[str, bytes] = {}  # ids as four bytes each, which takes far less memory than texts
         self.inner = None
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.numbers = [str(i) for i in range(size)]
 
-    def library(self, piece: str) -> tuple[str, str, int]:
-        """Ids and decoded text of a piece, and the number of tokens."""
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False), len(ids)
+    def spelled(self, coded: bytes) -> tuple[str, str, int]:
+        """Ids and decoded text of coded ids, and their number."""
+        ids = np.frombuffer(coded, np.uint32).tolist()
+        return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]), len(ids)
+
+    def library(self, piece: str) -> bytes:
+        """The coded ids of a piece."""
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special tokens (kept as parts) and at white space."""
@@ -69,17 +76,17 @@ class PieceEncoder:
             part = pieces[low:low + 4096]
             starts = [0, *accumulate(len(piece) + 1 for piece in part)]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, tokens = coded.ids, coded.tokens
-            bounds = np.searchsorted([a for a, _ in coded.offsets], starts).tolist()
+            ids = np.array(coded.ids, np.uint32).tobytes()
+            bounds = (4 * np.searchsorted([a for a, _ in coded.offsets], starts)).tolist()
             for piece, a, b in zip(part, bounds, bounds[1:]):
-                self.kept[piece] = (" ".join(map(str, ids[a:b])), " ".join(tokens[a:b]), b - a)
+                self.kept[piece] = ids[a:b]
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """Ids and decoded text of whole texts, and the number of tokens."""
         parts = [self.parts(text) for text in texts]
         every = set().union(*parts)
         specials = {piece for piece in every if self.special and self.special.fullmatch(piece)}
-        long = {piece: self.library(piece) if len(piece) <= LEAF else self.joined(piece)
+        long = {piece: self.library(piece) if len(piece) <= LEAF else self.coded(piece)
                 for piece in every if len(piece) > 64 or piece in specials}
         short = [piece for piece in every if piece not in long]
         new = [piece for piece in short if piece not in self.kept]
@@ -87,12 +94,9 @@ class PieceEncoder:
             self.kept.clear()
             new = short
         self.learn(new)
-        known = {piece: long.get(piece) or self.kept[piece] for piece in every}
-        out = []
-        for pieces in parts:
-            found = [x for x in [known[piece] for piece in pieces] if x[2]]
-            out.append((" ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])))
-        return out
+        kept = self.kept
+        return [self.spelled(b"".join([long[x] if x in long else kept[x] for x in pieces] if long else [kept[x] for x in pieces]))
+                for pieces in parts]
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """Ids and decoded text of a whole text, and the number of tokens."""
@@ -136,18 +140,21 @@ class PieceEncoder:
             level = up + level[len(up) * 2:]
         return level[0][0] if level else []
 
-    def joined(self, piece: str, leaf: int = LEAF) -> tuple[str, str, int]:
-        """A long piece, all its leaves in this task."""
+    def coded(self, piece: str, leaf: int = LEAF) -> bytes:
+        """The coded ids of a long piece, all its leaves in this task."""
         out = []
         for word in self.long_tokens(piece):
             cuts = leaves_of(word, leaf)
             out += self.tree([self.tokens(s, k == len(cuts) - 1) for k, s in enumerate(cuts)])
         return self.named(out)
 
-    def named(self, tokens: list[str]) -> tuple[str, str, int]:
-        """Ids and decoded text of tokens."""
-        ids = [self.tokenizer.token_to_id(t) for t in tokens]
-        return " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False), len(ids)
+    def joined(self, piece: str, leaf: int = LEAF) -> tuple[str, str, int]:
+        """Ids and decoded text of a long piece, and the number of tokens."""
+        return self.spelled(self.coded(piece, leaf))
+
+    def named(self, tokens: list[str]) -> bytes:
+        """The coded ids of tokens."""
+        return np.array([self.tokenizer.token_to_id(t) for t in tokens], np.uint32).tobytes()
 
 
 def leaves_of(text: str, leaf: int) -> list[str]:
@@ -231,7 +238,7 @@ def _concatenate(content):
         out = []
         for held in parts.values():
             if held[0]["leaves"]:
-                out.append(encoder.named(encoder.tree([r["tokens"] for r in held])))
+                out.append(encoder.spelled(encoder.named(encoder.tree([r["tokens"] for r in held]))))
             else:
                 ids, decoded = held[0]["tokens"]
                 out.append((ids, decoded, len(ids.split())))
