@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
+from cohortry.llm.words import give_back
+
 ENCODED = "n_tokens long, ids string, decoded string"
 LEAF = 4096
 _KEPT_PIECES = 300_000
@@ -181,6 +183,7 @@ def _encode_rows(content, keys: list[str]):
                             pa.array([r[1] for r in rows], pa.string())]
                 yield pa.record_batch(columns, [*keys, "n_tokens", "ids", "decoded"])
                 low += len(rows)
+            give_back()
 
     return run
 

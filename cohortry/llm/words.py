@@ -5,6 +5,7 @@ A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z are lower-c
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,14 @@ def odd_factor(k: int) -> np.uint64:
     return np.uint64((_GOLDEN * (2 * k + 3) | 1) % _WORD)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits between tasks and stages, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_buffers(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Split a string column into slices of about ``limit`` bytes (a longer text is a slice of its own).
 
@@ -48,6 +57,7 @@ def text_buffers(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int,
         end = min(end, len(column))
         yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 class WordHasher:
