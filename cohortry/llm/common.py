@@ -28,10 +28,10 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, path: str) -> DataFrame:
+def stored(frame: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back, so that a lost executor costs no more than that step."""
     schema = frame.schema
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=codec)
     return frame.sparkSession.read.schema(schema).parquet(path)
 
 
