@@ -2,21 +2,24 @@
 
 The text view sees what is written: hashed words and shares of character classes. The metadata view sees how the document
 is filed and laid out: source, language, size, lines, repeated lines. Each view has its own logistic regression. Over some
-rounds each view scores a pool of unlabelled documents and hands the ones that it is surest about (by its calibration),
-with their guessed labels, to the other view's training set. Both are then calibrated on labelled documents that were kept apart, and a last
-regression on the two calibrated logits combines them. All documents are scored in one scan with weights of fixed size.
-
-Only fitting uses samples, bounded by ``labelled`` and ``pool``: the rows whose ids have the smallest hashes. Their
-features, of fixed width, are all that reaches the driver.
-
-Defined results: NULL or empty text and NULL metadata have features of their own and are scored. Labels that are NULL are
-left out; contradicting labels of a document count as good from one half on. With labels of one class only (or none) every
-document gets that share of good labels (or 0.5) as its score.
+rounds each view scores all unlabelled documents and hands the ones that it is surest about (by its calibration), with
+their guessed labels, to the other view's training set; the share handed over grows from round to round, and every round
+chooses anew. Both are then calibrated on labelled documents that were kept apart, and a last regression on the two
+calibrated logits combines them. All documents are scored in one scan with weights of fixed size.
+
+The features of all unlabelled documents are written once to the shared folder. A round is a few scans of them: one counts
+scores in bins of fixed number, which gives the threshold of the share, and one for each Newton step sums gradients and
+curvatures of the documents beyond the thresholds. Only sums of fixed size reach the driver. Labelled rows are a sample
+bounded by ``labelled``: the rows whose ids have the smallest hashes.
+
+Defined results: NULL or empty text and NULL metadata have features of their own and are scored; rows without a doc_id are
+unlabelled. Labels that are NULL are left out; contradicting labels of a document count as good from one half on. With
+labels of one class only (or none) every document gets that share of good labels (or 0.5) as its score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import column_sums, is_present, presence_bits, stored, work_folder
 from cohortry.llm.words import WordHasher, text_buffers
 
 _WORDS = 512
@@ -35,12 +39,13 @@ TEXT_WIDTH, META_WIDTH = _WORDS + _SHAPES, 2 * _NAMES + _LAYOUT
 
 @dataclass(frozen=True)
 class CoTraining:
-    """``labelled`` and ``pool`` bound the samples; ``handed`` is the share of the pool that a view hands over for each
-    class in a round; ``calibration`` the share of labelled rows kept apart; ``keep`` the least score of a good document."""
+    """``labelled`` bounds the sample of labelled rows; ``handed`` is the share of the unlabelled documents by which a view
+    hands over more for each class in a round, in at most ``steps`` Newton steps; ``calibration`` the share of labelled
+    rows kept apart; ``keep`` the least score of a good document."""
 
     labelled: int = 10_000
-    pool: int = 10_000
     rounds: int = 5
+    steps: int = 3
     handed: float = 0.03
     sure: float = 0.9
     calibration: float = 0.25
@@ -123,28 +128,59 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def _scale(x: np.ndarray) -> np.ndarray:
-    deviation = x.std(axis=0)
-    return np.stack([x.mean(axis=0), np.where(deviation > 1e-9, deviation, 1)])
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
 
 
-def _sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels (NaN for the pool), both views and the order of the sampled documents."""
+def _view_rows(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Both views of every row (columns text, source, lang) as one float32 vector, beside the columns to keep."""
+    hasher = WordHasher()
+    for batch in batches:
+        for row, text, meta in features(batch, hasher):
+            rows = np.concatenate([text, meta], axis=1).astype(np.float32)
+            columns = [batch.column(c).slice(row, len(rows)) for c in kept]
+            yield pa.record_batch([*columns, pa.array([r.tobytes() for r in rows], pa.binary())], [*kept, "views"])
+
+
+def _views(column: pa.Array, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both views from ``n`` vectors of a column."""
+    held = np.frombuffer(b"".join(column.slice(start, n).to_pylist()), np.float32).reshape(-1, TEXT_WIDTH + META_WIDTH).astype(np.float64)
+    return held[:, :TEXT_WIDTH], held[:, TEXT_WIDTH:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            for row, text, meta in features(batch, hasher):
-                rows = np.concatenate([text, meta], axis=1).astype(np.float32)
-                yield pa.record_batch([batch.column("place").slice(row, len(rows)), batch.column("good").slice(row, len(rows)),
-                                       pa.array([r.tobytes() for r in rows], pa.binary())], ["place", "good", "views"])
 
+def _sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, both views and the order of the sampled documents."""
     # the ids are a sample of bounded size
     rows = docs.join(F.broadcast(ids), "doc_id").select("place", "good", "text", "source", "lang")
-    got = rows.mapInArrow(run, "place long, good double, views binary").toArrow().sort_by("place")
-    views = np.frombuffer(b"".join(got["views"].to_pylist()), np.float32).reshape(len(got), TEXT_WIDTH + META_WIDTH).astype(np.float64)
-    good = np.array([np.nan if g is None else g for g in got["good"].to_pylist()], np.float64)
-    return good, views[:, :TEXT_WIDTH], views[:, TEXT_WIDTH:], got["place"].to_numpy()
+    got = rows.mapInArrow(lambda batches: _view_rows(batches, ["place", "good"]), "place long, good double, views binary").toArrow().sort_by("place")
+    text, meta = _views(got["views"].combine_chunks(), 0, len(got))
+    return got["good"].to_numpy().astype(np.float64), text, meta, got["place"].to_numpy()
+
+
+#: Sums over all unlabelled documents of what a function makes from both views of some of them; vectors of one size.
+Sums = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray], int], np.ndarray]
+
+
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows without a label. A bitmap of fixed size thins them out, so that most aren't shuffled for the exact join."""
+    place = F.xxhash64(F.col("doc_id").cast("string"))
+    maybe = is_present(docs, place, presence_bits(known.select(place.alias("h")))) & F.col("doc_id").isNotNull()
+    columns = docs.columns
+    return docs.where(~maybe).union(docs.where(maybe).join(known.select("doc_id"), "doc_id", "left_anti").select(*columns))
+
+
+def _sums_over(pool: DataFrame) -> Sums:
+    """Sums over the stored views of the unlabelled documents."""
+
+    def sums(part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    yield part(*_views(batch.column("views"), start, 1024))
+
+        return column_sums(pool, run, size)
+
+    return sums
 
 
 def fit(docs: DataFrame, labels: DataFrame, parameters: CoTraining | None = None) -> Classifier:
@@ -152,55 +188,121 @@ def fit(docs: DataFrame, labels: DataFrame, parameters: CoTraining | None = None
     p = parameters or CoTraining()
     rows = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("good"))
-    place = F.xxhash64("doc_id")
     ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    mine = ids.join(known, "doc_id").withColumn("place", place).orderBy("place").limit(p.labelled)
-    pool = ids.join(known, "doc_id", "left_anti").withColumn("good", F.lit(None).cast("double")).withColumn("place", place).orderBy("place").limit(p.pool)
-    good, text, meta, places = _sample_features(rows, mine.union(pool))
-    return co_train(good, text, meta, places, p, _WORDS)
+    mine = ids.join(known, "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("place").limit(p.labelled)
+    good, text, meta, places = _sample_features(rows, mine)
+    if len(np.unique(good)) < 2:
+        return _constant(good)
+    pool = unlabelled(rows, known).select("text", "source", "lang").mapInArrow(lambda batches: _view_rows(batches, []), "views binary")
+    pool = stored(pool, f"{work_folder(docs.sparkSession)}/views", "zstd")
+    return _co_train(good, text, meta, places, _sums_over(pool), p, _WORDS)
+
+
+def _constant(good: np.ndarray) -> Classifier:
+    none = np.zeros(0)
+    return Classifier(none, none, none, none, none, none, float(good.mean()) if len(good) else 0.5)
 
 
 def co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.ndarray, p: CoTraining, words: int = 0) -> Classifier:
-    """Exchange pseudo-labels between the views and calibrate them; NaN marks the pool.
+    """Co-training on arrays; NaN marks the unlabelled rows."""
+    pool = np.isnan(good)
+    if len(np.unique(good[~pool])) < 2:
+        return _constant(good[~pool])
+    return _co_train(good[~pool], text[~pool], meta[~pool], places[~pool], lambda part, size: part(text[pool], meta[pool]), p, words)
+
+
+_BINS = 4096
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    """The bin of each calibrated logit; equal bins from -30 to 30."""
+    return ((np.clip(z, -30, 30) + 30) * ((_BINS - 1) / 60)).astype(np.int64)
+
+
+def _thresholds(counts: np.ndarray, share: float, sure: float) -> tuple[int, int]:
+    """The first bin handed over as good and the last one handed over as bad: about a share of all for each, if sure."""
+    n = max(1.0, share * counts.sum())
+    least = int(_bin(np.array([np.log(sure / (1 - sure))]))[0]) + 1
+    above = np.cumsum(counts[::-1])[::-1]  # documents in a bin or higher
+    good = int(np.flatnonzero(above >= n)[-1]) if above[0] >= n else 0
+    bad = int(np.flatnonzero(np.cumsum(counts) >= n)[0]) if above[0] >= n else _BINS - 1
+    return max(good, least), min(bad, _BINS - 1 - least)
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient of a logistic regression and the upper half of its curvature."""
+    x = np.column_stack([x, np.ones(len(x))])
+    p = _chance(np.clip(x @ w, -30, 30))
+    curve = (x * (weight * p * (1 - p))[:, None]).T @ x
+    return np.concatenate([x.T @ (weight * (p - y)), curve[np.triu_indices(len(w))]])
+
+
+def _newton_step(slopes: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    n = len(w)
+    ridge = np.full(n, penalty)
+    ridge[-1] = 1e-6
+    curve = np.zeros((n, n))
+    curve[np.triu_indices(n)] = slopes[n:]
+    curve = curve + np.triu(curve, 1).T + np.diag(ridge)
+    return np.linalg.solve(curve, slopes[:n] + ridge * w)
+
+
+def _co_train(good: np.ndarray, text: np.ndarray, meta: np.ndarray, places: np.ndarray, sums: Sums, p: CoTraining, words: int) -> Classifier:
+    """Exchange pseudo-labels between the views and calibrate them.
 
     The first ``words`` columns of the text view, many and sparse, together weigh as much as the shapes.
     """
-    labelled = ~np.isnan(good)
-    if len(np.unique(good[labelled])) < 2:
-        share = float(good[labelled].mean()) if labelled.any() else 0.5
-        none = np.zeros(0)
-        return Classifier(none, none, none, none, none, none, share)
-    scales = _scale(text), _scale(meta)
+    def moments(*both: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(both[0])], *(v for x in both for v in (x.sum(axis=0), (x ** 2).sum(axis=0)))])
+
+    widths = text.shape[1], meta.shape[1]
+    pool = sums(moments, 1 + 2 * sum(widths))
+    unlabelled_rows = pool[0]
+    total = pool + moments(text, meta)
+    scales, at = [], 1
+    for width in widths:
+        mean = total[at:at + width] / total[0]
+        deviation = np.sqrt(np.maximum(total[at + width:at + 2 * width] / total[0] - mean ** 2, 0))
+        scales.append(np.stack([mean, np.where(deviation > 1e-6, deviation, 1)]))
+        at += 2 * width
     if words:
         scales[0][1, :words] *= np.sqrt(words / _SHAPES)
-    views = [(x - s[0]) / s[1] for x, s in zip((text, meta), scales)]
-    apart = labelled & (places % 1000 < 1000 * p.calibration)
-    if min((good[apart] == c).sum() for c in (0, 1)) < 5 or min((good[labelled & ~apart] == c).sum() for c in (0, 1)) < 5:
-        apart = labelled
-        train = labelled
+
+    def scaled(*both: np.ndarray) -> list[np.ndarray]:
+        return [(x - s[0]) / s[1] for x, s in zip(both, scales)]
+
+    views = scaled(text, meta)
+    apart = places % 1000 < 1000 * p.calibration
+    if min((good[apart] == c).sum() for c in (0, 1)) < 5 or min((good[~apart] == c).sum() for c in (0, 1)) < 5:
+        apart = train = np.ones(len(good), bool)
     else:
-        train = labelled & ~apart
-    pool = np.flatnonzero(~labelled)
-    given = [np.full(len(good), np.nan), np.full(len(good), np.nan)]  # pseudo-labels that a view was handed
-    weights = []
-    for turn in range(p.rounds + 1):
-        weights = []
-        for x, extra in zip(views, given):
-            use = train | ~np.isnan(extra)
-            y = np.where(train, good, extra)[use]
-            weights.append(_logistic(x[use], y, np.where(train[use], 1.0, 0.5), p.penalty))
-        if turn == p.rounds or not len(pool):
-            break
-        for k, (x, w) in enumerate(zip(views, weights)):
-            # how sure a view is counts by the labelled documents that were kept apart
-            fit = _logistic(_logit(x[apart], w)[:, None], good[apart], np.ones(apart.sum()), 1e-2)
-            chance = 1 / (1 + np.exp(-np.clip(_logit(x[pool], w) * fit[0] + fit[1], -30, 30)))
-            free = np.isnan(given[1 - k][pool])
-            n = max(1, int(p.handed * len(pool)))
-            for label, sure in ((1.0, chance), (0.0, 1 - chance)):
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[:n]
-                best = best[(sure[best] >= p.sure) & free[best]]
-                given[1 - k][pool[best]] = label
+        train = ~apart
+    own, answers = [x[train] for x in views], good[train]
+    weights = [_logistic(x, answers, np.ones(len(x)), p.penalty) for x in own]
+    sizes = [w + 1 + (w + 1) * (w + 2) // 2 for w in widths]
+    for turn in range(p.rounds if unlabelled_rows else 0):
+        # how sure a view is counts by the labelled documents that were kept apart
+        sureness = [_logistic(_logit(x[apart], w)[:, None], good[apart], np.ones(apart.sum()), 1e-2) for x, w in zip(views, weights)]
+
+        def bins(both: list[np.ndarray], teachers=tuple(weights), sureness=tuple(sureness)) -> list[np.ndarray]:
+            return [_bin(_logit(x, w) * c[0] + c[1]) for x, w, c in zip(both, teachers, sureness)]
+
+        counts = sums(lambda *both, bins=bins: np.concatenate([np.bincount(b, minlength=_BINS) for b in bins(scaled(*both))]).astype(np.float64), 2 * _BINS)
+        limits = [_thresholds(c, p.handed * (turn + 1), p.sure) for c in (counts[:_BINS], counts[_BINS:])]
+        for _ in range(p.steps):
+            def slopes(*both: np.ndarray, bins=bins, limits=limits, pupils=tuple(weights)) -> np.ndarray:
+                both = scaled(*both)
+                out = []
+                for x, b, (high, low), w in zip(both, bins(both)[::-1], limits[::-1], pupils):  # each is taught by the other view
+                    given = (b >= high) | (b <= low)
+                    out.append(_slopes(x[given], (b[given] >= high).astype(np.float64), np.full(given.sum(), 0.5), w))
+                return np.concatenate(out)
+
+            found = np.split(sums(slopes, sum(sizes)), [sizes[0]])
+            steps = [_newton_step(g + _slopes(x, answers, np.ones(len(x)), w), w, p.penalty) for g, x, w in zip(found, own, weights)]
+            weights = [w - s for w, s in zip(weights, steps)]
+            if max(np.abs(s).max() for s in steps) < 1e-3:
+                break
     y = good[apart]
     ones = np.ones(len(y))
     logits = [_logit(x[apart], w) for x, w in zip(views, weights)]

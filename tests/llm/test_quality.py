@@ -60,3 +60,27 @@ def test_held_out_accuracy(spark):
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
     rows = quality.scored(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     assert np.mean([r.keep == bool(r.quality) for r in rows]) >= 0.95
+
+
+def test_every_unlabelled_document_takes_part(spark):
+    """Far more unlabelled rows than any fixed pool: sums run over all of them, also rows without a doc_id."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(12_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 4 == 0, F.lit(BAD)).otherwise(F.lit(GOOD)), F.lit(" "), F.col("id")).alias("text"),
+        F.concat(F.lit("site"), F.col("id") % 4).alias("source"), F.lit("en").alias("lang"))
+    docs = many.union(spark.createDataFrame([(None, GOOD, "site1", "en")], "doc_id long, text string, source string, lang string"))
+    known = spark.createDataFrame([(k, int(k % 4 != 0)) for k in range(200)] + [(90_000 + k, 1) for k in range(50)], "doc_id long, quality int")
+    seen = []
+    sums_over = quality._sums_over
+
+    def counted(pool):
+        seen.append(pool.count())
+        return sums_over(pool)
+
+    quality._sums_over = counted
+    try:
+        model = quality.fit(docs, known, quality.CoTraining(rounds=1, steps=1))
+    finally:
+        quality._sums_over = sums_over
+    assert seen == [12_001 - 200] and model.constant is None
