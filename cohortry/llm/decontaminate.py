@@ -7,8 +7,10 @@ with all passages by cosine, and each candidate is checked exactly: the longest
 with the words around the window, and, for paraphrases that keep only part of the item, the same for the item's answer
 (its last words).
 
-Documents are only scanned, never shuffled: a window whose weight lies outside the benchmark's terms is skipped, as its
-cosine is bounded by the share of its weight that lies inside. Items are the stated query set; they are broadcast in
+Windows have the length class of the items that they are compared with (32, 16 or 8 words), so that a short item is not
+diluted by its neighbours. Documents are only scanned, never shuffled. The cosine is one over the benchmark's terms, so
+rare or foreign words around an item don't weigh; only windows without any benchmark term are skipped, and candidates
+with fewer benchmark words around them than an alignment needs. Items are the stated query set; they are broadcast in
 blocks of ``block_items``. Sums of counters and matrix products have a fixed size for every task.
 
 Defined results: NULL or empty documents hold no leak. Items that are NULL or have fewer than ``least_words`` words are too
@@ -36,8 +38,8 @@ _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()),
 
 @dataclass(frozen=True)
 class LeakParameters:
-    """``block`` words make half a window; passages start every ``step`` words. ``cosine`` and ``inside`` are the least
-    cosine and the least share of a window's weight on benchmark terms. An alignment of ``sure`` of the item's words is a
+    """``block`` words make half a window of the largest class; passages start every ``step`` words. ``cosine`` is the
+    least cosine of a window and a passage. An alignment of ``sure`` of the item's words is a
     leak; from ``possible`` on it is one if ``answered`` of the last ``answer`` words are aligned as well."""
 
     log2_terms: int = 16
@@ -46,7 +48,6 @@ class LeakParameters:
     block: int = 16
     step: int = 8
     cosine: float = 0.45
-    inside: float = 0.2
     least_words: int = 8
     sure: float = 0.75
     possible: float = 0.5
@@ -100,6 +101,11 @@ def passages(words: np.ndarray, p: LeakParameters) -> list[np.ndarray]:
     return [words[s:s + size] for s in starts]
 
 
+def window_size(words: int, p: LeakParameters) -> int:
+    """The length of the windows that are compared with an item: the least class that it doesn't exceed by half."""
+    return next((size for size in (p.block // 2, p.block) if 2 * words < 3 * size), 2 * p.block)
+
+
 def _matrix(lists: list[np.ndarray], weights: np.ndarray, p: LeakParameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The passages' TF-IDF rows of unit length: row numbers, terms and values of the entries."""
     rows, terms, values = [], [], []
@@ -219,15 +225,15 @@ class Searched:
 
     ``place`` gives the row of an inside term in ``basis``, whose rows are weighted, and -1 for other terms. ``vocabulary``
     holds the items' words; ``keys`` (item, word) and ``masks``, the positions of the word in the item as bits, are sorted
-    for lookups. Items of more than 64 words have no masks.
+    for lookups. Items of more than 64 words have no masks. ``classes`` has the length of windows, and the latent passages
+    and their items, of each length class.
     """
 
     weights: np.ndarray
     place: np.ndarray
     basis: np.ndarray
     items: list[tuple[int | None, np.ndarray]]
-    latent: np.ndarray
-    owner: np.ndarray
+    classes: list[tuple[int, np.ndarray, np.ndarray]]
     vocabulary: np.ndarray
     keys: np.ndarray
     masks: np.ndarray
@@ -249,7 +255,9 @@ class Searched:
                     masks[i * len(vocabulary) + w] = masks.get(i * len(vocabulary) + w, 0) | 1 << k
         keys = np.array(sorted(masks), np.int64)
         owner = np.array([i for i, words in enumerate(every) for _ in passages(words, p)], np.int64)
-        return cls(index.weights, place, index.basis[:len(terms)] * index.weights[terms, None], items, latent, owner, vocabulary,
+        sizes = np.array([window_size(len(words), p) for words in every], np.int64)[owner]
+        classes = [(int(size), latent[sizes == size], owner[sizes == size]) for size in np.unique(sizes)]
+        return cls(index.weights, place, index.basis[:len(terms)] * index.weights[terms, None], items, classes, vocabulary,
                    keys, np.array([masks[k] for k in keys.tolist()], np.uint64))
 
     def word_numbers(self, words: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -308,61 +316,63 @@ def astuple_shallow(value) -> tuple:
     return tuple(getattr(value, name) for name in value.__dataclass_fields__)
 
 
-def _leaks_of(words: np.ndarray, first: np.ndarray, m: Searched, p: LeakParameters) -> Iterator[tuple[int, list]]:
-    """The leaks of each text of a buffer."""
-    if not len(words) or not len(m.latent):
-        return
-    term = (words & np.uint64(len(m.weights) - 1)).astype(np.int64)
-    square, place_of = m.weights[term] ** 2, m.place[term]
-    per_text = -(-np.diff(first) // p.block)
+def _near(first: np.ndarray, place_of: np.ndarray, m: Searched, of_class: tuple, p: LeakParameters) -> tuple[np.ndarray, ...]:
+    """The windows of one length class close to a passage: text, start and length of each, the passage's item and cosine."""
+    size, latent, owner = of_class
+    half = size // 2
+    per_text = -(-np.diff(first) // half)
     text = np.repeat(np.arange(len(per_text)), per_text)
-    starts = first[text] + p.block * (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
-    whole = np.add.reduceat(square, starts)
-    within = np.add.reduceat(np.where(place_of >= 0, square, 0), starts)
+    starts = first[text] + half * (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
     joined = np.append(text[1:] == text[:-1], False)
-    follows = np.flatnonzero(joined) + 1
-    whole[follows - 1] += whole[follows].copy()
-    within[follows - 1] += within[follows].copy()
-    windows = np.flatnonzero(within >= p.inside * whole)
-    if not len(windows):
-        return
-    needed = np.unique(np.concatenate([windows, windows[joined[windows]] + 1]))
-    ends = np.append(starts[1:], len(words))
-    sizes = ends[needed] - starts[needed]
-    at = np.repeat(starts[needed] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    at_block = np.repeat(np.arange(len(needed)), sizes)
-    row = place_of[at]
-    row, at_block = row[row >= 0], at_block[row >= 0]
-    place = np.searchsorted(needed, windows)
-    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for low in range(0, len(windows), 4096):
-        part, spot = windows[low:low + 4096], place[low:low + 4096]
-        second = np.minimum(spot + joined[part], len(needed) - 1)
-        a, b = np.searchsorted(at_block, [spot[0], spot[-1] + 2])
-        sums = np.zeros((spot[-1] + 2 - spot[0] + 1, m.basis.shape[1]), np.float32)
+    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(place_of))))
+    some = np.flatnonzero(place_of >= 0)
+    row, at_block = place_of[some], block[some]
+    held = np.zeros(len(starts), bool)
+    held[at_block] = True
+    windows = np.flatnonzero(held | joined & np.append(held[1:], False))
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    low = 0
+    while low < len(windows):
+        base = windows[low]
+        part = windows[low:np.searchsorted(windows, base + 4096)]
+        low += len(part)
+        a, b = np.searchsorted(at_block, [base, part[-1] + 2])
+        sums = np.zeros((part[-1] + 2 - base, m.basis.shape[1]), np.float32)
         if b > a:
             heads = np.flatnonzero(np.append(True, at_block[a + 1:b] != at_block[a:b - 1]))
-            sums[at_block[a:b][heads] - spot[0]] = np.add.reduceat(m.basis[row[a:b]], heads, axis=0)
-        vectors = sums[spot - spot[0]] + np.where(joined[part, None], sums[second - spot[0]], np.float32(0))
+            sums[at_block[a:b][heads] - base] = np.add.reduceat(m.basis[row[a:b]], heads, axis=0)
+        vectors = sums[part - base] + np.where(joined[part, None], sums[part - base + 1], np.float32(0))
         length = np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
-        close = (vectors / np.maximum(length, 1e-12)) @ m.latent.T
-        w, c = np.nonzero(close >= p.cosine)
-        near.append((part[w], m.owner[c], close[w, c]))
-    window, item, close = (np.concatenate(x) for x in zip(*near))
-    order = np.lexsort((-close, item, window))  # of an item's passages the closest
-    window, item, close = window[order], item[order], close[order]
-    one = np.append(True, (window[1:] != window[:-1]) | (item[1:] != item[:-1]))[:len(window)]
-    window, item, close = window[one], item[one], close[one]
+        cosine = (vectors / np.maximum(length, 1e-12)) @ latent.T
+        w, c = np.nonzero(cosine >= p.cosine)
+        found.append((part[w], owner[c], cosine[w, c]))
+    window, item, close = (np.concatenate(x) for x in zip(*found))
+    return text[window], starts[window], np.full(len(window), size), item, close
+
+
+def _leaks_of(words: np.ndarray, first: np.ndarray, m: Searched, p: LeakParameters) -> Iterator[tuple[int, list]]:
+    """The leaks of each text of a buffer."""
+    if not len(words) or not m.classes:
+        return
+    place_of = m.place[(words & np.uint64(len(m.weights) - 1)).astype(np.int64)]
+    text, start, width, item, close = (np.concatenate(x) for x in zip(*(_near(first, place_of, m, c, p) for c in m.classes)))
+    order = np.lexsort((-close, item, start))  # of an item's passages the closest
+    text, start, width, item, close = (x[order] for x in (text, start, width, item, close))
+    one = np.append(True, (start[1:] != start[:-1]) | (item[1:] != item[:-1]))[:len(start)]
     sizes = np.array([len(x) for _, x in m.items], np.int64)[item]
-    low = np.maximum(first[text[window]], starts[window] - sizes)
-    high = np.minimum(first[text[window] + 1], starts[window] + 2 * p.block + sizes)
+    low = np.maximum(first[text], start - sizes)
+    high = np.minimum(first[text + 1], start + width + sizes)
+    # no alignment is longer than the benchmark words around the window
+    held = np.concatenate([[0], np.cumsum(place_of >= 0)])
+    some = np.flatnonzero(one & (held[high] - held[low] >= p.possible * sizes))
+    text, item, close, sizes, low, high = (x[some] for x in (text, item, close, sizes, low, high))
     got = m.common_lengths(words, m.word_numbers(words, place_of >= 0), item, low, high)
     best: dict[tuple[int, int], tuple] = {}
     for k in np.flatnonzero(got >= p.possible * sizes).tolist():
         tail = m.items[item[k]][1][-p.answer:]
         answer = common_words(tail, words[low[k]:high[k]])
         if got[k] >= p.sure * sizes[k] or answer >= p.answered * len(tail):
-            key = int(text[window[k]]), int(item[k])
+            key = int(text[k]), int(item[k])
             best[key] = max(best.get(key, ()), (int(got[k]), float(close[k]), answer))
     found: dict[int, list] = {}
     for (t, i), (common, cosine, answer) in sorted(best.items()):

@@ -67,3 +67,19 @@ def test_finds_the_planted_items(spark):
     planted = {(d, i) for d, w in docs.items() for i, r in runs.items()
                if r and len(r & {tuple(w[k:k + 5]) for k in range(len(w) - 4)}) >= 0.6 * len(r)}
     assert {(r.doc_id, r.item_id) for r in QUERIES["op4_benchmark_decontamination"](spark, directory).collect()} == planted
+
+
+def test_finds_short_items_among_words_seen_nowhere_else(spark, documents):
+    """Items of 8 to 20 words, verbatim among rare words and among words of the benchmark."""
+    short = {k: text(8 + k) for k in range(13)}
+    fresh = iter(range(10**6))
+
+    def rare(n):
+        return " ".join(f"zq{next(fresh)}x" for _ in range(n))
+
+    rows = [(k, f"{rare(37 + k)} {t} {rare(41)}") for k, t in short.items()]
+    rows += [(100 + k, f"{text(37 + k)} {t} {text(41)}") for k, t in short.items()] + [(200 + k, text(120)) for k in range(200)]
+    rows += [(500 + k, rare(120)) for k in range(20)]
+    benchmark = spark.createDataFrame([*short.items(), *((50 + k, t) for k, t in ITEMS.items())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(documents(rows), benchmark, LeakParameters(log2_terms=16, rank=64)).collect()}
+    assert got == {(k, k) for k in short} | {(100 + k, k) for k in short}
