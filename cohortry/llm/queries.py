@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import textwrap
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, edit_counts, html_text, kneser_ney, language_id, quality, secrets, va_search
+from cohortry.llm import bpe, decontaminate, edit_counts, html_text, kneser_ney, language_id, line_frequency, periodic_runs, quality, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -148,3 +150,75 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     return docs.withColumn("all_spans", spans).select(
         "doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
         secrets.span_list(F.col("all_spans")).alias("spans"))
+
+
+@query("op11_line_frequency", """
+    WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    words AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM texts),
+    windows AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (
+            SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8))),
+    repeats AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(8) AS r(k) WHERE n > 1 GROUP BY doc_id),
+    parts AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS raw FROM texts),
+    lines AS (
+        SELECT *, translate(array_to_string(found, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS line
+        FROM (SELECT *, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') AS found FROM parts) WHERE len(found) > 0),
+    twice AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM lines GROUP BY doc_id),
+    hosts AS (SELECT source, count(DISTINCT t) AS documents FROM texts GROUP BY source),
+    common AS (
+        SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+        GROUP BY l.source, line, documents HAVING count(DISTINCT t) >= 10 AND 1000 * count(DISTINCT t) >= 10 * documents),
+    gone AS (
+        SELECT doc_id, sum(len(found)) AS n FROM lines l JOIN common c ON l.line = c.line AND l.source IS NOT DISTINCT FROM c.source
+        GROUP BY doc_id),
+    joined AS (
+        SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+            len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(twice.n, 0) AS n_dup_lines,
+            coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_common_words
+        FROM words LEFT JOIN twice USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_common_words >= 20 AND 100 * n_common_words <= 50 * n_words AS kept,
+        n_common_words
+    FROM joined
+""")
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    """The quality counts of every document, and whether it is kept once the common lines of its source are gone."""
+    found = line_frequency.audited(table(spark, directory, "documents"), ["doc_id"])
+    return found.select("doc_id", *line_frequency.COUNTS, "base_failed", "kept", "n_common_words")
+
+
+def with_planted_period(text: Column, doc_id: Column) -> Column:
+    """Texts whose id has a crc32 divisible by ten, with their words repeated from one of them on; others as they are."""
+    code = F.crc32(doc_id.cast("string"))
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, codes in columns:
+            out = []
+            for t, h in zip(texts, codes):
+                words = re.findall(r"[^\x20\x09-\x0D]+", t.as_py() or "")
+                if words:
+                    n, g = len(words), h.as_py() // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    words[a:] = (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+                out.append(" ".join(words) if t.is_valid else None)
+            yield pa.array(out, pa.string())
+
+    changed = F.arrow_udf(run, "string")(F.when(code % 10 == 0, text), code)
+    return F.coalesce(changed, text)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    """The periodic runs of every document, the strongest of them, and the text without their repetitions, as digests."""
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    found = periodic_runs.with_runs(docs, ["doc_id"], with_planted_period(F.col("text"), F.col("doc_id")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -61,13 +61,19 @@ def text_buffers(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int,
 
 
 class WordHasher:
-    """Hashes the words of byte buffers; keeps its power tables between buffers."""
+    """Hashes the words of byte buffers; keeps its power tables between buffers.
 
-    def __init__(self) -> None:
+    ``fold`` lower-cases A-Z; ``digits`` reads every digit as 0.
+    """
+
+    def __init__(self, fold: bool = True, digits: bool = False) -> None:
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
         self.lower = np.arange(256, dtype=np.uint64)
-        self.lower[0x41:0x5B] += np.uint64(32)
+        if fold:
+            self.lower[0x41:0x5B] += np.uint64(32)
+        if digits:
+            self.lower[0x30:0x3A] = 0x30
         self.lower += np.uint64(1)
         self.power = self.inverse = np.ones(1, np.uint64)
 
@@ -94,11 +100,15 @@ class WordHasher:
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and the index of the first word of each text."""
         starts, ends, first = self.spans(data, offsets)
-        self._grow(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.lower[data] * self.power[:len(data)], out=total[1:])
-        hashes = (total[ends] - total[starts]) * self.inverse[starts]
-        return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(_GOLDEN)), first
+        return self.hashes(self.lower[data], starts, ends), first
+
+    def hashes(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span of a sequence of values."""
+        self._grow(len(values) + 1)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[:len(values)], out=total[1:])
+        found = (total[ends] - total[starts]) * self.inverse[starts]
+        return mix(found + (ends - starts).astype(np.uint64) * np.uint64(_GOLDEN))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
