@@ -210,7 +210,10 @@ def _without(text: Column, lines: Column) -> Column:
                     mine = slice(at[i], at[i + 1])
                     gone = np.isin(hashes[mine].view(np.int64), np.asarray(listed[row + i].as_py() or [], np.int64))
                     kept = zip(starts[mine][~gone].tolist(), ends[mine][~gone].tolist())
-                    out.append("\n".join(data[a:b].tobytes().decode("utf-8", "replace") for a, b in kept))
+                    parts = [data[a:b].tobytes().decode() for a, b in kept]
+                    if offsets[i + 1] > offsets[i] and data[offsets[i + 1] - 1] == 10:
+                        parts.append("")  # what follows the last line break
+                    out.append("\n".join(parts))
             yield pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")(text, lines)
