@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, edit_counts, html_text, kneser_ney, language_id, line_frequency, periodic_runs, quality, secrets, va_search
+from cohortry.llm import bpe, decontaminate, divergence, edit_counts, html_text, kneser_ney, language_id, line_frequency, periodic_runs, quality, secrets, va_search
 from cohortry.llm.common import table
 from cohortry.llm.jaccard_join import near_duplicates
 
@@ -222,3 +222,40 @@ def op12(spark: SparkSession, directory: str) -> DataFrame:
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_source_divergence", """
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents),
+    terms AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+    cells AS (
+        SELECT lang, source, term, coalesce(n, 0) AS n
+        FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+    whole AS (SELECT lang, term, sum(n)::BIGINT AS n FROM cells GROUP BY ALL),
+    p AS (
+        SELECT *, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g))::BIGINT AS p
+        FROM cells WINDOW g AS (PARTITION BY lang, source)),
+    q AS (
+        SELECT *, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g))::BIGINT AS q
+        FROM whole WINDOW g AS (PARTITION BY lang)),
+    apart AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    found AS (
+        SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+        FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+        LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+        UNION ALL
+        SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that a source has more of than its language."""
+    return divergence.audited(table(spark, directory, "documents"))
