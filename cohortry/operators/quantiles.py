@@ -6,12 +6,13 @@ linear interpolation between neighbouring ranks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.operators.profile_state import number_states, rank_error, sketch_quantiles
+
 
 def _rank_columns(total: Column, probabilities: Sequence[float]) -> dict[str, Column]:
     """0-based lower and upper rank and the weight between them, per probability."""
@@ -56,69 +57,68 @@ def histogram_quantiles(hist: DataFrame, probabilities: Sequence[float]) -> Data
     return stats.join(F.broadcast(picked), "column")
 
 
+def _code(value: Column, low: Column, high: Column, buckets: int) -> Column:
+    """Which of the even buckets of a slice holds a value: -1 below, ``buckets + 1`` above. Never decreases along the values.
+
+    A slice without a finite width is one bucket.
+    """
+    width = high - low
+    cut = F.when((width > 0) & (width < float("inf")), F.floor((value - low) / width * buckets))
+    inside = F.least(F.lit(buckets), F.greatest(F.lit(0), F.coalesce(cut, F.lit(0))))
+    return F.when(value < low, -1).when(value > high, buckets + 1).otherwise(inside).cast("int")
+
+
 def sliced_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000, margin: float | None = None
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000, margin: float | None = None,
+    rounds: int = 1, buckets: int = 1 << 16, states: DataFrame | None = None,
 ) -> DataFrame:
-    """Summary of numeric columns with many distinct values.
-
-    A quantile sketch gives two cut points around each wanted quantile. Counting rows per slice between the cuts locates
-    the wanted ranks exactly, and only the slices that hold one are sorted: about ``4 / accuracy`` of the rows. The sketch
-    only decides where the slices end; a poor cut makes a slice longer and never changes the answer. Three narrow scans
-    replace a shuffle of every value. The first two run here and give the driver a few numbers per column; the third is
-    lazy.
+    """Summary of numeric columns with many distinct values; lazy, and exact whatever the sketches say.
+
+    A KLL sketch (``states``, stored ones or else one scan) gives a slice of values around each wanted quantile. One pass
+    counts the rows below the slice, above it and in each of its ``buckets`` even parts, which locates the wanted ranks;
+    each further round cuts the bucket that holds a rank again, from its smallest to its largest value. Of what is left
+    the different values are counted and sorted. A task sorts at most ``buckets + 2`` counters, or at last the different
+    values of a bucket: of n rows about ``2 * margin * n / buckets ** rounds``. A poor sketch makes a slice longer and
+    never changes the answer. Every pass reads only these columns and drops the rows outside before any shuffle.
     """
     probs, columns = list(probabilities), list(columns)
-    margin = 2.0 / accuracy if margin is None else margin
-    marks = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)})
-    stats = df.agg(*[
-        F.struct(
-            F.count(c).alias("n"), F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean"),
-            F.percentile_approx(c, marks, accuracy).alias("cuts"),
-        ).alias(c)
-        for c in columns
-    ]).first()
-    filled = [c for c in columns if stats[c]["n"]]
-    cuts = {c: sorted(set(stats[c]["cuts"])) for c in filled}
-    counts = [F.count_if(F.col(c) > cut).alias(f"{j}_{i}") for j, c in enumerate(filled) for i, cut in enumerate(cuts[c])]
-    above = df.agg(*counts).first() if filled else None
-
-    rows, kept = [], []
-    for j, c in enumerate(filled):
-        n = stats[c]["n"]
-        # rows up to the lower end of each slice, then all of them
-        before = [0, *[n - above[f"{j}_{i}"] for i in range(len(cuts[c]))], n]
-        ends = [None, *cuts[c], None]
-        ranks = [(math.floor((n - 1) * p), math.ceil((n - 1) * p), (n - 1) * p) for p in probs]
-        wanted = [i for i in range(len(before) - 1) if any(before[i] <= r < before[i + 1] for pair in ranks for r in pair[:2])]
-        rows.append((c, n, *[float(stats[c][k]) for k in ("minimum", "maximum", "mean")],
-                     [(lo, hi, at - lo) for lo, hi, at in ranks]))
-        for i in wanted:
-            inside = F.col(c).isNotNull()
-            if ends[i] is not None:
-                inside = inside & (F.col(c) > ends[i])
-            if ends[i + 1] is not None:
-                inside = inside & (F.col(c) <= ends[i + 1])
-            cell = F.struct(F.lit(c).alias("column"), F.lit(before[i]).cast("bigint").alias("before"), F.col(c).alias("value"))
-            kept.append(F.when(inside, cell))
-    schema = (
-        "column string, n bigint, minimum double, maximum double, mean double, "
-        "ranks array<struct<lo:bigint,hi:bigint,w:double>>"
-    )
-    summary = df.sparkSession.createDataFrame(rows, schema)
-    if not filled:
-        return summary.select("column", "n", "minimum", "maximum", "mean", *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
-
-    values = df.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("column", "before", "value").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("column", "before").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("end", F.sum("n").over(upto) + F.col("before"))
-    # one row per profiled column
-    ranked = F.broadcast(summary.select("column", F.posexplode("ranks").alias("q", "r"))).select("column", "q", "r.*")
-    inside = lambda rank: (F.col(rank) < F.col("end")) & (F.col(rank) >= F.col("end") - F.col("n"))
-    picked = placed.join(ranked, "column").where(inside("lo") | inside("hi")).groupBy("column", "q").agg(
-        F.max(F.when(inside("lo"), F.col("value"))).alias("low"),
-        F.max(F.when(inside("hi"), F.col("value"))).alias("high"),
-        F.max("w").alias("w"),
-    )
-    quantile = F.col("low") + (F.col("high") - F.col("low")) * F.col("w")
-    wide = picked.groupBy("column").agg(*[F.max(F.when(F.col("q") == i, quantile)).alias(f"q{i}") for i in range(len(probs))])
-    return summary.drop("ranks").join(wide, "column")
+    k = min(max(accuracy // 10, 8), 65_535)
+    margin = rank_error(k) if margin is None else margin
+    states = number_states(df, columns, k) if states is None else states.where(F.col("column").isin(columns))
+    marks = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
+    at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    slices = F.array(*[
+        F.struct(F.lit(i).alias("q"), F.get("_marks", F.lit(2 * i)).alias("low"), F.get("_marks", F.lit(2 * i + 1)).alias("high"),
+                 F.array_distinct(F.array(F.floor(r), F.ceil(r))).alias("ranks"))
+        for i, r in enumerate(at)
+    ])
+    # one row per column and probability
+    slices = states.where("n > 0").withColumn("_marks", sketch_quantiles(F.col("quantiles"), F.col("n"), marks)).select("column", F.inline(slices))
+    ranks = slices.select("column", "q", F.explode("ranks").alias("rank"))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value IS NOT NULL")
+    value, inside = F.col("value"), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
+    parts = slices.select("column", "q", F.coalesce("low", F.lit(float("-inf"))).alias("low"), F.coalesce("high", F.lit(float("inf"))).alias("high"),
+                          F.lit(0).cast("bigint").alias("before"))
+    for turn in range(rounds + 1):
+        rows = long.join(F.broadcast(parts), "column")
+        rows = rows if turn == 0 else rows.where(inside)
+        key = ["column", "q", "before"]
+        if turn < rounds:
+            counts = rows.withColumn("code", _code(value, F.col("low"), F.col("high"), buckets)).groupBy(*key, "code").agg(
+                F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        else:
+            counts = rows.groupBy(*key, value.alias("code")).agg(F.count("*").alias("n"))
+        upto = Window.partitionBy(*key).orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("end", F.col("before") + F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
+        found = counts.join(F.broadcast(ranks), ["column", "q"]).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
+        if turn < rounds:
+            parts = found.select("column", "q", "low", "high", F.col("start").alias("before")).distinct()
+    weight = [(F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probs]
+    ends = found.groupBy("column").agg(*[
+        x.alias(f"{name}{i}") for i in range(len(probs))
+        for name, x in (("low", F.min(F.when(F.col("q") == i, F.col("code")))), ("high", F.max(F.when(F.col("q") == i, F.col("code")))))
+    ])
+    summary = states.select("column", "n", "minimum", "maximum", (F.col("total") / F.nullif("n", F.lit(0))).alias("mean"))
+    quantiles = [(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * w).alias(f"q{i}") for i, w in enumerate(weight)]
+    # one row per column
+    return summary.join(F.broadcast(ends), "column", "left").select("column", "n", "minimum", "maximum", "mean", *quantiles)

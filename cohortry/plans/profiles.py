@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators import profile
+from cohortry.operators import profile, profile_state
+from cohortry.operators.quantiles import sliced_quantiles
 from cohortry.plans.cohorts import TRAITS_SQL, _traits
 from cohortry.plans.registry import query
 from cohortry.plans.tables import DOCUMENTS_SQL, documents, r6, table
@@ -204,3 +208,67 @@ def profile_tidy(spark, d) -> DataFrame:
         table(spark, d, "documents"), ("lang", "source"), "n_chars", ("lang",), ("text",), top_n=8
     )
     return _round(tidy, "count", "ratio")
+
+
+_STATE_TEXTS = ("l_returnflag", "l_linestatus", "note")
+
+
+def _noted_lines(spark, d) -> DataFrame:
+    """Line items with a note that two of three lines lack."""
+    note = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("line "), F.col("l_linenumber").cast("string")))
+    return table(spark, d, "lineitem").withColumn("note", note)
+
+
+def _merged_lines(spark, d) -> DataFrame:
+    """The state of all line items from the states of their parts, merged twice."""
+    parts = profile_state.profile_states(_noted_lines(spark, d), LINE_NUMBERS, _STATE_TEXTS, by=("l_returnflag", "l_linenumber"))
+    return profile_state.merge_states(profile_state.merge_states(parts, ["l_returnflag"]))
+
+
+_STATE_SQL = "lines AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 'line ' || l_linenumber END AS note FROM lineitem)"
+
+
+def _state_sql() -> str:
+    rows = []
+    for c in (*LINE_NUMBERS, *_STATE_TEXTS):
+        v = f"length({c})::DOUBLE" if c in _STATE_TEXTS else c
+        few = c != "l_extendedprice"
+        top = (f"(SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM lines "
+               f"WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 3))") if c in _STATE_TEXTS else "NULL"
+        rows.append(
+            f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n, round((count(*) - count({c}))::DOUBLE / count(*), 6) AS null_ratio, "
+            f"min({v}) AS minimum, max({v}) AS maximum, round(avg({v}), 4) AS mean, {f'count(DISTINCT {c})' if few else '-1'}::BIGINT AS distinct_count, "
+            f"TRUE AS distinct_in_bound, TRUE AS quantiles_in_bound, {top} AS top FROM lines")
+    return f"WITH {_STATE_SQL} " + " UNION ALL ".join(rows)
+
+
+@query("profile_state_merged", _state_sql())
+def profile_state_merged(spark, d) -> DataFrame:
+    """A profile from merged states; the sketched figures are held against exact counts and their bounds."""
+    lines, probs = _noted_lines(spark, d), (0.25, 0.5, 0.95)
+    found = profile_state.state_profile(_merged_lines(spark, d), probs, 3)
+    number = {c: F.length(c).cast("double") if c in _STATE_TEXTS else F.col(c).cast("double") for c in (*LINE_NUMBERS, *_STATE_TEXTS)}
+    exact = lines.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("exact")) for c in number]).alias("rows")).select(F.inline("rows"))
+    # the share of values below and up to each estimate, against the wanted rank
+    long = profile.long_values(lines, number).where("value IS NOT NULL").join(F.broadcast(found.select("column", "q0", "q1", "q2")), "column")
+    error = 2 * profile_state.rank_error(1000)
+    inside = functools.reduce(operator.and_, [
+        (F.avg((F.col("value") < F.col(f"q{i}")).cast("int")) <= p + error) & (F.avg((F.col("value") <= F.col(f"q{i}")).cast("int")) >= p - error)
+        for i, p in enumerate(probs)])
+    ranks = long.groupBy("column").agg(inside.alias("quantiles_in_bound"))
+    few = F.col("exact") <= 4096
+    shown = F.transform("top", lambda x: F.concat_ws(":", x["value"], x["count"].cast("string")))
+    return _round(found.join(exact, "column").join(ranks, "column").select(
+        "column", "n_rows", "n", "null_ratio", "minimum", "maximum", F.round("mean", 4).alias("mean"),
+        F.when(F.col("column") != "l_extendedprice", F.col("distinct_count")).otherwise(-1).cast("bigint").alias("distinct_count"),
+        F.when(few, F.col("distinct_count") == F.col("exact")).otherwise(F.abs(F.col("distinct_count") - F.col("exact")) <= 0.06 * F.col("exact")).alias("distinct_in_bound"),
+        "quantiles_in_bound", F.when(F.col("column").isin(*_STATE_TEXTS), F.array_join(shown, ",")).alias("top")), "null_ratio")
+
+
+@query("profile_state_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(quantile_cont({c}, 0.25), 6) AS q0, round(median({c}), 6) AS q1, "
+    f"round(quantile_cont({c}, 0.95), 6) AS q2 FROM lineitem" for c in LINE_NUMBERS))
+def profile_state_quantiles(spark, d) -> DataFrame:
+    """Exact quantiles cut by merged states, so that no scan is needed for the sketch."""
+    found = sliced_quantiles(table(spark, d, "lineitem"), LINE_NUMBERS, [0.25, 0.5, 0.95], states=_merged_lines(spark, d))
+    return _round(found.select("column", "n", "q0", "q1", "q2"), "q0", "q1", "q2")

@@ -99,6 +99,13 @@ def _write_by(df: DataFrame, path: str, keys: Sequence[str], file_format: str) -
     writer.format(file_format).save(path)
 
 
+def write_profile_states(states: DataFrame, root: str, by: Sequence[str]) -> str:
+    """States under ``root/profile_states``, one directory per part; only the parts that are written are replaced."""
+    path = f"{root}/profile_states"
+    _write_by(states, path, by, "parquet")
+    return path
+
+
 def write_responses(
     responses: DataFrame, root: str, project_id: str, run_id: str, file_format: str = "parquet"
 ) -> str:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators import checks, cohort, compare, context, distributions, inspect, profile, responses, review
+from cohortry.operators import checks, cohort, compare, context, distributions, inspect, profile, profile_state, responses, review
 from cohortry.sources import readers, schemas, writers
 from cohortry.spec import CohortRequest, Run, TableSpec
 
@@ -33,6 +33,21 @@ def profile_table(df: DataFrame, spec: TableSpec, out: str, top_n: int = 50) ->
     writers.write_profile_csv(df.sparkSession.read.schema(tidy.schema).json(f"{out}/profile_json"), f"{out}/profile_csv")
 
 
+def save_profile_states(df: DataFrame, spec: TableSpec, out: str, by: Sequence[str]) -> str:
+    """Stores the profile states of the parts that ``by`` names; states of other parts stay as they are.
+
+    New or changed parts are profiled alone: pass their rows only.
+    """
+    texts = profile.present(df, [*spec.list_fields.values(), *spec.narratives])
+    states = profile_state.profile_states(df, [spec.range_column], texts, by)
+    return writers.write_profile_states(states, out, by)
+
+
+def stored_profile(spark: SparkSession, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """The profile of all stored parts, or one for each value of some of the part columns; the table is not read."""
+    return profile_state.state_profile(profile_state.merge_states(spark.read.parquet(f"{out}/profile_states"), by))
+
+
 def save_cohort(
     df: DataFrame, request: CohortRequest, out: str, source_path: str = "", created_at: str | None = None, preview_limit: int = 20
 ) -> str:
