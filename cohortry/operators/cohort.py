@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry import vocab
-from cohortry.functions.hashing import sample_key
-from cohortry.operators.skew import first_by_hash
+from cohortry.operators.sampling import bottom_k
 from cohortry.spec import CohortFilter, CohortRequest, SamplingSpec
 
 def filter_cohort(df: DataFrame, cohort: CohortFilter) -> DataFrame:
@@ -44,16 +43,14 @@ def require_feasible(df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec
         raise ValueError(status)
 
 
-def draw_sample(df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec) -> DataFrame:
+def draw_sample(df: DataFrame, cohort: CohortFilter, sampling: SamplingSpec, population: Column | None = None) -> DataFrame:
     """``(id, sample_key, sample_rank)`` of the first ``sample_size`` ids along a seeded hash order.
 
-    The order depends only on id and seed, so any partitioning gives the same sample. Ids are cut off and ranked by hash
-    bucket, so the work follows the sample and no single task holds it.
+    The order depends only on id and seed, so any partitioning gives the same sample. Ids behind a hash threshold are
+    dropped where they are read, so shuffle and sort follow the sample, not the table. ``population`` may tell about how
+    many ids match, from a stored profile for example; it saves the scan that estimates it.
     """
-    entity = cohort.spec.id_column
-    ids = filter_cohort(df, cohort).select(entity).where(F.col(entity).isNotNull()).distinct()
-    keyed = ids.withColumn("sample_key", sample_key(F.col(entity), sampling.seed))
-    return first_by_hash(keyed, "sample_key", entity, sampling.sample_size)
+    return bottom_k(filter_cohort(df, cohort), cohort.spec.id_column, sampling.seed, sampling.sample_size, population)
 
 
 def lookup_in_order(df: DataFrame, sample: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     """Inner join in which NULL keys meet; the keys come from the left side."""
     named = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
     if not keys:
-        return left.crossJoin(named)
+        raise ValueError("a join needs keys")
     same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
     return left.join(named, same).drop(*[f"_k_{c}" for c in keys])
 
@@ -37,23 +37,6 @@ def sequence_within_key(
     return placed.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")).drop("_bucket", "_local", "_offset")
 
 
-def first_by_hash(df: DataFrame, key: str, tie: str, n: int, name: str = "sample_rank", digits: int = 4) -> DataFrame:
-    """The first ``n`` rows along a uniformly distributed hex key, with their 1-based rank.
-
-    The key's first hex digits cut the rows into 16**digits even buckets. Their sizes tell the last bucket that is needed;
-    rows behind it are dropped before anything is sorted, and each bucket is ranked on its own. So the sort follows ``n``
-    and no task holds more than a bucket.
-    """
-    bucketed = df.withColumn("_bucket", F.substring(key, 1, digits))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # at most 16**digits rows
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_offset") < n).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, tie))
-    kept = bucketed.join(offsets, "_bucket").withColumn(name, (rank + F.col("_offset")).cast("bigint"))
-    return kept.where(F.col(name) <= n).select(*df.columns, name)
-
-
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:
     """First ``n`` rows of each group with their rank.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.json_fields import json_integer, json_label
-from cohortry.operators import cohort, inspect, options
+from cohortry.operators import cohort, inspect, options, sampling
 from cohortry.plans.registry import query
 from cohortry.plans.tables import DOCUMENTS_SQL, EVENTS, PARTS, PEOPLE, PEOPLE_SQL, documents, people, r6, table
 from cohortry.spec import CohortFilter, CohortRequest, SamplingSpec, TableSpec, TraitFilter
@@ -95,6 +95,19 @@ def sample_ids_large(spark, d) -> DataFrame:
 
 
 
+@query("sample_states_merged", f"""WITH {PEOPLE_SQL},
+    keyed AS (SELECT DISTINCT r_name, c_custkey, md5(c_custkey || '|42') AS sample_key FROM people),
+    parts AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY sample_key, c_custkey) AS place FROM keyed)
+    SELECT r_name AS part, c_custkey, sample_key FROM parts WHERE place <= 30
+    UNION ALL SELECT 'all', c_custkey, sample_key FROM (
+      SELECT *, row_number() OVER (ORDER BY sample_key, c_custkey) AS place FROM keyed) WHERE place <= 30""")
+def sample_states_merged(spark, d) -> DataFrame:
+    """The bottom 30 of every region, and the sample of all regions from these alone."""
+    states = sampling.bottom_states(people(spark, d), "c_custkey", 42, 30, ["r_name"])
+    whole = sampling.merge_bottom(states, "c_custkey", 30)
+    return states.withColumnRenamed("r_name", "part").union(whole.select(F.lit("all"), "c_custkey", "sample_key"))
+
+
 @query("sample_feasibility", f"""WITH {PEOPLE_SQL}
     SELECT count(DISTINCT c_custkey) AS matching_ids, 20::BIGINT AS sample_size,
       CASE WHEN count(DISTINCT c_custkey) = 0 THEN 'matching count is zero'
