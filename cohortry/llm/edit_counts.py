@@ -1,21 +1,26 @@
 """Token counts that follow edits.
 
 Each document has a segment tree over its pre-tokens: a leaf holds a run of whole pre-tokens, its characters and its
-tokens, an inner node the sums of its two halves. An edit is located by descending the character sums. Only the leaves
-that it touches are encoded anew, with a little context before them, and on until a pre-token boundary of the new text
-falls on an old leaf boundary behind the edit: from there on the pre-tokens are the old ones, as the pattern never looks
-back. The sums above the changed leaves are updated.
+tokens, an inner node the sums of its two halves. Leaves end at the first place behind ``_LEAF`` characters at which a
+pre-token ends whatever stands around. Edits are located by descending the character sums. Only the leaves that they touch
+are encoded anew, with a little context before them, and on until an old leaf boundary behind them is such a place of the
+new text too: from there on the pre-tokens are the old ones, as the pattern never looks back. Edits that touch the same
+leaves are one region. The sums above the changed leaves are updated.
 
 Trees are a column beside the text, so they can be stored, and later edits need neither a count from scratch nor a
-shuffle beyond bringing a document's edits to its row. Pre-tokens are counted once per task and kept.
+shuffle beyond bringing a document's edits to its row. Nothing is kept between documents.
 
 Defined results: a NULL text is empty and has no tokens. Edits are ``(start, end, replacement)`` in code points of the
-text they apply to, sorted, without overlap; ends beyond the text count as its end, a NULL replacement as empty.
+text they apply to, without overlap, in any order (of equal starts the order given); ends beyond the text count as its
+end, a NULL replacement as empty, a NULL list as none. Repeated rows get a row each. Texts of any length are taken whole;
+a run without such a place is one leaf. An empty table gives an empty result. Other columns stay; one that is named like a
+result (``tree``, ``edits``, ``recoded``) is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,49 +34,30 @@ _EDITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("repla
 
 #: The pre-token pattern of the byte-level vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters behind a pre-token's end that may decide where it ends.
-_LOOKAHEAD = 4
+#: Places where a pre-token ends whatever stands around: before white space, between ASCII letters and digits.
+_BOUNDARY = re.compile(r"(?<=\S)(?=[\t-\r ])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: Characters before an edit that are encoded with it, so that the boundary before them stays one.
+_CONTEXT = 4
 _LEAF = 256
-_KEPT = 400_000
 
 
 class PieceCounter:
-    """Counts the tokens of pre-tokens; ``ranks`` is the content of a file of token ranks."""
+    """Counts the tokens of runs of whole pre-tokens; ``ranks`` is the content of a file of token ranks."""
 
     def __init__(self, ranks: bytes) -> None:
-        import regex
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.pattern = regex.compile(PATTERN)
-        self.kept: dict[str, int] = {}
-
-    def count(self, piece: str) -> int:
-        """The tokens of one pre-token."""
-        n = self.kept.get(piece)
-        if n is None:
-            n = len(self.encoding.encode_ordinary(piece))
-            if len(piece) <= 64:
-                if len(self.kept) >= _KEPT:
-                    self.kept.clear()
-                self.kept[piece] = n
-        return n
-
-    def leaves(self, text: str, start: int = 0, stop=None) -> Iterator[tuple[int, int]]:
-        """The leaves from a pre-token boundary on, as (end, tokens); ``stop(end)`` ends them at a boundary."""
-        first, tokens, at = start, 0, start
-        for m in self.pattern.finditer(text, start):
-            at = m.end()
-            tokens += self.count(m[0])
-            done = stop is not None and stop(at)
-            if done or at - first >= _LEAF:
-                yield at, tokens
-                first, tokens = at, 0
-            if done:
-                return
-        if at > first:
-            yield at, tokens
+
+    def leaves(self, text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+        """The leaves from one pre-token boundary to another, as (end, tokens)."""
+        end = len(text) if end is None else end
+        while start < end:
+            cut = _BOUNDARY.search(text, start + _LEAF, end)
+            stop = cut.start() if cut else end
+            yield stop, len(self.encoding.encode_ordinary(text[start:stop]))
+            start = stop
 
 
 class SegmentTree:
@@ -116,35 +102,54 @@ class SegmentTree:
 
     def edit(self, text: str, start: int, end: int, replacement: str, counter: PieceCounter) -> tuple[str, SegmentTree, int]:
         """The text and the tree after an edit, and how many characters were encoded anew."""
-        start = min(max(start, 0), len(text))
-        end = min(max(end, start), len(text))
-        new = text[:start] + replacement + text[end:]
+        return self.edit_all(text, [(start, end, replacement)], counter)
+
+    def edit_all(self, text: str, edits: list[tuple[int, int, str]], counter: PieceCounter) -> tuple[str, SegmentTree, int]:
+        """The text and the tree after some edits, given in order and without overlap, and how many characters were encoded anew.
+
+        The new text is put together once. Edits that touch the same leaves are one region, which is encoded once.
+        """
+        parts, at = [], 0
+        edits = [(min(max(a, 0), len(text)), min(max(b, a, 0), len(text)), r) for a, b, r in edits]
+        for start, end, replacement in edits:
+            parts += [text[at:start], replacement]
+            at = end
+        new = "".join([*parts, text[at:]])
         if not text:
-            made = SegmentTree.of(_sizes(counter.leaves(new), 0))
-            return new, made, len(new)
-        shift = len(replacement) - (end - start)
-        first, low = self.locate(max(0, start - _LOOKAHEAD))
-        last, at = self.locate(end)
-        state = {"leaf": last, "end": at + self.chars[self.size + last]}
-
-        def meets(position: int) -> bool:
-            """Whether a boundary of the new text is the end of an old leaf at or behind the edit's end."""
-            while state["end"] + shift < position and state["leaf"] + 1 < self.size:
-                state["leaf"] += 1
-                state["end"] += self.chars[self.size + state["leaf"]]
-            return state["end"] >= end and state["end"] + shift == position
-
-        made = _sizes(counter.leaves(new, low, meets), low)
-        done = low + sum(c for c, _ in made)
-        last = state["leaf"] if done < len(new) else self.size - 1
-        room = last - first + 1
-        if len(made) > 4 * room:
+            return new, SegmentTree.of(_sizes(counter.leaves(new), 0)), len(new)
+        regions, shift, k, recoded = [], 0, 0, 0
+        while k < len(edits):
+            first, low = self.locate(max(0, edits[k][0] - _CONTEXT))
+            begin, last, stop = low + shift, first, low + self.chars[self.size + first]
+            while True:
+                while k < len(edits) and edits[k][0] - _CONTEXT < stop:
+                    start, end, replacement = edits[k]
+                    shift += len(replacement) - (end - start)
+                    k += 1
+                    if end > stop:
+                        last, at = self.locate(end)
+                        stop = at + self.chars[self.size + last]
+                # the old pre-tokens behind a boundary are those of the new text
+                if stop >= self.chars[1] or _BOUNDARY.match(new, stop + shift):
+                    break
+                last += 1
+                stop += self.chars[self.size + last]
+            last = self.size - 1 if stop >= self.chars[1] else last
+            regions.append((first, last, _sizes(counter.leaves(new, begin, stop + shift), begin)))
+            recoded += stop + shift - begin
+        if any(len(made) > 4 * (last - first + 1) for first, last, made in regions):
+            out, at = [], 0
             old = list(zip(self.chars[self.size:], self.tokens[self.size:]))
-            return new, SegmentTree.of([x for x in [*old[:first], *made, *old[last + 1:]] if x[0]]), done - low
-        for k in range(room):
-            part = made[k * len(made) // room:(k + 1) * len(made) // room]
-            self.put(first + k, sum(c for c, _ in part), sum(t for _, t in part))
-        return new, self, done - low
+            for first, last, made in regions:
+                out += [*old[at:first], *made]
+                at = last + 1
+            return new, SegmentTree.of([x for x in [*out, *old[at:]] if x[0]]), recoded
+        for first, last, made in regions:
+            room = last - first + 1
+            for j in range(room):
+                part = made[j * len(made) // room:(j + 1) * len(made) // room]
+                self.put(first + j, sum(c for c, _ in part), sum(t for _, t in part))
+        return new, self, recoded
 
 
 def _sizes(leaves: Iterator[tuple[int, int]], start: int) -> list[tuple[int, int]]:
@@ -172,7 +177,7 @@ def _extended(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array])
 
 def build(docs: DataFrame, ranks: bytes) -> DataFrame:
     """``docs`` (with a column text) and ``tree``, each text's segment tree."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    held, docs = docs.sparkSession.sparkContext.broadcast(ranks), docs.drop("tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(held.value)
@@ -185,7 +190,7 @@ def build(docs: DataFrame, ranks: bytes) -> DataFrame:
 
 def update(rows: DataFrame, ranks: bytes) -> DataFrame:
     """``rows`` (with columns text, tree, edits), text and tree edited, and ``recoded``, the characters encoded anew."""
-    held = rows.sparkSession.sparkContext.broadcast(ranks)
+    held, rows = rows.sparkSession.sparkContext.broadcast(ranks), rows.drop("recoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(held.value)
@@ -193,9 +198,9 @@ def update(rows: DataFrame, ranks: bytes) -> DataFrame:
             texts, trees, sizes = [], [], []
             for text, tree, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
                 now, held_tree, recoded = text or "", SegmentTree(tree["chars"], tree["tokens"]), 0
-                for e in sorted(edits or (), key=lambda e: -e["start"]):  # from the back, so that positions stay
-                    now, held_tree, n = held_tree.edit(now, e["start"], e["end"], e["replacement"] or "", counter)
-                    recoded += n
+                if edits:
+                    listed = [(e["start"], e["end"], e["replacement"] or "") for e in sorted(edits, key=lambda e: e["start"])]
+                    now, held_tree, recoded = held_tree.edit_all(now, listed, counter)
                 texts.append(now)
                 trees.append({"chars": held_tree.chars, "tokens": held_tree.tokens})
                 sizes.append(recoded)
@@ -214,9 +219,9 @@ def n_tokens(tree: str = "tree") -> Column:
 def pattern_edits(docs: DataFrame, pattern: str, replacement: str) -> DataFrame:
     """``docs`` and ``edits``: every match of a pattern in the column text is replaced."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+    docs = docs.drop("edits")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern)
         for batch in _sliced(batches):
             edits = [[{"start": m.start(), "end": m.end(), "replacement": replacement} for m in find.finditer(t or "")]
