@@ -1,8 +1,9 @@
 """BPE encoding and decoding of whole texts by tree concatenation.
 
 Texts are cut at white space, which no token crosses, and new pieces are encoded with the library's own tokenizer and
-kept for the task. Where a text has a run without white space longer than ``leaf`` characters, its long pre-tokens are
-cut into leaves that Spark encodes in parallel as rows of their own. Neighbouring leaves are then concatenated as a tree:
+kept for the task; plain text (ASCII without apostrophes, and letters below U+0130) is cut into lower-cased pre-tokens at
+once. A pre-token longer than ``leaf`` characters is cut into leaves; where a run without white space is longer than
+``spread`` leaves, Spark encodes them in parallel as rows of their own. Neighbouring leaves are then concatenated as a tree:
 a window of tokens around the join is encoded anew and grows until its first token is the left side's token at that
 place and its last token the right side's. A token sequence is the encoding of its text exactly if each adjacent pair
 is, so that agreement on both sides makes the whole join exact.
@@ -31,7 +32,16 @@ from cohortry.llm.words import give_back
 
 ENCODED = "n_tokens long, ids string, decoded string"
 LEAF = 4096
+#: A run of so many leaves is spread over tasks; a shorter one is cut and concatenated in the task of its document.
+SPREAD = 16
 _KEPT_PIECES = 300_000
+#: The letters below U+0130, which composition leaves alone and which Python lower-cases as the library does.
+_LETTERS = "a-zªµºß-öø-į"
+_PLAIN = re.compile(rf"[\t-\r !-&(-~{_LETTERS}À-ÖØ-Þ]*")
+#: The pre-tokens of lower-cased plain text: letters, one digit, other signs (the tokenizer's pattern without its apostrophes).
+_PLAIN_TOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
+#: The split of the pre-tokenizer for which these hold (a fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PieceEncoder:
@@ -53,6 +63,10 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.numbers = [str(i) for i in range(size)]
+        self.ends = np.array([n.endswith(self.spec["end_of_word_suffix"] or "\0") for n in self.names])
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT]
 
     def spelled(self, coded: bytes) -> tuple[str, str, int]:
         """Ids and decoded text of coded ids, and their number."""
@@ -64,8 +78,13 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def parts(self, text: str) -> list[str]:
-        """The text cut at special tokens (kept as parts) and at white space."""
+        """The text cut at special tokens (kept as parts) and at white space; plain text into its pre-tokens.
+
+        Pre-tokens have fewer different texts than the words with their capitals and signs.
+        """
         if self.special is None or not self.special.search(text):
+            if self.plain and _PLAIN.fullmatch(text):
+                return _PLAIN_TOKENS.findall(text.lower())
             return self.pieces.findall(text)
         out = []
         for i, part in enumerate(self.special.split(text)):
@@ -74,31 +93,34 @@ class PieceEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces together, as words of one text, and keep them."""
-        for low in range(0, len(pieces), 4096):
-            part = pieces[low:low + 4096]
-            starts = [0, *accumulate(len(piece) + 1 for piece in part)]
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(coded.ids, np.uint32).tobytes()
-            bounds = (4 * np.searchsorted([a for a, _ in coded.offsets], starts)).tolist()
-            for piece, a, b in zip(part, bounds, bounds[1:]):
-                self.kept[piece] = ids[a:b]
+        single = [p for p in pieces if self.plain and _PLAIN_TOKENS.fullmatch(p)]
+        for low in range(0, len(single), 4096):
+            part = single[low:low + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            bounds = np.flatnonzero(self.ends[ids]) + 1  # the last token of a pre-token bears the mark of a word's end
+            if len(bounds) != len(part):
+                raise ValueError("a pre-token is not encoded as one word")
+            coded, bounds = ids.tobytes(), [0, *(4 * bounds).tolist()]
+            self.kept.update(zip(part, [coded[a:b] for a, b in zip(bounds, bounds[1:])]))
+        for piece in pieces if not single else set(pieces).difference(single):
+            self.kept[piece] = self.library(piece)
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """Ids and decoded text of whole texts, and the number of tokens."""
         parts = [self.parts(text) for text in texts]
         every = set().union(*parts)
-        specials = {piece for piece in every if self.special and self.special.fullmatch(piece)}
         long = {piece: self.library(piece) if len(piece) <= LEAF else self.coded(piece)
-                for piece in every if len(piece) > 64 or piece in specials}
-        short = [piece for piece in every if piece not in long]
-        new = [piece for piece in short if piece not in self.kept]
+                for piece in every if len(piece) > 64 or piece[0] == "<" and self.special and self.special.fullmatch(piece)}
+        every.difference_update(long)
+        new = list(every.difference(self.kept))
         if len(self.kept) + len(new) > _KEPT_PIECES:
             self.kept.clear()
-            new = short
+            new = list(every)
         self.learn(new)
         kept = self.kept
-        return [self.spelled(b"".join([long[x] if x in long else kept[x] for x in pieces] if long else [kept[x] for x in pieces]))
-                for pieces in parts]
+        if long:
+            return [self.spelled(b"".join([long[x] if x in long else kept[x] for x in pieces])) for pieces in parts]
+        return [self.spelled(b"".join(map(kept.__getitem__, pieces))) for pieces in parts]
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """Ids and decoded text of a whole text, and the number of tokens."""
@@ -252,16 +274,18 @@ def _concatenate(content):
     return run
 
 
-def encode(docs: DataFrame, content: str, keys: list[str], text: str = "text", leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, content: str, keys: list[str], text: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
     """The key columns with ``n_tokens``, ``ids`` (decimal, joined by one space) and ``decoded`` of each row's whole text.
 
-    ``content`` is the tokenizer's file. Texts with a run of more than ``leaf`` characters without white space take the
-    parallel way; equal ones among them are encoded once.
+    ``content`` is the tokenizer's file. Texts with a run of more than ``spread`` leaves without white space have their leaves
+    spread over tasks; equal ones among them are encoded once.
     """
     held = docs.sparkSession.sparkContext.broadcast(content)
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    long = F.col("text").rlike(rf"[^\t-\r ]{{{leaf + 1}}}")
+    most = spread * leaf
+    # the length spares most texts the search
+    long = (F.length("text") > most) & F.col("text").rlike(rf"[^\t-\r ]{{{most + 1}}}")
     short = rows.where(~long).mapInArrow(_encode_rows(held, keys), f"{kinds}, {ENCODED}")
     far = rows.where(long).withColumn("digest", F.sha2("text", 256))
     made = (

@@ -27,6 +27,15 @@ def test_pieces_equal_the_library(encoder):
     assert encoder.encode_all(TEXTS) == [wanted(encoder, t) for t in TEXTS]
 
 
+def test_plain_and_odd_texts_equal_the_library(encoder):
+    alphabets = ["ab C", "aZ09 .,", "it's ", "éÀß ö", "x\u0149İ ı", "a²½ª µº×÷", "\x1c\x85\xa0a ", "'S 't'LL", "日 aé", "e\u0301 E\u0308x", "<|endoftext|> a", "<|{~ `["]
+    texts = ["".join(rng.choice(rng.choice(alphabets)) if k % 3 else rng.choice("ab .") for _ in range(rng.randrange(40))) for k in range(3000)]
+    texts += ["".join(rng.choice(a) for _ in range(30)) for a in alphabets for _ in range(50)]
+    for low in range(0, len(texts), 200):
+        part = texts[low:low + 200]
+        assert encoder.encode_all(part) == [wanted(encoder, t) for t in part]
+
+
 def test_joined_leaves_equal_the_library(encoder):
     for _ in range(300):
         alphabet = rng.choice(["ab", "the", "aeinrst", "ühß日本é", "x1.-_", "😀a"])
@@ -37,8 +46,9 @@ def test_joined_leaves_equal_the_library(encoder):
 def test_parallel_way_equals_the_library(documents, encoder):
     rows = [*enumerate(TEXTS), (90, None), (None, LONG), (7, LONG)]
     docs = documents(rows, extra=True)
-    for leaf in (bpe.LEAF, 500):
-        got = sorted(((r.doc_id, r.ids, r.decoded, r.n_tokens) for r in bpe.encode(docs, CONTENT, ["doc_id"], leaf=leaf).collect()), key=repr)
+    for leaf, spread in ((bpe.LEAF, bpe.SPREAD), (bpe.LEAF, 1), (500, 1), (500, 10)):
+        made = bpe.encode(docs, CONTENT, ["doc_id"], leaf=leaf, spread=spread)
+        got = sorted(((r.doc_id, r.ids, r.decoded, r.n_tokens) for r in made.collect()), key=repr)
         assert got == sorted(((i, *wanted(encoder, t)) for i, t in rows), key=repr)
     assert bpe.encode(docs.where("false"), CONTENT, ["doc_id"]).collect() == []
 
