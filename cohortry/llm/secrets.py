@@ -7,12 +7,17 @@ zstandard, primed with the text around it and with a dictionary of identifiers;
 that its characters would need if they were random, are its novelty. Names and paths are mostly known already, secrets
 are not.
 
-The identifier dictionary holds the strings that stand near sensitive words in the most different surroundings of the
-corpus: all documents are scanned, counted by string and surroundings, so that copies of a document count once, and the
-dictionary is filled up to ``dictionary_bytes``. It is the only thing that is broadcast.
+The identifier dictionary holds the word-like strings that stand near sensitive words in the most different surroundings
+of the corpus: all documents are scanned, counted by string and surroundings, so that copies of a document count once, and
+the dictionary is filled up to ``dictionary_bytes``. It is the only thing that is broadcast. A string that is not made of
+words, as a key or a token, never becomes an identifier, so a secret is reported however many documents repeat it; the
+limit of surroundings follows the number of documents. An identifier that the dictionary has no room for is judged by its
+surroundings alone: that may report a name, and never hides a secret.
 
 Defined results: NULL and empty texts have no spans. Offsets are code points, ends exclusive. Spans are sorted by start,
-then by kind in the order of ``KINDS``. A novel span never overlaps a base span.
+then by kind in the order of ``KINDS``. A novel span never overlaps a base span. Repeated rows get a row each. Of equally
+frequent identifiers the smaller ones in code point order come into the dictionary first. Texts of any length are scanned
+whole. An empty table gives an empty dictionary and an empty result. Only the text is read; other columns stay.
 """
 
 from __future__ import annotations
@@ -48,15 +53,23 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CLUSTER = re.compile(r"[b-df-hj-np-tv-xz]{4}", re.IGNORECASE | re.ASCII)
+_VOWELS = frozenset("aeiouyAEIOUY")
+
+
 @dataclass(frozen=True)
 class ScanParameters:
     """``around``: characters on either side that prime the compressor; ``novelty``: least share of the bytes that random
-    characters of the same classes would need; ``surroundings``: how many different ones make a string an identifier."""
+    characters of the same classes would need; ``surroundings``, and ``per_million`` of the documents: how many different
+    ones make a word-like string an identifier; ``words``: least share of a word-like string's characters in its words."""
 
     reach: int = 48
     around: int = 2048
     novelty: float = 0.85
     surroundings: int = 8
+    per_million: int = 20
+    words: float = 0.6
     dictionary_bytes: int = 32768
 
 
@@ -110,6 +123,17 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], dictionary: bytes,
     return out
 
 
+def word_like(s: str, share: float = 0.6) -> bool:
+    """Whether most of a string lies in runs of letters that may be words: four or more, with vowels and consonants,
+    but not four consonants in a row."""
+    long = 0
+    for m in _PART.finditer(s):
+        n = m.end() - m.start()
+        if n >= 4 and 0.2 <= sum(c in _VOWELS for c in m[0]) / n <= 0.7 and not _CLUSTER.search(m[0]):
+            long += n
+    return long >= share * len(s)
+
+
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The texts of a buffer that can hold a span: a sensitive stem, or 24 hexadecimal digits in a row."""
     lower = data.tobytes().lower()
@@ -136,8 +160,9 @@ def spans_of(text: str, dictionary: bytes, p: ScanParameters) -> list[tuple[str,
 
 
 def identifier_dictionary(docs: DataFrame, parameters: ScanParameters | None = None) -> bytes:
-    """The strings near sensitive words that have the most different surroundings, the most frequent last."""
+    """The word-like strings near sensitive words that have the most different surroundings, the most frequent last."""
     p = parameters or ScanParameters()
+    least = max(p.surroundings, docs.count() * p.per_million // 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +173,8 @@ def identifier_dictionary(docs: DataFrame, parameters: ScanParameters | None = N
                     text = column[row + i].as_py()
                     for m in _SENSITIVE.finditer(text):
                         for x in _IDENTIFIER.finditer(text, max(0, m.start() - p.reach), m.end() + p.reach):
+                            if not word_like(x[0], p.words):
+                                continue
                             names.append(x[0])
                             contexts.append(text[max(0, x.start() - 24):x.start()] + "\0" + text[x.end():x.end() + 24])
                 yield pa.record_batch([pa.array(names, pa.string()), pa.array(contexts, pa.string())], ["name", "context"])
@@ -155,7 +182,7 @@ def identifier_dictionary(docs: DataFrame, parameters: ScanParameters | None = N
     strings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "name string, context string")
     counts = (
         strings.select("name", F.xxhash64("context").alias("context")).distinct()
-        .groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= p.surroundings)
+        .groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         .orderBy(F.desc("n"), "name").limit(p.dictionary_bytes // 8)
     )
     out, size = [], 0

@@ -81,3 +81,30 @@ def test_an_identifier_is_counted_by_its_surroundings(documents):
     copies = ["the token is Service43Account.Only here"] * 20
     names = secrets.identifier_dictionary(documents([*frequent, *copies])).decode().split("\n")
     assert "Service42Account.Name" in names and "Service43Account.Only" not in names
+
+
+def test_frequent_secrets_stay_secrets(documents):
+    rng = random.Random(12)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    for n in (1, 7, 8, 50, 1000):
+        keys = ["".join(rng.choice(a) for _ in range(40)) for a in alphabets]
+        texts = [f"{rng.randrange(10**9)} the access credential is {key} and more {rng.randrange(10**9)}" for key in keys for _ in range(n)]
+        texts += [f"{k * 37} token names like Service42Account.Name stand {k * 91}" for k in range(60)]
+        docs = documents(texts)
+        dictionary = secrets.identifier_dictionary(docs)
+        assert b"Service42Account.Name" in dictionary
+        spans = docs.withColumn("spans", secrets.secret_spans(docs, dictionary)).withColumn("out", secrets.redacted(docs, dictionary)).collect()
+        for r in spans:
+            if "Service42" in r.text:
+                assert not r.spans and r.out == r.text
+            else:
+                assert len(r.spans) == 1 and not any(key in r.out for key in keys)
+
+
+def test_word_like_strings():
+    rng = random.Random(13)
+    names = ["Service42Account.Name", "load_settings_v2.cache", "com.example.TokenProvider", "application/x-www-form-urlencoded", "client-credentials-2"]
+    assert all(secrets.word_like(n) for n in names)
+    random_keys = ["".join(rng.choice(a) for _ in range(32)) for _ in range(2000)
+                   for a in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")]
+    assert sum(map(secrets.word_like, random_keys)) < 0.002 * len(random_keys)
