@@ -55,6 +55,7 @@ _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLUSTER = re.compile(r"[b-df-hj-np-tv-xz]{4}", re.IGNORECASE | re.ASCII)
+_DIGITS = re.compile(r"[0-9]+")
 _VOWELS = frozenset("aeiouyAEIOUY")
 
 
@@ -125,7 +126,9 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], dictionary: bytes,
 
 def word_like(s: str, share: float = 0.6) -> bool:
     """Whether most of a string lies in runs of letters that may be words: four or more, with vowels and consonants,
-    but not four consonants in a row."""
+    but not four consonants in a row; random characters also have more groups of digits than names do."""
+    if len(_DIGITS.findall(s)) > 1 + len(s) // 16:
+        return False
     long = 0
     for m in _PART.finditer(s):
         n = m.end() - m.start()
