@@ -9,8 +9,9 @@ from cohortry.functions.measures import jaccard, token_set
 from cohortry.operators import compare, design, distributions, semantic
 from cohortry.plans.registry import query
 from cohortry.plans.tables import (
-    BOTH_RUNS_SQL, CLICKS_SQL, PAIRS_SQL, PANEL_SQL, both_runs, clicks, panel, panel_pairs, people, r6, table,
+    BOTH_RUNS_SQL, CLICKS_SQL, PAIRS_SQL, PANEL_SQL, RUN, both_runs, clicks, panel, panel_nested, panel_pairs, people, r6, table,
 )
+from cohortry.sources import schemas, store, writers
 from cohortry.spec import Recipe
 
 
@@ -33,6 +34,41 @@ def repeat_pairs(spark, d) -> DataFrame:
     )
 
 
+_FACT_COLUMNS = ("response_id", "stance", "stance_score", "response_text")
+
+
+def stored_fact(spark, d, path: str) -> DataFrame:
+    """Both runs as a bucketed table at a path."""
+    name = "fact_" + path.rsplit("-", 1)[1]
+    return store.save_fact(both_runs(spark, d), name, path, spark.sparkContext.defaultParallelism)
+
+
+@query("fact_repeat_pairs", f"""WITH {BOTH_RUNS_SQL}
+    SELECT a.project_id, a.run_id, a.agent_id, a.question_id AS root_question_id,
+      {', '.join(f'{s}.{c} AS {c}_{s}' for s in 'ab' for c in _FACT_COLUMNS)}
+    FROM both_runs a JOIN both_runs b ON a.run_id = b.run_id AND a.agent_id = b.agent_id AND b.repeat_of_question_id = a.question_id
+    WHERE a.question_type = 'ORIGINAL' AND b.question_type = 'SAME_QUESTION_REPEAT'""")
+def fact_repeat_pairs(spark, d) -> DataFrame:
+    """Repeat pairs of both runs from the stored fact."""
+    return store.fact_pairs(stored_fact(spark, d, store.work_path(spark, "fact")), _FACT_COLUMNS)
+
+
+@query("committed_run", f"""WITH {PANEL_SQL}
+    SELECT response_id, agent_id::VARCHAR AS agent_id, question_id, repeat_index, status, stance, stance_score FROM panel""")
+def committed_run(spark, d) -> DataFrame:
+    """The first run, committed in three lots of which one is written twice, and read back through the log."""
+    root, rows = store.work_path(spark, "lots"), panel_nested(spark, d)
+    stored = rows.withColumn("agent_id", F.col("agent_id").cast("string")).withColumns(
+        {"generation_config": F.lit(None).cast(schemas.GENERATION_CONFIG), "created_at": F.lit(None).cast("timestamp")})
+    stored = stored.select(*schemas.RESPONSE_COLUMNS)
+    checked = lambda some: writers.checked_responses(some, RUN.project_id, RUN.run_id)
+    store.fill_lots(stored, checked, root, RUN.project_id, RUN.run_id, 3)
+    again = store.in_lots(stored, "agent_id", 3).where("_lot = 1").drop("_lot")
+    store.commit(checked(again), root, RUN.project_id, RUN.run_id, 1, 3, "json")
+    found = compare.flatten_responses(store.read_committed(spark, root, RUN.project_id, RUN.run_id, schemas.RESPONSE))
+    return found.select("response_id", "agent_id", "question_id", "repeat_index", "status", "stance", "stance_score")
+
+
 @query("repeat_comparison", f"""WITH {PAIRS_SQL}
     SELECT comparison_id, agent_id, stance_match, stance_score_delta, contradiction_candidate, needs_human_review,
       response_text_a, response_text_b FROM evaluated""")

@@ -106,14 +106,18 @@ def write_profile_states(states: DataFrame, root: str, by: Sequence[str]) -> str
     return path
 
 
+def checked_responses(responses: DataFrame, project_id: str, run_id: str) -> DataFrame:
+    """The responses themselves; whatever writes them fails on a row that breaks a rule or belongs to another run."""
+    return _in_scope(_within_rules(responses, response_rules(responses)), "response_id", project_id, run_id)
+
+
 def write_responses(
     responses: DataFrame, root: str, project_id: str, run_id: str, file_format: str = "parquet"
 ) -> str:
     """Responses of one run under ``root/responses``; refuses rows that break a rule or belong to another project or run,
     replaces only this run."""
     path = f"{root}/responses"
-    checked = _within_rules(responses, response_rules(responses))
-    _write_by(_in_scope(checked, "response_id", project_id, run_id), path, ("project_id", "run_id"), file_format)
+    _write_by(checked_responses(responses, project_id, run_id), path, ("project_id", "run_id"), file_format)
     return path
 
 

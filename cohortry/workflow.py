@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators import checks, cohort, compare, context, distributions, inspect, profile, profile_state, responses, review
-from cohortry.sources import readers, schemas, writers
+from cohortry.sources import readers, schemas, store, writers
 from cohortry.spec import CohortRequest, Run, TableSpec
 
 
@@ -91,11 +91,13 @@ def run_questions(
     created_at: str,
     generator: Callable[[dict], tuple[str, dict]],
     failures: tuple[type[Exception], ...] = (responses.ResponseGenerationError,),
+    lots: int = 0,
 ) -> str:
     """Asks every sampled entity every question of the run's stored question set; stores the run record and the responses.
 
     The project, scenario and question set must be stored under ``out``; ``generator`` answers a cell, see
-    ``responses.generate_responses``.
+    ``responses.generate_responses``. With ``lots`` the agents are cut into lots that are asked and committed one after the
+    other; a run that is started again goes on behind the last committed lot.
     """
     spark = df.sparkSession
     questions, _ = load_plan(spark, out, run)
@@ -103,11 +105,20 @@ def run_questions(
     context.require_complete(df, spec, sample)
     contexts = context.build_context(df, spec, run.context_level, sample).drop("sample_rank")
     cells = responses.plan_cells(responses.expand_question_table(contexts, questions, run.question_set_id), run)
-    filled = responses.generate_responses(cells, generator, failures)
     stamp = F.lit(created_at).cast("timestamp")
-    stored = filled.withColumn("agent_id", F.col("agent_id").cast("string")).withColumn("created_at", stamp)
+
+    def filled(some: DataFrame) -> DataFrame:
+        answers = responses.generate_responses(some, generator, failures)
+        rows = answers.withColumn("agent_id", F.col("agent_id").cast("string")).withColumn("created_at", stamp)
+        return rows.select(*schemas.RESPONSE_COLUMNS)
+
     writers.write_records(run_record(questions, run, created_at), "run", out)
-    return writers.write_responses(stored.select(*schemas.RESPONSE_COLUMNS), out, run.project_id, run.run_id)
+    if not lots:
+        return writers.write_responses(filled(cells), out, run.project_id, run.run_id)
+    root = f"{out}/response_lots"
+    checked = lambda some: writers.checked_responses(filled(some), run.project_id, run.run_id)
+    store.fill_lots(cells, checked, root, run.project_id, run.run_id, lots)
+    return root
 
 
 def run_record(questions: DataFrame, run: Run, created_at: str) -> DataFrame:
@@ -125,9 +136,16 @@ def run_record(questions: DataFrame, run: Run, created_at: str) -> DataFrame:
     )
 
 
-def read_run(spark: SparkSession, out: str, run: Run) -> DataFrame:
-    """Flat stored responses of one run; only that run's directory is read."""
-    stored = spark.read.schema(schemas.RESPONSE).parquet(f"{out}/responses")
+def read_run(spark: SparkSession, out: str, run: Run, file_format: str = "parquet") -> DataFrame:
+    """Flat stored responses of one run; only that run's directory is read.
+
+    A run that was asked in lots is read from its committed lots, another in the format that it was written in: Parquet or
+    JSON lines.
+    """
+    root = f"{out}/response_lots"
+    if store.committed(spark, root, run.project_id, run.run_id):
+        return compare.flatten_responses(store.read_committed(spark, root, run.project_id, run.run_id, schemas.RESPONSE))
+    stored = spark.read.schema(schemas.RESPONSE).format(file_format).load(f"{out}/responses")
     mine = stored.where((F.col("project_id") == run.project_id) & (F.col("run_id") == run.run_id))
     return compare.flatten_responses(mine)
 
