@@ -20,14 +20,24 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (a local test session) it is a fresh temporary folder.
+    Where the setting is absent it is a fresh temporary folder of a local session; a cluster raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session have at most ``rows`` rows: they lie in the JVM and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(frame: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back, so that a lost executor costs no more than that step."""
     schema = frame.schema

@@ -20,7 +20,9 @@ Verification first compares outlines of the sets, bitmaps of a length in proport
 intersects the whole sets.
 
 Defined results: NULL or empty text, or text without words, has an empty set and links with nothing. Rows that repeat a
-doc_id are one node, with the links of each of its texts. A NULL doc_id gets its set size and a NULL component. Other columns of the input are ignored.
+doc_id are one node, with the links of each of its texts. A NULL doc_id gets its set size and a NULL component. Texts of
+any length are taken whole; equal shingle hashes are equal shingles. An empty table gives an empty result. Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -292,6 +294,15 @@ def _may_link(p: JoinParameters):
     )
 
 
+def _of_one_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of a doc_id that occurs with several."""
+    several = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id").agg(
+        F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("doc_id")
+    sets = rows.join(several, "doc_id").join(reps, "set_key").select("doc_id", "set_id").distinct()
+    least = sets.groupBy("doc_id").agg(F.min("set_id").alias("a"))
+    return sets.join(least, "doc_id").select("a", F.col("set_id").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, links: bool = False):
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, set_id``.
 
@@ -334,7 +345,8 @@ def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, l
         f"{folder}/pairs-1",
     )
     found = stored(_verified(first, texts, p, f"{folder}/close-1"), f"{folder}/links-1")
-    roots = components(found, f"{folder}/roots-1")
+    same = stored(_of_one_id(rows, reps), f"{folder}/same-id")
+    roots = components(found.union(same), f"{folder}/roots-1")
 
     labelled = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
@@ -348,7 +360,7 @@ def near_duplicates(docs: DataFrame, parameters: JoinParameters | None = None, l
     more = stored(_verified(second, texts, p, f"{folder}/close-2"), f"{folder}/links-2")
     every = found.union(more)
     if not more.isEmpty():
-        roots = components(every, f"{folder}/roots-2")
+        roots = components(every.union(same), f"{folder}/roots-2")
 
     named = reps.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_key", "set_id", F.coalesce("root", "set_id").alias("root"))

@@ -48,6 +48,14 @@ def test_repeated_rows_missing_ids_and_long_texts(documents):
         [(5, 3, 2), (5, 3, 2), (2, 3, 2), (None, 3, None), (9, size, 8), (8, size + 1, 8), (1, 0, 1)], key=repr)
 
 
+def test_texts_of_one_id_are_one_node(documents):
+    a, b = "a b c d e f g", "h i j k l m n"
+    assert sorted(tuple(r)[:3] for r in near_duplicates(documents([(5, a), (5, b), (3, b), (7, a)])).collect()) == [
+        (3, 3, 3), (5, 3, 3), (5, 3, 3), (7, 3, 3)]
+    got = near_duplicates(documents([(9, a), (9, b), (8, b + " x"), (4, "o p q r s t"), (None, a), (9, None)])).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(9, 9), (9, 9), (8, 8), (4, 4), (None, None), (9, 9)], key=repr)
+
+
 def test_empty_table(documents):
     assert near_duplicates(documents([]).where("false")).collect() == []
 

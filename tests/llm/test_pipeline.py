@@ -36,6 +36,14 @@ def test_stages_keep_columns_and_take_effect(spark, documents):
     assert {r.doc_id: r.ids for r in last} == {r.doc_id: encoder.encode(r.text)[0] for r in kept}
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, documents):
+    a, b = prose(1), prose(2)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, prose(3)), (None, prose(3)), (None, prose(4)), (7, prose(4)), (None, None), (8, "--")]
+    got = corpus_pipeline.keep_one_of_each(spark, documents(rows, extra=True), DIRECTORY)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(1, a), (2, b), (None, prose(3)), (7, prose(4)), (None, None), (8, "--")], key=repr)
+
+
 def test_empty_documents(spark, documents):
     docs = documents([]).where("false")
     for _, stage in corpus_pipeline.STAGES:
