@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to tokens, each written as Parquet before the next.
 
 Every stage takes all rows that its predecessor kept, with whatever columns they have, and a stage's decision depends on
-the text alone (near duplicates also on doc_id). Rows with NULLs in any column pass through every stage that their text
+the text alone (near duplicates also on doc_id). The stages lower the session's Arrow batches to 1,000 rows, since a batch
+of long texts takes the memory of an executor twice. Rows with NULLs in any column pass through every stage that their text
 passes; a NULL text has no letter and leaves at the first stage.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import bpe, decontaminate, language_id, secrets
-from cohortry.llm.common import is_present, presence_bits, stored, table, work_folder
+from cohortry.llm.common import is_present, presence_bits, small_batches, stored, table, work_folder
 from cohortry.llm.jaccard_join import near_duplicates
 from cohortry.llm.queries import tokenizer_file
 
@@ -23,6 +24,7 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or in none of the learned languages, go."""
+    small_batches(spark)
     held = language_id.held_out(5, 0)
     model = language_id.fit(docs.where(~held).select("text", "lang"))
     guess = language_id.predicted(docs, model)
@@ -31,29 +33,38 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the smallest doc_id of each near-duplicate group stays, once.
+    """N-gram Jaccard join: of each near-duplicate group the row with the smallest doc_id stays, once.
 
-    Documents without words are no duplicates of each other; rows without a doc_id stay as well.
+    Rows are judged by their texts, so a doc_id that occurs with different texts keeps those that no other row has. NULL ids
+    come last. Documents without words are no duplicates of each other; rows equal in id and text stay once.
     """
-    dropped = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    small_batches(spark)
+    key = F.xxhash64("doc_id", "text")
+    named = docs.select(key.alias("doc_id"), "text")
+    groups = near_duplicates(named).where("n_shingles > 0").select(F.col("doc_id").alias("h"), "component_id").distinct()
+    rows = groups.join(docs.select(key.alias("h"), "doc_id").distinct(), "h")
+    rows = stored(rows, f"{work_folder(spark)}/groups")
+    stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("first")).select("first.h")
+    dropped = rows.select("h").join(stays, "h", "left_anti")
+    repeated = docs.select(key.alias("h")).groupBy("h").count().where("count > 1").select("h")
     # a bitmap of fixed size finds the rows that need a look, so that the others are not shuffled
-    special = is_present(docs, F.xxhash64("doc_id"), presence_bits(dropped.union(repeated).select(F.xxhash64("doc_id").alias("h"))))
-    special = special & F.col("doc_id").isNotNull()
+    special = is_present(docs, key, presence_bits(dropped.union(repeated)))
     plain = [F.col(f"`{c}`") for c in docs.columns]
-    rest = docs.where(special).join(dropped, "doc_id", "left_anti").select(*plain)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c.cast("string") for c in plain]))
-    one = rest.select(F.struct(*plain).alias("row"), F.row_number().over(order).alias("turn")).where("turn = 1").select("row.*")
+    rest = docs.where(special).select(F.struct(*plain).alias("row"), key.alias("h")).join(dropped, "h", "left_anti")
+    order = Window.partitionBy("h").orderBy(F.xxhash64(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns]))
+    one = rest.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("row.*")
     return docs.where(~special).union(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that leak a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every secret is replaced by a mark; ``n_chars`` follows the text. No document goes."""
+    small_batches(spark)
     texts = docs.select("text")
     out = docs.withColumn("text", secrets.redacted(docs, secrets.identifier_dictionary(texts)))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
@@ -61,6 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: the tokens of every document that is left."""
+    small_batches(spark)
     coded = bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id"])
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
