@@ -8,10 +8,12 @@ with the words around the window, and, for paraphrases that keep only part of th
 (its last words).
 
 Windows have the length class of the items that they are compared with (32, 16 or 8 words), so that a short item is not
-diluted by its neighbours. Documents are only scanned, never shuffled. The cosine is one over the benchmark's terms, so
-rare or foreign words around an item don't weigh; only windows without any benchmark term are skipped, and candidates
-with fewer benchmark words around them than an alignment needs. Items are the stated query set; they are broadcast in
-blocks of ``block_items``. Sums of counters and matrix products have a fixed size for every task.
+diluted by its neighbours; all classes add up the same sums of a quarter block. Documents are only scanned, never
+shuffled. The cosine is one over the benchmark's terms, so rare or foreign words around an item don't weigh; only windows
+without any benchmark term are skipped. Of the candidates, those are aligned whose surroundings hold as many words of the
+item as an alignment needs: first counted in blocks of words, then by the item's positions. Both are upper bounds of the
+alignment, so they lose nothing. Items are the stated query set; they are broadcast in blocks of ``block_items``. Sums of
+counters and matrix products have a fixed size for every task.
 
 Defined results: NULL or empty documents hold no leak. Items that are NULL or have fewer than ``least_words`` words are too
 short to tell a leak and are not searched. Repeated items are searched once; an item and a document are reported once,
@@ -32,13 +34,14 @@ from cohortry.llm.common import column_sums
 from cohortry.llm.words import WordHasher, text_buffers
 
 LEAKS = "array<struct<item_id: long, cosine: double, lcs_words: int, item_words: int, answer_words: int>>"
+_BOUND, _BOUND_CELLS = 8, 1 << 23  # words of a block, and counts held at once, when words of items are counted
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_words", pa.int32()),
                              ("item_words", pa.int32()), ("answer_words", pa.int32())]))
 
 
 @dataclass(frozen=True)
 class LeakParameters:
-    """``block`` words make half a window of the largest class; passages start every ``step`` words. ``cosine`` is the
+    """``block`` words (a multiple of four) make half a window of the largest class; passages start every ``step`` words. ``cosine`` is the
     least cosine of a window and a passage. An alignment of ``sure`` of the item's words is a
     leak; from ``possible`` on it is one if ``answered`` of the last ``answer`` words are aligned as well."""
 
@@ -223,7 +226,8 @@ def common_words(item: np.ndarray, region: np.ndarray) -> int:
 class Searched:
     """A block of items as workers search for it.
 
-    ``place`` gives the row of an inside term in ``basis``, whose rows are weighted, and -1 for other terms. ``vocabulary``
+    ``place`` gives the row of an inside term in ``basis``, whose rows are weighted, and -1, the last row, which is zero, for
+    other terms. ``vocabulary``
     holds the items' words; ``keys`` (item, word) and ``masks``, the positions of the word in the item as bits, are sorted
     for lookups. Items of more than 64 words have no masks. ``classes`` has the length of windows, and the latent passages
     and their items, of each length class.
@@ -257,7 +261,9 @@ class Searched:
         owner = np.array([i for i, words in enumerate(every) for _ in passages(words, p)], np.int64)
         sizes = np.array([window_size(len(words), p) for words in every], np.int64)[owner]
         classes = [(int(size), latent[sizes == size], owner[sizes == size]) for size in np.unique(sizes)]
-        return cls(index.weights, place, index.basis[:len(terms)] * index.weights[terms, None], items, classes, vocabulary,
+        basis = np.zeros((len(terms) + 1, index.basis.shape[1]), np.float32)
+        basis[:-1] = index.basis[:len(terms)] * index.weights[terms, None]
+        return cls(index.weights, place, basis, items, classes, vocabulary,
                    keys, np.array([masks[k] for k in keys.tolist()], np.uint64))
 
     def word_numbers(self, words: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -268,22 +274,47 @@ class Searched:
         out[some] = np.where(self.vocabulary[at] == words[some], at, -1)
         return out
 
-    def common_lengths(self, words: np.ndarray, numbers: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """``common_words`` of many items and regions at once: one step a word of the region, over all of them."""
-        sizes = np.array([len(w) for _, w in self.items], np.int64)[item]
+    def may_align(self, numbers: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether each region holds ``least`` words of its item, counted in whole blocks of ``_BOUND`` words around it."""
+        out = np.zeros(len(item), bool)
+        blocks = -(-len(numbers) // _BOUND)
+        padded = np.full(blocks * _BOUND, -1, np.int64)
+        padded[:len(numbers)] = numbers
+        a, b = low // _BOUND, -(-high // _BOUND)
+        n, words = len(self.vocabulary), [np.unique(np.searchsorted(self.vocabulary, w)) for _, w in self.items]
+        step = max(1, _BOUND_CELLS // blocks)  # items counted at once, so that long texts take no more memory
+        for start in range(0, len(self.items), step):
+            some = np.flatnonzero((item >= start) & (item < start + step))
+            if not len(some):
+                continue
+            group = words[start:start + step]
+            member = np.zeros((n + 1, len(group)), np.uint8)  # the last row is that of foreign words
+            for k, own in enumerate(group):
+                member[own, k] = 1
+            counts = np.zeros((blocks, len(group)), np.uint8)
+            for k in range(_BOUND):
+                counts += member[padded[k::_BOUND]]
+            total = np.zeros((blocks + 1, len(group)), np.int32)
+            np.cumsum(counts, axis=0, out=total[1:])
+            column = item[some] - start
+            out[some] = total[b[some], column] - total[a[some], column] >= least[some]
+        return out
+
+    def common_lengths(self, words: np.ndarray, numbers: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray,
+                       least: np.ndarray) -> np.ndarray:
+        """``common_words`` of many items and regions at once: one step a word of the region, over all of them.
+        Zero where fewer than ``least`` positions of the item have their word in the region."""
+        sizes = self.sizes()[item]
         out = np.zeros(len(item), np.int64)
         for k in np.flatnonzero(sizes > 64).tolist():
             out[k] = common_words(self.items[item[k]][1], words[low[k]:high[k]])
         short = np.flatnonzero(sizes <= 64)
+        short = short[np.argsort((high - low)[short], kind="stable")]
         for at in range(0, len(short), 4096):
             some = short[at:at + 4096]
-            where = low[some, None] + np.arange((high[some] - low[some]).max())
-            number = np.where(where < high[some, None], numbers[np.minimum(where, len(words) - 1)], -1)
-            row, column = np.nonzero(number >= 0)
-            key = item[some][row] * len(self.vocabulary) + number[row, column]
-            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            mask = np.zeros(number.shape, np.uint64)
-            mask[row, column] = np.where(self.keys[spot] == key, self.masks[spot], np.uint64(0))
+            mask = self._masks(numbers, item[some], low[some], high[some])
+            enough = np.bitwise_count(np.bitwise_or.reduce(mask, axis=1)) >= least[some]
+            some, mask = some[enough], mask[enough]
             full = (np.uint64(2) << (sizes[some] - 1).astype(np.uint64)) - np.uint64(1)
             left = full.copy()
             for j in range(mask.shape[1]):
@@ -292,6 +323,21 @@ class Searched:
             out[some] = sizes[some] - np.bitwise_count(left)
         return out
 
+    def _masks(self, numbers: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The positions in its item of each word of each region, one row a region."""
+        where = low[:, None] + np.arange((high - low).max())
+        number = np.where(where < high[:, None], numbers[np.minimum(where, len(numbers) - 1)], -1)
+        cell = np.flatnonzero(number >= 0)
+        key = item[cell // number.shape[1]] * len(self.vocabulary) + number.ravel()[cell]
+        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        mask = np.zeros(number.size, np.uint64)
+        mask[cell] = np.where(self.keys[spot] == key, self.masks[spot], np.uint64(0))
+        return mask.reshape(number.shape)
+
+    def sizes(self) -> np.ndarray:
+        """The words of each item."""
+        return np.array([len(words) for _, words in self.items], np.int64)
+
 
 def leaks(index: LatentIndex, block: int, docs: DataFrame, text: str = "text") -> Column:
     """The items of one block that each text leaks, as an array column."""
@@ -316,38 +362,38 @@ def astuple_shallow(value) -> tuple:
     return tuple(getattr(value, name) for name in value.__dataclass_fields__)
 
 
-def _near(first: np.ndarray, place_of: np.ndarray, m: Searched, of_class: tuple, p: LeakParameters) -> tuple[np.ndarray, ...]:
-    """The windows of one length class close to a passage: text, start and length of each, the passage's item and cosine."""
-    size, latent, owner = of_class
-    half = size // 2
-    per_text = -(-np.diff(first) // half)
-    text = np.repeat(np.arange(len(per_text)), per_text)
-    starts = first[text] + half * (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
-    joined = np.append(text[1:] == text[:-1], False)
-    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(place_of))))
-    some = np.flatnonzero(place_of >= 0)
-    row, at_block = place_of[some], block[some]
-    held = np.zeros(len(starts), bool)
-    held[at_block] = True
-    windows = np.flatnonzero(held | joined & np.append(held[1:], False))
-    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    low = 0
-    while low < len(windows):
-        base = windows[low]
-        part = windows[low:np.searchsorted(windows, base + 4096)]
-        low += len(part)
-        a, b = np.searchsorted(at_block, [base, part[-1] + 2])
-        sums = np.zeros((part[-1] + 2 - base, m.basis.shape[1]), np.float32)
-        if b > a:
-            heads = np.flatnonzero(np.append(True, at_block[a + 1:b] != at_block[a:b - 1]))
-            sums[at_block[a:b][heads] - base] = np.add.reduceat(m.basis[row[a:b]], heads, axis=0)
-        vectors = sums[part - base] + np.where(joined[part, None], sums[part - base + 1], np.float32(0))
-        length = np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
-        cosine = (vectors / np.maximum(length, 1e-12)) @ latent.T
-        w, c = np.nonzero(cosine >= p.cosine)
-        found.append((part[w], owner[c], cosine[w, c]))
-    window, item, close = (np.concatenate(x) for x in zip(*found))
-    return text[window], starts[window], np.full(len(window), size), item, close
+def _near(first: np.ndarray, place_of: np.ndarray, m: Searched, p: LeakParameters) -> tuple[np.ndarray, ...]:
+    """The windows close to a passage of their length class: text, start and length of each, the passage's item and cosine."""
+    quarter = p.block // 4
+    held = -(-np.diff(first) // p.block)
+    owner = np.repeat(np.arange(len(held)), held)  # the text of each block
+    at = p.block * (np.cumsum(held) - held)  # the place of each text's first word when its last block is filled up
+    places = np.full(p.block * len(owner), -1, np.int32)
+    places[np.arange(len(place_of)) + np.repeat(at - first[:-1], np.diff(first))] = place_of
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.float32),)]
+    for low in range(0, len(owner), 1024):
+        high = min(low + 1024, len(owner))
+        some = places[p.block * low:p.block * (high + 1)]  # and the block that the last window ends in
+        sums = np.zeros((len(some) // quarter, m.basis.shape[1]), np.float32)
+        for k in range(quarter):
+            sums += m.basis[some[k::quarter]]
+        for size, latent, owners in m.classes:
+            step = size // 2
+            blocks = sums.reshape(-1, step // quarter, sums.shape[1]).sum(axis=1)
+            text = np.repeat(owner[low:high + 1], p.block // step)
+            n = (high - low) * p.block // step
+            vectors = blocks[:n].copy()
+            joined = np.flatnonzero(text[1:] == text[:-1])
+            joined = joined[joined < n]
+            vectors[joined] += blocks[joined + 1]
+            length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            full = np.flatnonzero(length > 0)
+            cosine = (vectors[full] / length[full, None]) @ latent.T
+            cell = np.flatnonzero(cosine >= p.cosine)
+            w, c = full[cell // len(latent)], cell % len(latent)
+            t = text[w]
+            found.append((t, first[t] + p.block * low + step * w - at[t], np.full(len(w), size), owners[c], cosine.ravel()[cell]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _leaks_of(words: np.ndarray, first: np.ndarray, m: Searched, p: LeakParameters) -> Iterator[tuple[int, list]]:
@@ -355,18 +401,17 @@ def _leaks_of(words: np.ndarray, first: np.ndarray, m: Searched, p: LeakParamete
     if not len(words) or not m.classes:
         return
     place_of = m.place[(words & np.uint64(len(m.weights) - 1)).astype(np.int64)]
-    text, start, width, item, close = (np.concatenate(x) for x in zip(*(_near(first, place_of, m, c, p) for c in m.classes)))
-    order = np.lexsort((-close, item, start))  # of an item's passages the closest
-    text, start, width, item, close = (x[order] for x in (text, start, width, item, close))
-    one = np.append(True, (start[1:] != start[:-1]) | (item[1:] != item[:-1]))[:len(start)]
-    sizes = np.array([len(x) for _, x in m.items], np.int64)[item]
+    numbers = m.word_numbers(words, place_of >= 0)
+    text, start, width, item, close = _near(first, place_of, m, p)
+    sizes = m.sizes()[item]
     low = np.maximum(first[text], start - sizes)
     high = np.minimum(first[text + 1], start + width + sizes)
-    # no alignment is longer than the benchmark words around the window
-    held = np.concatenate([[0], np.cumsum(place_of >= 0)])
-    some = np.flatnonzero(one & (held[high] - held[low] >= p.possible * sizes))
+    some = np.flatnonzero(m.may_align(numbers, item, low, high, p.possible * sizes))
+    some = some[np.lexsort((-close[some], item[some], start[some]))]  # of an item's passages the closest
+    same = (start[some[1:]] == start[some[:-1]]) & (item[some[1:]] == item[some[:-1]])
+    some = some[np.append(True, ~same)[:len(some)]]
     text, item, close, sizes, low, high = (x[some] for x in (text, item, close, sizes, low, high))
-    got = m.common_lengths(words, m.word_numbers(words, place_of >= 0), item, low, high)
+    got = m.common_lengths(words, numbers, item, low, high, p.possible * sizes)
     best: dict[tuple[int, int], tuple] = {}
     for k in np.flatnonzero(got >= p.possible * sizes).tolist():
         tail = m.items[item[k]][1][-p.answer:]

@@ -56,6 +56,53 @@ def test_common_words_is_the_longest_common_subsequence():
         assert common_words(a, b) == table[-1][-1]
 
 
+def test_bounds_of_an_alignment_lose_none():
+    """Counts in blocks and positions of the item are never below the alignment itself, for items of any length."""
+    import numpy as np
+
+    from cohortry.llm.decontaminate import LatentIndex, Searched
+
+    p = LeakParameters(log2_terms=12, rank=4)
+    numbers = np.random.default_rng(3)
+    words = numbers.integers(0, 400, 3000).astype(np.uint64)
+    items = [(k, numbers.integers(0, 200, n).astype(np.uint64)) for k, n in enumerate([8, 12, 20, 64, 65, 120])]
+    inside = np.zeros(1 << 12, bool)
+    inside[:200] = True
+    searched = Searched.of(LatentIndex(np.ones(1 << 12, np.float32), np.ones((200, 4), np.float32), inside, [items], p), items)
+    item = np.repeat(np.arange(len(items)), 50)
+    low = numbers.integers(0, 2700, len(item))
+    high = low + numbers.integers(1, 300, len(item))
+    held = searched.word_numbers(words, words < 200)
+    exact = np.array([common_words(items[i][1], words[a:b]) for i, a, b in zip(item, low, high)])
+    assert searched.may_align(held, item, low, high, exact).all()
+    assert not searched.may_align(held, item, low, high, np.full(len(item), 10**6)).any()
+    assert (searched.common_lengths(words, held, item, low, high, exact) == exact).all()
+
+
+def test_finds_altered_items_as_a_search_without_the_cosine(spark):
+    """Items of which 60 to 85 % of the words are kept, the last ones whole, put into given documents: recall of the latent
+    search against one that aligns every window."""
+    directory = "/root/testdata/sf0.001"
+    benchmark = spark.read.parquet(f"{directory}/benchmark.parquet")
+    items = [(r.item_id, words(r.text)) for r in benchmark.collect()]
+    texts = [words(r.text) for r in spark.read.parquet(f"{directory}/documents.parquet").orderBy("doc_id").limit(len(items)).collect()]
+    own = random.Random(4)
+    rows = []
+    for (item_id, item), around in zip(items, texts):
+        share = own.uniform(0.6, 0.85)
+        body = [w if own.random() < share else f"zq{own.randrange(10**6)}" for w in item[:-8]] + item[-8:]
+        cut = own.randrange(len(around) + 1)
+        rows.append((item_id, " ".join([*around[:cut], *body, *around[cut:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found(parameters):
+        return {(r.doc_id, r.item_id) for r in find_leaks(docs, benchmark, parameters).collect() if r.doc_id == r.item_id}
+
+    every = found(LeakParameters(cosine=-1.0))
+    assert len(every) >= 0.9 * len(items)
+    assert len(found(LeakParameters()) & every) >= 0.97 * len(every)
+
+
 def test_finds_the_planted_items(spark):
     """On the given tables: every document with most of an item's five-word runs, and no other."""
     from cohortry.llm.queries import QUERIES
