@@ -22,14 +22,19 @@ def violations(df: DataFrame, rule: str, key: str | Sequence[str], broken: Colum
     return df.where(broken).select(F.lit(rule).alias("rule"), _key(key).alias("key"), detail.cast("string").alias("detail"))
 
 
-def check_vocabulary(df: DataFrame, key: str, vocabularies: Mapping[str, Sequence]) -> DataFrame:
-    """Non-null values outside a column's closed vocabulary, all columns in one pass."""
+def vocabulary_details(vocabularies: Mapping[str, Sequence]) -> Column:
+    """``column=value`` of each column outside its vocabulary."""
     entries = [
-        F.when(~F.col(c).isin(list(allowed)), F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")))
+        F.when(~F.col(c).isin(list(allowed)), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
         for c, allowed in vocabularies.items()
     ]
-    bad = df.select(F.col(key), F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return violations(bad, "vocabulary", key, F.lit(True), F.concat(F.col("e.c"), F.lit("="), F.col("e.v")))
+    return F.array_compact(F.array(*entries))
+
+
+def check_vocabulary(df: DataFrame, key: str, vocabularies: Mapping[str, Sequence]) -> DataFrame:
+    """Non-null values outside a column's closed vocabulary, all columns in one pass."""
+    bad = df.select(F.col(key), F.explode(vocabulary_details(vocabularies)).alias("detail"))
+    return violations(bad, "vocabulary", key, F.lit(True), F.col("detail"))
 
 
 def check_range_order(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
@@ -37,8 +42,8 @@ def check_range_order(df: DataFrame, key: str, low: str, high: str) -> DataFrame
     return violations(df, "range_order", key, F.col(low) > F.col(high), F.lit(f"{low} > {high}"))
 
 
-def check_bounds(df: DataFrame, key: str, bounds: Mapping[str, tuple]) -> DataFrame:
-    """Numbers outside their closed bounds; an open end is None. For text, the length is bounded."""
+def bounds_details(df: DataFrame, bounds: Mapping[str, tuple]) -> Column:
+    """The columns outside their bounds."""
     types, entries = dict(df.dtypes), []
     for column, (low, high) in bounds.items():
         value = F.length(column) if types[column] == "string" else F.col(column)
@@ -48,7 +53,12 @@ def check_bounds(df: DataFrame, key: str, bounds: Mapping[str, tuple]) -> DataFr
         if high is not None:
             broken = broken | (value > high)
         entries.append(F.when(broken, F.lit(column)))
-    bad = df.select(F.col(key), F.explode(F.array_compact(F.array(*entries))).alias("column"))
+    return F.array_compact(F.array(*entries))
+
+
+def check_bounds(df: DataFrame, key: str, bounds: Mapping[str, tuple]) -> DataFrame:
+    """Numbers outside their closed bounds; an open end is None. For text, the length is bounded."""
+    bad = df.select(F.col(key), F.explode(bounds_details(df, bounds)).alias("column"))
     return violations(bad, "bounds", key, F.lit(True), F.col("column"))
 
 
@@ -59,28 +69,43 @@ def check_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return violations(counts, "unique", names, F.col("n") > 1, F.col("n"))
 
 
-def check_status_payload(responses: DataFrame, key: str = "response_id") -> DataFrame:
-    """Success needs text and payload and no error type; error needs an error type."""
+def status_payload_detail() -> Column:
+    """What a response's status lacks or forbids."""
     ok = F.col("status") == "success"
-    detail = (
+    return (
         F.when(ok & (F.col("response_text").isNull() | F.col("structured_response").isNull()), "success without payload")
         .when(ok & F.col("error_type").isNotNull(), "success with error_type")
         .when(~ok & F.col("error_type").isNull(), "error without error_type")
     )
+
+
+def check_status_payload(responses: DataFrame, key: str = "response_id") -> DataFrame:
+    """Success needs text and payload and no error type; error needs an error type."""
+    detail = status_payload_detail()
     return violations(responses, "status_payload", key, detail.isNotNull(), detail)
 
 
+def scope_detail(scope: Mapping[str, str]) -> Column:
+    """The columns that differ from the destination, joined by commas."""
+    entries = [F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in scope.items()]
+    return F.array_join(F.array_compact(F.array(*entries)), ",")
+
+
 def check_scope(df: DataFrame, key: str, scope: Mapping[str, str]) -> DataFrame:
     """Rows whose project or run id differs from the destination."""
-    entries = [F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in scope.items()]
-    detail = F.array_join(F.array_compact(F.array(*entries)), ",")
+    detail = scope_detail(scope)
     return violations(df, "scope", key, detail != "", detail)
 
 
+def pattern_detail(patterns: Mapping[str, str]) -> Column:
+    """The columns that do not match their pattern, joined by commas."""
+    entries = [F.when(~F.col(c).cast("string").rlike(p), F.lit(c)) for c, p in patterns.items()]
+    return F.array_join(F.array_compact(F.array(*entries)), ",")
+
+
 def check_id_pattern(df: DataFrame, key: str, patterns: Mapping[str, str]) -> DataFrame:
     """Ids that do not match their pattern."""
-    entries = [F.when(~F.col(c).cast("string").rlike(p), F.lit(c)) for c, p in patterns.items()]
-    detail = F.array_join(F.array_compact(F.array(*entries)), ",")
+    detail = pattern_detail(patterns)
     return violations(df, "id_pattern", key, detail != "", detail)
 
 
@@ -116,6 +141,15 @@ def check_orphans(child: DataFrame, key: str, link: str, parent: DataFrame, pare
     return violations(lost, "orphan", key, F.lit(True), F.col(link))
 
 
+def metadata_details(type_column: str, metadata: str, requirements: Mapping[str, Sequence[str]]) -> Column:
+    """The required fields that a variant's map lacks."""
+    needs = [
+        F.when(F.col(type_column) == kind, F.array(*[F.lit(f) for f in names])) for kind, names in requirements.items()
+    ]
+    listed = F.coalesce(*needs, F.array(F.lit("unknown type")))
+    return F.filter(listed, lambda field: F.try_element_at(F.col(metadata), field).isNull())
+
+
 def check_variant_metadata(
     variants: DataFrame,
     key: str,
@@ -124,13 +158,7 @@ def check_variant_metadata(
     requirements: Mapping[str, Sequence[str]] = vocab.VARIANT_REQUIREMENTS,
 ) -> DataFrame:
     """Required metadata fields that a variant's map lacks; an unknown variant type is reported as such."""
-    needs = [
-        F.when(F.col(type_column) == kind, F.array(*[F.lit(f) for f in names])) for kind, names in requirements.items()
-    ]
-    listed = variants.withColumn("_needs", F.coalesce(*needs, F.array(F.lit("unknown type"))))
-    lacking = listed.withColumn("_field", F.explode("_needs")).where(
-        F.try_element_at(F.col(metadata), F.col("_field")).isNull()
-    )
+    lacking = variants.withColumn("_field", F.explode(metadata_details(type_column, metadata, requirements)))
     return violations(lacking, "variant_metadata", key, F.lit(True), F.col("_field"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators import checks
+from cohortry.operators import checks, rules
 from cohortry.plans.contexts import TURNS_SQL, turn_questions
 from cohortry.plans.registry import query
 from cohortry.plans.tables import PANEL_SQL, PEOPLE_SQL, panel_nested, people, table
@@ -104,6 +104,10 @@ def check_orphans(spark, d) -> DataFrame:
         ELSE ['unknown type'] END) AS f FROM part)
     WHERE f NOT IN ('frame_label', 'pressure_source', 'original_question_id') AND NOT (f = 'modified_text' AND p_size > 25)""")
 def check_variant_metadata(spark, d) -> DataFrame:
+    return checks.check_variant_metadata(part_variants(spark, d), "p_partkey", "kind", "metadata")
+
+
+def part_variants(spark, d) -> DataFrame:
     # part types stand for variant types; every row carries a few of the fields
     kinds = F.create_map(
         F.lit("SMALL"), F.lit("FRAMING_CHANGE"), F.lit("MEDIUM"), F.lit("SOCIAL_PRESSURE"),
@@ -114,7 +118,58 @@ def check_variant_metadata(spark, d) -> DataFrame:
         F.lit("original_question_id"), F.col("p_name"),
         F.lit("modified_text"), F.when(F.col("p_size") > 25, F.col("p_name")),
     )
-    variants = table(spark, d, "part").select(
+    return table(spark, d, "part").select(
         "p_partkey", F.coalesce(F.try_element_at(kinds, F.col("p_type")), F.lit("none")).alias("kind"), metadata.alias("metadata")
     )
-    return checks.check_variant_metadata(variants, "p_partkey", "kind", "metadata")
+
+
+@query("integrity_report", """WITH v AS (
+    SELECT 'orders' AS table_name, 'vocabulary' AS rule, o_orderkey::VARCHAR AS key, 'o_orderpriority=' || o_orderpriority AS detail
+      FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') UNION ALL
+    SELECT 'orders', 'vocabulary', o_orderkey::VARCHAR, 'o_orderstatus=' || o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL
+    SELECT 'orders', 'pair_distinct', o_orderkey::VARCHAR, 'same member' FROM orders WHERE o_custkey % 50 = o_orderkey % 50 UNION ALL
+    SELECT 'lineitem', 'range_order', l_orderkey || '|' || l_linenumber, 'l_discount > l_tax' FROM lineitem WHERE l_discount > l_tax UNION ALL
+    SELECT 'customer', 'scope', c_custkey::VARCHAR, 'c_mktsegment' FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING' UNION ALL
+    SELECT 'documents', 'bounds', doc_id::VARCHAR, 'n_chars' FROM documents WHERE n_chars < 100 OR n_chars > 5000 UNION ALL
+    SELECT 'documents', 'bounds', doc_id::VARCHAR, 'text' FROM documents WHERE length(text) < 200 UNION ALL
+    SELECT 'pages', 'id_pattern', page_id::VARCHAR, 'url' FROM pages WHERE NOT regexp_matches(url, '^https://[A-Za-z0-9./_-]+$') UNION ALL
+    SELECT 'part', 'variant_metadata', p_partkey::VARCHAR, f FROM (
+      SELECT p_partkey, p_size, unnest(CASE p_type WHEN 'SMALL' THEN ['frame_label', 'framing_direction', 'modified_text']
+        WHEN 'MEDIUM' THEN ['pressure_source', 'pressure_level', 'pressure_text'] WHEN 'LARGE' THEN ['original_question_id', 'repeat_index']
+        ELSE ['unknown type'] END) AS f FROM part)
+    WHERE f NOT IN ('frame_label', 'pressure_source', 'original_question_id') AND NOT (f = 'modified_text' AND p_size > 25))
+    SELECT table_name, rule, key, detail, count(*) AS n_rows FROM v GROUP BY ALL UNION ALL
+    SELECT 'orders', 'unique', o_orderkey::VARCHAR, count(*)::VARCHAR, count(*) FROM orders GROUP BY o_orderkey HAVING count(*) > 1 UNION ALL
+    SELECT 'lineitem', 'unique', l_orderkey || '|' || l_linenumber, count(*)::VARCHAR, count(*) FROM lineitem
+      GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL
+    SELECT 'lineitem', 'supplied_once', l_orderkey || '|' || l_suppkey, count(*)::VARCHAR, count(*) FROM lineitem
+      GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1 UNION ALL
+    SELECT 'lineitem', 'order_of_line', l_orderkey::VARCHAR,
+      CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders) THEN 'unsuitable parent' ELSE 'no parent' END, count(*) FROM lineitem
+      WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY l_orderkey UNION ALL
+    SELECT 'orders', 'customer_of_order', o_custkey::VARCHAR,
+      CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'unsuitable parent' ELSE 'no parent' END, count(*) FROM orders
+      WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY o_custkey""")
+def integrity_report(spark, d) -> DataFrame:
+    names = ("orders", "lineitem", "customer", "documents", "pages")
+    orders, lines, customers, documents, pages = (table(spark, d, n) for n in names)
+    allowed = {"o_orderpriority": ("1-URGENT", "2-HIGH", "3-MEDIUM"), "o_orderstatus": ("O", "F")}
+    line = ("l_orderkey", "l_linenumber")
+    return rules.violations({
+        "orders": rules.RuledTable(orders, "o_orderkey", [
+            rules.vocabulary(allowed),
+            rules.condition("pair_distinct", "o_custkey % 50 = o_orderkey % 50", "same member"),
+            rules.Unique(["o_orderkey"]),
+            rules.Link(["o_custkey"], "customer", ["c_custkey"], "c_mktsegment <> 'BUILDING'", "customer_of_order"),
+        ]),
+        "lineitem": rules.RuledTable(lines, line, [
+            rules.range_order("l_discount", "l_tax"),
+            rules.Unique(line),
+            rules.Unique(["l_orderkey", "l_suppkey"], "supplied_once"),
+            rules.Link(["l_orderkey"], "orders", ["o_orderkey"], "o_orderstatus <> 'P'", "order_of_line"),
+        ]),
+        "customer": rules.RuledTable(customers, "c_custkey", [rules.scope({"c_mktsegment": "BUILDING"})]),
+        "documents": rules.RuledTable(documents, "doc_id", [rules.bounds({"n_chars": (100, 5000), "text": (200, None)})]),
+        "pages": rules.RuledTable(pages, "page_id", [rules.id_pattern({"url": r"^https://[A-Za-z0-9./_-]+$"})]),
+        "part": rules.RuledTable(part_variants(spark, d), "p_partkey", [rules.variant_metadata("kind", "metadata")]),
+    })
