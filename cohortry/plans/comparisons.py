@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.measures import jaccard, token_set
-from cohortry.operators import compare, design, distributions, semantic
+from cohortry.operators import compare, design, distributions, responses, semantic
 from cohortry.plans.registry import query
 from cohortry.plans.tables import (
-    BOTH_RUNS_SQL, CLICKS_SQL, PAIRS_SQL, PANEL_SQL, RUN, both_runs, clicks, panel, panel_nested, panel_pairs, people, r6, table,
+    BOTH_RUNS_SQL, CLICKS_SQL, PAIRS_SQL, PANEL_SQL, PRESSURE, RUN, both_runs, clicks, panel, panel_nested, panel_pairs, people, r6, table,
 )
 from cohortry.sources import schemas, store, writers
 from cohortry.spec import Recipe
@@ -57,10 +57,7 @@ def fact_repeat_pairs(spark, d) -> DataFrame:
     SELECT response_id, agent_id::VARCHAR AS agent_id, question_id, repeat_index, status, stance, stance_score FROM panel""")
 def committed_run(spark, d) -> DataFrame:
     """The first run, committed in three lots of which one is written twice, and read back through the log."""
-    root, rows = store.work_path(spark, "lots"), panel_nested(spark, d)
-    stored = rows.withColumn("agent_id", F.col("agent_id").cast("string")).withColumns(
-        {"generation_config": F.lit(None).cast(schemas.GENERATION_CONFIG), "created_at": F.lit(None).cast("timestamp")})
-    stored = stored.select(*schemas.RESPONSE_COLUMNS)
+    root, stored = store.work_path(spark, "lots"), _stored_form(panel_nested(spark, d))
     checked = lambda some: writers.checked_responses(some, RUN.project_id, RUN.run_id)
     store.fill_lots(stored, checked, root, RUN.project_id, RUN.run_id, 3)
     again = store.in_lots(stored, "agent_id", 3).where("_lot = 1").drop("_lot")
@@ -69,6 +66,43 @@ def committed_run(spark, d) -> DataFrame:
     return found.select("response_id", "agent_id", "question_id", "repeat_index", "status", "stance", "stance_score")
 
 
+def _stored_form(rows: DataFrame) -> DataFrame:
+    """Nested responses with all columns of the stored record."""
+    return rows.withColumn("agent_id", F.col("agent_id").cast("string")).withColumns(
+        {"generation_config": F.lit(None).cast(schemas.GENERATION_CONFIG), "created_at": F.lit(None).cast("timestamp")}
+    ).select(*schemas.RESPONSE_COLUMNS)
+
+
+def committed_runs(spark, d) -> str:
+    """Where both runs are committed: one in two lots as Parquet, the other whole as JSON lines."""
+    root, rows = store.work_path(spark, "runs"), _stored_form(responses.nest_responses(both_runs(spark, d)))
+    for lot in range(2):
+        part = store.in_lots(rows.where(F.col("run_id") == RUN.run_id), "agent_id", 2).where(F.col("_lot") == lot)
+        store.commit(part.drop("_lot"), root, RUN.project_id, RUN.run_id, lot, 2)
+    store.commit(rows.where(F.col("run_id") == PRESSURE.run_id), root, RUN.project_id, PRESSURE.run_id, file_format="json")
+    return root
+
+
+@query("stored_runs", f"""WITH {BOTH_RUNS_SQL}
+    SELECT run_id, response_id, agent_id::VARCHAR AS agent_id, question_id, repeat_index, status, stance, stance_score FROM both_runs""")
+def stored_runs(spark, d) -> DataFrame:
+    """Both runs from one reader, though they are stored in different formats and parts."""
+    found = store.read_runs(spark, committed_runs(spark, d), schemas.RESPONSE, F.col("project_id") == RUN.project_id)
+    return compare.flatten_responses(found).select(
+        "run_id", "response_id", "agent_id", "question_id", "repeat_index", "status", "stance", "stance_score")
+
+
+@query("run_table", f"""WITH {BOTH_RUNS_SQL}
+    SELECT project_id, run_id, CASE run_id WHEN '{RUN.run_id}' THEN 2 ELSE 1 END AS lots,
+      CASE run_id WHEN '{RUN.run_id}' THEN 2 ELSE 1 END::BIGINT AS committed_lots, count(*) AS stored,
+      count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status <> 'success') AS failed,
+      count(DISTINCT error_type)::INTEGER AS error_types
+    FROM both_runs GROUP BY project_id, run_id""")
+def run_table(spark, d) -> DataFrame:
+    """What the writes of both runs observed, from their log."""
+    return store.run_table(spark, committed_runs(spark, d))
+
+
 @query("repeat_comparison", f"""WITH {PAIRS_SQL}
     SELECT comparison_id, agent_id, stance_match, stance_score_delta, contradiction_candidate, needs_human_review,
       response_text_a, response_text_b FROM evaluated""")

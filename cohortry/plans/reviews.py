@@ -9,6 +9,7 @@ from cohortry.functions.hashing import digest_byte
 from cohortry.operators import agreement, compare, review
 from cohortry.plans.registry import query
 from cohortry.plans.tables import CLICKS_SQL, PAIRS_SQL, PANEL_SQL, RUN, byte_sql, clicks, panel, r6, table
+from cohortry.sources import history, store
 from cohortry.sources.writers import tidy_export
 
 
@@ -51,6 +52,32 @@ def single_agent_history(spark, d) -> DataFrame:
     return review.agent_history(clicks(spark, d), 7, ["ts", "response_id"]).select("response_id", "day", "stance", "score")
 
 
+def stored_clicks(spark, d) -> str:
+    """Where the histories of all clicks are stored, clustered by agent and time."""
+    path = store.work_path(spark, "history")
+    files = 4 * spark.sparkContext.defaultParallelism
+    history.save_history(clicks(spark, d), path, files, order=("ts", "response_id"), looked_up=("response_id", "event_type"))
+    return path
+
+
+@query("stored_single_history", f"""WITH {CLICKS_SQL} SELECT response_id, day, stance, score FROM clicks WHERE agent_id = 7""")
+def stored_single_history(spark, d) -> DataFrame:
+    """The history of one agent from the stored histories; only the files that can hold it are opened."""
+    mine = history.read_history(spark, stored_clicks(spark, d), [7], time="ts")
+    return review.agent_history(mine, 7, ["ts", "response_id"]).select("response_id", "day", "stance", "score")
+
+
+@query("stored_listing", f"""WITH {CLICKS_SQL}
+    SELECT agent_id, response_id, event_type, stance FROM clicks
+    WHERE agent_id IN (3, 7, 11, 400) AND ts < (SELECT min(ts) + to_days(30) FROM clicks) AND event_type IN ('purchase', 'view')""")
+def stored_listing(spark, d) -> DataFrame:
+    """A listing of four agents' first month from the stored histories."""
+    path = stored_clicks(spark, d)
+    first = history.file_index(spark, path).agg((F.min("_from") + F.expr("INTERVAL 30 DAYS")).alias("t")).first()["t"]
+    mine = history.read_history(spark, path, [3, 7, 11, 400], until=first, time="ts")
+    return review.filter_responses(mine, {"event_type": ["purchase", "view"]}).select("agent_id", "response_id", "event_type", "stance")
+
+
 @query("history_pairs", f"""WITH {CLICKS_SQL},
     placed AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts, response_id) - 1 AS i FROM clicks)
     SELECT a.agent_id, a.response_id AS response_id_a, b.response_id AS response_id_b, a.stance = b.stance AS stance_match,

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = (
@@ -57,6 +57,36 @@ def committed(spark: SparkSession, root: str, project_id: str, run_id: str) -> l
     return sorted((r for r in rows if r["lots"] == newest["lots"]), key=lambda r: r["lot"]) if newest else []
 
 
+def current_lines(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
+    """The current lines of all runs, or of those for which ``wanted``, a condition on project_id and run_id, holds."""
+    log = commit_log(spark, root)
+    mine = log if wanted is None else log.where(wanted)
+    run = Window.partitionBy("project_id", "run_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lot = ["project_id", "run_id", "lots", "lot"]
+    rest = F.struct(*[c for c in mine.columns if c not in lot])
+    last = mine.groupBy(*lot).agg(F.max_by(rest, "version").alias("last")).select(*lot, "last.*")
+    return last.withColumn("newest", F.max_by("lots", "version").over(run)).where("lots = newest").drop("newest")
+
+
+def run_table(spark: SparkSession, root: str) -> DataFrame:
+    """One row per stored run with what its writes observed; the log alone is read."""
+    types = F.array_distinct(F.flatten(F.collect_list(F.coalesce("error_types", F.array().cast("array<string>")))))
+    return current_lines(spark, root).groupBy("project_id", "run_id").agg(
+        F.max("lots").alias("lots"), F.count(F.lit(1)).alias("committed_lots"), F.sum("n_rows").alias("stored"),
+        F.sum(F.coalesce("succeeded", F.lit(0))).alias("succeeded"), F.sum(F.coalesce("failed", F.lit(0))).alias("failed"),
+        F.size(types).alias("error_types"))
+
+
+def read_runs(spark: SparkSession, root: str, schema: str, wanted: Column | None = None) -> DataFrame:
+    """The current rows of every run that ``wanted`` picks, whatever formats their parts were written in.
+
+    The condition on project_id and run_id is answered by the log, so files of other runs aren't opened; with none, all
+    runs are read. The paths of the picked parts come to the driver, which plans their scan; no match gives no row.
+    """
+    paths = [r["path"] for r in current_lines(spark, root, wanted).select("path").collect()]
+    return _read_parts(spark, paths, schema)
+
+
 def commit(rows: DataFrame, root: str, project_id: str, run_id: str, lot: int = WHOLE, lots: int = 1, file_format: str = "parquet") -> str:
     """Write rows beside what is there, then make them the current ones of the run, or of one of its lots.
 
@@ -89,9 +119,13 @@ def run_metrics(spark: SparkSession, root: str, project_id: str, run_id: str) ->
 
 def read_committed(spark: SparkSession, root: str, project_id: str, run_id: str, schema: str) -> DataFrame:
     """The current rows of a run, whatever format its parts were written in; no other run's files are opened."""
+    return _read_parts(spark, [r["path"] for r in committed(spark, root, project_id, run_id)], schema)
+
+
+def _read_parts(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     by_format: dict[str, list[str]] = {}
-    for r in committed(spark, root, project_id, run_id):
-        by_format.setdefault(r["path"].rsplit(".", 1)[1], []).append(r["path"])
+    for path in paths:
+        by_format.setdefault(path.rsplit(".", 1)[1], []).append(path)
     parts = [spark.read.schema(schema).format(f).load(paths) for f, paths in by_format.items()]
     out = parts[0] if parts else spark.createDataFrame([], schema)
     for part in parts[1:]:

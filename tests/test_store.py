@@ -88,6 +88,24 @@ def test_a_failed_rewrite_leaves_the_old_run(spark, tmp_path, answers):
     assert store.read_committed(spark, root, "project_x", "run_1", schemas.RESPONSE).collect() == []
 
 
+def test_runs_of_a_condition_open_their_files_only(spark, tmp_path, answers):
+    root = str(tmp_path)
+    assert store.read_runs(spark, root, schemas.RESPONSE).collect() == [] and store.run_table(spark, root).collect() == []
+    store.commit(answers("old", 9), root, "project_p", "run_1")
+    for lot in range(2):
+        store.commit(answers("lot", 3), root, "project_p", "run_1", lot, 2)
+    store.commit(answers("json", 2, "run_2"), root, "project_p", "run_2", file_format="json")
+    store.commit(answers("other", 1), root, "project_q", "run_1")
+    found = store.read_runs(spark, root, schemas.RESPONSE, F.col("project_id") == "project_p")
+    assert sorted(r["response_text"] for r in found.collect()) == ["json"] * 2 + ["lot"] * 6
+    one = store.read_runs(spark, root, schemas.RESPONSE, F.col("run_id") == "run_2")
+    assert len({os.path.dirname(f) for f in one.inputFiles()}) == 1 and one.count() == 2
+    assert store.read_runs(spark, root, schemas.RESPONSE).count() == 9
+    seen = {(r["project_id"], r["run_id"]): r for r in store.run_table(spark, root).collect()}
+    assert {k: (r["lots"], r["committed_lots"], r["stored"], r["failed"]) for k, r in seen.items()} == {
+        ("project_p", "run_1"): (2, 2, 6, 0), ("project_p", "run_2"): (1, 1, 2, 0), ("project_q", "run_1"): (1, 1, 1, 0)}
+
+
 def test_a_run_in_json_lines_is_read(spark, tmp_path, answers):
     writers.write_responses(answers("text"), str(tmp_path), "project_p", "run_1", "json")
     rows = workflow.read_run(spark, str(tmp_path), RUN, "json").collect()
