@@ -11,6 +11,9 @@ shard; the number of shards follows the tokens. A group holds one shard, in whic
 followers as there are distinct tokens. Scoring scans the documents once without a shuffle: numbers and follower counts
 are looked up in the memory-mapped arrays by binary search.
 
+No count and no number is cut off: a pair's key takes the bits that the number of different tokens needs, and counts that
+do not fit 32 bits stand beside the others.
+
 Where the shared folder is a mounted path the arrays are mapped in place; from other stores a worker copies a shard to an
 unnamed temporary file first. Every text is counted and scored as a whole.
 
@@ -38,6 +41,8 @@ from cohortry.llm.words import WordHasher, text_buffers
 _END = np.uint64(0xD1B54A32D192ED03)
 _PER_SHARD = 1 << 21
 _SLICE = 1 << 23
+#: From this count on a pair's count stands in an array of its own.
+_LARGE = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -128,26 +133,26 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 class _Gatherer:
     """Counts keys and gives them out as packed blocks of shards when many are held."""
 
-    def __init__(self, bounds: np.ndarray) -> None:
-        self.bounds, self.held = bounds, []
+    def __init__(self, bounds: np.ndarray, first: int = 0, limit: int = 1 << 22) -> None:
+        self.bounds, self.first, self.limit, self.held = bounds, first, limit, []
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(_unique(keys))
-        if sum(len(k) for k, _ in self.held) > 1 << 22:
+        if sum(len(k) for k, _ in self.held) > self.limit:
             self.held = [_unique(*map(np.concatenate, zip(*self.held)))]
-            if len(self.held[0][0]) > 3 << 20:
+            if len(self.held[0][0]) > self.limit * 3 // 4:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            yield blocks(*_unique(*map(np.concatenate, zip(*self.held))), self.bounds)
+            yield blocks(*_unique(*map(np.concatenate, zip(*self.held))), self.bounds, self.first)
         self.held = []
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """Rows (shard, block) of sorted keys; shard k takes the keys from bounds[k] on."""
+def blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """Rows (shard, block) of sorted keys; shard first + k takes the keys from bounds[k] on."""
     at = np.append(np.searchsorted(keys, bounds), len(keys))
-    rows = [(k, pack(keys[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+    rows = [(first + k, pack(keys[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "block"])
 
 
@@ -203,6 +208,11 @@ class Numbers:
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 if it is unknown."""
+        numbers, back = self.distinct(hashes)
+        return numbers[back]
+
+    def distinct(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the distinct hashes, and the place of each hash among those."""
         distinct, back = np.unique(hashes, return_inverse=True)
         out = np.full(len(distinct), -1, np.int64)
         at = np.searchsorted(distinct, np.arange(len(self.words), dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else [0]
@@ -211,7 +221,7 @@ class Numbers:
             if len(words) and b > a:
                 place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
                 out[a:b] = np.where(words[place] == asked, place + self.offsets[k], -1)
-        return out[back]
+        return out, back
 
 
 def _contexts(numbers: np.ndarray, begins: np.ndarray, begin: int) -> np.ndarray:
@@ -227,16 +237,40 @@ def _bounds(vocabulary: int, shards: int) -> np.ndarray:
     return (np.arange(shards) * (vocabulary + 1)) // shards
 
 
+def _number_type(vocabulary: int) -> type:
+    """What holds a token's number, or a count of different tokens."""
+    return np.uint32 if vocabulary < 0xFFFFFFFF else np.int64
+
+
+def _pair_keys(vocabulary: int, shards: int) -> tuple[int, int]:
+    """How a pair is one key of 64 bits: the bits of the token, and how many shards have contexts for the other bits.
+
+    Contexts count from the first one of such a group of shards. Up to 2**32 different tokens all shards are one group.
+    """
+    bits = max(1, vocabulary.bit_length())
+    room = (1 << 64 - bits) * shards // (vocabulary + 1)
+    if room < 2 and shards > 1:
+        raise OverflowError(f"{vocabulary} different tokens in {shards} shards are more than a pair's key can tell apart")
+    return bits, min(shards, max(1, room - 1))
+
+
 def _count_pairs(folder: str, hash_bits: int, offsets: list[int], shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, numbers = WordHasher(), Numbers(folder, hash_bits, offsets)
-        gathered = _Gatherer(_bounds(offsets[-1], shards).astype(np.uint64) << np.uint64(32))
+        low, (bits, span) = _bounds(offsets[-1], shards), _pair_keys(offsets[-1], shards)
+        firsts = range(0, shards, span)
+        gathered = [_Gatherer((low[g:g + span] - low[g]).astype(np.uint64) << np.uint64(bits), g, (1 << 22) // len(firsts)) for g in firsts]
         for batch in batches:
             for _, data, texts in text_buffers(batch.column("text"), _SLICE):
                 hashes, begins = tokens_of(hasher, data, texts)
                 own = numbers.of(hashes)
-                yield from gathered.add(_contexts(own, begins, offsets[-1]).astype(np.uint64) << np.uint64(32) | own.astype(np.uint64))
-        yield from gathered.flush()
+                contexts = _contexts(own, begins, offsets[-1])
+                group = np.searchsorted(low[::span], contexts, "right") - 1
+                for k, held in enumerate(gathered):
+                    here = group == k
+                    yield from held.add((contexts[here] - low[k * span]).astype(np.uint64) << np.uint64(bits) | own[here].astype(np.uint64))
+        for held in gathered:
+            yield from held.flush()
 
     return run
 
@@ -248,14 +282,19 @@ def _write_pairs(folder: str, vocabulary: int, shards: int):
         shard, keys, counts = _merged(rows)
         bounds = np.append(_bounds(vocabulary, shards), vocabulary + 1)
         low, high = bounds[shard], bounds[shard + 1]
-        context, word = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        bits, span = _pair_keys(vocabulary, shards)
+        context = (keys >> np.uint64(bits)).astype(np.int64) + bounds[shard // span * span]
+        word, number = keys & np.uint64((1 << bits) - 1), _number_type(vocabulary)
         arrays = Arrays(folder)
         start = np.searchsorted(context, np.arange(low, high + 1))
         arrays.write(f"start-{shard}", start.astype(np.int64))
-        arrays.write(f"follower-{shard}", word.astype(np.uint32))
-        arrays.write(f"pair-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        arrays.write(f"follower-{shard}", word.astype(number))
+        arrays.write(f"pair-{shard}", np.minimum(counts, _LARGE).astype(np.uint32))
+        large = np.flatnonzero(counts >= _LARGE)  # these few counts stand beside the others
+        if len(large):
+            arrays.write(f"large-{shard}", np.stack([large, counts[large]]))
         place = context - low
-        sums = [np.bincount(place, weights=w, minlength=high - low).astype(np.uint32)
+        sums = [np.bincount(place, weights=w, minlength=high - low).astype(number)
                 for w in (counts == 1, counts == 2, counts >= 3)]
         arrays.write(f"total-{shard}", np.bincount(place, weights=counts, minlength=high - low).astype(np.uint64))
         arrays.write(f"classes-{shard}", np.stack(sums, axis=1))
@@ -273,7 +312,7 @@ def _write_continuations(folder: str, vocabulary: int, shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(rows)
         bounds = np.append(_bounds(vocabulary, shards), vocabulary + 1)
-        dense = np.zeros(bounds[shard + 1] - bounds[shard], np.uint32)
+        dense = np.zeros(bounds[shard + 1] - bounds[shard], _number_type(vocabulary))
         dense[keys.astype(np.int64) - bounds[shard]] = counts
         Arrays(folder).write(f"continuation-{shard}", dense)
         return _stats(shard, counts, len(keys))
@@ -353,7 +392,7 @@ class Scorer:
         shard = np.searchsorted(self.bounds, numbers, "right") - 1
         for k in np.unique(shard[numbers >= 0]):
             here = (shard == k) & (numbers >= 0)
-            dense = self.array("continuation", k, np.uint32)
+            dense = self.array("continuation", k, _number_type(m.vocabulary))
             if len(dense):
                 n = dense[numbers[here] - self.bounds[k]].astype(np.float64)
                 out[here] += np.maximum(n - np.choose(np.clip(n.astype(np.int64), 1, 3) - 1, m.word_discounts), 0) / m.pairs
@@ -373,8 +412,9 @@ class Scorer:
             total = self.array("total", k, np.uint64)[place].astype(np.float64)
             seen = total > 0
             here, place, total = here[seen], place[seen], total[seen]
-            classes = self.array("classes", k, np.uint32).reshape(-1, 3)[place].astype(np.float64)
-            followers, counts = self.array("follower", k, np.uint32), self.array("pair", k, np.uint32)
+            number = _number_type(m.vocabulary)
+            classes = self.array("classes", k, number).reshape(-1, 3)[place].astype(np.float64)
+            followers, counts = self.array("follower", k, number), self.array("pair", k, np.uint32)
             asked = numbers[here]
             low, high = start[place].copy(), start[place + 1]
             end = high.copy()
@@ -389,6 +429,10 @@ class Scorer:
             found[found] = followers[low[found]] == asked[found]
             count = np.zeros(len(here))
             count[found] = counts[low[found]]
+            beyond = np.flatnonzero(count == _LARGE)
+            if len(beyond):
+                at, exact = self.array("large", k, np.int64).reshape(2, -1)
+                count[beyond] = exact[np.searchsorted(at, low[beyond])]
             less = np.choose(np.clip(count.astype(np.int64), 1, 3) - 1, m.pair_discounts)
             out[here] = np.maximum(count - less, 0) / total + classes @ np.array(m.pair_discounts) / total * lower[here]
         return out
@@ -396,16 +440,18 @@ class Scorer:
     def score(self, hashes: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
         """Per text: tokens, known tokens, base score and the model's log10 probability."""
         m = self.model
-        own = self.numbers.of(hashes)
-        counts = self.word_counts(own)
+        numbers, place = self.numbers.distinct(hashes)
+        counts = self.word_counts(numbers)[place]
         base = np.log10((counts + 1) / (m.tokens + m.vocabulary + 1))
         if m.tokens:
-            before = _contexts(own, begins, m.vocabulary)
-            pair, back = np.unique((before + 1).astype(np.uint64) << np.uint64(32) | (own + 1).astype(np.uint64), return_inverse=True)
-            chance = self.probability((pair >> np.uint64(32)).astype(np.int64) - 1, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1)
+            # a pair is two places among the distinct tokens of this slice, where the begin comes last
+            before = _contexts(place, begins, len(numbers))
+            pair, back = np.unique(before.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64), return_inverse=True)
+            contexts = np.append(numbers, m.vocabulary)[(pair >> np.uint64(32)).astype(np.int64)]
+            chance = self.probability(contexts, numbers[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)])
             logs = np.log10(chance)[back]
         else:
-            logs = np.zeros(len(own))
+            logs = np.zeros(len(place))
         heads = begins[:-1]
         return {"n_tokens": np.diff(begins), "n_known": np.add.reduceat((counts > 0).astype(np.int64), heads),
                 "base_score": np.add.reduceat(base, heads), "score": np.add.reduceat(logs, heads)}
