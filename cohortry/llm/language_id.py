@@ -12,7 +12,8 @@ and the filter, of fixed size, is all that is broadcast. Counting covers all tra
 before it is shuffled.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0. Without training texts every text is
-``und``. A text of which no n-gram is known gets the language with most training n-grams and score 0.
+``und``. A text of which no n-gram is known gets the language with most training n-grams and score 0. Rows that repeat
+train and are predicted each. A text of any length is taken whole; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     keep = letters != 0
     keep[1:] |= letters[:-1] != 0
+    keep[:1] = True  # the border before the first text, whichever text a slice begins with
     letters, owner = np.append(letters[keep], np.uint8(0)), np.append(owner[keep], np.int32(0))
     codes, texts = [], []
     inner = letters != 0

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 
 from cohortry.llm import language_id
@@ -28,6 +31,54 @@ def test_without_training_texts(documents):
     assert guesses(documents([]).where("false"), model) == {}
 
 
+def plain_ngrams(text):
+    """The n-grams of a text as byte strings, word by word."""
+    folded = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    bordered = [b" " + w + b" " for w in folded.split(b" ") if w]
+    return [w[k:k + n] for n in (3, 4) for w in bordered for k in range(len(w) - n + 1)]
+
+
+def plain_sets(training, p):
+    """The n-grams that each language contains, languages with most training n-grams first."""
+    counts = {}
+    for text, lang in training:
+        counts.setdefault(lang, Counter()).update(plain_ngrams(text))
+    rates = {g: {n: c / counts[g].total() for n, c in counts[g].items()} for g in counts}
+    highest = {n: max(r.get(n, 0) for r in rates.values()) for r in rates.values() for n in r}
+    return {g: {n for n, r in rates[g].items() if r >= p.least_rate and r >= p.share * highest[n]}
+            for g in sorted(counts, key=lambda g: (-counts[g].total(), g))}
+
+
+def test_equals_plain_sets(documents):
+    rng = random.Random(4)
+    letters = {"de": "etaoinshrdluäöü", "en": "etaoinshrdlu", "fr": "etaoinshéèç", "pl": "etaoinząęł"}
+    stock = {g: ["".join(rng.choices(alphabet, k=rng.choice([1, 2, 3, 6, 9]))) for _ in range(60)] for g, alphabet in letters.items()}
+
+    def text(g, n):
+        return rng.choice(["", " ", "...", "7"]) + rng.choice([" ", ", ", " 3 - "]).join(w.title() for w in rng.choices(stock[g], k=n))
+
+    training = [(text(g, 40), g) for g in letters for _ in range(12)] + [(text("en", 30), "de")]
+    training += training[:5]  # repeated rows count
+    p = language_id.FilterParameters(share=0.3)
+    model = language_id.fit(documents([(k, t, g) for k, (t, g) in enumerate(training)], extra=True), p)
+    sets = plain_sets(training, p)
+    assert model.languages == list(sets)
+    asked = [text(g, n) for g in letters for n in (1, 2, 5, 30, 300)] + [f"{text('de', 9)} {text('pl', 9)}", "q", EN, EN]
+    for frame in (documents(asked), documents(asked).repartition(len(asked))):  # a slice's first text is like any other
+        got = guesses(frame, model)
+        for k, t in enumerate(asked):
+            grams = plain_ngrams(t)
+            shares = {g: sum(n in held for n in grams) / len(grams) for g, held in sets.items()}
+            assert abs(shares[got[k][0]] - max(shares.values())) < 1e-3 and abs(got[k][1] - max(shares.values())) < 1e-3, t
+
+
+def test_ties_go_to_the_larger_language_then_by_name(documents):
+    for first, second, want in ((2, 1, "b"), (1, 2, "a"), (1, 1, "a")):
+        rows = [(EN, "b")] * first + [(EN, "a")] * second
+        model = language_id.fit(documents([(k, t, g) for k, (t, g) in enumerate(rows)]))
+        assert guesses(documents([(1, EN), (2, EN)]), model) == {1: (want, 1.0), 2: (want, 1.0)}
+
+
 def test_false_positives_are_corrected():
     """Random n-grams explain nothing, however full the filter is."""
     rng = np.random.default_rng(1)
