@@ -22,18 +22,17 @@ def violations(df: DataFrame, rule: str, key: str | Sequence[str], broken: Colum
     return df.where(broken).select(F.lit(rule).alias("rule"), _key(key).alias("key"), detail.cast("string").alias("detail"))
 
 
-def vocabulary_details(vocabularies: Mapping[str, Sequence]) -> Column:
-    """``column=value`` of each column outside its vocabulary."""
-    entries = [
+def vocabulary_columns(vocabularies: Mapping[str, Sequence]) -> list[Column]:
+    """``column=value`` of each column that is outside its vocabulary, else NULL."""
+    return [
         F.when(~F.col(c).isin(list(allowed)), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
         for c, allowed in vocabularies.items()
     ]
-    return F.array_compact(F.array(*entries))
 
 
 def check_vocabulary(df: DataFrame, key: str, vocabularies: Mapping[str, Sequence]) -> DataFrame:
     """Non-null values outside a column's closed vocabulary, all columns in one pass."""
-    bad = df.select(F.col(key), F.explode(vocabulary_details(vocabularies)).alias("detail"))
+    bad = df.select(F.col(key), F.explode(F.array_compact(F.array(*vocabulary_columns(vocabularies)))).alias("detail"))
     return violations(bad, "vocabulary", key, F.lit(True), F.col("detail"))
 
 
@@ -42,8 +41,8 @@ def check_range_order(df: DataFrame, key: str, low: str, high: str) -> DataFrame
     return violations(df, "range_order", key, F.col(low) > F.col(high), F.lit(f"{low} > {high}"))
 
 
-def bounds_details(df: DataFrame, bounds: Mapping[str, tuple]) -> Column:
-    """The columns outside their bounds."""
+def bounds_broken(df: DataFrame, bounds: Mapping[str, tuple]) -> list[tuple[Column, str]]:
+    """For each column whether it is outside its bounds, and its name."""
     types, entries = dict(df.dtypes), []
     for column, (low, high) in bounds.items():
         value = F.length(column) if types[column] == "string" else F.col(column)
@@ -52,13 +51,14 @@ def bounds_details(df: DataFrame, bounds: Mapping[str, tuple]) -> Column:
             broken = broken | (value < low)
         if high is not None:
             broken = broken | (value > high)
-        entries.append(F.when(broken, F.lit(column)))
-    return F.array_compact(F.array(*entries))
+        entries.append((broken, column))
+    return entries
 
 
 def check_bounds(df: DataFrame, key: str, bounds: Mapping[str, tuple]) -> DataFrame:
     """Numbers outside their closed bounds; an open end is None. For text, the length is bounded."""
-    bad = df.select(F.col(key), F.explode(bounds_details(df, bounds)).alias("column"))
+    outside = [F.when(broken, F.lit(column)) for broken, column in bounds_broken(df, bounds)]
+    bad = df.select(F.col(key), F.explode(F.array_compact(F.array(*outside))).alias("column"))
     return violations(bad, "bounds", key, F.lit(True), F.col("column"))
 
 
@@ -88,7 +88,7 @@ def check_status_payload(responses: DataFrame, key: str = "response_id") -> Data
 def scope_detail(scope: Mapping[str, str]) -> Column:
     """The columns that differ from the destination, joined by commas."""
     entries = [F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in scope.items()]
-    return F.array_join(F.array_compact(F.array(*entries)), ",")
+    return F.concat_ws(",", *entries)
 
 
 def check_scope(df: DataFrame, key: str, scope: Mapping[str, str]) -> DataFrame:
@@ -100,7 +100,7 @@ def check_scope(df: DataFrame, key: str, scope: Mapping[str, str]) -> DataFrame:
 def pattern_detail(patterns: Mapping[str, str]) -> Column:
     """The columns that do not match their pattern, joined by commas."""
     entries = [F.when(~F.col(c).cast("string").rlike(p), F.lit(c)) for c, p in patterns.items()]
-    return F.array_join(F.array_compact(F.array(*entries)), ",")
+    return F.concat_ws(",", *entries)
 
 
 def check_id_pattern(df: DataFrame, key: str, patterns: Mapping[str, str]) -> DataFrame:
@@ -150,6 +150,14 @@ def metadata_details(type_column: str, metadata: str, requirements: Mapping[str,
     return F.filter(listed, lambda field: F.try_element_at(F.col(metadata), field).isNull())
 
 
+def metadata_lacking(type_column: str, metadata: str, requirements: Mapping[str, Sequence[str]]) -> list[tuple[Column, str]]:
+    """For each required field whether a variant's map lacks it, and its name: what ``metadata_details`` lists."""
+    kind = F.col(type_column)
+    known = F.coalesce(kind.isin(list(requirements)), F.lit(False))
+    asked = [(kind == k, field) for k, names in requirements.items() for field in names] + [(~known, "unknown type")]
+    return [(a & F.try_element_at(F.col(metadata), F.lit(field)).isNull(), field) for a, field in asked]
+
+
 def check_variant_metadata(
     variants: DataFrame,
     key: str,
