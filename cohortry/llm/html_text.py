@@ -5,12 +5,15 @@ after it on its host whose lines differ from its own; the one whose path begins
 lines (blocks) of both are aligned by a longest common subsequence, and lines that they share are deleted as template
 text: menus, notices and footers repeat from page to page, articles don't. If nothing is left, or only lines without a
 letter, the page and its neighbour hold the same article, and the other neighbour is taken; if that leaves nothing
-either, nothing is deleted.
+either, nothing is deleted. Elements that are template by name or class (navigation, header, footer, aside, form, adverts,
+notices, comments, scripts, styles) never give text.
 
-Markup is an exact check afterwards, on every page. Elements that are template by name or class (navigation, header,
-footer, aside, form, adverts, notices, comments, scripts, styles) never give text. Where a page marks its article
-(``article`` or ``main``), shared lines inside it are restored, as two pages may hold the same article, and what
-differencing left outside it is deleted: on such pages the mark has the last word.
+Marks of an article (``article``, ``main``) check what differencing left. Differencing says which marked elements hold the
+article: those with a line that is left. Their shared lines are restored, as two articles may quote the same line, and what
+is left outside them is deleted. Marked elements of which nothing is left (teasers, cards and boxes that the neighbour has
+too) are deleted as template text. An ``article`` inside a ``main`` is an element of its own. On a page with marks a neighbour
+counts as one with another article only if at least half of the marked lines, without the wholly shared elements, are the
+page's own: a near copy tells nothing about what is template.
 
 Line hashes are moved, and of the lines only those that can be text, compressed. Sorting is by range over (host, path,
 url, page_id), so a host with a third of all pages spreads over many tasks; rows are paired while a task streams through
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -65,6 +69,7 @@ _BLOCKS = {
     "tbody", "thead", "tr", "ul", "aside", "caption", "head", "menu", "fieldset",
 }
 
+#: Kinds of lines. ``MAIN`` is the first element that marks an article; further ones of the page are 3, 4 and so on.
 BODY, MAIN, TEMPLATE = 0, 1, 2
 
 
@@ -78,7 +83,7 @@ def _names_template(name: str) -> bool:
 
 
 def _kind_of(name: str, attributes: str, parent: int, in_main: bool) -> int:
-    """Whether an element is template text, the main text, or neither."""
+    """Whether an element is template text, marks the main text, or is of its parent's kind."""
     if parent == TEMPLATE or name in _TEMPLATE or name == "header" and not in_main:
         return TEMPLATE
     words: set[str] = set()
@@ -90,11 +95,16 @@ def _kind_of(name: str, attributes: str, parent: int, in_main: bool) -> int:
     return MAIN if in_main or name in ("article", "main") or name != "body" and "main" in words and "role" in attributes else BODY
 
 
+def _is_mark(kind: int) -> bool:
+    return kind not in (BODY, TEMPLATE)
+
+
 def text_lines(page: str) -> list[tuple[str, int]]:
     """The text blocks of a page in order, each with its kind."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("", BODY)]
+    marks: list[str] = []  # the element names of MAIN, 3, 4, ...
     at = 0
 
     def close() -> None:
@@ -143,8 +153,14 @@ def text_lines(page: str) -> list[tuple[str, int]]:
                     if stack[k][0] in _BLOCKS:
                         break
         if name not in _VOID and not (m[3] or m[6] or "").endswith("/"):
-            kind = _kind_of(name, m[3] or m[6] or "", stack[-1][1], stack[-1][1] == MAIN)
-            if kind != stack[-1][1]:
+            parent = stack[-1][1]
+            kind = _kind_of(name, m[3] or m[6] or "", parent, _is_mark(parent))
+            if kind == MAIN and _is_mark(parent) and (name != "article" or marks[max(parent - 2, 0)] == "article"):
+                kind = parent
+            elif kind == MAIN:
+                marks.append(name)
+                kind = MAIN if len(marks) == 1 else TEMPLATE + len(marks) - 1
+            if kind != parent:
                 close()
             stack.append((name, kind))
     close()
@@ -188,25 +204,40 @@ def aligned(a: list, b: list) -> set[int]:
     return out
 
 
+def _other_article(kinds: list[int], left: list[int], wanted: set[int]) -> bool:
+    """Whether the lines left beside a neighbour tell that it holds another article.
+
+    ``wanted`` are the lines that can be text and have a letter. Some must be left; where elements are marked, half of the
+    lines of those that are not wholly shared.
+    """
+    own = Counter(kinds[i] for i in left if i in wanted)
+    return bool(own) and (BODY in own or 2 * own.total() >= sum(kinds[i] in own for i in wanted))
+
+
 def own_lines(kinds: list[int], lines: list, neighbours: list[list], trivial: set[int]) -> list[int]:
-    """Differencing: the positions of the body and article lines that the first neighbour which leaves any doesn't share.
+    """Differencing: the positions of the body and article lines that the first neighbour with another article doesn't share.
 
     ``trivial`` lines don't count as left. Without such a neighbour all lines are left.
     """
     text = [i for i, kind in enumerate(kinds) if kind != TEMPLATE]
+    wanted = {i for i in _possible(kinds) if i not in trivial}
     for neighbour in neighbours:
         gone = aligned(lines, neighbour)
         left = [i for i in text if i not in gone]
-        if any(i not in trivial for i in left):
+        if _other_article(kinds, left, wanted):
             return left
     return text
 
 
 def kept_lines(kinds: list[int], lines: list, neighbours: list[list], trivial: set[int]) -> list[int]:
-    """The positions of the lines (texts or their hashes) that are left of a page beside its neighbours' lines."""
+    """The positions of the lines (texts or their hashes) that are left of a page beside its neighbours' lines.
+
+    The marked elements in which differencing left a line are the article: their shared lines are restored, and all else
+    is deleted, other marked elements too.
+    """
     left = own_lines(kinds, lines, neighbours, trivial)
-    # the mark of the article restores its shared lines and deletes what is left outside it
-    return [i for i, kind in enumerate(kinds) if kind == MAIN] if MAIN in kinds else left
+    articles = {kinds[i] for i in left if _is_mark(kinds[i])}
+    return [i for i, kind in enumerate(kinds) if kind in articles] if articles else left
 
 
 def _trivial(text: str) -> bool:
@@ -265,9 +296,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(kinds: list[int]) -> list[int]:
-    """The positions of the lines that can be text: those of the article, or else of the body."""
-    wanted = MAIN if MAIN in kinds else BODY
-    return [i for i, kind in enumerate(kinds) if kind == wanted]
+    """The positions of the lines that can be text: those of marked elements, or else of the body."""
+    return [i for i, kind in enumerate(kinds) if _is_mark(kind)] or [i for i, kind in enumerate(kinds) if kind == BODY]
 
 
 def _side(row: dict | None) -> dict | None:

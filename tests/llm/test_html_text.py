@@ -137,3 +137,31 @@ def test_marked_pages_are_paired_and_aligned(spark, monkeypatch):
     assert [r["text"] for r in out if r["state"] == html_text.DONE] == ["Same for all\nOwn 1"] and seen == [5]
     assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {
         k: f"Same for all\nOwn {k}" for k in range(3)}
+
+
+def test_differencing_picks_the_marked_elements():
+    """Marked boxes that the neighbour has too are template text; the article's own shared lines are restored."""
+    page = ("<body><p>Date {k}</p><main><h2>News</h2><article><h1>Head {k}</h1><p>Quoted</p><p>Story {k}</p></article><article><p>Read this</p>"
+            "<p>Win a car</p></article><p>Most read</p></main><article><p>About us</p></article></body>")
+    lines = text_lines(page.format(k=1))
+    other, copy = ([s for s, _ in text_lines(page.format(k=k))] for k in (2, 1))
+    assert main_text(lines, other) == main_text(lines, copy, other) == "Head 1\nQuoted\nStory 1"
+    # no neighbour, or only copies: nothing tells which marked element is template text
+    assert main_text(lines) == main_text(lines, copy, copy) == "News\nHead 1\nQuoted\nStory 1\nRead this\nWin a car\nMost read\nAbout us"
+
+
+def test_a_near_copy_tells_nothing_about_marked_elements():
+    parts = ["<article>" + "".join(f"<p>Part {k} line {n}</p>" for n in range(9)) + "</article>" for k in (1, 2)]
+    page, box = "".join(parts), "<article><p>Box</p></article>"
+    near = [s.replace("Part 1 line 4", "Part 1 line four") for s, _ in text_lines(page + box)]
+    whole = text(page)
+    assert main_text(text_lines(page + box), near) == whole + "\nBox"
+    assert main_text(text_lines(page + box), near, ["Other", "Box"]) == whole
+    assert main_text(text_lines(page + box), ["Other", "Box"], near) == whole
+
+
+def test_marked_boxes_of_a_host_are_deleted(spark):
+    page = "<article><p>Story {k}</p><p>Same for all</p></article><article class='card'><h3>Card</h3><p>Offer</p></article>"
+    rows = [(k, f"https://one.example.org/{k:02d}", page.format(k=k // 2)) for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in extract(frame).collect()} == {k: f"Story {k // 2}\nSame for all" for k in range(40)}
