@@ -141,17 +141,8 @@ def check_orphans(child: DataFrame, key: str, link: str, parent: DataFrame, pare
     return violations(lost, "orphan", key, F.lit(True), F.col(link))
 
 
-def metadata_details(type_column: str, metadata: str, requirements: Mapping[str, Sequence[str]]) -> Column:
-    """The required fields that a variant's map lacks."""
-    needs = [
-        F.when(F.col(type_column) == kind, F.array(*[F.lit(f) for f in names])) for kind, names in requirements.items()
-    ]
-    listed = F.coalesce(*needs, F.array(F.lit("unknown type")))
-    return F.filter(listed, lambda field: F.try_element_at(F.col(metadata), field).isNull())
-
-
 def metadata_lacking(type_column: str, metadata: str, requirements: Mapping[str, Sequence[str]]) -> list[tuple[Column, str]]:
-    """For each required field whether a variant's map lacks it, and its name: what ``metadata_details`` lists."""
+    """For each required field whether a variant's map lacks it, and its name; of an unknown type only that."""
     kind = F.col(type_column)
     known = F.coalesce(kind.isin(list(requirements)), F.lit(False))
     asked = [(kind == k, field) for k, names in requirements.items() for field in names] + [(~known, "unknown type")]
@@ -166,7 +157,8 @@ def check_variant_metadata(
     requirements: Mapping[str, Sequence[str]] = vocab.VARIANT_REQUIREMENTS,
 ) -> DataFrame:
     """Required metadata fields that a variant's map lacks; an unknown variant type is reported as such."""
-    lacking = variants.withColumn("_field", F.explode(metadata_details(type_column, metadata, requirements)))
+    fields = [F.when(lacking, F.lit(field)) for lacking, field in metadata_lacking(type_column, metadata, requirements)]
+    lacking = variants.withColumn("_field", F.explode(F.array_compact(F.array(*fields))))
     return violations(lacking, "variant_metadata", key, F.lit(True), F.col("_field"))
 
 
